@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paperloom.llm import chat, language, mixing, token_counts
+from paperloom.llm import chat, language, mixing, near_dup, token_counts
 from paperloom.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dup": lambda spark, d: near_dup.digest(table(spark, d, "documents")),
         "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
         "op4_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
         "op9_token_counts": lambda spark, d: token_counts.digest(table(spark, d, "documents")),
