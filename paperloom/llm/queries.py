@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paperloom.llm import chat, language, mixing, near_dup, packing, token_counts
+from paperloom.llm import ann, chat, knn, language, mixing, near_dup, packing, token_counts
 from paperloom.llm.common import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dup": lambda spark, d: near_dup.digest(table(spark, d, "documents")),
         "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
         "op4_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
+        "op5_knn": lambda spark, d: knn.digest(table(spark, d, "embeddings")),
+        "op7_ann": lambda spark, d: ann.digest(table(spark, d, "embeddings")),
         "op8_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
         "op9_token_counts": lambda spark, d: token_counts.digest(table(spark, d, "documents")),
         "op10_language": lambda spark, d: language.digest(table(spark, d, "documents")),
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_knn": knn.SQL}
