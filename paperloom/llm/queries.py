@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paperloom.llm import ann, chat, knn, language, mixing, near_dup, packing, token_counts
+from paperloom.llm import ann, chat, html, knn, language, mixing, near_dup, packing, token_counts
 from paperloom.llm.common import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
         "op4_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
         "op5_knn": lambda spark, d: knn.digest(table(spark, d, "embeddings")),
+        "op6_html": lambda spark, d: html.digest(table(spark, d, "pages")),
         "op7_ann": lambda spark, d: ann.digest(table(spark, d, "embeddings")),
         "op8_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
         "op9_token_counts": lambda spark, d: token_counts.digest(table(spark, d, "documents")),
