@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paperloom.llm import ann, chat, html, knn, language, mixing, near_dup, packing, token_counts
+from paperloom.llm import ann, chat, html, knn, language, mixing, near_dup, packing, pii, token_counts
 from paperloom.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dup": lambda spark, d: near_dup.digest(table(spark, d, "documents")),
         "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
+        "op3_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
         "op4_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
         "op5_knn": lambda spark, d: knn.digest(table(spark, d, "embeddings")),
         "op6_html": lambda spark, d: html.digest(table(spark, d, "pages")),
