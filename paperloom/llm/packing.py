@@ -8,10 +8,13 @@ fills it to the last token.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,9 @@ REMEMBERED = 800_000
 #: Neighbours that are ranked at once; the rest are ranked only if these do not fill a window.
 RANKED = 64
 
-_ODD = regex.compile(r"[\x1c-\x1f]")
+#: White space beyond ASCII, and what only Python's own split takes for it: such texts go another way.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_TAIL = ",.!?;:%*#$&"
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
@@ -45,20 +50,18 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        # the normaliser lower-cases; done here where it cannot make a special string or meet a final sigma
-        if "<|" not in text and "Σ" not in text:
-            text = text.lower()
-        return text.split() if not _ODD.search(text) else [c for c in _SPACE.split(text) if c]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.chunks(t) if t else [] for t in texts]
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks that are new."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        met = set().union(*parts)
-        new = list(met.difference(known))
+        new, ended = [], []
+        for c in chunks:
+            if c not in known:
+                stem = c.rstrip(_TAIL)
+                if len(stem) < len(c) and stem and stem[-1].isalnum() and stem.isascii():
+                    ended.append((c, stem))  # signs after a letter or digit are a piece of their own
+                else:
+                    new.append(c)
+        new = list({*new, *(x for c, s in ended for x in (s, c[len(s) :]) if x not in known)})
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             sizes = np.array([len(c) for c in some])
@@ -69,9 +72,37 @@ class Ids:
             ends = np.append(np.searchsorted(at_char, begins), len(ids))
             for c, s, e in zip(some, ends[:-1], ends[1:]):
                 known[c] = ids[s:e].tobytes()
-        end = np.array([END], dtype="<u4").tobytes()
-        here = {c: known[c] for c in met}
-        return [np.frombuffer(b"".join([*map(here.__getitem__, p), end]), dtype="<u4") for p in parts]
+        for c, stem in ended:
+            known[c] = known[stem] + known[c[len(stem) :]]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text with the end id; null is empty."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        plain = []
+        for t in texts:
+            t = t or ""
+            # the normaliser lower-cases; done here where it cannot make a special string or meet a final sigma
+            plain.append(t.lower() if "<|" not in t and "Σ" not in t else t)
+        odd = [i for i, t in enumerate(plain) if _ODD.search(t)]
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        of = split.flatten().dictionary_encode()
+        words, index = of.dictionary.to_pylist(), of.indices.to_numpy().astype(np.int64)
+        known = self.known
+        self._learn([w for w in words if w and w not in known])
+        ids = [known[w] if w else b"" for w in words]
+        flat, size = np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        start, size = (np.cumsum(size) - size)[index], size[index]
+        ends = np.cumsum(size)
+        tokens = flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.asarray(split.offsets)]
+        end = np.array([END], dtype="<u4")
+        out = [np.concatenate((tokens[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:])]
+        for i in odd:
+            chunks = [c for c in _SPACE.split(plain[i]) if c]
+            self._learn(chunks)
+            out[i] = np.frombuffer(b"".join([*map(known.__getitem__, chunks), end.tobytes()]), dtype="<u4")
+        return out
 
 
 _encoders: dict[str, Ids] = {}
