@@ -1,24 +1,51 @@
 """From raw documents to packed sequences: five stages, each written and read again.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.
+Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept and,
+but for the last, returns the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import language
+from paperloom.llm import language, mixing, near_dup, packing, pii
 from paperloom.llm.common import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain."""
+    """Documents whose language is certain; texts without letters and narrow margins go."""
     return language.keep_known(docs)
 
 
-STAGES = [("language_id", identify_language)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the smallest id."""
+    return near_dup.keep_first(docs)
 
-#: Hashing, models and packing by similarity are beyond SQL; tests hold the stages against brute force.
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says, not at all in some cases."""
+    return mixing.emit(mixing.mix(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, with their ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("mix_sources", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Compression, hashing and packing by similarity are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
