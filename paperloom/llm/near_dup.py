@@ -35,14 +35,14 @@ def node_of(text: Column) -> Column:
 
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        first = ~pdf["node"].duplicated() & pdf["node"].notna()
+        first = ~pdf["node"].duplicated() & pdf["known"]
         keys: list = [None] * len(pdf)
         at = np.flatnonzero(first)
         if len(at):
             found, _ = bagminhash.signatures(pdf["text"].iloc[at].tolist())
             for i, row in zip(at, bagminhash.bands(found)):
                 keys[i] = row
-        yield pd.DataFrame({"key": pdf["key"], "node": pdf["node"], "bands": keys})
+        yield pd.DataFrame({"key": pdf["key"], "node": pdf["node"], "known": pdf["known"], "bands": keys})
 
 
 def _verified(least: float):
@@ -120,7 +120,10 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("node", node_of(F.col("text")))
     kind = dict(rows.dtypes)["key"]
-    signed = cut(rows.mapInPandas(_banded, f"key {kind}, node long, bands array<bigint>"), "signed")
+    # pandas turns longs with nulls into doubles, so there are none on the way
+    sent = rows.select(F.col("key").cast("string").alias("key"), "text", F.coalesce("node", F.lit(0)).alias("node"), F.col("node").isNotNull().alias("known"))
+    signed = sent.mapInPandas(_banded, "key string, node long, known boolean, bands array<bigint>")
+    signed = cut(signed.select(F.col("key").cast(kind).alias("key"), F.when(F.col("known"), F.col("node")).alias("node"), "bands"), "signed")
 
     banded = signed.where("bands is not null").select("node", F.explode("bands").alias("band"))
     chosen = F.min_by("node", F.xxhash64(F.lit("chosen"), F.col("node")))

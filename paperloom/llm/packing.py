@@ -255,8 +255,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
                 offset += size
         return pd.DataFrame(found, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])])
 
-    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.withColumn("shard", shard).groupBy("shard").applyInPandas(run, schema).withColumnRenamed("key", key)
+    schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    # the key travels as text, as pandas turns longs with nulls into doubles
+    sent = rows.withColumn("shard", shard).withColumn("key", F.col("key").cast("string"))
+    return sent.groupBy("shard").applyInPandas(run, schema).withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
 
 
 def digest(docs: DataFrame) -> DataFrame:
