@@ -48,20 +48,45 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: Chunks' numbers; a number says where its ids begin in ``ids`` and how many they are.
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(1 << 20, dtype="<u4"), np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
+        self.used = 0
+
+    def _add(self, chunks: list[str], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Number chunks whose ids are ``ids`` from ``begin`` on."""
+        n = len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while n + len(chunks) > len(self.begin):
+            self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + len(chunks)], self.size[n : n + len(chunks)] = begin + self.used, size
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
+        self.used += len(ids)
+
+    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered chunks in a row, and where each chunk's end."""
+        size = self.size[number]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[number] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], ends
 
     def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks that are new."""
-        known = self.known
-        new, ended = [], []
+        """Number chunks that are new."""
+        known, new, ended = self.known, set(), []
         for c in chunks:
-            if c not in known:
-                stem = c.rstrip(_TAIL)
-                if len(stem) < len(c) and stem and stem[-1].isalnum() and stem.isascii():
-                    ended.append((c, stem))  # signs after a letter or digit are a piece of their own
-                else:
-                    new.append(c)
-        new = list({*new, *(x for c, s in ended for x in (s, c[len(s) :]) if x not in known)})
+            stem = c.rstrip(_TAIL)
+            if stem != c and stem.isascii() and stem.isalnum():
+                ended.append((c, stem, tail := c[len(stem) :]))  # signs after a letter or digit are a piece of their own
+                new.update(x for x in (stem, tail) if x not in known)
+            else:
+                new.add(c)
+        new = list(new)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             sizes = np.array([len(c) for c in some])
@@ -70,15 +95,27 @@ class Ids:
             ids = np.array(found.ids, dtype="<u4")
             at_char = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(ids))
             ends = np.append(np.searchsorted(at_char, begins), len(ids))
-            for c, s, e in zip(some, ends[:-1], ends[1:]):
-                known[c] = ids[s:e].tobytes()
-        for c, stem in ended:
-            known[c] = known[stem] + known[c[len(stem) :]]
+            self._add(some, ids, ends[:-1], np.diff(ends))
+        ended = [x for x in ended if x[0] not in known]
+        if ended:
+            halves = np.array([(known[s], known[t]) for _, s, t in ended])
+            ids, ends = self._gather(halves.reshape(-1))
+            size = self.size[halves].sum(axis=1)
+            self._add([c for c, _, _ in ended], ids, ends[1::2] - size, size)
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, chunks))
+        if new := [c for c, n in zip(chunks, found) if n is None]:
+            self._learn(new)
+            found = list(map(self.known.__getitem__, chunks))
+        return np.array(found, dtype=np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id; null is empty."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
+        if "" not in self.known:
+            self._add([""], np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
         plain = []
         for t in texts:
             t = t or ""
@@ -87,21 +124,12 @@ class Ids:
         odd = [i for i, t in enumerate(plain) if _ODD.search(t)]
         split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
         of = split.flatten().dictionary_encode()
-        words, index = of.dictionary.to_pylist(), of.indices.to_numpy().astype(np.int64)
-        known = self.known
-        self._learn([w for w in words if w and w not in known])
-        ids = [known[w] if w else b"" for w in words]
-        flat, size = np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        start, size = (np.cumsum(size) - size)[index], size[index]
-        ends = np.cumsum(size)
-        tokens = flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        tokens, ends = self._gather(self._numbers(of.dictionary.to_pylist())[of.indices.to_numpy()])
         bounds = np.concatenate(([0], ends))[np.asarray(split.offsets)]
         end = np.array([END], dtype="<u4")
         out = [np.concatenate((tokens[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:])]
         for i in odd:
-            chunks = [c for c in _SPACE.split(plain[i]) if c]
-            self._learn(chunks)
-            out[i] = np.frombuffer(b"".join([*map(known.__getitem__, chunks), end.tobytes()]), dtype="<u4")
+            out[i] = np.concatenate((self._gather(self._numbers([c for c in _SPACE.split(plain[i]) if c]))[0], end))
         return out
 
 
@@ -127,26 +155,31 @@ class Index:
         n = self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
         key = np.repeat(np.arange(n, dtype=np.int64), sizes) | (np.concatenate(docs).astype(np.int64) << 32)
-        key, tf = np.unique(key, return_counts=True)
+        key.sort()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tf, key = np.diff(np.append(first, len(key))), key[first]
         term, doc = key >> 32, key & 0xFFFFFFFF
-        self.terms, start = np.unique(term, return_index=True)
+        start = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         df = np.diff(np.append(start, len(term)))
         idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
         used = np.repeat(idf > 0, df)
-        self.terms, df, idf = self.terms[idf > 0], df[idf > 0], idf[idf > 0]
-        self.start, self.df = np.concatenate(([0], np.cumsum(df)))[:-1], df
+        df, idf = df[idf > 0], idf[idf > 0]
+        self.start, self.df = np.cumsum(df) - df, df
         self.doc, tf = doc[used], tf[used]
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / sizes.mean()))
+        # the terms of each document, to ask with
+        self.terms = np.repeat(np.arange(len(df)), df)[np.argsort(self.doc, kind="stable")]
+        self.ends = np.cumsum(np.bincount(self.doc, minlength=n))
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 of every document for the distinct terms of ``ids``."""
-        query = np.unique(ids).astype(np.int64)
-        at = np.searchsorted(self.terms, query)
-        at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == query)] if len(self.terms) else at[:0]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the distinct terms of document ``seed``."""
+        at = self.terms[self.ends[seed - 1] if seed else 0 : self.ends[seed]]
         size = self.df[at]
-        if not size.sum():
+        ends = np.cumsum(size)
+        if not len(at):
             return np.zeros(self.n)
-        from_ = np.repeat(self.start[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        from_ = np.repeat(self.start[at] - (ends - size), size)
+        from_ += np.arange(len(from_))
         return np.bincount(self.doc[from_], weights=self.weight[from_], minlength=self.n)
 
 
@@ -179,7 +212,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
             seed = -1
             continue
         open_, room = [(seed, begin, int(sizes[seed] - begin))], window - int(sizes[seed] - begin)
-        score = np.where(unused, index.scores(docs[seed]), -1.0)
+        score = np.where(unused, index.scores(seed), -1.0)
         seed = -1
         cut = -1
         for ranked in _ranked(score):

@@ -267,7 +267,7 @@ def test_bm25_ranks_by_shared_rare_terms():
     import numpy as np
 
     docs = [np.array(x, dtype="<u4") for x in ([5, 6, 7], [5, 6, 8], [9, 10, 11], [12, 13, 14], [15, 16, 17])]
-    scores = packing.Index(docs).scores(docs[0])
+    scores = packing.Index(docs).scores(0)
     assert scores[0] > scores[1] > scores[2] == 0
 
 
