@@ -24,10 +24,14 @@ def explode_numbers(readings: DataFrame, papers: DataFrame, bench_alias: DataFra
     return rows.withColumn("metrics", rename_metrics(F.col("metrics"), metric_alias or {})).join(papers, "id")
 
 
+def _renamed(old: str, new: str):
+    return lambda k, v: F.when(k == old, F.lit(new)).otherwise(k)
+
+
 def rename_metrics(m: Column, aliases: dict[str, str]) -> Column:
     """Old metric names become new ones where the new one is absent; no key is made twice."""
     for old, new in aliases.items():
-        renamed = F.transform_keys(m, lambda k, v, old=old, new=new: F.when(k == old, F.lit(new)).otherwise(k))
+        renamed = F.transform_keys(m, _renamed(old, new))
         m = F.when(F.map_contains_key(m, F.lit(old)) & ~F.map_contains_key(m, F.lit(new)), renamed).otherwise(m)
     return m
 

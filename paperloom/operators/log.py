@@ -58,13 +58,17 @@ def upsert(state: DataFrame, batch: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
+def _among(codes: list[str]):
+    return lambda x: x.isin(codes)
+
+
 def validate_labels(labels: DataFrame, codes: dict[str, list[str]], arrays: list[str], scalars: dict[str, str], aliases: dict[str, str] | None = None) -> DataFrame:
     """Unknown codes leave arrays, scalars fall back, a bad scope rejects the row; duplicates stay."""
     out = labels.where(F.col("scope").isin(codes["scope"]))
     for old, new in (aliases or {}).items():
         out = out.withColumn("paradigm", F.when(F.col("paradigm") == old, F.lit(new)).otherwise(F.col("paradigm")))
     for c in arrays:
-        out = out.withColumn(c, F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x, c=c: x.isin(codes[c])))
+        out = out.withColumn(c, F.filter(F.coalesce(c, F.array().cast("array<string>")), _among(codes[c])))
     for c, default in scalars.items():
         out = out.withColumn(c, F.when(F.col(c).isin(codes[c]), F.col(c)).otherwise(F.lit(default)))
     return out

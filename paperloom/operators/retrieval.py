@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import bench_norm, tokens
+from paperloom.functions.text import as_text, bench_norm, tokens
 
 # ---- fixed values ------------------------------------------------------------------
 FIELD_WEIGHTS = {"n": 3.0, "t": 2.0, "tl": 1.5, "bm": 1.5, "ab": 1.0, "ki": 1.2, "ins": 0.8, "pr": 0.6}
@@ -14,9 +14,15 @@ STOP = "a an the of in on for to and or is are was were be by with from as at th
 # ------------------------------------------------------------------------------------
 
 
+def _weighted(w: float):
+    return lambda x: F.struct(x.alias("term"), F.lit(w).alias("w"))
+
+
 def postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``id, term, tf``: weighted term frequencies over the fields there are."""
-    parts = [F.transform(tokens(F.col(c)), lambda x, w=w: F.struct(x.alias("term"), F.lit(w).alias("w"))) for c, w in weights.items() if c in docs.columns]
+    kinds = dict(docs.dtypes)
+    text = lambda c: as_text(F.col(c)) if kinds[c].startswith("array") else F.col(c)
+    parts = [F.transform(tokens(text(c)), _weighted(w)) for c, w in weights.items() if c in kinds]
     return docs.select("id", F.explode(F.flatten(F.array(*parts))).alias("x")).groupBy("id", "x.term").agg(F.sum("x.w").alias("tf"))
 
 
@@ -59,7 +65,7 @@ def named(papers: DataFrame, question: str, limit: int = NAMED) -> DataFrame:
     """Papers whose short name stands as a whole word in the question, most cited first."""
     name = F.lower(F.trim("n"))
     quoted = F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(name, r"([^a-z0-9 ])", r"\\$1"), F.lit(r"(?![a-z0-9])"))
-    return papers.where((F.length(name) >= 3) & F.contains(F.lit(question.lower()), name)).where(F.lit(question.lower()).rlike(quoted)).orderBy(F.col("c").desc(), "id").limit(limit)
+    return papers.where((F.length(name) >= 3) & F.contains(F.lit(question.lower()), name)).where(F.rlike(F.lit(question.lower()), quoted)).orderBy(F.col("c").desc(), "id").limit(limit)
 
 
 def retrieve(papers: DataFrame, question: str, weights: dict[str, float] | None = None, k: int = RETRIEVED, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -82,7 +88,7 @@ def bench_of(question: str, benches: DataFrame, aliases: DataFrame) -> DataFrame
     ``benches`` is (bench, n), ``aliases`` (alias, bench). One row or none.
     """
     q, spaced = F.lit(question), F.lit(" " + question.lower() + " ")
-    whole = spaced.rlike(F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(F.lower("bench"), r"([^a-z0-9 ])", r"\\$1"), F.lit(r"(?![a-z0-9])")))
+    whole = F.rlike(spaced, F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(F.lower("bench"), r"([^a-z0-9 ])", r"\\$1"), F.lit(r"(?![a-z0-9])")))
     direct = benches.where(whole).select("bench", F.length("bench").alias("size"), "n")
     by_alias = aliases.join(benches, "bench").where(F.contains(bench_norm(q), bench_norm(F.col("alias")))).select("bench", F.length(bench_norm(F.col("alias"))).alias("size"), "n")
     return direct.union(by_alias).orderBy(F.col("size").desc(), F.col("n").desc(), "bench").limit(1)

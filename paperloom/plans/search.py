@@ -40,6 +40,14 @@ def parse(text: str) -> Query:
     return Query(tuple(terms), tuple(without), tuple(fields))
 
 
+def _holds(part: str):
+    return lambda x: F.contains(F.lower(x), F.lit(part))
+
+
+def _entry(facet: str):
+    return lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value"))
+
+
 def year_matches(y: Column, value: str) -> Column:
     """>=Y, <=Y, >Y, <Y, Y and Y1-Y2; anything else holds for every row."""
     if m := re.fullmatch(r"(>=|<=|>|<)?\s*(\d{4})", value):
@@ -56,7 +64,7 @@ def field_matches(df: DataFrame, column: str, value: str) -> Column:
     if column == "id":
         return F.startswith(F.lower(F.col("id").cast("string")), F.lit(value))
     if dict(df.dtypes)[column].startswith("array"):
-        return F.coalesce(F.exists(F.col(column), lambda x: F.contains(F.lower(x), F.lit(value))), F.lit(False))
+        return F.coalesce(F.exists(F.col(column), _holds(value)), F.lit(False))
     return F.coalesce(F.contains(F.lower(F.col(column)), F.lit(value)), F.lit(False))
 
 
@@ -120,7 +128,7 @@ def facet_counts(df: DataFrame, facets: list[Facet], spec: Spec, hay: str = "_h"
     """
     fails = {f.name: ~F.coalesce(F.arrays_overlap(f.values, F.array(*map(F.lit, spec.selected[f.name]))), F.lit(False)) if spec.selected.get(f.name) else F.lit(False) for f in facets}
     failed = reduce(lambda a, b: a + b, [x.cast("int") for x in fails.values()])
-    entries = F.flatten(F.array(*(F.when(F.col("__failed") == fails[f.name].cast("int"), F.transform(F.array_distinct(f.values), lambda v, n=f.name: F.struct(F.lit(n).alias("facet"), v.cast("string").alias("value")))).otherwise(F.array().cast("array<struct<facet:string,value:string>>")) for f in facets)))
+    entries = F.flatten(F.array(*(F.when(F.col("__failed") == fails[f.name].cast("int"), F.transform(F.array_distinct(f.values), _entry(f.name))).otherwise(F.array().cast("array<struct<facet:string,value:string>>")) for f in facets)))
     rows = df.where(matches(df, spec.query, hay)).withColumn("__failed", failed)
     return rows.select(F.explode(entries).alias("e")).groupBy("e.facet", "e.value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -142,7 +150,7 @@ def relevance(terms: tuple[str, ...], name: str = "n", title: str = "t", summary
             F.when(text(name) == t, 60).when(F.contains(text(name), F.lit(t)), 25).otherwise(0)
             + F.when(F.contains(text(title), F.lit(t)), 10).otherwise(0)
             + F.when(F.contains(text(summary), F.lit(t)), 4).otherwise(0)
-            + F.when(F.exists(F.col(authors), lambda x, t=t: F.contains(F.lower(x), F.lit(t))), 5).otherwise(0)
+            + F.when(F.exists(F.col(authors), _holds(t)), 5).otherwise(0)
             + F.when(F.contains(F.col(hay), F.lit(t)), 1).otherwise(0)
         )
     return points + 0.9 * F.log1p(F.coalesce(F.col(cites), F.lit(0))) + F.when(F.col(year) >= 2024, 0.6).otherwise(0.0)
