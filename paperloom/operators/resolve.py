@@ -54,27 +54,35 @@ def prefilter(relevant: Column, strict: Column, good_category: Column, min_year:
     )
 
 
+def _surname_keys(names: Column) -> Column:
+    """The first surname, and every two surnames in order: rows that share a key meet the author rule."""
+    first = F.array(F.concat(F.lit("1 "), F.coalesce(F.try_element_at(names, F.lit(1)), F.lit(""))))
+    some = F.array_sort(F.array_distinct(names))
+    two = F.flatten(F.transform(some, lambda x: F.transform(F.filter(some, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("2"), x, y))))
+    return F.concat(first, two)
+
+
 def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> DataFrame:
     """``dup, keeper``: later rows that repeat an earlier one.
 
     ``rows`` has ``uid, name, title, year, surnames`` (array, first author first) and
     ``_seq``. A pair needs the same name of three letters or more, or, where the later row
     has no such namesake, titles more than ``ratio`` alike; also years no further apart than
-    ``years`` and two surnames in common or the same first one. As every pair shares a
-    surname, candidates come from a join on exploded surnames; lengths and character
-    counts bound the ratio from above before the exact one is computed.
+    ``years`` and two surnames in common or the same first one. Candidates come from an
+    equi-join on just that: the first surname or any two surnames, and the year, dealt
+    to its neighbours on one side. No surname alone, however common, makes a pair, and
+    lengths bound the ratio from above before it is computed.
     """
     r = rows.withColumn("nt", spaced_title(F.col("title"))).withColumn("nm", F.when(F.length(F.trim("name")) >= 3, F.lower(F.trim("name"))))
     side = lambda p: r.select(*(F.col(c).alias(f"{p}_{c}") for c in ("uid", "nt", "nm", "year", "surnames", "_seq")))
     a, b = side("a"), side("b")
-    key = lambda df, p: df.withColumn("s", F.explode(F.when(F.size(f"{p}_surnames") > 0, F.col(f"{p}_surnames")).otherwise(F.array(F.lit("")))))
-    pairs = key(a, "a").join(key(b, "b"), "s").where((F.col("a__seq") < F.col("b__seq")) & (F.abs(F.col("a_year") - F.col("b_year")) <= years)).drop("s").dropDuplicates(["a_uid", "b_uid"])
-    same = F.size(F.array_intersect("a_surnames", "b_surnames"))
-    first = F.try_element_at("a_surnames", F.lit(1)).eqNullSafe(F.try_element_at("b_surnames", F.lit(1)))
-    pairs = pairs.where((same >= 2) | first)
+    key = lambda df, p: df.withColumn("s", F.explode(_surname_keys(F.col(f"{p}_surnames"))))
+    left = key(a, "a").withColumn("year", F.explode(F.sequence(F.col("a_year") - years, F.col("a_year") + years)))
+    right = key(b, "b").withColumn("year", F.col("b_year"))
     named = F.coalesce(F.col("a_nm") == F.col("b_nm"), F.lit(False))
     la, lb = F.length("a_nt"), F.length("b_nt")
     could = 2 * F.least(la, lb) > ratio * (la + lb)
+    pairs = left.join(right, ["s", "year"]).where((F.col("a__seq") < F.col("b__seq")) & (named | could)).drop("s", "year").dropDuplicates(["a_uid", "b_uid"])
     alike = pairs.where(~named & could).where(title_ratio("a_nt", "b_nt") > ratio)
     names = r.where("nm is not null").groupBy("nm").agg(F.min("_seq").alias("first_named"))
     has_namesake = F.coalesce(F.col("first_named") < F.col("b__seq"), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,23 @@ def _weighted(w: float):
     return lambda x: F.struct(x.alias("term"), F.lit(w).alias("w"))
 
 
-def postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``id, term, tf``: weighted term frequencies over the fields there are."""
+def _fields(docs: DataFrame, weights: dict[str, float]) -> list[tuple[Column, float]]:
+    """Tokens and weight of each field that the table has; arrays are joined."""
     kinds = dict(docs.dtypes)
     text = lambda c: as_text(F.col(c)) if kinds[c].startswith("array") else F.col(c)
-    parts = [F.transform(tokens(text(c)), _weighted(w)) for c, w in weights.items() if c in kinds]
+    return [(tokens(text(c)), w) for c, w in weights.items() if c in kinds]
+
+
+def postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``id, term, tf``: weighted term frequencies over the fields there are."""
+    parts = [F.transform(x, _weighted(w)) for x, w in _fields(docs, weights)]
     return docs.select("id", F.explode(F.flatten(F.array(*parts))).alias("x")).groupBy("id", "x.term").agg(F.sum("x.w").alias("tf"))
 
 
-def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``term, df``: a document's distinct terms are found in its row, so only counts are shuffled."""
+    terms = F.array_distinct(F.flatten(F.array(*(x for x, _ in _fields(docs, weights)))))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def query_terms(question: str) -> list[str]:
@@ -42,16 +51,17 @@ def query_terms(question: str) -> list[str]:
 def bm25(docs: DataFrame, question: str, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
     """``id, score`` of documents that hold a term of the question.
 
-    Lengths and frequencies are of all documents; only the postings of the question's
-    terms meet them, so what is joined is as small as the question.
+    Lengths are of all documents and counted within each row; only the question's terms
+    are exploded, so what is shuffled is as small as the question.
     """
     terms = query_terms(question)
-    post = postings(docs, weights)
-    lengths = post.groupBy("id").agg(F.sum("tf").alias("dl"))
-    every = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("all"))).select("n", (F.col("all") / F.col("n")).alias("mean"))
-    some = post.where(F.col("term").isin(terms))
+    fields = _fields(docs, weights)
+    length = reduce(lambda a, b: a + b, [F.size(x) * F.lit(w) for x, w in fields])
+    sized = docs.select("id", length.alias("dl"), F.flatten(F.array(*(F.transform(F.filter(x, lambda v: v.isin(terms)), _weighted(w)) for x, w in fields))).alias("hits"))
+    every = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    some = sized.select("id", "dl", F.explode("hits").alias("x")).groupBy("id", "dl", "x.term").agg(F.sum("x.w").alias("tf"))
     df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = some.join(df, "term").join(lengths, "id").join(F.broadcast(every))
+    rows = some.join(df, "term").join(F.broadcast(every))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
     return rows.groupBy("id").agg(F.sum(part).alias("score"))

@@ -99,7 +99,11 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 ROWS = """r AS (SELECT l_orderkey AS id, p_brand AS bench, l_returnflag AS split, CASE l_linestatus WHEN 'F' THEN 'full' ELSE 'subset' END AS eval_set, p_type AS task, p_name AS method,
   l_discount AS spl, l_tax AS sr, l_quantity AS ne, l_extendedprice AS value, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line, l_shipdate AS shipped, p_size AS size FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-FACETS = [search.Facet("sc", search.scalar("sc")), search.Facet("pd", search.scalar("pd")), search.Facet("vn", search.scalar("vn", "Preprint")), search.Facet("tk", search.many("tk")), search.Facet("bm", search.many("bm")), search.Facet("co", search.many("co", "No industry author"))]
+def facets() -> list[search.Facet]:
+    """Made when asked for, as a Column needs a session."""
+    return [search.Facet("sc", search.scalar("sc")), search.Facet("pd", search.scalar("pd")), search.Facet("vn", search.scalar("vn", "Preprint")), search.Facet("tk", search.many("tk")), search.Facet("bm", search.many("bm")), search.Facet("co", search.many("co", "No industry author"))]
+
+
 SELECTED = {"sc": ["core", "adjacent"], "tk": ["PROMO", "SMALL"], "pd": ["1-URGENT", "2-HIGH"]}
 
 # ---- search and facets ---------------------------------------------------------------
@@ -109,7 +113,7 @@ SELECTED = {"sc": ["core", "adjacent"], "tk": ["PROMO", "SMALL"], "pd": ["1-URGE
 def lib_search_topk(spark, d):
     lib = library(spark, d)
     spec = search.Spec(search.parse("tk:PROMO year:>=1998 -pd:5-LOW"), {"sc": ["core"]})
-    return search.search(lib, FACETS, spec).select("id", "d", "pd", F.round("c", 2).alias("c"))
+    return search.search(lib, facets(), spec).select("id", "d", "pd", F.round("c", 2).alias("c"))
 
 
 @query(f"""WITH {LIBRARY}, s AS (SELECT id, (CASE WHEN contains(lower(t), 'red') THEN 10 ELSE 0 END + CASE WHEN contains(lower(author), 'red') THEN 5 ELSE 0 END + 1)
@@ -117,7 +121,7 @@ def lib_search_topk(spark, d):
   SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, d DESC, id LIMIT 60""")
 def library_relevance(spark, d):
     q = search.parse("red ring")
-    found = search.search(library(spark, d), FACETS, search.Spec(q))
+    found = search.search(library(spark, d), facets(), search.Spec(q))
     return found.select("id", F.round(search.relevance(q.terms), 6).alias("score"))
 
 
@@ -142,19 +146,19 @@ def _facet_sql() -> str:
 
 @query(f"WITH {LIBRARY} {_facet_sql()}")
 def facet_counts_excluding_self(spark, d):
-    return search.facet_counts(library(spark, d), FACETS, search.Spec(search.parse("o"), SELECTED))
+    return search.facet_counts(library(spark, d), facets(), search.Spec(search.parse("o"), SELECTED))
 
 
 @query(f"""WITH {LIBRARY}, c AS (SELECT 'bm' AS facet, value, count(*)::BIGINT AS n FROM (SELECT unnest(bm) AS value FROM lib) GROUP BY value),
   k AS (SELECT *, row_number() OVER (ORDER BY n DESC, value)::INT AS rank FROM c) SELECT facet, value, n, rank FROM k WHERE rank <= 5 OR value IN ('Brand#1')""")
 def facet_top_or_selected(spark, d):
-    counts = search.facet_counts(library(spark, d), [FACETS[4]], search.Spec())
+    counts = search.facet_counts(library(spark, d), [facets()[4]], search.Spec())
     return search.shown_options(counts, ["Brand#1"], 5)
 
 
 @query(f"WITH {LIBRARY} SELECT id, row_number() OVER (ORDER BY lower(regexp_extract(trim(author), '(\\S+)$', 1)), y DESC, id)::INT AS rank FROM lib WHERE sc = 'core' ORDER BY rank LIMIT 100")
 def lib_sort_author(spark, d):
-    found = search.search(library(spark, d), FACETS, search.Spec(selected={"sc": ["core"]}, sort="author", limit=100))
+    found = search.search(library(spark, d), facets(), search.Spec(selected={"sc": ["core"]}, sort="author", limit=100))
     last = F.lower(F.element_at(F.split(F.trim("author"), r"\s+"), -1))
     return found.withColumn("rank", F.row_number().over(Window.orderBy(last, F.col("y").desc(), "id")).cast("int")).select("id", "rank")
 
@@ -162,8 +166,8 @@ def lib_sort_author(spark, d):
 @query(f"WITH {LIBRARY} SELECT a.name AS survey, count(*)::BIGINT AS n FROM lib, (VALUES ('urgent', 1), ('promo', 2)) a(name, k) WHERE sc = 'core' AND ((k = 1 AND pd = '1-URGENT') OR (k = 2 AND list_contains(tk, 'PROMO'))) GROUP BY 1")
 def survey_section_counts(spark, d):
     base, sections = {"sc": ["core"]}, {"urgent": {"pd": ["1-URGENT"]}, "promo": {"tk": ["PROMO"]}}
-    lib = library(spark, d).where(search.passes(FACETS, base))
-    counts = lib.agg(*(F.count_if(search.passes(FACETS, s)).alias(k) for k, s in sections.items()))
+    lib = library(spark, d).where(search.passes(facets(), base))
+    counts = lib.agg(*(F.count_if(search.passes(facets(), s)).alias(k) for k, s in sections.items()))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("survey"), F.col(k).alias("n")) for k in sections))).alias("x")).select("x.*")
 
 
@@ -521,7 +525,7 @@ def dedup_first_wins(spark, d):
 @query()
 def fuzzy_duplicates(spark, d):
     docs = t(spark, d, "documents")
-    words = F.split(F.lower("text"), r"\s+")
+    words = F.filter(F.slice(F.split(F.lower("text"), r"\s+"), 1, 20), lambda x: F.length(x) > 5)
     rows_ = docs.select(F.col("doc_id").alias("uid"), F.lit("").alias("name"), F.substring("text", 1, 120).alias("title"), F.lit(2020).alias("year"), tx.surnames(F.slice(words, 1, 3)).alias("surnames"), F.col("doc_id").alias("_seq"))
     return resolve.fuzzy_duplicates(rows_)
 
@@ -548,7 +552,7 @@ def tokenize(spark, d):
 @query(f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1")
 def doc_freq(spark, d):
     docs = t(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return retrieval.document_frequency(retrieval.postings(docs, {"text": 1.0}))
+    return retrieval.document_frequency(docs, {"text": 1.0})
 
 
 @query(f"""WITH x AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT id, term, count(*) * 1.5::DOUBLE AS tf FROM x GROUP BY 1, 2), l AS (SELECT id, sum(tf) AS dl FROM p GROUP BY 1),
