@@ -164,10 +164,19 @@ def audit_head(board: DataFrame, cache: DataFrame, top: int = 8, rounds: int = 5
     return head
 
 
-def notable(anchors: list[str], cites: int = 50, cites_venue: int = 10) -> Column:
-    """Anchor papers, companies' papers, much cited ones, and well-received published ones."""
+def notable(anchors: list[str], year: int, cites: int = 50, cites_venue: int = 10) -> Column:
+    """Anchors, companies' papers, much cited ones, published ones with some uptake or of this year."""
+    c = F.coalesce("c", F.lit(0))
     need = F.when(F.col("vk") == "other", 2 * cites_venue).otherwise(cites_venue)
-    return F.col("id").isin(anchors) | (F.size(F.coalesce("co", F.array().cast("array<string>"))) > 0) | (F.col("c") >= cites) | (F.col("v").isNotNull() & (F.col("c") >= need))
+    fresh = (F.col("vk") == "main") & (F.coalesce(F.regexp_extract("v", "(20[0-9]{2})", 1).try_cast("int"), F.lit(0)) >= year)
+    published = F.col("v").isNotNull() & (F.coalesce("vk", F.lit("")) != "workshop") & ((c >= need) | F.coalesce(fresh, F.lit(False)))
+    anchor = F.col("key").isin(anchors) | F.coalesce("n", F.lit("")).isin(anchors)
+    return anchor | (F.size(F.coalesce("co", F.array().cast("array<string>"))) > 0) | (c >= cites) | published
+
+
+def worthy(named: Column, cites: Column, cited_in_body: Column, least: int = 50) -> Column:
+    """A row that earns its reference: its work has a name, is much cited, or is discussed."""
+    return named | (F.coalesce(cites, F.lit(0)) >= least) | cited_in_body
 
 
 def bench_variant(dims: list[tuple[str, str, str]], fields: list[str]) -> Column:

@@ -105,3 +105,49 @@ def marks(updates: DataFrame, key: str = "uid", order: str = "_seq") -> DataFram
     """Current marks: the last update of a paper, gone if nothing is left in it."""
     latest = last_write(updates, key, order)
     return latest.where(F.coalesce("star", F.lit(False)) | (F.coalesce("status", F.lit("")) != "") | (F.coalesce("note", F.lit("")) != ""))
+
+
+def to_read_again(notes: DataFrame, links: DataFrame, version: str) -> DataFrame:
+    """Notes that are not current: of another version, copied, or from an abstract although a text is there.
+
+    ``notes``: uid, version, source, read_at, shared_from, abstract_reason, arxiv_id;
+    ``links``: uid, at, of texts found.
+    """
+    rows = notes.join(links.select("uid", F.col("at").alias("__at")), "uid", "left")
+    abstract = F.col("source") == "abstract"
+    found_since = abstract & (F.col("__at") > F.col("read_at"))
+    failed = abstract & F.col("arxiv_id").isNotNull() & F.col("abstract_reason").isNull()
+    other = ~F.col("version").eqNullSafe(F.lit(version))
+    return rows.where(F.coalesce(found_since, F.lit(False)) | F.coalesce(failed, F.lit(False)) | F.col("shared_from").isNotNull() | other).drop("__at")
+
+
+def shared_notes(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Notes to copy from a sibling library: where there are none, or only an older copy.
+
+    Both have uid, version, read_at and shared_from; one's own notes are never replaced.
+    """
+    own = mine.select("uid", F.col("version").alias("__v"), F.col("read_at").alias("__r"), F.col("shared_from").alias("__s"))
+    rows = theirs.join(own, "uid", "left")
+    none, copied = F.col("__r").isNull(), F.col("__s").isNotNull()
+    newer = (F.col("version") > F.col("__v")) | (F.col("read_at") > F.col("__r"))
+    return rows.where(none | (copied & F.coalesce(newer, F.lit(True)))).drop("__v", "__r", "__s")
+
+
+def coverage(papers: DataFrame, notes: DataFrame) -> DataFrame:
+    """Papers and read papers of each scope."""
+    rows = papers.join(notes.select("uid").distinct().withColumn("__read", F.lit(True)), "uid", "left")
+    return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("__read", F.lit(False))).alias("read"))
+
+
+def shared_names(papers: DataFrame, name: str = "n") -> DataFrame:
+    """Adds ``namesakes``: how many papers have the same name in any case."""
+    return papers.withColumn("namesakes", F.count(name).over(Window.partitionBy(F.lower(name))))
+
+
+def packs(assigned: DataFrame, papers: DataFrame, tree: DataFrame, roles: list[str]) -> DataFrame:
+    """A writer's text for each outline leaf: its papers by year and role, one a line."""
+    rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
+    line = F.concat(F.lit("- "), F.coalesce(F.concat("n", F.lit(": ")), F.lit("")), "t", F.lit(" ("), F.col("y").cast("string"), F.lit(")"))
+    rows = assigned.join(papers, "id").select("leaf", F.struct("y", rank.alias("rank"), "id", line.alias("line")).alias("r"))
+    packed = rows.groupBy("leaf").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    return tree.join(packed, tree.id == packed.leaf).select("leaf", "ord", F.concat(F.lit("# "), "leaf", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text")).orderBy("ord")

@@ -39,17 +39,18 @@ def first_of_title(rows: DataFrame, title: str = "title", order: str = "_seq") -
 
 def prefilter(relevant: Column, strict: Column, good_category: Column, min_year: int = 2016) -> Column:
     """Why a candidate is dropped, in strict order; ``keep`` if nothing says so. Seeds always stay."""
-    title = F.coalesce("title", F.lit(""))
+    title, abstract = F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))
     oa_only = F.col("arxiv_id").isNull()
+    filed = F.size(F.coalesce("categories", F.array().cast("array<string>"))) > 0
     return (
         F.when(F.array_contains("queries", "seed"), "keep")
-        .when(F.trim(title) == "", "drop:no-title")
-        .when(~relevant, "drop:irrelevant")
-        .when(F.coalesce(F.col("oa_type").isin(BAD_TYPES), F.lit(False)) | F.startswith(F.lower(title), F.lit("dataset from")), "drop:type")
+        .when(title == "", "drop:no-title")
+        .when(~relevant, "drop:no-term")
+        .when(F.coalesce(F.col("oa_type").isin(BAD_TYPES), F.lit(False)) | title.rlike(r"(?i)^(dataset|supplementary|data) (from|for) "), "drop:type")
         .when(oa_only & ~strict, "drop:oa-weak")
-        .when(~oa_only & ~good_category, "drop:category")
-        .when(oa_only & (F.coalesce("abstract", F.lit("")) == "") & (F.col("year") < 2015), "drop:oa-no-abstract")
-        .when((F.col("year") > 0) & (F.col("year") < min_year), "drop:old")
+        .when(filed & ~good_category, "drop:category")
+        .when(oa_only & (abstract == "") & (F.col("year") > 0) & (F.col("year") < 2015), "drop:old-no-abstract")
+        .when((F.col("year") > 0) & (F.col("year") < min_year), f"drop:pre-{min_year}")
         .otherwise("keep")
     )
 

@@ -12,7 +12,11 @@ from paperloom.functions.text import as_text, bench_norm, tokens
 # ---- fixed values ------------------------------------------------------------------
 FIELD_WEIGHTS = {"n": 3.0, "t": 2.0, "tl": 1.5, "bm": 1.5, "ab": 1.0, "ki": 1.2, "ins": 0.8, "pr": 0.6}
 K1, B, RETRIEVED, NAMED = 1.2, 0.75, 24, 5
-STOP = "a an the of in on for to and or is are was were be by with from as at this that it its what which who how why when where do does did can could should would i we you me my our show list tell about between than there any some most best".split()
+STOP = (
+    "a an the of in on for to and or with without by from at as is are was were be been being it its this that these those which what who whom whose how why when where do does did can"
+    " could should would will may might than then there their they them we our you your i me my about into over under between across via vs versus using use used based any all some most"
+    " more less much many few each other such not no yes paper papers work works method methods approach approaches model models recent latest best state art sota"
+).split()
 # ------------------------------------------------------------------------------------
 
 
@@ -24,7 +28,7 @@ def _fields(docs: DataFrame, weights: dict[str, float]) -> list[tuple[Column, fl
     """Tokens and weight of each field that the table has; arrays are joined."""
     kinds = dict(docs.dtypes)
     text = lambda c: as_text(F.col(c)) if kinds[c].startswith("array") else F.col(c)
-    return [(tokens(text(c)), w) for c, w in weights.items() if c in kinds]
+    return [(F.filter(tokens(text(c)), lambda x: ~x.isin(STOP)), w) for c, w in weights.items() if c in kinds]
 
 
 def postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -40,12 +44,12 @@ def document_frequency(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def query_terms(question: str) -> list[str]:
-    """Distinct terms of a question; parts of hyphenated ones are added, years and stop words are not."""
+    """Distinct terms of a question; parts of hyphenated ones are added, years and stop words are left out."""
     import re
 
     found = re.findall(r"[a-z0-9][a-z0-9+.\-]*[a-z0-9+]|[a-z0-9]", question.lower())
     found += [p for t in found if "-" in t for p in t.split("-")]
-    return sorted({t for t in found if len(t) > 1 and t not in STOP and not re.fullmatch(r"(?:19|20)\d\d", t)})
+    return sorted({t for t in found if t and t not in STOP and not re.fullmatch(r"(?:19|20)\d\d", t)})
 
 
 def bm25(docs: DataFrame, question: str, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:

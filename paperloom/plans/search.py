@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names that a query may put before a colon, and the column each looks into.
-FIELDS = {"task": "tk", "tk": "tk", "bench": "bm", "benchmark": "bm", "venue": "v", "company": "co", "author": "a", "name": "n", "paradigm": "pd", "pd": "pd", "year": "y", "y": "y", "id": "id", "title": "t"}
+FIELDS = {"task": "tk", "tk": "tk", "pd": "pd", "paradigm": "pd", "bench": "bm", "bm": "bm", "venue": "v", "co": "co", "org": "co", "industry": "co", "year": "y", "author": "a", "au": "a", "name": "n", "id": "id"}
 _ITEM = re.compile(r'(-)?(?:(\w+):)?(?:"([^"]*)"|(\S+))')
 
 
@@ -26,7 +26,10 @@ class Query:
 
 
 def parse(text: str) -> Query:
-    """``task:VLN year:>=2024 -word "a phrase"``; an unknown name makes the whole a term."""
+    """``task:VLN year:>=2024 -word "a phrase"``.
+
+    A name that is no field makes ``name:value`` a term; behind a minus its value alone is.
+    """
     terms, without, fields = [], [], []
     for minus, name, phrase, word in _ITEM.findall(text or ""):
         value = (phrase or word).lower()
@@ -34,9 +37,10 @@ def parse(text: str) -> Query:
             if value:
                 fields.append((FIELDS[name.lower()], value, bool(minus)))
             continue
-        value = f"{name.lower()}:{value}" if name else value
-        if value:
-            (without if minus else terms).append(value)
+        if value and minus:
+            without.append(value)
+        elif value:
+            terms.append(f"{name.lower()}:{value}" if name else value)
     return Query(tuple(terms), tuple(without), tuple(fields))
 
 
@@ -50,12 +54,13 @@ def _entry(facet: str):
 
 def year_matches(y: Column, value: str) -> Column:
     """>=Y, <=Y, >Y, <Y, Y and Y1-Y2; anything else holds for every row."""
-    if m := re.fullmatch(r"(>=|<=|>|<)?\s*(\d{4})", value):
-        op, n = m[1] or "=", int(m[2])
-        return {">=": y >= n, "<=": y <= n, ">": y > n, "<": y < n, "=": y == n}[op]
-    if m := re.fullmatch(r"(\d{4})\s*-\s*(\d{4})", value):
-        return y.between(int(m[1]), int(m[2]))
-    return F.lit(True)
+    m = re.fullmatch(r"(>=|<=|>|<)?(\d{4})(?:-(\d{4}))?", value)
+    if not m:
+        return F.lit(True)
+    n = int(m[2])
+    if m[3]:
+        return y.between(n, int(m[3]))
+    return {">=": y >= n, "<=": y <= n, ">": y > n, "<": y < n, None: y == n}[m[1]]
 
 
 def field_matches(df: DataFrame, column: str, value: str) -> Column:
@@ -63,6 +68,10 @@ def field_matches(df: DataFrame, column: str, value: str) -> Column:
         return year_matches(F.col("y"), value)
     if column == "id":
         return F.startswith(F.lower(F.col("id").cast("string")), F.lit(value))
+    if column == "v":
+        return F.contains(F.lower(F.coalesce("v", F.lit("preprint"))), F.lit(value))
+    if column == "co" and value in ("any", "yes"):
+        value = ""
     if dict(df.dtypes)[column].startswith("array"):
         return F.coalesce(F.exists(F.col(column), _holds(value)), F.lit(False))
     return F.coalesce(F.contains(F.lower(F.col(column)), F.lit(value)), F.lit(False))
@@ -141,8 +150,8 @@ def shown_options(counts: DataFrame, selected: list[str], top: int) -> DataFrame
     return counts.withColumn("rank", rank).where((F.col("rank") <= top) | F.col("value").isin(selected))
 
 
-def relevance(terms: tuple[str, ...], name: str = "n", title: str = "t", summary: str = "tl", authors: str = "a", hay: str = "_h", cites: str = "c", year: str = "y") -> Column:
-    """Points a term: name equals 60, contains 25, title 10, summary 4, an author 5, anywhere 1; then citations and freshness."""
+def relevance(terms: tuple[str, ...], name: str = "n", title: str = "t", summary: str = "tl", authors: str = "a", cites: str = "c", year: str = "y") -> Column:
+    """Points a term: name equals 60, contains 25, title 10, summary 4, an author 5, and 1 for each; then citations and freshness."""
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     points = F.lit(0.0)
     for t in terms:
@@ -151,7 +160,7 @@ def relevance(terms: tuple[str, ...], name: str = "n", title: str = "t", summary
             + F.when(F.contains(text(title), F.lit(t)), 10).otherwise(0)
             + F.when(F.contains(text(summary), F.lit(t)), 4).otherwise(0)
             + F.when(F.exists(F.col(authors), _holds(t)), 5).otherwise(0)
-            + F.when(F.contains(F.col(hay), F.lit(t)), 1).otherwise(0)
+            + 1
         )
     return points + 0.9 * F.log1p(F.coalesce(F.col(cites), F.lit(0))) + F.when(F.col(year) >= 2024, 0.6).otherwise(0.0)
 
@@ -188,3 +197,51 @@ def pooled_years(df: DataFrame, low: int, high: int, floor: int) -> Column:
 def slider_floor(df: DataFrame, start: int) -> DataFrame:
     """The year below which 1 % of the rows lie, but not more than six years before ``start``."""
     return df.where("y > 0").agg(F.greatest(F.percentile("y", 0.01).cast("int"), F.lit(start - 6)).alias("floor"))
+
+
+def local_matches(df: DataFrame, question: str, stop: list[str], k: int = 12, hay: str = "_h") -> DataFrame:
+    """The static site's search: points a term for name (6), title (3) and anywhere (1), then citations and scope."""
+    terms = sorted({w for w in re.split(r"[^a-z0-9+.-]+", question.lower()) if len(w) > 1 and w not in stop})
+    if not terms:
+        return df.limit(0).withColumn("score", F.lit(0.0))
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    hits = reduce(lambda a, b: a + b, [F.when(F.contains(x, F.lit(t)), w).otherwise(0) for t in terms for x, w in ((text("n"), 6), (text("t"), 3), (F.col(hay), 1))])
+    rows = df.where("sc <> 'out'").withColumn("__hits", hits).where("__hits > 0")
+    score = F.col("__hits") + 0.3 * F.log1p(F.coalesce("c", F.lit(0))) + F.when(F.col("sc") == "core", 1).otherwise(0)
+    return rows.withColumn("score", score).drop("__hits").orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def is_new(first_seen: Column, built: Column, bulk: str = "", days: int = 10) -> Column:
+    return F.coalesce((first_seen > F.lit(bulk)) & (F.datediff(built, F.to_date(first_seen)) <= days), F.lit(False))
+
+
+def excluded_search(excluded: DataFrame, term: str, limit: int = 80) -> DataFrame:
+    """Dropped papers whose title holds the term; without one, those that the reader put out."""
+    hit = F.contains(F.lower("t"), F.lit(term.lower())) if term else F.col("why") == "llm:out"
+    return excluded.where(hit).orderBy("id").limit(limit)
+
+
+def to_state(spec: Spec, text: str, default_scope: tuple[str, ...] = ("core",)) -> str:
+    """A request as a query string; what is at its default is left out."""
+    from urllib.parse import urlencode
+
+    pairs = [("q", text)] if text else []
+    for name, values in spec.selected.items():
+        if name == "sc":
+            if sorted(values) != sorted(default_scope):
+                pairs.append((name, ",".join(values) if values else "any"))
+        elif values:
+            pairs.append((name, ",".join(values)))
+    if spec.sort != "auto":
+        pairs.append(("sort", spec.sort))
+    return urlencode(pairs)
+
+
+def from_state(state: str, facets: list[str], default_scope: tuple[str, ...] = ("core",)) -> Spec:
+    from urllib.parse import parse_qs
+
+    got = {k: v[0] for k, v in parse_qs(state).items()}
+    chosen = {k: got[k].split(",") for k in facets if k in got and k != "sc"}
+    scope = got.get("sc")
+    chosen["sc"] = list(default_scope) if scope is None else [] if scope == "any" else scope.split(",")
+    return Spec(parse(got.get("q", "").lower()), chosen, got.get("sort", "auto"))

@@ -540,6 +540,7 @@ def priority_lookup(spark, d):
 
 # ---- texts and retrieval ------------------------------------------------------------------------
 
+_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP)
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+.\\-]*[a-z0-9+]|[a-z0-9]')"
 
 
@@ -549,13 +550,13 @@ def tokenize(spark, d):
     return docs.select("doc_id", F.size("x").cast("long").alias("n"), F.size(F.array_distinct("x")).cast("long").alias("distinct_n"))
 
 
-@query(f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1")
+@query(f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY 1")
 def doc_freq(spark, d):
     docs = t(spark, d, "documents").withColumnRenamed("doc_id", "id")
     return retrieval.document_frequency(docs, {"text": 1.0})
 
 
-@query(f"""WITH x AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT id, term, count(*) * 1.5::DOUBLE AS tf FROM x GROUP BY 1, 2), l AS (SELECT id, sum(tf) AS dl FROM p GROUP BY 1),
+@query(f"""WITH x AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT id, term, count(*) * 1.5::DOUBLE AS tf FROM x WHERE term NOT IN ({_STOP}) GROUP BY 1, 2), l AS (SELECT id, sum(tf) AS dl FROM p GROUP BY 1),
   a AS (SELECT (SELECT count(*) FROM documents) AS n, sum(dl) / (SELECT count(*) FROM documents) AS mean FROM l), q AS (SELECT * FROM p WHERE term IN ('onble', 'ther', 'oniner', 'thation')), f AS (SELECT term, count(*) AS df FROM q GROUP BY 1),
   s AS (SELECT q.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN f USING (term) JOIN l USING (id), a GROUP BY 1) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 24""")
 def bm25_topk(spark, d):
@@ -713,13 +714,14 @@ def bib_entry(spark, d):
     return p.select(F.col("p_partkey").alias("id"), mart.bib_entry(F.concat(F.lit("k"), "p_partkey"), F.array("p_name"), F.col("p_brand"), none, none, F.col("p_size") + 1990, none, none).alias("bib"))
 
 
-@query("""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::DOUBLE) AS v FROM documents),
-  k AS (SELECT doc_id, list_distinct(list_concat(list_transform(v, lambda x: round(x, 2)), list_transform(v, lambda x: round(x * 100, 2)))) AS pool FROM n)
-  SELECT r.l_orderkey AS id, r.l_partkey AS part, r.l_suppkey AS supp, r.l_linenumber AS line, 2::INT AS metrics_n, (list_contains(coalesce(pool, []), round(l_quantity, 2))::INT + list_contains(coalesce(pool, []), round(l_discount, 2))::INT)::INT AS matched FROM lineitem r LEFT JOIN k ON k.doc_id = r.l_orderkey""")
+@query(r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(replace(text, ',', ''), '([^\w.])', '\1\1', 'g'), '(?:^|[^\w.])([0-9]{1,4}(?:\.[0-9]+)?)(?:[^\w.]|$)', 1), lambda x: x::DOUBLE) AS v FROM documents),
+  k AS (SELECT doc_id, list_distinct(list_concat(list_transform(v, lambda x: round(x, 2)), list_transform(v, lambda x: round(x * 100, 2)))) AS pool FROM n),
+  h AS (SELECT r.l_orderkey AS id, r.l_partkey AS part, r.l_suppkey AS supp, r.l_linenumber AS line, list_has_any(coalesce(pool, []), [round(l_quantity, 2), round(l_quantity, 1)])::INT + list_has_any(coalesce(pool, []), [round(l_discount, 2), round(l_discount, 1)])::INT AS matched FROM lineitem r LEFT JOIN k ON k.doc_id = r.l_orderkey)
+  SELECT id, part, supp, line, 2::INT AS metrics_n, matched::INT AS matched, matched = 2 AS verified FROM h""")
 def verify_numbers(spark, d):
     r = rows(spark, d).withColumn("m", F.create_map(F.lit("NE"), F.col("ne").cast("string"), F.lit("SPL"), F.col("spl").cast("string")))
     texts = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return verify.verify_numbers(r, texts).select("id", "part", "supp", "line", F.col("metrics_n").cast("int").alias("metrics_n"), F.col("matched").cast("int").alias("matched"))
+    return verify.verify_numbers(r, texts).select("id", "part", "supp", "line", F.col("metrics_n").cast("int").alias("metrics_n"), F.col("matched").cast("int").alias("matched"), "verified")
 
 
 @query("""WITH n AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 249999 PRECEDING AND 249999 FOLLOWING) AS near FROM events)
