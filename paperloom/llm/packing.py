@@ -78,14 +78,14 @@ class Ids:
 
     def _learn(self, chunks: list[str]) -> None:
         """Number chunks that are new."""
-        known, new, ended = self.known, set(), []
-        for c in chunks:
-            stem = c.rstrip(_TAIL)
-            if stem != c and stem.isascii() and stem.isalnum():
-                ended.append((c, stem, tail := c[len(stem) :]))  # signs after a letter or digit are a piece of their own
-                new.update(x for x in (stem, tail) if x not in known)
-            else:
-                new.add(c)
+        known = self.known
+        stems = [c.rstrip(_TAIL) for c in chunks]
+        # signs after a letter or digit are a piece of their own
+        ended = [(c, s, c[len(s) :]) for c, s in zip(chunks, stems) if s != c and s.isascii() and s.isalnum()]
+        split = {c for c, _, _ in ended}
+        new = {c for c in chunks if c not in split}
+        new.update([s for _, s, _ in ended if s not in known])
+        new.update([t for _, _, t in ended if t not in known])
         new = list(new)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
@@ -98,16 +98,19 @@ class Ids:
             self._add(some, ids, ends[:-1], np.diff(ends))
         ended = [x for x in ended if x[0] not in known]
         if ended:
-            halves = np.array([(known[s], known[t]) for _, s, t in ended])
+            halves = np.empty((len(ended), 2), dtype=np.int64)
+            halves[:, 0], halves[:, 1] = [known[s] for _, s, _ in ended], [known[t] for _, _, t in ended]
             ids, ends = self._gather(halves.reshape(-1))
             size = self.size[halves].sum(axis=1)
             self._add([c for c, _, _ in ended], ids, ends[1::2] - size, size)
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         found = list(map(self.known.get, chunks))
-        if new := [c for c, n in zip(chunks, found) if n is None]:
-            self._learn(new)
-            found = list(map(self.known.__getitem__, chunks))
+        if None in found:
+            at = [i for i, n in enumerate(found) if n is None]
+            self._learn([chunks[i] for i in at])
+            for i in at:
+                found[i] = self.known[chunks[i]]
         return np.array(found, dtype=np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -154,29 +157,44 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         n = self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        key = np.repeat(np.arange(n, dtype=np.int64), sizes) | (np.concatenate(docs).astype(np.int64) << 32)
-        key.sort()
+        key = np.repeat(np.arange(n, dtype=np.int64) << 32, sizes)
+        key |= np.concatenate(docs)
+        key.sort()  # by document, then term
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         tf, key = np.diff(np.append(first, len(key))), key[first]
-        term, doc = key >> 32, key & 0xFFFFFFFF
-        start = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
-        df = np.diff(np.append(start, len(term)))
+        doc, term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.uint32)
+        # 16 bits, where they hold all terms, are sorted by radix
+        order = np.argsort(term.astype(np.uint16) if term.max() < 1 << 16 else term, kind="stable")
+        sorted_ = term[order]
+        start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        df = np.diff(np.append(start, len(sorted_)))
         idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
-        used = np.repeat(idf > 0, df)
-        df, idf = df[idf > 0], idf[idf > 0]
+        heavy = idf > 0
+        number = np.full(int(sorted_[-1]) + 1, -1, dtype=np.int32)
+        number[sorted_[start[heavy]]] = np.arange(heavy.sum(), dtype=np.int32)
+        order = order[np.repeat(heavy, df)]
+        df, idf = df[heavy], idf[heavy]
         self.start, self.df = np.cumsum(df) - df, df
-        self.doc, tf = doc[used], tf[used]
+        self.doc, tf = doc[order].astype(np.int64), tf[order]
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / sizes.mean()))
         # the terms of each document, to ask with
-        self.terms = np.repeat(np.arange(len(df)), df)[np.argsort(self.doc, kind="stable")]
-        self.ends = np.cumsum(np.bincount(self.doc, minlength=n))
+        terms = number[term]
+        self.terms = terms[terms >= 0]
+        self.ends = np.cumsum(np.bincount(doc[terms >= 0], minlength=n))
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Leave used documents out of the postings: they are no neighbours any more."""
+        kept = unused[self.doc]
+        until = np.concatenate(([0], np.cumsum(kept)))
+        begin, end = until[self.start], until[self.start + self.df]
+        self.start, self.df, self.doc, self.weight = begin, end - begin, self.doc[kept], self.weight[kept]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the distinct terms of document ``seed``."""
         at = self.terms[self.ends[seed - 1] if seed else 0 : self.ends[seed]]
         size = self.df[at]
         ends = np.cumsum(size)
-        if not len(at):
+        if not len(at) or not ends[-1]:
             return np.zeros(self.n)
         from_ = np.repeat(self.start[at] - (ends - size), size)
         from_ += np.arange(len(from_))
@@ -193,6 +211,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
         return []
     index, sizes = Index(docs), np.array([len(d) for d in docs])
     unused = np.ones(len(docs), dtype=bool)
+    postings_for = len(docs)
     out: list[list[tuple[int, int, int]]] = []
     open_: list[tuple[int, int, int]] = []
     seed, begin, after = -1, 0, 0
@@ -212,6 +231,9 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
             seed = -1
             continue
         open_, room = [(seed, begin, int(sizes[seed] - begin))], window - int(sizes[seed] - begin)
+        if (left := int(unused.sum())) < 0.7 * postings_for:
+            index.forget(unused)
+            postings_for = left
         score = np.where(unused, index.scores(seed), -1.0)
         seed = -1
         cut = -1
