@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import LOWER_BETTER, METRIC_ORDER, percent, strip_other
+from paperloom.sources.staging import cut
 
 # ---- fixed values ------------------------------------------------------------------
 NOT_STANDARD = r"(?i)beam|pre-?explor|ensemble|test[- ]time aug|ground[- ]truth|\bGT\b|oracle|privileged|pre-?built map|prior map|known map|teleport|full observ|panoramic action space in continuous"
@@ -151,16 +152,19 @@ def audit_head(board: DataFrame, cache: DataFrame, top: int = 8, rounds: int = 5
     times: a row found bad lets the next one in, until the head is all audited. Each
     round is a written table's worth of rows, never the board.
     """
-    head = board.limit(0)
+    order = [F.col("value").desc(), F.col("key")]
+    # no round looks beyond the first top * (rounds + 1) rows of a board
+    near = board if verdict is None else cut(top_per_group(board, ["bench", "split"], order, top * (rounds + 1)), "board")
     for _ in range(rounds if verdict else 1):
-        good = board.join(cache.where("audit_ok = false").select("key"), "key", "left_anti")
-        head = top_per_group(good, ["bench", "split"], [F.col("value").desc(), F.col("key")], top)
+        good = near.join(cache.where("audit_ok = false").select("key"), "key", "left_anti")
+        head = top_per_group(good, ["bench", "split"], order, top)
         open_ = head.join(cache.select("key"), "key", "left_anti")
         if verdict is None:
             return open_
-        if open_.isEmpty():
+        found = cut(verdict(open_), "verdicts")
+        if found.isEmpty():
             break
-        cache = cache.unionByName(verdict(open_))
+        cache = cache.unionByName(found)
     return head
 
 

@@ -731,10 +731,186 @@ def densest_cluster(spark, d):
     return verify.densest(e, ["user_id"], "s", 250_000)
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey AS id, ['CVPR', 'ICRA', 'CoRL', NULL, 'NeurIPS'][(o_orderkey % 5 + 1)::INT] AS venue, (year(o_orderdate) + 20)::INT AS y FROM orders)
+  SELECT id, venue, CASE WHEN venue IS NOT NULL THEN y END AS year, CASE WHEN venue IS NOT NULL THEN 'main' END AS kind, venue || ' ' || y::VARCHAR AS label FROM o""")
 def venue_mentions(spark, d):
     from paperloom.functions.venue import parse_venue, venue_label
 
     said = F.concat(F.lit("Accepted to "), F.element_at(F.array(*map(F.lit, ("CVPR", "ICRA", "CoRL", "no venue", "NeurIPS"))), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit(" "), F.year("o_orderdate") + 20)
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), parse_venue(said).alias("v"))
     return o.select("id", "v.venue", "v.year", "v.kind", venue_label(F.col("v")).alias("label"))
+
+
+# ---- smaller operators, each on a whole table ------------------------------------------------
+
+
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'the') AND lang <> 'en' ORDER BY doc_id LIMIT 80")
+def excluded_search(spark, d):
+    docs = t(spark, d, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.lit("drop").alias("why"))
+    return search.excluded_search(docs, "the").select("id")
+
+
+@query(f"WITH {PAPERS} SELECT id FROM p WHERE d > '2001-07-25' AND DATE '2001-08-01' - date <= 10")
+def new_papers(spark, d):
+    return papers(spark, d).where(search.is_new(F.col("d"), F.lit("2001-08-01").cast("date"), "2001-07-25")).select("id")
+
+
+@query("SELECT lang AS scope, count(*)::BIGINT AS total, count(l.doc_id)::BIGINT AS read FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def reading_coverage(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("uid"), F.col("lang").alias("scope"))
+    return log.coverage(docs, t(spark, d, "labels").select(F.col("doc_id").alias("uid")))
+
+
+@query("SELECT p_partkey AS id, count(*) OVER (PARTITION BY lower(p_name))::BIGINT AS namesakes FROM part")
+def shared_names(spark, d):
+    return log.shared_names(t(spark, d, "part"), "p_name").select(F.col("p_partkey").alias("id"), "namesakes")
+
+
+@query("SELECT source, count(*)::BIGINT AS n, count(*) FILTER (toxic = 1)::BIGINT AS problems, count(*) FILTER (quality = 0)::BIGINT AS weak FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def verdict_rollup(spark, d):
+    rows_ = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return rows_.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("problems"), F.count_if(F.col("quality") == 0).alias("weak"))
+
+
+@query("SELECT o_orderkey AS uid, CASE o_orderstatus WHEN 'F' THEN 'core' ELSE 'adjacent' END AS scope, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 WHEN o_orderpriority = '2-HIGH' THEN 0 ELSE 1 END::INT AS n, CASE WHEN o_orderpriority = '5-LOW' THEN '4-NOT SPECIFIED' WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN o_orderpriority ELSE 'none' END AS paradigm FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def labels_validated(spark, d):
+    scope = F.when(F.col("o_orderstatus") == "F", "core").when(F.col("o_orderstatus") == "P", "adjacent").otherwise("??")
+    tasks = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("A"), F.lit("A"), F.lit("x"))).when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("x"))).otherwise(F.array(F.lit("B")))
+    raw = t(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), scope.alias("scope"), tasks.alias("tasks"), F.col("o_orderpriority").alias("paradigm"))
+    codes = {"scope": ["core", "adjacent", "out"], "tasks": ["A", "B"], "paradigm": ["1-URGENT", "4-NOT SPECIFIED"]}
+    return log.validate_labels(raw, codes, ["tasks"], {"paradigm": "none"}, {"5-LOW": "4-NOT SPECIFIED"}).select("uid", "scope", F.size("tasks").alias("n"), "paradigm")
+
+
+@query("SELECT c_custkey AS uid, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS scope, CASE WHEN c_custkey % 15 = 0 THEN 'by hand' ELSE c_name END AS name, c_custkey % 10 = 0 OR c_custkey % 15 = 0 AS override FROM customer")
+def overrides_merged(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("scope"), F.col("c_name").alias("name"))
+    nothing = F.create_map(F.lit("scope"), F.lit(None).cast("string"))
+    given = F.when(F.col("uid") % 30 == 0, F.map_concat(nothing, F.create_map(F.lit("name"), F.lit("by hand")))).when(F.col("uid") % 10 == 0, nothing).otherwise(F.create_map(F.lit("name"), F.lit("by hand")))
+    over = c.where("uid % 10 = 0 OR uid % 15 = 0").select("uid", given.alias("set"))
+    return log.override(c, over, "uid", ["scope", "name"])
+
+
+@query(f"WITH {LABELS} SELECT id, CASE WHEN len(co) > 2 THEN co[1] || ' · ' || co[2] || ' +' || (len(co) - 2) ELSE array_to_string(co, ' · ') END AS badge FROM l")
+def company_badges(spark, d):
+    return labels(spark, d).select("id", tx.company_badge(F.col("co")).alias("badge"))
+
+
+@query(f"WITH {ROWS} SELECT id, part, supp, line, substr(sha1(bench || chr(31) || split || chr(31) || ''), 1, 16) AS key FROM r")
+def verdict_keys(spark, d):
+    return rows(spark, d).select("id", "part", "supp", "line", tx.signature(F.col("bench"), F.col("split"), F.lit(None)).alias("key"))
+
+
+@query(f"""WITH {LIBRARY}, s AS (SELECT id, sc, c, (CASE WHEN contains(lower(author), '7') THEN 0 ELSE 0 END) + CASE WHEN contains(lower(t), 'ring') THEN 3 ELSE 0 END + CASE WHEN contains(h, 'ring') THEN 1 ELSE 0 END + CASE WHEN contains(lower(t), 'small') THEN 3 ELSE 0 END + CASE WHEN contains(h, 'small') THEN 1 ELSE 0 END AS hits FROM lib WHERE sc <> 'out')
+  SELECT id, round(hits + 0.3 * ln(1 + c) + CASE WHEN sc = 'core' THEN 1 ELSE 0 END, 6) AS score FROM s WHERE hits > 0 ORDER BY hits + 0.3 * ln(1 + c) + CASE WHEN sc = 'core' THEN 1 ELSE 0 END DESC, id LIMIT 12""")
+def local_matches(spark, d):
+    return search.local_matches(library(spark, d), "The small ring?", retrieval.STOP).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT unnest([1, 2, 3])::BIGINT AS id, unnest(['a', 'b', NULL]) AS answer")
+def zip_answers(spark, d):
+    from paperloom.sources.io import zipped
+
+    asked = spark.range(1).select(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))).alias("ids"), F.array(F.lit("a"), F.lit("b")).alias("answers"))
+    return zipped(asked, "ids", "answers")
+
+
+@query("SELECT strftime(m, '%Y-%m-%d') AS \"from\", strftime(last_day(m), '%Y-%m-%d') AS \"to\" FROM (SELECT unnest(generate_series(DATE '2019-01-01', DATE '2020-12-01', INTERVAL 1 MONTH)) AS m)")
+def harvest_windows(spark, d):
+    from paperloom.sources.io import windows
+
+    return windows(spark, 40_000, 2019, 2020)
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 6000 THEN 'latex' WHEN length(text) * 2 >= 6000 THEN 'pdf' ELSE 'abstract' END AS source FROM documents")
+def full_text_source(spark, d):
+    from paperloom.sources.io import first_usable
+
+    text, source = first_usable(("latex", F.col("text")), ("pdf", F.repeat("text", F.lit(2))), ("abstract", F.substring("text", 1, 300)))
+    return t(spark, d, "documents").select("doc_id", source.alias("source"))
+
+
+@query("SELECT d.doc_id AS uid, quality, toxic, k.n AS copies, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN (SELECT source, count(*)::BIGINT AS n FROM documents GROUP BY 1) k ON k.source = d.source AND d.doc_id % 2 = 0")
+def star_mart(spark, d):
+    docs = t(spark, d, "documents").withColumnRenamed("doc_id", "uid")
+    n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sides = {"label": t(spark, d, "labels").withColumnRenamed("doc_id", "uid"), "count": docs.where("uid % 2 = 0").join(n, "source").select("uid", "n")}
+    return mart.star(docs.select("uid", "lang"), **sides).select("uid", "label.quality", "label.toxic", F.col("count.n").alias("copies"), "lang")
+
+
+@query(f"WITH {ROWS} SELECT id, part, supp, line, printf('%.1f', CASE WHEN spl > 0 AND spl <= 1 THEN spl * 100 ELSE spl END) AS spl, printf('%.2f', ne) AS ne FROM r")
+def metric_cells(spark, d):
+    return rows(spark, d).select("id", "part", "supp", "line", tx.metric_cell(F.lit("SPL"), F.col("spl")).alias("spl"), tx.metric_cell(F.lit("NE"), F.col("ne")).alias("ne"))
+
+
+@query("""WITH q AS (SELECT o_orderkey AS id, year(o_orderdate)::INT AS y, (o_orderkey % 4)::INT AS k FROM orders) SELECT id, CASE k WHEN 0 THEN y + 1 WHEN 1 THEN 0 WHEN 2 THEN y ELSE 1995 END::INT AS low, CASE k WHEN 0 THEN 9999 WHEN 1 THEN y - 1 WHEN 2 THEN y ELSE y END::INT AS high FROM q""")
+def question_years(spark, d):
+    y = F.year("o_orderdate").cast("string")
+    k = F.col("o_orderkey") % 4
+    q = F.when(k == 0, F.concat(F.lit("what came after "), y)).when(k == 1, F.concat(F.lit("before "), y)).when(k == 2, F.concat(F.lit("work in "), y)).otherwise(F.concat(F.lit("1995 to "), y))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), tx.year_bounds(q).alias("b")).select("id", "b.low", "b.high")
+
+
+@query("""SELECT r_name AS leaf, r_regionkey::INT AS ord, '# ' || r_name || chr(10) || string_agg('- ' || n_name || ' (' || (2000 + n_nationkey) || ')', chr(10) ORDER BY n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
+def writer_packs(spark, d):
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    assigned = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("leaf"), F.lit("main").alias("role"))
+    p = n.select(F.col("n_nationkey").alias("id"), F.lit(None).cast("string").alias("n"), F.col("n_name").alias("t"), (F.col("n_nationkey") + 2000).alias("y"))
+    return log.packs(assigned, p, r.select(F.col("r_name").alias("id"), F.col("r_regionkey").cast("int").alias("ord")), ["main"])
+
+
+@query(f"WITH {ROWS}, g AS (SELECT bench, split, id || ':' || part || ':' || supp || ':' || line AS key, max(value) AS value FROM r WHERE part % 5 <> 0 GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY bench, split ORDER BY value DESC, key)::INT AS rank FROM g) SELECT bench, split, key, value, rank FROM k WHERE rank <= 4")
+def audit_rounds(spark, d):
+    key = F.concat_ws(":", "id", "part", "supp", "line")
+    r = rows(spark, d).groupBy("bench", "split", key.alias("key")).agg(F.max("value").alias("value"), F.first("part").alias("part"))
+    judge = lambda head: head.select("key", (F.col("part") % 5 != 0).alias("audit_ok"))
+    head = board.audit_head(r, spark.createDataFrame([], "key string, audit_ok boolean"), top=4, rounds=12, verdict=judge)
+    return head.select("bench", "split", "key", "value", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {PAPERS} SELECT coalesce(CASE vn WHEN 'BUILDING' THEN 'dblp' WHEN 'MACHINERY' THEN 's2' END, 'none') AS vs, count(*)::BIGINT AS n FROM p WHERE sc = 'core' GROUP BY 1")
+def venue_sources(spark, d):
+    vs = F.when(F.col("vn") == "BUILDING", "dblp").when(F.col("vn") == "MACHINERY", "s2")
+    return mart.funnel(papers(spark, d).where("sc = 'core'").select(F.coalesce(vs, F.lit("none")).alias("vs")), "vs")
+
+
+@query(f"WITH {PAPERS}, {LABELS} SELECT company, count(*)::BIGINT AS n FROM (SELECT unnest(co) AS company FROM p JOIN l ON p.id = l.id WHERE sc = 'core' AND date > DATE '2001-08-01' - 730 AND date <= DATE '2001-08-01') GROUP BY 1 ORDER BY n DESC, company LIMIT 12")
+def top_companies(spark, d):
+    p = papers(spark, d).where(F.col("sc") == "core").where(trends.within(F.col("date"), F.lit("2001-08-01").cast("date"), 0, 730)).join(labels(spark, d), "id")
+    return p.select(F.explode("co").alias("company")).groupBy("company").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "company").limit(12)
+
+
+@query(f"WITH {ROWS} SELECT CASE WHEN bench = 'Brand#1' THEN 'Brand#2' ELSE bench END AS bench, count(*)::BIGINT AS n, round(sum(ne), 2) AS total FROM r WHERE ne >= 5 GROUP BY 1")
+def board_explode(spark, d):
+    metric = F.when(F.col("ne") >= 5, F.create_map(F.lit("ne"), F.col("ne").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    notes = rows(spark, d).groupBy(F.col("id").alias("uid")).agg(F.collect_list(F.struct(F.concat(F.lit("other: "), "bench").alias("bench"), metric.alias("metrics"))).alias("numbers"))
+    alias = spark.createDataFrame([("Brand#1", "Brand#2")], "alias string, name string")
+    out = board.explode_numbers(notes, papers(spark, d).select("id"), alias, {"ne": "NE"})
+    return out.groupBy("bench").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("metrics", "NE").cast("double")), 2).alias("total"))
+
+
+@query("SELECT o_orderkey AS id, ordinal, cited FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [1, 2] ELSE [1] END)::INT AS ordinal, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['k' || o_custkey, 'a1'] ELSE ['a1'] END) AS cited FROM orders)")
+def citation_order(spark, d):
+    o = t(spark, d, "orders")
+    key = F.concat(F.lit("k"), F.col("o_custkey").cast("string"))
+    answer = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("see ["), key, F.lit("], [a1], [zz] and ["), key, F.lit("]"))).otherwise("[a1] [a1] [gone]")
+    ids = tx.cited_ids(answer, F.array(key, F.lit("a1")))
+    return o.select(F.col("o_orderkey").alias("id"), F.posexplode(ids).alias("ordinal", "cited")).withColumn("ordinal", F.col("ordinal") + 1)
+
+
+@query("SELECT c_custkey AS id, lower(regexp_replace(split_part(c_name, '#', 1), '[^A-Za-z]', '', 'g')) AS surname, c_name LIKE '%trend%' AS broad FROM customer")
+def author_surnames(spark, d):
+    c = t(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.element_at(tx.surnames(F.array("c_name")), 1).alias("surname"), tx.is_broad(F.col("c_name")).alias("broad"))
+
+
+@query(f"WITH {PAPERS}, {LABELS} SELECT count(*) FILTER (c >= 300000 OR len(co) > 5 OR p.id IN (1, 2, 3) OR c >= 200000)::BIGINT AS notable, count(*)::BIGINT AS n FROM p JOIN l ON p.id = l.id")
+def board_notable(spark, d):
+    p = papers(spark, d).join(labels(spark, d), "id").withColumns({"v": F.lit("CVPR 2000"), "vk": F.lit("main"), "key": F.col("id").cast("string"), "n": F.lit(None).cast("string")})
+    p = p.withColumn("co", F.when(F.size("co") > 5, F.col("co")))
+    return p.agg(F.count_if(board.notable(["1", "2", "3"], 2001, 300000, 200000)).alias("notable"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ROWS} SELECT id, part, supp, line, CASE WHEN bench = 'Brand#1' AND regexp_matches(method, 'ring') THEN 'R' WHEN bench = 'Brand#1' AND regexp_matches(task, 'PROMO') THEN 'P' WHEN bench = 'Brand#2' AND regexp_matches(method, 'small') THEN 'S' END AS variant FROM r WHERE bench IN ('Brand#1', 'Brand#2')")
+def bench_variants(spark, d):
+    rules = [("Brand#1", "ring", "R"), ("Brand#1", "PROMO", "P"), ("Brand#2", "small", "S")]
+    return rows(spark, d).where(F.col("bench").isin("Brand#1", "Brand#2")).select("id", "part", "supp", "line", board.bench_variant(rules, ["method", "task"]).alias("variant"))
