@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that end a word: space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
+from paperloom.sources.staging import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["WORD", "cut", "shared_folder", "table", "word_count"]
 
-    Only where that is unset, as in local tests, a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="paperloom-"))
-    return _own_folder[0]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The written table ends the lineage, so a lost executor costs a reread and not a
-    recomputation, and its real size lets the planner choose the next join.
-    """
-    path = f"{shared_folder(df.sparkSession)}/paperloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Code points that end a word: space and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
