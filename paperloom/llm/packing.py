@@ -8,8 +8,11 @@ fills it to the last token.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.token_counts import byte_letters
+
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 #: The id that ends every document.
@@ -45,9 +50,14 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.load(open(path, encoding="utf-8"))["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        #: The merges alone, for chunks that are one piece of lower-case letters and need no normaliser.
+        self.model = models.BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=spec["end_of_word_suffix"], cache_capacity=0)
+        self.letters = [letter for letter, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
         self.forget()
 
     def forget(self) -> None:
@@ -86,6 +96,13 @@ class Ids:
         new = {c for c in chunks if c not in split}
         new.update([s for _, s, _ in ended if s not in known])
         new.update([t for _, _, t in ended if t not in known])
+        plain = [w for w in new if w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower()]
+        if plain:
+            of, letters = self.model.tokenize, self.letters.__getitem__
+            found = [[x.id for x in of(w if w.isascii() else "".join(map(letters, w.encode())))] for w in plain]
+            size = np.array(list(map(len, found)))
+            self._add(plain, np.array(list(chain.from_iterable(found)), dtype="<u4"), np.cumsum(size) - size, size)
+            new.difference_update(plain)
         new = list(new)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]

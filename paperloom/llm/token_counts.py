@@ -29,7 +29,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for.
 
     Printable bytes are their own Latin-1 letter; the others take the letters from U+0100
@@ -45,7 +45,7 @@ class Counter:
 
     def __init__(self, path: str, pattern: str):
         spec = json.load(open(path, encoding="utf-8"))
-        letters = _byte_letters()
+        letters = byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         #: (left, right) -> rank and what they make
