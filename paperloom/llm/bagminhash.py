@@ -16,7 +16,7 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Characters that are worked on at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _GOLDEN, _M1, _M2, _P = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x2545F4914F6CDD1D))
 
@@ -32,7 +32,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -41,6 +41,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Give the words' memory back, for a worker goes on to other work."""
+    _words.clear()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the lower-case words between ASCII white space."""
     words = text.lower().encode("utf-8", "replace").split() if text else []

@@ -43,6 +43,7 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, row in zip(at, bagminhash.bands(found)):
                 keys[i] = row
         yield pd.DataFrame({"key": pdf["key"], "node": pdf["node"], "known": pdf["known"], "bands": keys})
+    bagminhash.forget()
 
 
 def _verified(least: float):
