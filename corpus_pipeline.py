@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import language, mixing, near_dup, packing, pii
-from paperloom.llm.common import cut
+from paperloom.llm.common import bounded_batches, cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; texts without letters and narrow margins go."""
+    bounded_batches(spark)
     return language.keep_known(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that with the smallest id."""
+    bounded_batches(spark)
     return near_dup.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    bounded_batches(spark)
     return pii.redact(docs)
 
 
@@ -34,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their ids."""
+    bounded_batches(spark)
     return packing.pack(docs, with_ids=True)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.sources.staging import cut, shared_folder
 
-__all__ = ["WORD", "cut", "shared_folder", "table", "word_count"]
+__all__ = ["WORD", "bounded_batches", "cut", "shared_folder", "table", "word_count"]
 
 #: Code points that end a word: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,5 +18,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Fewer rows a batch on the way to Python: whole texts are long, and workers of one stage go on to the next."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
