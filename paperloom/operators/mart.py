@@ -41,10 +41,14 @@ def cites_and_venue(papers: DataFrame, oa: DataFrame) -> DataFrame:
 
 
 def cite_keys(papers: DataFrame, order: str = "_seq") -> DataFrame:
-    """Unique keys: the second paper of a base gets b, the third c, in order."""
+    """Unique keys: the second paper of a base gets b, the third c, in order.
+
+    After z comes the rank itself behind a hyphen, which no base holds: any number of papers has keys.
+    """
     base = papers.withColumn("base", key_base(F.try_element_at("a", F.lit(1)), F.col("y"), F.col("t")))
     nth = F.row_number().over(Window.partitionBy("base").orderBy(order))
-    return base.withColumn("nth", nth).withColumn("key", F.concat("base", F.when(F.col("nth") > 1, F.char(F.lit(96) + F.col("nth"))).otherwise(F.lit(""))))
+    suffix = F.when(F.col("nth") == 1, "").when(F.col("nth") <= 26, F.char(F.lit(96) + F.col("nth"))).otherwise(F.concat(F.lit("-"), F.col("nth").cast("string")))
+    return base.withColumn("nth", nth).withColumn("key", F.concat("base", suffix))
 
 
 def disposition(prefilter: Column, labelled: Column, duplicate: Column, scope: Column) -> Column:

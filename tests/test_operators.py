@@ -248,6 +248,12 @@ def test_cite_keys(spark):
     assert got == ["lee2020maps", "lee2020mapsb", "lee2020mapsc", "anonpaper"]
 
 
+def test_cite_keys_of_a_hot_base(spark):
+    rows = [(i, ["Jo Lee"], 2020, "The Maps") for i in range(700)]
+    got = [r["key"] for r in mart.cite_keys(spark.createDataFrame(rows, "_seq long, a array<string>, y int, t string")).orderBy("_seq").collect()]
+    assert len(set(got)) == 700 and got[25:27] == ["lee2020mapsz", "lee2020maps-27"] and got[699] == "lee2020maps-700"
+
+
 def test_margins_count_papers_once(spark):
     p = spark.createDataFrame([(1, ["A", "B"], "x"), (2, ["A"], "y")], "id int, tk array<string>, pd string")
     got = {(r["task"], r["paradigm"]): r["n"] for r in trends.map_counts(p).collect()}
