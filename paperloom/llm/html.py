@@ -1,16 +1,15 @@
 """Main text of web pages by wrapper induction.
 
 A bounded sample of each host's pages is parsed and the trees are aligned by simple tree
-matching. Aligned nodes with one text throughout are template; the container that holds
-most of the varying text is where the host keeps its content. Every page of the host is
-then read through that wrapper.
+matching. Aligned nodes with one text throughout are template. Every page of the host is
+then read through that wrapper: marked boilerplate and template go, all else stays.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,7 +35,6 @@ CLOSES_P = BLOCK - frozenset("caption dd dt li tbody td tfoot th thead tr html b
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements that are never part of an article.
 DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu search".split())
-CONTAINER = frozenset("html body main article section div td table tbody tr center".split())
 #: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sidebar aside menu nav navbar navigation breadcrumb breadcrumbs"
@@ -210,10 +208,7 @@ def _paths(root: Node) -> dict[int, tuple[str, ...]]:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: ``root``, the content's label path, and ``template``.
-
-    ``template`` lists (path, text) of nodes whose text is the same in all sampled pages.
-    """
+    """The wrapper of pages of one host: ``template`` lists (path, text) of nodes whose text is the same in all sampled pages."""
     trees = [parse(p) for p in pages]
     constant: set[tuple[tuple[str, ...], str]] = set()
     if len(trees) > 1:
@@ -224,31 +219,14 @@ def induce(pages: list[str]) -> dict:
                 if (t := _own_text(x)) and t == _own_text(y):
                     agree[where[id(x)], t] += 1
         constant = {k for k, n in agree.items() if n >= len(trees) - 1}
-    mass: dict[tuple[str, ...], int] = defaultdict(int)
-    total = 0
-    for tree in trees:
-        for path, text in blocks(tree):
-            if (path, text) not in constant:
-                total += len(text)
-                for n in range(len(path) + 1):
-                    mass[path[:n]] += len(text)
-    root: tuple[str, ...] = ()
-    for path in sorted((p for p, m in mass.items() if m >= 0.6 * total and total), key=len):
-        tags = [x.split(".")[0] for x in path]
-        if all(t in CONTAINER for t in tags) and not any(t in ("article", "main") for t in tags[:-1]):
-            root = path
     kept = constant if len(trees) >= AGREE else set()
-    return {"root": list(root), "template": sorted([list(p), t] for p, t in kept)}
+    return {"template": sorted([list(p), t] for p, t in kept)}
 
 
 def extract(html: str | None, wrapper: dict) -> str:
-    """The content's blocks, one to a line."""
-    root, template = tuple(wrapper["root"]), {(tuple(p), t) for p, t in wrapper["template"]}
-    found = list(blocks(parse(html)))
-    own = [(p, t) for p, t in found if p[: len(root)] == root]
-    if not own and found:  # a page of another make than its host's sample
-        own = next((x for tag in ("article", "main") if (x := [(p, t) for p, t in found if any(s.split(".")[0] == tag for s in p)])), found)
-    return "\n".join(t for p, t in own if (p, t) not in template)
+    """The page's blocks outside marked boilerplate that are no template, one to a line."""
+    template = {(tuple(p), t) for p, t in wrapper["template"]}
+    return "\n".join(t for p, t in blocks(parse(html)) if (p, t) not in template)
 
 
 def host_of(url: Column) -> Column:
@@ -259,7 +237,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """``key, url, text, n_chars``: one row for each row of ``pages``.
 
     Pages without a host share one wrapper. Null, empty or text-free pages have an empty
-    text. A host with one page has no template, only its content's place. Wrappers come
+    text. A host with one page has no template. Wrappers come
     from the ``sample`` pages of a host with the smallest hashes, so a rerun reads alike;
     a host's other pages, however many, are read by whichever task has them. An empty
     table gives an empty table; other columns are left out.

@@ -134,6 +134,21 @@ def test_wrappers_keep_content_and_drop_templates(spark):
     assert html.digest(df.limit(0)).count() == 0
 
 
+def site(spark, pages, host="h.example"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html.digest(df).collect()}
+
+
+def test_every_varying_slot_stays(spark):
+    long = lambda i: f"body {i} " + "with many words " * 20
+    post = lambda i: f"<body><div class=post><div class=head><h2>Title {i}</h2><p>Lead {i}</p></div><div class=body><p>{long(i)}</p></div></div>"
+    two = lambda i: f"<body><div class=one><p>{long(i)}</p></div><div class=two><p>second {i} {'of words ' * 12}</p></div>"
+    got = site(spark, [post(i) for i in range(9)])
+    assert all(got[i] == f"Title {i}\nLead {i}\n{long(i).strip()}" for i in got)
+    got = site(spark, [two(i) for i in range(8)] + [post(8)])
+    assert all(f"second {i} " in got[i] and f"body {i} " in got[i] for i in range(8)) and "Lead 8" in got[8]
+
+
 def test_tree_matching_aligns_children_in_order():
     a, b = html.parse("<div><p>1</p><h2>x</h2><p>2</p></div>"), html.parse("<div><p>1</p><p>3</p></div>")
     size, pairs = html.match(a, b)
