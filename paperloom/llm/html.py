@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-A bounded sample of each host's pages is parsed and the trees are aligned by simple tree
-matching. Aligned nodes with one text throughout are template. Every page of the host is
-then read through that wrapper: marked boilerplate and template go, all else stays.
+Pages with the same blocks are one page. Blocks are counted over all different pages of a
+host; the trees of some of them are aligned by simple tree matching. Aligned nodes of one
+text that nearly all pages have are template. Every page of the host is then read through
+that wrapper: marked boilerplate and template go, all else stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut
 
-#: Pages of a host that its wrapper is induced from.
+#: Different pages of a host whose trees are aligned; what they propose is counted over all pages.
 SAMPLE = 8
-#: Pages that have to agree before a text inside the content counts as template.
-AGREE = 6
+#: Share of a host's different pages that have a template text, two pages at least.
+AGREE = 0.9
+#: Share of a host's text beyond which what agrees is no template but near copies of one page.
+COPIES = 0.8
+#: Different pages that a host needs for a template.
+LEAST = 6
 #: Siblings of one label in a row that the alignment looks at.
 RUN = 12
 #: Levels that label paths and the alignment tell apart; deeper text keeps the path of this level.
@@ -185,17 +191,24 @@ def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]
     return size[-1][-1] + 1, pairs
 
 
-def _own_text(node: Node) -> str:
-    """A node's text without its block children's."""
+def _own_texts(node: Node) -> set[str]:
+    """The texts of a node that its block children part, as ``blocks`` gives them."""
+    found: set[str] = set()
     out: list[str] = []
     todo = list(reversed(node.children))
     while todo:
         c = todo.pop()
         if isinstance(c, str):
             out.append(c)
-        elif c.tag not in BLOCK and not c.dropped:
+        elif c.tag == "br":
+            out.append(" ")
+        elif c.tag in BLOCK:
+            found.add(" ".join("".join(out).split()))
+            out.clear()
+        elif not c.dropped:
             todo += reversed(c.children)
-    return " ".join("".join(out).split())
+    found.add(" ".join("".join(out).split()))
+    return found - {""}
 
 
 def _paths(root: Node) -> dict[int, tuple[str, ...]]:
@@ -208,19 +221,26 @@ def _paths(root: Node) -> dict[int, tuple[str, ...]]:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: ``template`` lists (path, text) of nodes whose text is the same in all sampled pages."""
+    """What different pages of one host propose: ``template`` lists (path, text) of aligned nodes with one text."""
     trees = [parse(p) for p in pages]
-    constant: set[tuple[tuple[str, ...], str]] = set()
-    if len(trees) > 1:
-        first, where = trees[0], _paths(trees[0])
-        agree: Counter = Counter()
-        for other in trees[1:]:
-            for x, y in match(first, other)[1]:
-                if (t := _own_text(x)) and t == _own_text(y):
-                    agree[where[id(x)], t] += 1
-        constant = {k for k, n in agree.items() if n >= len(trees) - 1}
-    kept = constant if len(trees) >= AGREE else set()
-    return {"template": sorted([list(p), t] for p, t in kept)}
+    agreed: set[tuple[tuple[str, ...], str]] = set()
+    for a, b in zip(trees, trees[1:]):
+        where = _paths(a), _paths(b)
+        for x, y in match(a, b)[1]:
+            if (path := where[0][id(x)]) == where[1][id(y)]:
+                agreed.update((path, t) for t in _own_texts(x) & _own_texts(y))
+    return {"template": sorted([list(p), t] for p, t in agreed)}
+
+
+def slot(path: tuple[str, ...], text: str) -> int:
+    """A block's place and text as 64 bits, alike in every process."""
+    return int.from_bytes(hashlib.blake2b("\0".join((*path, "", text)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def content(html: str | None) -> tuple[int, dict[int, int]]:
+    """A hash of all blocks of a page, and the length of each different one by its hash."""
+    found = [(slot(p, t), len(t)) for p, t in blocks(parse(html))]
+    return int.from_bytes(hashlib.blake2b(repr([s for s, _ in found]).encode(), digest_size=8).digest(), "big", signed=True), dict(found)
 
 
 def extract(html: str | None, wrapper: dict) -> str:
@@ -237,20 +257,43 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """``key, url, text, n_chars``: one row for each row of ``pages``.
 
     Pages without a host share one wrapper. Null, empty or text-free pages have an empty
-    text. A host with one page has no template. Wrappers come
-    from the ``sample`` pages of a host with the smallest hashes, so a rerun reads alike;
-    a host's other pages, however many, are read by whichever task has them. An empty
-    table gives an empty table; other columns are left out.
+    text. A text is template where ``AGREE`` of all different pages of its host have it in
+    one place, and two at least; pages with the same blocks are one page, so copies of a
+    page are no evidence. Where what agrees is nearly all text of a host, its pages are
+    near copies and nothing is template. Only the alignment, which proposes texts, reads
+    ``sample`` pages. A rerun reads alike. An empty table gives an empty table; other
+    columns are left out.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", host_of(F.col("url")))
-    order = Window.partitionBy("host").orderBy(F.xxhash64(F.lit("wrapper"), "key", "html"), "html")
-    some = rows.select("host", "key", "html").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    hashed = rows.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("at"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[tuple[str, int], tuple[int, dict[int, int]]] = {}
+            for host, html_, at in zip(pdf["host"], pdf["html"], pdf["at"]):
+                page, slots = content(html_)
+                if slots and ((host, page) not in found or at < found[host, page][0]):
+                    found[host, page] = at, slots
+            yield pd.DataFrame([(h, p, at, list(x), list(x.values())) for (h, p), (at, x) in found.items()], columns=["host", "page", "at", "slots", "sizes"])
+
+    counted = hashed.mapInPandas(count, "host string, page long, at long, slots array<long>, sizes array<int>")
+    different = cut(counted.groupBy("host", "page").agg(F.min("at").alias("at"), F.first("slots").alias("slots"), F.first("sizes").alias("sizes")), "different_pages")
+    of_host = different.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("chars"))
+    each = different.select("host", F.explode(F.arrays_zip("slots", "sizes")).alias("x")).groupBy("host", F.col("x.slots").alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.first("x.sizes").alias("size"))
+    common = each.where("c > 1").join(of_host, "host").where((F.col("n") >= LEAST) & (F.col("c") >= AGREE * F.col("n")))
+    common = common.groupBy("host").agg(F.collect_set("slot").alias("common"), F.sum(F.col("c") * F.col("size")).alias("agreed"), F.first("chars").alias("chars"))
+    common = cut(common.where(F.col("agreed") <= COPIES * F.col("chars")).select("host", "common"), "common_texts")
+    order = Window.partitionBy("host").orderBy("page")
+    chosen = different.select("host", "page", "at").join(common.select("host"), "host", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    some = hashed.join(chosen, ["host", "at"]).groupBy("host", "nth").agg(F.min("html").alias("html")).join(common, "host")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("nth")
-        return pd.DataFrame({"host": pdf["host"].iloc[:1].to_numpy(), "wrapper": [json.dumps(induce([h for h in pdf["html"] if isinstance(h, str)]))]})
+        agreed = set(pdf["common"].iloc[0])
+        template = [[p, t] for p, t in induce(list(pdf["html"]))["template"] if slot(tuple(p), t) in agreed]
+        return pd.DataFrame({"host": pdf["host"].iloc[:1].to_numpy(), "wrapper": [json.dumps({"template": template})]})
 
-    wrappers = cut(some.select("host", "html", "nth").groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
+    wrappers = cut(some.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
     kind = dict(rows.dtypes)["key"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,12 +304,12 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 if w not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[w] = json.loads(w)
+                    known[w] = json.loads(w) if w else {"template": []}
                 texts.append(extract(html_ if isinstance(html_, str) else None, known[w]))
             yield pd.DataFrame({"key": pdf["key"], "url": pdf["url"], "text": texts})
 
     # the key travels as text, as pandas turns longs with nulls into doubles
-    sent = rows.join(wrappers, "host").select(F.col("key").cast("string").alias("key"), "url", "html", "wrapper")
+    sent = rows.join(wrappers, "host", "left").select(F.col("key").cast("string").alias("key"), "url", "html", F.coalesce("wrapper", F.lit("")).alias("wrapper"))
     out = sent.mapInPandas(read, "key string, url string, text string")
     return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 

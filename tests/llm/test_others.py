@@ -149,6 +149,15 @@ def test_every_varying_slot_stays(spark):
     assert all(f"second {i} " in got[i] and f"body {i} " in got[i] for i in range(8)) and "Lead 8" in got[8]
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    article = "<body><div class=post><h1>One</h1><p>first long text</p><p>second long text</p></div><div>Made with care</div>"
+    other = "<body><div class=post><h1>Two</h1><p>another text</p></div><div>Made with care</div>"
+    mirrored = site(spark, [article + f"<!-- {i} --><script>{i}</script>" for i in range(9)])
+    assert set(mirrored.values()) == {"One\nfirst long text\nsecond long text\nMade with care"}
+    mixed = site(spark, [article + f"<nav>{i}</nav>" for i in range(40)] + [other])
+    assert {mixed[i] for i in range(40)} == {"One\nfirst long text\nsecond long text"} and mixed[40] == "Two\nanother text"
+
+
 def test_tree_matching_aligns_children_in_order():
     a, b = html.parse("<div><p>1</p><h2>x</h2><p>2</p></div>"), html.parse("<div><p>1</p><p>3</p></div>")
     size, pairs = html.match(a, b)
