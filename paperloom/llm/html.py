@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,10 +29,8 @@ SAMPLE = 8
 AGREE = 0.9
 #: Share of a host's text beyond which what agrees is no template but near copies of one page.
 COPIES = 0.8
-#: Different pages that a host needs for a template.
-LEAST = 6
-#: Siblings of one label in a row that the alignment looks at.
-RUN = 12
+#: How far from the diagonal children that are not equal are aligned, and how many at once.
+BAND, PIECE = 8, 512
 #: Levels that label paths and the alignment tell apart; deeper text keeps the path of this level.
 DEEP = 200
 
@@ -153,33 +153,93 @@ def blocks(root: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str,
     yield from flush()
 
 
-def _elements(node: Node) -> list[Node]:
-    """Children that count for the alignment; long runs of one label are cut short."""
-    out, run = [], 0
-    for c in node.children:
-        if isinstance(c, str):
-            continue
-        run = run + 1 if out and out[-1].label == c.label else 1
-        if run <= RUN:
-            out.append(c)
+def _digests(root: Node) -> dict[int, int]:
+    """A hash of every element's labels and texts, by its id."""
+    out: dict[int, int] = {}
+    stack = [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if done:
+            out[id(node)] = hash((node.label, node.dropped, tuple(" ".join(c.split()) if isinstance(c, str) else out[id(c)] for c in node.children)))
+        else:
+            stack.append((node, True))
+            stack += [(c, False) for c in node.children if not isinstance(c, str)]
     return out
 
 
-def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the largest order-preserving matching, and its pairs."""
+def _anchors(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+    """Positions of equal hashes in both lists, rising on both sides; only what is once in either list counts."""
+    nx, ny = Counter(xs), Counter(ys)
+    at = {h: j for j, h in enumerate(ys) if ny[h] == 1}
+    found = [(i, at[h]) for i, h in enumerate(xs) if nx[h] == 1 and h in at]
+    tails: list[int] = []  # the longest rising run, by patience
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(found):
+        k = bisect_left(tails, j)
+        before.append(last[k - 1] if k else -1)
+        tails[k : k + 1], last[k : k + 1] = [j], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(found[n])
+        n = before[n]
+    return out[::-1]
+
+
+def match(a: Node, b: Node, depth: int = 0, digests: dict[int, int] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: size of an order-preserving matching, and its pairs.
+
+    Whole lists of children are aligned: equal heads and tails first, then equal children
+    that are in either list once, then what lies between these, near the diagonal.
+    """
     if a.label != b.label:
         return 0, []
     if depth == DEEP:
         return 1, [(a, b)]
-    xs, ys = _elements(a), _elements(b)
-    size = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    sub = {}
+    if digests is None:
+        digests = _digests(a) | _digests(b)
+    xs, ys = ([c for c in n.children if not isinstance(c, str)] for n in (a, b))
+    hx, hy = ([digests[id(c)] for c in cs] for cs in (xs, ys))
+    head = 0
+    while head < min(len(xs), len(ys)) and hx[head] == hy[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(xs), len(ys)) - head and hx[-1 - tail] == hy[-1 - tail]:
+        tail += 1
+    fixed = [(i, i) for i in range(head)]
+    fixed += [(head + i, head + j) for i, j in _anchors(hx[head : len(xs) - tail], hy[head : len(ys) - tail])]
+    fixed += [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
+    total, pairs, i, j = 1, [(a, b)], 0, 0
+    for p, q in [*fixed, (len(xs), len(ys))]:
+        n, found = _between(xs[i:p], ys[j:q], depth, digests)
+        total, i, j = total + n, p + 1, q + 1
+        pairs += found
+        if p < len(xs):
+            n, found = match(xs[p], ys[q], depth + 1, digests)
+            total += n
+            pairs += found
+    return total, pairs
+
+
+def _between(xs: list[Node], ys: list[Node], depth: int, digests: dict[int, int]) -> tuple[int, list[tuple[Node, Node]]]:
+    """The matching of two lists of children near their diagonal, long ones piece by piece."""
+    if not xs or not ys:
+        return 0, []
+    if (parts := -(-max(len(xs), len(ys)) // PIECE)) > 1:
+        cuts = lambda cs: [cs[len(cs) * k // parts : len(cs) * (k + 1) // parts] for k in range(parts)]
+        found = [_between(x, y, depth, digests) for x, y in zip(cuts(xs), cuts(ys))]
+        return sum(n for n, _ in found), [p for _, pairs in found for p in pairs]
+    slope = len(ys) / len(xs)
+    width = BAND + int(slope)
+    size, sub = [[0] * (len(ys) + 1)], {}
     for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            if x.label == y.label:
-                sub[i, j] = match(x, y, depth + 1)
-            size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + sub.get((i, j), (0,))[0])
-    pairs, i, j = [(a, b)], len(xs), len(ys)
+        row = size[-1].copy()
+        for j in range(max(0, int(i * slope) - width), min(len(ys), int(i * slope) + width + 1)):
+            if x.label == ys[j].label:
+                sub[i, j] = match(x, ys[j], depth + 1, digests)
+            row[j + 1] = max(row[j + 1], row[j], size[-1][j] + sub.get((i, j), (0,))[0])
+        size.append(list(accumulate(row, max)))
+    pairs, i, j = [], len(xs), len(ys)
     while i and j:
         if (i - 1, j - 1) in sub and size[i][j] == size[i - 1][j - 1] + sub[i - 1, j - 1][0]:
             pairs += sub[i - 1, j - 1][1]
@@ -188,7 +248,7 @@ def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]
             i -= 1
         else:
             j -= 1
-    return size[-1][-1] + 1, pairs
+    return size[-1][-1], pairs
 
 
 def _own_texts(node: Node) -> set[str]:
@@ -280,7 +340,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     different = cut(counted.groupBy("host", "page").agg(F.min("at").alias("at"), F.first("slots").alias("slots"), F.first("sizes").alias("sizes")), "different_pages")
     of_host = different.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("chars"))
     each = different.select("host", F.explode(F.arrays_zip("slots", "sizes")).alias("x")).groupBy("host", F.col("x.slots").alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.first("x.sizes").alias("size"))
-    common = each.where("c > 1").join(of_host, "host").where((F.col("n") >= LEAST) & (F.col("c") >= AGREE * F.col("n")))
+    common = each.where("c > 1").join(of_host, "host").where(F.col("c") >= AGREE * F.col("n"))
     common = common.groupBy("host").agg(F.collect_set("slot").alias("common"), F.sum(F.col("c") * F.col("size")).alias("agreed"), F.first("chars").alias("chars"))
     common = cut(common.where(F.col("agreed") <= COPIES * F.col("chars")).select("host", "common"), "common_texts")
     order = Window.partitionBy("host").orderBy("page")

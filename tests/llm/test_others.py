@@ -149,6 +149,16 @@ def test_every_varying_slot_stays(spark):
     assert all(f"second {i} " in got[i] and f"body {i} " in got[i] for i in range(8)) and "Lead 8" in got[8]
 
 
+def test_two_pages_have_a_template_and_long_lists_are_aligned(spark):
+    body = lambda i, n: "".join(f"<p>story {i} says {k}</p>" for k in range(n))
+    make = lambda i, n: f"<body><div class=post><h1>Head {i}</h1>{body(i, n)}<p>Sign the letter</p>{body(-i, n // 2)}</div><div>Made with care</div>"
+    for sizes in ((3, 5), (20, 31), (700, 40, 1500)):
+        got = site(spark, [make(i + 1, n) for i, n in enumerate(sizes)])
+        for i, n in enumerate(sizes):
+            want = [f"Head {i + 1}", *(f"story {i + 1} says {k}" for k in range(n)), *(f"story {-i - 1} says {k}" for k in range(n // 2))]
+            assert got[i].split("\n") == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     article = "<body><div class=post><h1>One</h1><p>first long text</p><p>second long text</p></div><div>Made with care</div>"
     other = "<body><div class=post><h1>Two</h1><p>another text</p></div><div>Made with care</div>"
