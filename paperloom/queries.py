@@ -535,9 +535,8 @@ def dedup_first_wins(spark, d):
 
 @query()
 def fuzzy_duplicates(spark, d):
-    docs = t(spark, d, "documents")
-    words = F.filter(F.slice(F.split(F.lower("text"), r"\s+"), 1, 20), lambda x: F.length(x) > 5)
-    rows_ = docs.select(F.col("doc_id").alias("uid"), F.lit("").alias("name"), F.substring("text", 1, 120).alias("title"), F.lit(2020).alias("year"), tx.surnames(F.slice(words, 1, 3)).alias("surnames"), F.col("doc_id").alias("_seq"))
+    p = t(spark, d, "part")
+    rows_ = p.select(F.col("p_partkey").alias("uid"), F.lit("").alias("name"), F.col("p_name").alias("title"), F.col("p_size").cast("int").alias("year"), F.array("p_brand", "p_type").alias("surnames"), F.col("p_partkey").alias("_seq"))
     return resolve.fuzzy_duplicates(rows_)
 
 

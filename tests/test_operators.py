@@ -199,6 +199,23 @@ def test_fuzzy_duplicates(spark):
     assert got == {"b": "a", "c": "b", "f": "e", "h": "g"}
 
 
+def test_fuzzy_duplicates_query_compares_whole_titles(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from paperloom import queries
+
+    opening = "a shared opening of many plain words " * 5
+    titles = [opening + "cats", opening + "cats", opening + " ".join(f"dog{i}" for i in range(60)), "x" * 10 + opening + "cats", *(f"{a} {b}" for a in ("large", "hot", "hots") for b in ("ring", "rings", "bolt"))]
+    parts = [(i, n, f"Brand#{i % 2}", "LARGE" if i % 3 else "SMALL", 10 + i % 5) for i, n in enumerate(titles * 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for j, (_, n, brand, kind, size) in enumerate(parts):
+        for i, m, b, k, z in parts[:j]:
+            if b == brand and abs(z - size) <= 2 and SequenceMatcher(None, " ".join(m.split()), " ".join(n.split())).ratio() > 0.9:
+                want.setdefault(j, i)
+    assert {r["dup"]: r["keeper"] for r in queries.queries()["fuzzy_duplicates"](spark, str(tmp_path)).collect()} == want
+
+
 def test_prefilter_order(spark):
     s = "queries array<string>, title string, abstract string, oa_type string, arxiv_id string, categories array<string>, year int"
     rows = [(["seed"], "", "", None, None, [], 1990), (["q"], "", "nav", None, "1", ["cs.RO"], 2020), (["q"], "x", "", None, "1", ["cs.RO"], 2020), (["q"], "nav", "", "dataset", "1", ["cs.RO"], 2020), (["q"], "nav", "", None, None, [], 2020), (["q"], "nav", "", None, "1", ["math.X"], 2020), (["q"], "nav vln", "", None, None, [], 2010), (["q"], "nav", "a", None, "1", ["cs.RO"], 2010), (["q"], "nav", "a", None, "1", ["cs.RO"], 0)]
