@@ -80,8 +80,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Tokens that a segment has at most, and tokens of context on either side.
 LONGEST, AROUND = 17, 3
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-#: At least seven digits with little between them, or an at sign or what stands for one.
-_HINT = re.compile(r"\+?\(?[0-9](?:[^A-Za-z0-9\n]{0,3}[0-9]){6,}|@|[\[({]\s?at\s?[\])}]|\bat\b(?=[^@\n]{1,40}\bdot\b)", re.I)
+#: What any segment has: four digits with no letter between, an at sign, or what stands for one before a dot.
+_HINT = re.compile(r"[0-9](?:[^A-Za-z0-9]*+[0-9]){3,}|@|[\[({]\s?at\s?[\])}]|\bat\b(?=[^@\n]{1,40}\bdot\b|\s?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\.[A-Za-z]|\s?[\[({]\s?(?:dot|\.)))", re.I)
+_MAYBE = re.compile(r"[0-9@]|\bat\b", re.I)
 _SPAN_START = re.compile(r"[A-Za-z0-9+(]")
 _CUES = (("email", "mail", "contact"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "cc", "payment"), ("tel", "phone", "call", "fax", "mobile", "cell", "dial"))
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sat\s", re.I)
@@ -324,7 +325,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> li
         while i < len(covered) and covered[i][0] < end:
             free -= min(covered[i][1], end) - max(covered[i][0], begin)
             i += 1
-        if free < (7 if m[0][-1].isdigit() else 1):
+        if free < (4 if m[0][-1].isdigit() else 1):
             continue
         a, b = max(0, begin - 100), min(len(text), end + 100)
         if windows and a <= windows[-1][1]:
@@ -347,7 +348,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> li
 
 def spans_of(text: str | None, model: Field) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) of a whole text, by start and then kind."""
-    if not text or not ("@" in text or _DIGIT.search(text) or " dot " in text or "at" in text and re.search(r"[\[({]\s?at\s?[\])}]", text, re.I)):
+    if not text or not _MAYBE.search(text):
         return []
     base = base_spans(text)
     both = sorted([(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in added_spans(text, base, model)])

@@ -208,6 +208,23 @@ def test_the_field_finds_what_the_patterns_lose_and_leaves_look_alikes():
     assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
 
 
+def test_the_hint_hides_nothing_from_the_field():
+    model = pii.field()
+    for ip in ("10[.]1[.]2[.]3", "8[.]8[.]8[.]8", "192[.]0[.]2[.]1"):
+        assert pii.spans_of(f"seen at {ip} today", model) == [("ip", 8, 8 + len(ip), False)]
+    assert [s[0] for s in pii.spans_of("write to JOHN AT EXAMPLE DOT COM today", model)] == ["email"]
+
+    def whole(text):
+        base = pii.base_spans(text)
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        blocked = [any(s < e2 and e > s2 for s2, _, e2 in base) for s, e in tokens]
+        return sorted([(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in model.decode(text, tokens, blocked)])
+
+    for text, _ in pii.examples(400, seed=5):
+        for t in (text, text.upper()):
+            assert pii.spans_of(t, model) == [(pii.KINDS[k], s, e, b) for s, k, e, b in whole(t)], t
+
+
 def test_pii_digest_and_redaction(spark, docs, none, rows):
     text = "a b@c.de 10.0.0.1 é 4111 1111 1111 1111 +1 (988) 555-2485"
     one = spark.createDataFrame([(1, text, 99)], "doc_id long, text string, n_chars int")
