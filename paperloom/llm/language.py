@@ -20,6 +20,8 @@ UNKNOWN = "und"
 LEVEL = 6
 #: Bounds of the labelled sample that a dictionary is made of: documents a language, characters a document.
 SAMPLE_DOCS, SAMPLE_CHARS = 192, 1200
+#: Bytes of a text that are encoded at once; each block starts from the dictionary, so the margin does not shrink with length.
+BLOCK = 8192
 #: Least share by which the second encoding must be larger; texts below it are rejected.
 MARGIN = 0.002
 
@@ -75,7 +77,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
     the model knows one language only. A null text or one without a letter is ``und``
     with score 0 and rejected; so is every text if the model knows no language. Ties go
     to the language with most labelled rows and are rejected. Columns of these names
-    are replaced. Texts are encoded whole.
+    are replaced. Texts are encoded whole, in blocks.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -88,7 +90,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
                     rows.append((UNKNOWN, 0.0, True))
                     continue
                 data = encoded(t)
-                sizes = sorted((len(c.compress(data)), i) for i, c in enumerate(encoders))
+                parts = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+                sizes = sorted((sum(len(c.compress(p)) for p in parts), i) for i, c in enumerate(encoders))
                 score = 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
                 rows.append((names[sizes[0][1]], score, score < margin))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])

@@ -334,3 +334,14 @@ def test_languages_held_out(spark, none):
     assert language.digest(none).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language.digest(unlabelled).collect()} == {"und"}
+
+
+def test_the_margin_does_not_shrink_with_length(spark):
+    words = {"la": "ali bor cal dem eru fas".split(), "lb": "zug yth xan wop vek uls".split()}
+    make = lambda i, k, n: " ".join(random.Random(i + j).choice(words[k]) + random.Random(-i - j).choice(words[k]) for j in range(n))
+    docs = spark.createDataFrame([(i, make(1000 * i, k, 30), k) for i in range(60) for k in [("la", "lb")[i % 2]]], "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    short = make(7, "la", 1200)
+    long = " ".join(make(10**6 + 5000 * i, "la", 1200) for i in range(80))
+    got = [r for r in language.identify(spark.createDataFrame([(short,), (long,)], "text string"), model).collect()]
+    assert [r["lang_pred"] for r in got] == ["la", "la"] and got[1]["score"] > 0.5 * got[0]["score"]
