@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut
+from paperloom.llm.common import cut, join_skewed
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns ``a, b``, both long).
 
-    A round joins every node to its smallest neighbour, follows that twice and contracts
+    A round joins every node to its smallest neighbour, follows that once more and contracts
     the edges, so their number falls by a factor with each round and none is left after a
     logarithmic number of them. Labels stay in tables; the driver only asks whether edges
-    remain. A component's label is a node of it. Hub nodes are pre-aggregated by ``min``
-    and joins on them are split by the adaptive planner.
+    remain. A component's label is a node of it. A hub's edges are pre-aggregated by
+    ``min``, and joins on nodes deal a hub's rows over many tasks (``join_skewed``).
     """
     left = cut(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels = cut(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node")), "labels")
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to"))
-        for _ in range(2):
-            hop = parent.select(F.col("node").alias("to"), F.col("to").alias("hop"))
-            parent = parent.join(hop, "to").select("node", F.col("hop").alias("to"))
-        parent = cut(parent, "parents")
+        parent = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "parents")
+        hop = parent.select(F.col("node").alias("to"), F.col("to").alias("hop"))
+        parent = cut(join_skewed(parent, hop, "to").select("node", F.col("hop").alias("to")), "parents")
         of = lambda c: parent.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: E731, B023
-        left = cut(left.join(of("a"), "a").join(of("b"), "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
-        labels = cut(labels.join(of("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component")), "labels")
+        half = cut(join_skewed(left, of("a"), "a"), "edges")
+        left = join_skewed(half, of("b"), "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+        left = cut(left.distinct(), "edges")
+        labels = cut(join_skewed(labels, of("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component")), "labels")
     return labels

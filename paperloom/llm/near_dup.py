@@ -6,8 +6,12 @@
 3. Classes found so far are connected components. Only buckets that hold members of two
    or more of them are looked at again, in blocks of bounded size: there every pair of
    nodes whose classes differ is compared, and a found link joins the two classes at once.
+   A bucket's largest class meets only the others, never itself, so a bucket of a million
+   copies and a few strangers makes as many copies of a member as there are blocks of
+   strangers.
 A link is a similarity of at least 0.8 over the multisets of five-word shingles, always
-computed from the whole texts.
+computed from the whole texts. A candidate's multiset is computed once and travels as
+sorted 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import bagminhash
-from paperloom.llm.common import WORD, cut
+from paperloom.llm.common import WORD, cut, fresh, join_skewed
 from paperloom.llm.components import components
 
 SIMILARITY = 0.8
@@ -46,19 +50,20 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bagminhash.forget()
 
 
-def _verified(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+def _multisets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["node"], "items": [bagminhash.multiset(t).tobytes() for t in pdf["text"]]})
+    bagminhash.forget()
 
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in known:
-                if len(known) > 2000:
-                    known.clear()
-                known[node] = bagminhash.multiset(text)
-            return known[node]
 
+def _items(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint64)
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hit = [bagminhash.similarity(of(a, s), of(b, t)) >= least for a, b, s, t in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"])]
+            hit = [bagminhash.similarity(_items(a), _items(b)) >= least for a, b in zip(pdf["items"], pdf["chosen_items"])]
             yield pdf.loc[hit, ["a", "b"]]
 
     return run
@@ -69,9 +74,9 @@ def _linked(least: float):
 
     def link(group: pd.DataFrame) -> list[tuple[int, int]]:
         group = group.drop_duplicates("node").sort_values("node")
-        nodes, classes = group["node"].to_numpy(), group["component"].to_numpy()
-        sets = [bagminhash.multiset(t) for t in group["text"]]
-        sizes = np.array([len(s) for s in sets])
+        nodes, classes, major = group["node"].to_numpy(), group["component"].to_numpy(), group["major"].to_numpy()
+        sets = [_items(x) for x in group["items"]]
+        sizes, across = np.array([len(s) for s in sets]), bool(major.any())
         root = {c: c for c in classes}
 
         def find(c):
@@ -81,8 +86,10 @@ def _linked(least: float):
 
         out = []
         for i in range(1, len(nodes)):
-            near = np.flatnonzero((np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i])) & (classes[:i] != classes[i]))
-            for j in near:
+            near = (np.minimum(sizes[:i], sizes[i]) >= least * np.maximum(sizes[:i], sizes[i])) & (classes[:i] != classes[i])
+            if across:  # two of the others meet in a group of their own
+                near &= major[:i] != major[i]
+            for j in np.flatnonzero(near):
                 a, b = find(classes[i]), find(classes[j])
                 if a != b and bagminhash.similarity(sets[i], sets[j]) >= least:
                     root[a] = b
@@ -108,17 +115,8 @@ def _linked(least: float):
     return run
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``key, node, class_id, class_size, class_node``: one row for each row of ``docs``.
-
-    A class is a connected component of links. ``class_id`` is its smallest key,
-    ``class_node`` the smallest text hash among the rows with that key. Rows without
-    words, null texts among them, are classes of their own with null nodes. Texts of
-    fewer than five words are one shingle. Rows that repeat a key are rows of their own;
-    null keys are ignored by the minimum. Texts that differ share a node with a
-    probability of 2 to the power -64 a pair. An empty table gives an empty table; other
-    columns are left out.
-    """
+def _classes(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: (key, node) of every row, (node, component), and a row for each class."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("node", node_of(F.col("text")))
     kind = dict(rows.dtypes)["key"]
     # pandas turns longs with nulls into doubles, so there are none on the way
@@ -128,36 +126,60 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
 
     banded = signed.where("bands is not null").select("node", F.explode("bands").alias("band"))
     chosen = F.min_by("node", F.xxhash64(F.lit("chosen"), F.col("node")))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), chosen.alias("chosen")).where("first <> last").select("band", "chosen")
+    buckets = cut(banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), chosen.alias("chosen")).where("first <> last").select("band", "chosen"), "buckets")
     members = cut(banded.join(buckets, "band").distinct(), "members")
 
     candidates = members.select("node").distinct()
-    texts = cut(rows.where("node is not null").select("node", "text").dropDuplicates(["node"]).join(candidates, "node", "left_semi"), "texts")
-    pairs = members.where("node <> chosen").select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
-    as_ = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    links = cut(pairs.join(as_("a"), "a").join(as_("b"), "b").mapInPandas(_verified(least), "a long, b long"), "links")
+    texts = rows.where("node is not null").select("node", "text").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    items = cut(texts.mapInPandas(_multisets, "node long, items binary"), "items")
+    pairs = members.where("node <> chosen").select("node", "chosen").distinct()
+    pairs = cut(pairs.groupBy(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).agg(F.min("node").alias("node"), F.min_by("chosen", "node").alias("chosen")), "pairs")
+    both = join_skewed(pairs, items.select(F.col("node").alias("chosen"), F.col("items").alias("chosen_items")), "chosen").join(items, "node")
+    links = cut(both.select("a", "b", "items", "chosen_items").mapInPandas(_verified(least), "a long, b long"), "links")
 
     labels = components(links)
     members = members.select("band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = cut(members, "members")
-    open_ = members.groupBy("band").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("band", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rest = (
-        members.join(open_, "band")
-        .withColumn("own", F.pmod(F.xxhash64(F.lit("block"), F.col("node")), blocks).cast("int"))
-        .withColumn("other", other)
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
+    each = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max_by("component", F.struct("n", "component"))
+    open_ = each.groupBy("band").agg(largest.alias("largest"), F.max("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    open_ = cut(open_.select("band", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("major_blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")), "open")
+    rest = join_skewed(members, open_, "band").withColumn("major", F.col("component") == F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64(F.lit("block"), F.col("node")), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # blocks of the largest class have numbers below 0, so groups (i, j) with i < 0 hold it and one block of others
+    spots = F.when(F.col("major"), F.transform(upto("blocks"), lambda j: F.struct((-1 - own("major_blocks")).alias("i"), j.alias("j")))).otherwise(
+        F.concat(
+            F.transform(upto("major_blocks"), lambda i: F.struct((-1 - i).alias("i"), own("blocks").alias("j"))),
+            F.transform(upto("blocks"), lambda o: F.struct(F.least(own("blocks"), o).alias("i"), F.greatest(own("blocks"), o).alias("j"))),
+        )
     )
-    more = rest.join(texts, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(_linked(least), "a long, b long")
+    rest = rest.select("band", "node", "component", "major", F.explode(spots).alias("x")).select("band", "x.i", "x.j", "node", "component", "major")
+    more = rest.join(items, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(_linked(least), "a long, b long")
     more = cut(more, "links")
-    labels = components(links.union(more))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
     classes = nodes.groupBy("component").agg(F.min("key").alias("class_id"), F.sum("n").alias("class_size"), F.min_by("node", F.struct(F.col("key").isNull().alias("none"), "key", "node")).alias("class_node"))
-    named = nodes.select("node", "component").join(classes, "component").select("node", "class_id", "class_size", "class_node")
-    out = signed.select("key", "node").join(named, "node", "left")
+    return signed.select("key", "node"), nodes.select("node", "component"), cut(classes, "classes")
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """``key, node, class_id, class_size, class_node``: one row for each row of ``docs``.
+
+    A class is a connected component of links. ``class_id`` is its smallest key,
+    ``class_node`` the smallest text hash among the rows with that key. Rows without
+    words, null texts among them, are classes of their own with null nodes. Texts of
+    fewer than five words are one shingle. Rows that repeat a key are rows of their own;
+    null keys are ignored by the minimum. Texts that differ share a node with a
+    probability of 2 to the power -64 a pair. An empty table gives an empty table; other
+    columns are left out.
+    """
+    signed, nodes, classes = _classes(docs, key, text, least)
+    named = cut(join_skewed(nodes, classes, "component").select("node", "class_id", "class_size", "class_node"), "named")
+    out = join_skewed(signed, named, "node", "left")
     alone = F.col("node").isNull()
     return out.select("key", "node", F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), "class_node")
 
@@ -165,13 +187,16 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", least: fl
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without copies: of each class the row with the smallest key.
 
-    Rows without words all stay, repeated rows stay once.
+    Rows without words all stay, repeated rows stay once. Rows meet the one key and node
+    that their class keeps, so a group of copies is spread by its keys. All columns of
+    ``docs`` come back, whatever their names.
     """
-    kept = classify(docs, key, text, least).where(F.col("node") == F.col("class_node")).where(F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("__key"), F.col("node").alias("__node")).distinct()
-    rows = docs.withColumn("__node", node_of(F.col(text)))
-    own = docs.columns
-    found = rows.where("__node is not null").dropDuplicates([key, "__node"]).alias("d").join(kept.alias("k"), (F.col("d.__node") == F.col("k.__node")) & F.col(f"d.{key}").eqNullSafe(F.col("k.__key")), "left_semi")
-    return found.select(*own).union(rows.where("__node is null").select(*own))
+    _, _, classes = _classes(docs, key, text, least)
+    node, keep, keep_node = fresh(docs.columns, "node", "keep", "keep_node")
+    kept = classes.select(F.col("class_id").alias(keep), F.col("class_node").alias(keep_node))
+    rows = docs.withColumn(node, node_of(F.col(text)))
+    found = rows.where(F.col(node).isNotNull()).join(kept, (F.col(node) == F.col(keep_node)) & F.col(key).eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([key, node])
+    return found.select(*docs.columns).union(rows.where(F.col(node).isNull()).select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
