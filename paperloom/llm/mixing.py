@@ -52,6 +52,9 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: int = CEILING, seed: str = "mix-1") -> DataFrame:
     """Columns of ``docs`` and ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``.
 
@@ -59,26 +62,35 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     fraction, so each source's words have its target as their mean, no document is taken
     more than ``ceiling`` times and a rerun decides alike. A null text has size 0; a null
     source is a source of its own, the last; a null key is hashed by its text; rows that
-    repeat a key repeat its decision. An empty table gives an empty table. Names that
-    start with ``mix_`` are replaced if they are there.
+    repeat a key repeat its decision. An empty table gives an empty table. Where ``docs``
+    has a column of these five names, it is replaced; ``mixed_rows`` keeps all.
     """
-    own = [c for c in docs.columns if not c.startswith("mix_")]
-    sized = docs.select(*own).withColumn("mix_size", word_count(F.col(text)))
-    rates = cut(source_rates(sized.select(F.col(source).alias("source"), F.col("mix_size").alias("size")), weights, share, ceiling), "rates")
+    row = mixed_rows(docs, key, text, source, weights, share, ceiling, seed)
+    return row.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED), *ADDED)
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: int = CEILING, seed: str = "mix-1") -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and the five columns of ``mix``: no names can clash."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col(text)).alias("mix_size"))
+    own = F.col("row")
+    rates = cut(source_rates(sized.select(own[source].alias("source"), F.col("mix_size").alias("size")), weights, share, ceiling), "rates")
     rates = rates.select(F.col("source").alias("mix_of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    chance = unit_hash(F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))), seed)
+    chance = unit_hash(F.coalesce(own[key].cast("string"), F.md5(F.coalesce(own[text], F.lit("")).cast("binary"))), seed)
     whole = F.floor("mix_rate")
-    return (
-        sized.join(rates, F.col(source).eqNullSafe(F.col("mix_of")), "left")
-        .drop("mix_of")
-        .withColumn("mix_copies", (whole + F.when(chance < F.col("mix_rate") - whole, 1).otherwise(0)).cast("int"))
-    )
+    copies = (whole + F.when(chance < F.col("mix_rate") - whole, 1).otherwise(0)).cast("int")
+    return sized.join(rates, own[source].eqNullSafe(F.col("mix_of")), "left").withColumn("mix_copies", copies).select("row", *ADDED)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document ``mix_copies`` times, without the columns that ``mix`` added."""
-    own = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*own)
+    """Each row of ``mix`` as often as its copies say, without the columns that ``mix`` added."""
+    own = [c for c in mixed.columns if c not in ADDED]
+    return mixed.select(*own, F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*own)
+
+
+def repeat(docs: DataFrame, **how) -> DataFrame:
+    """Each row of ``docs`` as often as ``mix`` says, with all its columns, whatever their names, and no others."""
+    mixed = mixed_rows(docs, **how)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
