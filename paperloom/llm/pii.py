@@ -2,8 +2,10 @@
 
 The patterns give the base spans of whole texts. The field scores whole segments of up to
 ``LONGEST`` tokens by features of the span (digit groups, separators, checksums, words
-before it) and a dynamic programme chooses boundaries and kinds jointly. It reads the
-places that have the makings of personal data and no base span; its spans are added.
+before it) and by what kind of segment stands before it, and a dynamic programme chooses
+boundaries and kinds jointly. It reads every place where a segment can score: what no
+segment can start or end at is outside in any case, so leaving it out changes nothing. Its
+spans are added to the base spans.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ _DOT = re.compile(r"\.|[\[({]\s?dot\s?[\])}]|\sdot\s|\[\.\]", re.I)
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({]\s?at\s?[\])}]|\bat\b)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\bdot\b|\[\.\])\s?[A-Za-z0-9-]+)*(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\bdot\b|\[\.\])\s?[A-Za-z]{2,6})", re.I)
 _QUAD = re.compile(r"([0-9]{1,3})(?:\.|\[\.\]|\(\.\)|\sdot\s)([0-9]{1,3})(?:\.|\[\.\]|\(\.\)|\sdot\s)([0-9]{1,3})(?:\.|\[\.\]|\(\.\)|\sdot\s)([0-9]{1,3})")
 _RUNS = re.compile(r"[0-9]+")
-FEATURES = 34
+FEATURES = 35
 
 
 def _features(text: str, start: int, end: int, before: str) -> list[int]:
@@ -150,15 +152,23 @@ def _features(text: str, start: int, end: int, before: str) -> list[int]:
         add(30)
     if start and text[start - 1] in "+." or end < len(text) - 1 and text[end] in ".-" and text[end + 1].isalnum():
         add(31)
+    if re.search(r"[.,;:]\s", s):  # a sentence or clause ends inside
+        add(34)
     add(32 if before else 33)
     return out
 
 
 class Field:
-    """Weights of the field: a row for each kind, then one for each cue word's kind."""
+    """Weights of the field: of features for each kind, and of a kind after another.
+
+    ``w`` has a column for each feature and cue word's kind. ``t[p, k]`` is the weight of a
+    segment of kind ``k`` right behind one of kind ``p``; the last row stands for a token
+    outside all segments or the text's begin. Tokens outside have weight 0.
+    """
 
     def __init__(self):
         self.w = np.zeros((len(KINDS), FEATURES + len(KINDS)))
+        self.t = np.zeros((len(KINDS) + 1, len(KINDS)))
 
     def segments(self, text: str, tokens: list[tuple[int, int]], blocked: list[bool]) -> list[tuple[int, int, np.ndarray]]:
         """(first, last, features) of each candidate: it starts and ends as an entity may."""
@@ -196,63 +206,84 @@ class Field:
         segments = self.segments(text, tokens, blocked)
         if not segments:
             return []
-        scores = self.scores(segments)
-        kinds, best = scores.argmax(axis=1), scores.max(axis=1)
+        scores, outside = self.scores(segments), len(KINDS)
         ending: dict[int, list[int]] = {}
+        most = scores.max(axis=1) + self.t.max()
         for n, (_, j, _) in enumerate(segments):
-            if best[n] > 0:
+            if most[n] > 0:
                 ending.setdefault(j, []).append(n)
-        value, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
+        # value[j][y]: best score of the first j tokens whose last segment is of kind y, or whose last token is outside
+        value = np.full((len(tokens) + 1, outside + 1), -np.inf)
+        value[0, outside] = 0.0
+        back: dict[tuple[int, int], tuple[int, int]] = {}
+        best_before = [outside] * (len(tokens) + 1)
         for j in range(len(tokens)):
-            value[j + 1] = value[j]
+            before = int(value[j].argmax())
+            best_before[j + 1] = before
+            value[j + 1, outside] = value[j, before]
             for n in ending.get(j, ()):
-                v = value[segments[n][0]] + best[n]
-                if v > value[j + 1]:
-                    value[j + 1], back[j + 1] = v, n
-        out, j = [], len(tokens)
+                by = value[segments[n][0]][:, None] + self.t
+                came = by.argmax(axis=0)
+                for k, v in enumerate(by.max(axis=0) + scores[n]):
+                    if v > value[j + 1, k]:
+                        value[j + 1, k] = v
+                        back[j + 1, k] = (n, int(came[k]))
+        out, j, y = [], len(tokens), int(value[-1].argmax())
         while j:
-            if back[j] < 0:
-                j -= 1
+            if y == outside:
+                j, y = j - 1, best_before[j]
             else:
-                i, last, _ = segments[back[j]]
-                out.append((tokens[i][0], int(kinds[back[j]]), tokens[last][1]))
-                j = i
+                n, before = back[j, y]
+                i, last, _ = segments[n]
+                out.append((tokens[i][0], y, tokens[last][1]))
+                j, y = i, before
         return out[::-1]
 
     def fit(self, examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 12, rate: float = 0.25, decay: float = 1e-3) -> Field:
         """Gradient ascent of the log likelihood: features seen less features expected."""
-        ready = []
+        ready, outside = [], len(KINDS)
         for text, gold in examples:
             tokens = [m.span() for m in _TOKEN.finditer(text)]
             segments = self.segments(text, tokens, [False] * len(tokens))
             marked = {(s, e): k for s, k, e in gold}
-            ready.append((len(tokens), segments, [marked.get((tokens[i][0], tokens[j][1]), -1) for i, j, _ in segments]))
-        squares = np.full_like(self.w, 1e-6)
+            kinds = [marked.get((tokens[i][0], tokens[j][1]), -1) for i, j, _ in segments]
+            ends = {segments[x][1] + 1: k for x, k in enumerate(kinds) if k >= 0}
+            ready.append((len(tokens), segments, kinds, [ends.get(i, outside) for i, _, _ in segments]))
+        squares, squares_t = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
         for _ in range(rounds):
-            for n, segments, gold in ready:
+            for n, segments, gold, after in ready:
                 if not segments:
                     continue
                 scores = self.scores(segments)
-                ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-                ahead[0] = behind[n] = 0.0
-                total = np.logaddexp.reduce(scores, axis=1)
+                ahead, behind = np.full((n + 1, outside + 1), -np.inf), np.full((n + 1, outside + 1), -np.inf)
+                ahead[0, outside], behind[n] = 0.0, 0.0
                 by_end, by_start = {}, {}
                 for x, (i, j, _) in enumerate(segments):
                     by_end.setdefault(j + 1, []).append(x)
                     by_start.setdefault(i, []).append(x)
                 for j in range(1, n + 1):
-                    ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[segments[x][0]] + total[x] for x in by_end.get(j, ()))])
+                    ahead[j, outside] = np.logaddexp.reduce(ahead[j - 1])
+                    for x in by_end.get(j, ()):
+                        way = np.logaddexp.reduce(ahead[segments[x][0]][:, None] + self.t, axis=0) + scores[x]
+                        ahead[j, :outside] = np.logaddexp(ahead[j, :outside], way)
                 for i in range(n - 1, -1, -1):
-                    behind[i] = np.logaddexp.reduce([behind[i + 1], *(behind[segments[x][1] + 1] + total[x] for x in by_start.get(i, ()))])
-                change = -decay * self.w
+                    behind[i] = behind[i + 1, outside]
+                    for x in by_start.get(i, ()):
+                        to = scores[x] + behind[segments[x][1] + 1, :outside]
+                        behind[i] = np.logaddexp(behind[i], np.logaddexp.reduce(self.t + to[None], axis=1))
+                whole = np.logaddexp.reduce(ahead[n])
+                change, change_t = -decay * self.w, -decay * self.t
                 for x, (i, j, f) in enumerate(segments):
-                    p = np.exp(ahead[i] + scores[x] + behind[j + 1] - ahead[n])
+                    p = np.exp(ahead[i][:, None] + self.t + (scores[x] + behind[j + 1, :outside])[None] - whole)
                     if gold[x] >= 0:
-                        p[gold[x]] -= 1
-                    for k in np.flatnonzero(np.abs(p) > 1e-4):
-                        change[k, f] -= p[k]
+                        p[after[x], gold[x]] -= 1
+                    change_t -= p
+                    for k in np.flatnonzero(np.abs(p.sum(axis=0)) > 1e-4):
+                        change[k, f] -= p[:, k].sum()
                 squares += change**2
+                squares_t += change_t**2
                 self.w += rate * change / np.sqrt(squares)
+                self.t += rate * change_t / np.sqrt(squares_t)
         return self
 
 
@@ -406,7 +437,7 @@ def _listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The rows of query op3; the counts are of all spans."""
+    """The rows of query op3; the counts are of all spans, and ``n_spans`` is their sum."""
     found = find(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.filter("pii", lambda x: x["base"])), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.filter("pii", lambda x: x["base"])), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
