@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import fresh
+
 # The template: <|turn|>role<|text|>text<|end|> and a line feed. "<|" occurs nowhere else,
 # as texts and roles have it escaped.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -108,14 +110,16 @@ def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...]
     """
     own = [c for c in df.columns if c not in ("fingerprint", "layout", "turns")]
     value = F.col(record) if dict(df.dtypes)[record] == "variant" else F.try_parse_json(record)
-    out = df.select(*own, value.alias("__record")).withColumn("fingerprint", fingerprint(F.col("__record")))
+    (parsed,) = fresh({*own, "fingerprint", "layout", "turns"}, "record")
+    at = F.col(parsed)
+    out = df.select(*own, value.alias(parsed)).withColumn("fingerprint", fingerprint(at))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in reversed(layouts):
         hit = F.col("fingerprint") == x.fingerprint
-        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, x.turns(F.col("__record"))).otherwise(turns)
-    system = F.try_variant_get("__record", "$.system", "string")
+        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, x.turns(at)).otherwise(turns)
+    system = F.try_variant_get(at, "$.system", "string")
     led = F.when((F.col("layout") == "conversations_system") & (F.coalesce(system, F.lit("")) != ""), F.concat(F.array(_turn(F.lit("system"), system)), F.col("turns"))).otherwise(F.col("turns"))
-    return out.withColumn("layout", name).withColumn("turns", turns).withColumn("turns", led).drop("__record")
+    return out.withColumn("layout", name).withColumn("turns", turns).withColumn("turns", led).drop(parsed)
 
 
 def escape(text: Column) -> Column:
@@ -131,8 +135,9 @@ def render(df: DataFrame, trained: str = "assistant") -> DataFrame:
     """Adds ``formatted`` and ``loss_spans`` (start, end in code points) from ``turns``.
 
     A span holds the escaped text of one turn of the ``trained`` role. No turns give an
-    empty text; null turns give nulls.
+    empty text; null turns give nulls. Columns of these two names are replaced.
     """
+    (pieces,) = fresh({*df.columns, "formatted", "loss_spans"}, "pieces")
     piece = F.transform("turns", lambda t: F.struct(F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"), escape(t["text"]).alias("body"), (t["role"] == trained).alias("loss")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
@@ -143,10 +148,10 @@ def render(df: DataFrame, trained: str = "assistant") -> DataFrame:
         return F.struct((end + len(END)).alias("at"), spans.alias("spans"))
 
     return (
-        df.withColumn("__pieces", piece)
-        .withColumn("formatted", F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
-        .withColumn("loss_spans", F.aggregate("__pieces", begin, step, lambda acc: acc["spans"]))
-        .drop("__pieces")
+        df.withColumn(pieces, piece)
+        .withColumn("formatted", F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
+        .withColumn("loss_spans", F.aggregate(pieces, begin, step, lambda acc: acc["spans"]))
+        .drop(pieces)
     )
 
 
@@ -169,19 +174,39 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def _shaped(turns: Column) -> Column:
+    """A conversation as a record of the layout that its roles allow, so that one table holds many.
+
+    A prompt and its answer, led by a system text or not, are such records; talks of users
+    and assistants alone are lists of from and value; all others are messages.
+    """
+    roles, text = F.transform(turns, lambda t: t["role"]), lambda i: F.element_at(turns, i)["text"]
+    is_ = lambda *names: roles == F.array(*map(F.lit, names))
+    share = F.transform(turns, lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value")))
+    messages = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    record = lambda **of: F.to_variant_object(F.struct(*(c.alias(k) for k, c in of.items())))
+    return (
+        F.when(is_("user", "assistant"), record(prompt=text(1), response=text(2)))
+        .when(is_("system", "user", "assistant") & (text(1) != ""), record(system=text(1), prompt=text(2), response=text(3)))
+        .when((F.size(turns) > 0) & F.forall(roles, lambda r: r.isin("user", "assistant")), record(conversations=share))
+        .otherwise(record(messages=messages))
+    )
+
+
 def records(conversations: DataFrame) -> DataFrame:
-    """``conv_id, record``: rows by turn gathered into nested messages, and conversation -7.
+    """``conv_id, record``: rows by turn gathered into nested records of several layouts.
 
     Rows are ordered by turn, those without one first, then by role and text; a null text
-    is empty. Conversation -7 comes as a prompt and its response, another layout.
+    is empty. The two rows of conversation -7 are added before; where the table has rows
+    of that conversation itself, all are one conversation. A conversation is one record,
+    so it has to fit into a task's memory, as it has in any training step.
     """
-    turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
-    nested = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
-    messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    nested = nested.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
-    probe = F.to_variant_object(F.struct(F.lit(PROBE).alias("prompt"), F.lit(PROBE).alias("response")))
-    one = conversations.sparkSession.range(1).select(F.lit(-7).cast(dict(conversations.dtypes)["conv_id"]).alias("conv_id"), probe.alias("record"))
-    return nested.unionByName(one)
+    own = conversations.select("conv_id", "turn", "role", "text")
+    kinds = dict(own.dtypes)
+    probe = conversations.sparkSession.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    nested = own.unionByName(probe).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
+    return nested.select("conv_id", _shaped(F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))).alias("record"))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
