@@ -1,39 +1,48 @@
 """Exact top-k by integer inner product: a Voronoi join of queries with all rows.
 
-Pivots cut the space into cells. A cell of queries has a summary: its radius, and from the
-summaries of the data cells a score that its k-th best answers reach at least. A data
-vector goes only to those query cells for which its bound reaches that score; each group
-is then solved by itself and the best answers of a query's groups are merged.
+Pivots cut the space into cells. Every data row lies in the cell of its nearest pivot and is
+shuffled once. A cell's summary (pivot, radius, greatest norm) bounds the score that any of
+its rows can have for a query; a bounded sample of rows gives every query a score that its
+k best answers reach at least. Only the queries are replicated, each to the cells whose bound
+reaches that score; cells are solved by themselves and the best answers merged.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut
-from paperloom.llm.vectors import matrix, row_sample, usable
+from paperloom.llm.vectors import matrix, usable
 
-PIVOTS = 48
-#: Vectors that the pivots are chosen from.
+#: A pivot for so many rows, within these bounds: more rows have finer cells.
+ROWS_A_PIVOT, FEWEST, MOST = 1024, 16, 1024
+#: Vectors of one width that pivots are chosen from, and that tell what the best scores reach.
 SAMPLE = 4096
+#: Widths that have pivots, the most frequent ones; rows of any other width are one cell.
+WIDTHS = 8
 #: Queries and data vectors that one group holds, on average.
-QUERIES, ROWS = 1024, 16_384
+QUERIES, ROWS = 16_384, 16_384
 #: A little more than the rounding of a bound.
 SLACK = 1e-6
+_LONG = np.iinfo(np.int64)
 
 
-def pivots_of(sample: np.ndarray, number: int = PIVOTS) -> np.ndarray:
+def pivots_of(sample: np.ndarray, number: int) -> np.ndarray:
     """Means of a few rounds of k-means over a bounded sample."""
     number = min(number, len(sample))
     found = sample[:number].copy()
     for _ in range(5):
         near = nearest(sample, found)[0]
-        for i in range(number):
-            if (own := near == i).any():
-                found[i] = sample[own].mean(axis=0)
+        size = np.bincount(near, minlength=number)
+        order = np.argsort(near, kind="stable")
+        some = np.flatnonzero(size)
+        sums = np.add.reduceat(sample[order], (np.cumsum(size) - size)[some], axis=0)
+        found[some] = sums / size[some, None]
     return found
 
 
@@ -44,114 +53,163 @@ def nearest(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.sqrt(((rows - pivots[at]) ** 2).sum(axis=1))
 
 
-def least_scores(pivots: np.ndarray, query_radius: np.ndarray, data: pd.DataFrame, k: int) -> np.ndarray:
-    """For every query cell a score that the k best answers of all its queries reach.
+def most_scores(queries: np.ndarray, pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """For every query and cell a score that no row of the cell exceeds.
 
-    With q = p + d and x = r + e the product is at least p.r - |p||e| - |r||d| - |d||e|.
-    A data cell counts with its rows at its radius, and once more with the k + 1 rows next
-    to its pivot; the best guarantees that hold k + 1 rows, one of them perhaps the
-    query's own, give the score.
+    With x = p + e the product is at most q.p + |q||e|, and never more than |q||x|.
     """
-    out = np.full(len(pivots), -np.inf)
-    norm = np.sqrt((pivots**2).sum(axis=1))
-    for i in np.flatnonzero(query_radius >= 0):
-        bounds = []
-        for c, n, radius, close in zip(data["cell"], data["n"], data["radius"], data["close"]):
-            base = pivots[i] @ pivots[c] - norm[c] * query_radius[i]
-            own = base - (norm[i] + query_radius[i]) * np.sort(np.asarray(close))
-            bounds += [(b, 1) for b in own]
-            if n > len(own):
-                bounds.append((base - (norm[i] + query_radius[i]) * radius, int(n) - len(own)))
-        have = 0
-        for b, n in sorted(bounds, reverse=True):
-            have += n
-            if have >= k + 1:
-                out[i] = b
-                break
-    return out
+    own = np.sqrt((queries**2).sum(axis=1))[:, None]
+    most = np.minimum(queries @ pivots.T + own * radius[None], own * norm[None])
+    return most + SLACK * (1 + np.abs(most))
+
+
+def least_scores(ids: np.ndarray, queries: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For every query a score that its k best answers reach: that of the sample's k-th best row of another key."""
+    if len(sample) < k:
+        return np.full(len(queries), -np.inf)
+    out = np.empty(len(queries))
+    for at in range(0, len(queries), 256):
+        s = queries[at : at + 256] @ sample.T
+        s[ids[at : at + 256, None] == sample_ids[None]] = -np.inf
+        out[at : at + 256] = np.partition(s, len(sample) - k, axis=1)[:, len(sample) - k]
+    return np.where(np.isfinite(out), out - SLACK * (1 + np.abs(out)), -np.inf)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating point where every sum is below 2 to the power 53."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+    """Exact integer products, by floating point where every sum is below 2 to the power 53; sums beyond a long are clipped."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    if most < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 2.0**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, _LONG.min, _LONG.max).astype(np.int64)
 
 
 def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query, its own id left out; ties to the smaller id."""
+    """The k best rows of each query, its own key left out; ties to the smaller key."""
     order = np.argsort(ids, kind="stable")
-    ids, rows, found = ids[order], rows[order], []
+    ids, rows = ids[order], rows[order]
+    asked, found, scored = [], [], []
     for at in range(0, len(queries), 128):
         scores = _products(queries[at : at + 128], rows)
-        for q, s in zip(query_ids[at : at + 128], scores):
-            m = min(len(s), k + int(np.count_nonzero(ids == q)))
-            floor = np.partition(s, len(s) - m)[len(s) - m]
-            best = np.flatnonzero(s >= floor)  # in order of ids, so a stable sort settles ties
-            best = best[np.argsort(-s[best], kind="stable")]
-            best = best[ids[best] != q][:k]
-            found.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": s[best]}))
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        own = ids[None] == query_ids[at : at + 128, None]
+        for q, s, same in zip(query_ids[at : at + 128], scores, own):
+            m = min(len(s), k + int(np.count_nonzero(same)))
+            best = np.flatnonzero(s >= np.partition(s, len(s) - m)[len(s) - m])  # in order of keys, so a stable sort settles ties
+            best = best[~same[best]]
+            best = _by_score(s, best)[:k]
+            asked.append(np.full(len(best), q))
+            found.append(ids[best])
+            scored.append(s[best])
+    join_ = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+    return pd.DataFrame({"query_id": join_(asked), "vec_id": join_(found), "score": join_(scored)}).astype("int64")
+
+
+def _by_score(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions by falling score, equal ones in their order; ``~x`` falls as ``x`` rises and cannot overflow."""
+    return at[np.argsort(~scores[at], kind="stable")]
+
+
+@dataclass
+class Space:
+    """What is known of the vectors of one width: cells, their summaries, and the sample."""
+
+    first: int
+    pivots: np.ndarray
+    sample_ids: np.ndarray
+    sample: np.ndarray
+    radius: np.ndarray
+    norm: np.ndarray
+
 
+def _place(spaces: dict[int, Space]):
+    """Every row's cell: a number for each pivot, and ``-1 - width`` where the width has no pivots."""
 
-def join(rows: DataFrame, k: int, every: int, key: str = "vec_id", vector: str = "vector", pivots: int = PIVOTS) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            width = pdf["v"].map(len).to_numpy() if len(pdf) else np.zeros(0, dtype=np.int64)
+            cell, distance, norm = -1 - width.astype(np.int64), np.zeros(len(pdf)), np.zeros(len(pdf))
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                x = matrix(pdf["v"].iloc[at], np.float64)
+                norm[at] = np.sqrt((x**2).sum(axis=1))
+                if w in spaces:
+                    near, distance[at] = nearest(x, spaces[w].pivots)
+                    cell[at] = spaces[w].first + near
+            yield pdf.assign(cell=cell, distance=distance, norm=norm)
+
+    return run
+
+
+def _route(spaces: dict[int, Space], k: int):
+    """The cells that each query has to be asked in."""
+
+    def run(batches):
+        for pdf in batches:
+            cells: list = [None] * len(pdf)
+            width = pdf["v"].map(len).to_numpy() if len(pdf) else np.zeros(0, dtype=np.int64)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                if w not in spaces:
+                    for i in at:
+                        cells[i] = np.array([-1 - w], dtype=np.int64)
+                    continue
+                s, x, ids = spaces[w], matrix(pdf["v"].iloc[at], np.float64), pdf["id"].to_numpy()[at]
+                wanted = most_scores(x, s.pivots, s.radius, s.norm) >= least_scores(ids, x, s.sample_ids, s.sample, k)[:, None]
+                for i, hit in zip(at, wanted & (s.radius >= 0)[None]):
+                    cells[i] = s.first + np.flatnonzero(hit)
+            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cells": cells})
+
+    return run
+
+
+def join(rows: DataFrame, k: int, every: int, key: str = "vec_id", vector: str = "vector", pivots: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for every key divisible by ``every``.
 
-    ``vector`` is an array of long. A row is no answer to a query of its own key. Rows
-    without a key or with null, empty or null-holding vectors take no part, nor do rows whose
-    vector has another length than the first of the sample; rows that repeat a key count
-    as often as they occur as answers and once as queries. An empty table gives no rows.
+    ``vector`` is an array of long. A row is no answer to a query of its own key, and
+    only vectors of one width have a product, so each width is a search of its own. Rows
+    without a key or with null, empty or null-holding vectors take no part; rows that
+    repeat a key count as often as they occur as answers and once as queries, with the
+    least vector. A score beyond 64 bits is clipped to them. An empty table gives no rows.
     """
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null)")
     rows = cut(rows, "vectors")
-    sample = rows.orderBy(F.xxhash64(F.lit("pivots"), F.col("v")), "id").limit(SAMPLE).select("v").toPandas()["v"]
-    width = len(sample.iloc[0]) if len(sample) else 0
-    rows = rows.where(F.size("v") == width)
-    points = pivots_of(np.stack([x for x in sample if len(x) == width]).astype(np.float64), pivots) if width else np.zeros((1, 0))
-
-    def cells(batches):
-        for pdf in batches:
-            if len(pdf):
-                cell, distance = nearest(matrix(pdf["v"], np.float64), points)
-                yield pdf.assign(cell=cell.astype("int32"), distance=distance)
-
-    placed = cut(rows.mapInPandas(cells, "id long, v array<bigint>, cell int, distance double"), "cells")
-    is_query = F.col("id") % every == 0
-    # a summary of each cell: a bounded number of rows whatever the table's size
-    close = Window.partitionBy("cell").orderBy("distance", "id")
-    nearby = placed.withColumn("nth", F.row_number().over(close)).where(F.col("nth") <= k + 1).groupBy("cell").agg(F.collect_list("distance").alias("close"))
-    data = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.max(F.when(is_query, F.col("distance"))).alias("query_radius"), F.count_if(is_query).alias("queries")).join(nearby, "cell").toPandas()
-    radius = np.full(len(points), -1.0)
-    groups = np.zeros(len(points), dtype=int)
-    for c, r, n in zip(data["cell"], data["query_radius"], data["queries"]):
-        if n:
-            radius[c], groups[c] = r, -(-n // QUERIES)
-    least = least_scores(points, radius, data, k)
-    asked = np.flatnonzero(radius >= 0)
-
-    def wanted(batches):
-        """The query cells that each data vector may be an answer in."""
-        p, r, need = points[asked], radius[asked], least[asked]
-        for pdf in batches:
-            if len(pdf) and len(asked):
-                x = matrix(pdf["v"], np.float64)
-                most = x @ p.T + np.sqrt((x**2).sum(axis=1))[:, None] * r[None]
-                most += SLACK * (1 + np.abs(most))
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cells": [asked[m].astype("int32") for m in most >= need[None]]})
-
-    offered = placed.select("id", "v").mapInPandas(wanted, "id long, v array<bigint>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
-    counts = offered.groupBy("cell").count().collect() if len(asked) else []  # a number for each pivot
-    parts = np.ones(len(points), dtype=int)
-    for c, n in counts:
-        parts[c] = max(1, -(-n // ROWS))
-    lot = lambda column, of: F.element_at(F.array(*map(F.lit, map(int, column))), of + 1)
-    share = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), n).cast("int")
-    # queries of a group meet every part of its data, data of a part every group of its queries
-    asks = placed.where(is_query).select("id", "v", "cell", share(lot(np.maximum(groups, 1), F.col("cell")), "q").alias("q"), F.explode(F.sequence(F.lit(0), lot(parts, F.col("cell")) - 1)).alias("d"))
-    offers = offered.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), lot(np.maximum(groups, 1), F.col("cell")) - 1)).alias("q"), share(lot(parts, F.col("cell")), "d").alias("d"))
+    total = {r[0]: r[1] for r in rows.groupBy(F.size("v")).count().orderBy(F.col("count").desc(), F.size("v")).limit(WIDTHS).collect()}
+    order = Window.partitionBy(F.size("v")).orderBy(F.xxhash64(F.lit("pivots"), F.col("v")), "id")
+    some = rows.where(F.size("v").isin(*total)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE).orderBy("nth").select("id", "v").toPandas() if total else pd.DataFrame({"id": [], "v": []})
+    spaces: dict[int, Space] = {}
+    first = 0
+    for w, n in sorted(total.items()):
+        mine = some[some["v"].map(len) == w]
+        sample, number = matrix(mine["v"], np.float64), pivots or min(MOST, max(FEWEST, n // ROWS_A_PIVOT))
+        points = pivots_of(sample, number)
+        spaces[w] = Space(first, points, mine["id"].to_numpy(), sample, np.full(len(points), -1.0), np.zeros(len(points)))
+        first += len(points)
+
+    # lots are dealt here and written, so a hot cell and a key with many rows are split alike in every retry
+    placed = rows.mapInPandas(_place(spaces), "id long, v array<bigint>, cell long, distance double, norm double")
+    placed = cut(placed.withColumn("deal", F.xxhash64(F.lit("deal"), F.monotonically_increasing_id())), "cells")
+    summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm"))
+    summary = cut(summary.withColumn("parts", F.ceil(F.col("n") / ROWS).cast("int")), "summaries")
+    for r in summary.where("cell >= 0").collect():  # a row for each pivot
+        s = next(s for s in spaces.values() if s.first <= r["cell"] < s.first + len(s.pivots))
+        s.radius[r["cell"] - s.first], s.norm[r["cell"] - s.first] = r["radius"], r["norm"]
+
+    asked = placed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    parts = summary.select("cell", "parts")
+    asks = (
+        asked.mapInPandas(_route(spaces, k), "id long, v array<bigint>, cells array<bigint>")
+        .select("id", "v", F.explode("cells").alias("cell"))
+        .join(parts, "cell")
+        .select("id", "v", "cell", F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("d"))
+    )
+    offers = (
+        placed.join(parts, "cell")
+        .select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), F.pmod("deal", F.col("parts")).cast("int").alias("d"))
+    )
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.drop_duplicates("id")
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         return top(a["id"].to_numpy(), matrix(a["v"], np.int64), b["id"].to_numpy(), matrix(b["v"], np.int64), k)
