@@ -2,14 +2,16 @@
 
 Pages with the same blocks are one page. Blocks are counted over all different pages of a
 host; the trees of some of them are aligned by simple tree matching. Aligned nodes of one
-text that nearly all pages have are template. Every page of the host is then read through
-that wrapper: marked boilerplate and template go, all else stays.
+text that nearly all pages have are template, whatever their tags. What varies is content,
+but for regions whose labels say that they are comments, adverts, menus or the like. Both
+make the host's wrapper, and every page is read through its host's wrapper alone: of a
+page's tags only those that never hold text (head, script, form controls, hidden nodes)
+are left out beforehand.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import cut
+from paperloom.llm.common import cut, join_skewed
 
 #: Different pages of a host whose trees are aligned; what they propose is counted over all pages.
 SAMPLE = 8
@@ -39,9 +41,11 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - frozenset("caption dd dt li tbody td tfoot th thead tr html body".split()) | {"p"}
 #: A start tag closes open elements of these, up to one of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements that are never part of an article.
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu search".split())
-#: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
+#: Elements whose text no reader of a page sees as text.
+NEVER = frozenset("head title script style noscript template button select textarea input iframe object svg canvas".split())
+#: Elements that mark a region: what varies between pages there is no article.
+REGIONS = frozenset("nav footer aside form dialog menu search".split())
+#: Words of a class, id or role that mark such regions: menus, headers, footers, sidebars, notices, adverts, forms and comments.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sidebar aside menu nav navbar navigation breadcrumb breadcrumbs"
     " footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social related"
@@ -51,14 +55,15 @@ _WORDS = re.compile(r"[^A-Za-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "dropped", "children")
+    __slots__ = ("tag", "label", "dropped", "region", "children")
 
     def __init__(self, tag: str, names: str = "", hidden: bool = False):
         words = [w.lower() for w in _WORDS.split(names) if w]
         self.tag, self.children = tag, []
-        self.label = f"{tag}.{words[0]}" if words else tag
-        marked = tag not in ("html", "body", "main", "article") and any(w in MARKED for w in words)
-        self.dropped = tag in DROPPED or marked or hidden
+        marks = sorted({w for w in words if w in MARKED}) if tag not in ("html", "body", "main", "article") else []
+        self.label = ".".join((tag, *(words[:1] if words and words[0] not in marks else ()), *marks))
+        self.dropped = tag in NEVER or hidden
+        self.region = bool(marks) or tag in REGIONS
 
 
 class _Builder(HTMLParser):
@@ -89,7 +94,7 @@ class _Builder(HTMLParser):
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
         node = Node(tag, f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}", hidden)
         if tag == "header" and not self.opened["article"] and not self.opened["main"]:
-            node.dropped = True
+            node.region = True
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -115,27 +120,31 @@ def parse(html: str | None) -> Node:
     return b.root
 
 
-def blocks(root: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(label path, text) of every block under ``root`` that is not dropped, in page order."""
+def blocks(root: Node) -> Iterator[tuple[tuple[str, ...], str, str]]:
+    """(label path, region, text) of every block that is not dropped, in page order.
+
+    The region is the label of the outermost marked element around the block, empty
+    without one. A region's text is a block of its own, also inside a line.
+    """
     parts: list[str] = []
-    at: list[tuple[str, ...]] = [path]
+    at: list[tuple] = [((), "")]
 
     def flush():
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            yield at[0], text
+            yield *at[0], text
 
     # a stack and no recursion, for pages may be nested deeply
-    stack: list = [(root, path, iter(root.children))]
+    stack: list = [(root, (), "", iter(root.children))]
     while stack:
-        node, where, rest = stack[-1]
+        node, where, region, rest = stack[-1]
         child = next(rest, None)
         if child is None:
             stack.pop()
-            if node.tag in BLOCK:
+            if stack and (node.tag in BLOCK or region != stack[-1][2]):
                 yield from flush()
-                at[0] = stack[-1][1] if stack else path
+                at[0] = stack[-1][1:3]
             continue
         if isinstance(child, str):
             parts.append(child)
@@ -143,13 +152,14 @@ def blocks(root: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str,
             parts.append(" ")
         elif not child.dropped:
             below = (*where, child.label) if len(where) < DEEP else where
-            if child.tag in BLOCK:
+            inside = region or (child.label if child.region else "")
+            if child.tag in BLOCK or inside != region:
                 yield from flush()
-                at[0] = below
-            stack.append((child, below, iter(child.children)))
+                at[0] = (below, inside)
+            stack.append((child, below, inside, iter(child.children)))
         elif child.tag in BLOCK:
             yield from flush()
-            at[0] = where
+            at[0] = (where, region)
     yield from flush()
 
 
@@ -262,7 +272,7 @@ def _own_texts(node: Node) -> set[str]:
             out.append(c)
         elif c.tag == "br":
             out.append(" ")
-        elif c.tag in BLOCK:
+        elif c.tag in BLOCK or c.region:
             found.add(" ".join("".join(out).split()))
             out.clear()
         elif not c.dropped:
@@ -297,16 +307,20 @@ def slot(path: tuple[str, ...], text: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join((*path, "", text)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def content(html: str | None) -> tuple[int, dict[int, int]]:
-    """A hash of all blocks of a page, and the length of each different one by its hash."""
-    found = [(slot(p, t), len(t)) for p, t in blocks(parse(html))]
-    return int.from_bytes(hashlib.blake2b(repr([s for s, _ in found]).encode(), digest_size=8).digest(), "big", signed=True), dict(found)
+def _hash(slots: list[int]) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(slots).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def content(html: str | None) -> tuple[int, int, list[dict]]:
+    """Hashes of a page's blocks outside regions and of all its blocks, and the blocks: slot, region and text."""
+    found = [{"slot": slot(p, t), "region": r, "text": t} for p, r, t in blocks(parse(html))]
+    return _hash([x["slot"] for x in found if not x["region"]]), _hash([x["slot"] for x in found]), found
 
 
 def extract(html: str | None, wrapper: dict) -> str:
-    """The page's blocks outside marked boilerplate that are no template, one to a line."""
-    template = {(tuple(p), t) for p, t in wrapper["template"]}
-    return "\n".join(t for p, t in blocks(parse(html)) if (p, t) not in template)
+    """The blocks of a page that are neither the wrapper's template nor in one of its regions, one to a line."""
+    template, regions = {(tuple(p), t) for p, t in wrapper["template"]}, set(wrapper["regions"])
+    return "\n".join(t for p, r, t in blocks(parse(html)) if r not in regions and (p, t) not in template)
 
 
 def host_of(url: Column) -> Column:
@@ -319,59 +333,68 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     Pages without a host share one wrapper. Null, empty or text-free pages have an empty
     text. A text is template where ``AGREE`` of all different pages of its host have it in
     one place, and two at least; pages with the same blocks are one page, so copies of a
-    page are no evidence. Where what agrees is nearly all text of a host, its pages are
-    near copies and nothing is template. Only the alignment, which proposes texts, reads
-    ``sample`` pages. A rerun reads alike. An empty table gives an empty table; other
-    columns are left out.
+    page are no evidence. Where what agrees outside marked regions is nearly all text
+    there, the pages are near copies and only what agrees in regions is template. A marked
+    region with text that is not template goes whole; so it does on hosts of one
+    different page, which nothing can be aligned with. Only the alignment, which proposes
+    texts, reads ``sample`` pages. A rerun reads alike. An empty table gives an empty
+    table; other columns are left out.
     """
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", host_of(F.col("url")))
-    hashed = rows.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("at"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found: dict[tuple[str, int], tuple[int, dict[int, int]]] = {}
-            for host, html_, at in zip(pdf["host"], pdf["html"], pdf["at"]):
-                page, slots = content(html_)
-                if slots and ((host, page) not in found or at < found[host, page][0]):
-                    found[host, page] = at, slots
-            yield pd.DataFrame([(h, p, at, list(x), list(x.values())) for (h, p), (at, x) in found.items()], columns=["host", "page", "at", "slots", "sizes"])
-
-    counted = hashed.mapInPandas(count, "host string, page long, at long, slots array<long>, sizes array<int>")
-    different = cut(counted.groupBy("host", "page").agg(F.min("at").alias("at"), F.first("slots").alias("slots"), F.first("sizes").alias("sizes")), "different_pages")
-    of_host = different.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("chars"))
-    each = different.select("host", F.explode(F.arrays_zip("slots", "sizes")).alias("x")).groupBy("host", F.col("x.slots").alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.first("x.sizes").alias("size"))
-    common = each.where("c > 1").join(of_host, "host").where(F.col("c") >= AGREE * F.col("n"))
-    common = common.groupBy("host").agg(F.collect_set("slot").alias("common"), F.sum(F.col("c") * F.col("size")).alias("agreed"), F.first("chars").alias("chars"))
-    common = cut(common.where(F.col("agreed") <= COPIES * F.col("chars")).select("host", "common"), "common_texts")
-    order = Window.partitionBy("host").orderBy("page")
-    chosen = different.select("host", "page", "at").join(common.select("host"), "host", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
-    some = hashed.join(chosen, ["host", "at"]).groupBy("host", "nth").agg(F.min("html").alias("html")).join(common, "host")
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("nth")
-        agreed = set(pdf["common"].iloc[0])
-        template = [[p, t] for p, t in induce(list(pdf["html"]))["template"] if slot(tuple(p), t) in agreed]
-        return pd.DataFrame({"host": pdf["host"].iloc[:1].to_numpy(), "wrapper": [json.dumps({"template": template})]})
-
-    wrappers = cut(some.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", host_of(F.col("url"))).withColumn("at", F.xxhash64("html"))
     kind = dict(rows.dtypes)["key"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
         for pdf in batches:
-            texts = []
-            for html_, w in zip(pdf["html"], pdf["wrapper"]):
-                if w not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[w] = json.loads(w) if w else {"template": []}
-                texts.append(extract(html_ if isinstance(html_, str) else None, known[w]))
-            yield pd.DataFrame({"key": pdf["key"], "url": pdf["url"], "text": texts})
+            found = [content(h if isinstance(h, str) else None) for h in pdf["html"]]
+            yield pdf.drop(columns="html").assign(page=[p for p, _, _ in found], full=[f for _, f, _ in found], blocks=[x for _, _, x in found])
 
     # the key travels as text, as pandas turns longs with nulls into doubles
-    sent = rows.join(wrappers, "host", "left").select(F.col("key").cast("string").alias("key"), "url", "html", F.coalesce("wrapper", F.lit("")).alias("wrapper"))
-    out = sent.mapInPandas(read, "key string, url string, text string")
-    return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+    sent = rows.withColumn("key", F.col("key").cast("string"))
+    parsed = cut(sent.mapInPandas(read, "key string, url string, host string, at long, page long, full long, blocks array<struct<slot:long,region:string,text:string>>"), "blocks")
+
+    slots = F.array_distinct(F.transform("blocks", lambda x: F.struct(x["slot"].alias("slot"), F.length(x["text"]).alias("size"), x["region"].alias("region"))))
+    # pages with the same blocks are one page; outside regions those of a region do not tell pages apart
+    whole = cut(parsed.where(F.size("blocks") > 0).groupBy("host", "full").agg(F.min("page").alias("page"), F.min("at").alias("at"), F.first(slots).alias("slots")), "whole_pages")
+    free = F.filter("slots", lambda x: x["region"] == "")
+    different = cut(whole.groupBy("host", "page").agg(F.min("at").alias("at"), F.first(free).alias("slots")), "different_pages")
+    chars = F.sum(F.aggregate("slots", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
+
+    def counted(pages_: DataFrame, of: Column) -> DataFrame:
+        n = pages_.groupBy("host").agg(F.count(F.lit(1)).alias("n"), chars.alias("chars"))
+        return pages_.select("host", F.explode(of).alias("x")).groupBy("host", "x.slot", "x.region").agg(F.count(F.lit(1)).alias("c"), F.first("x.size").alias("size")).join(n, "host")
+
+    each = counted(different, F.col("slots")).unionByName(counted(whole, F.filter("slots", lambda x: x["region"] != "")).withColumn("chars", F.lit(0).cast("long")))
+    agrees = (F.col("c") > 1) & (F.col("c") >= AGREE * F.col("n"))
+    outside = agrees & (F.col("region") == "")
+    told = (
+        each.groupBy("host")
+        .agg(
+            F.collect_set(F.when(agrees, F.struct("slot", "region"))).alias("common"),
+            F.collect_set(F.when(~agrees & (F.col("region") != ""), F.col("region"))).alias("regions"),
+            (F.coalesce(F.sum(F.when(outside, F.col("c") * F.col("size"))), F.lit(0)) <= COPIES * F.max("chars")).alias("template"),
+        )
+    )
+    common = F.filter("common", lambda x: F.col("template") | (x["region"] != ""))
+    told = cut(told.select("host", common.alias("common"), "regions"), "common_texts")
+    order = Window.partitionBy("host").orderBy("page")
+    chosen = different.select("host", "page", "at").join(told.where(F.size("common") > 0).select("host"), "host", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    some = rows.select("host", "at", "html").join(chosen, ["host", "at"]).groupBy("host", "nth").agg(F.min("html").alias("html")).join(told, "host")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("nth")
+        agreed = {x["slot"] for x in pdf["common"].iloc[0]}
+        template = [x for p, t in induce(list(pdf["html"]))["template"] if (x := slot(tuple(p), t)) in agreed]
+        return pd.DataFrame({"host": pdf["host"].iloc[:1].to_numpy(), "template": [template]})
+
+    templates = some.groupBy("host").applyInPandas(learn, "host string, template array<long>")
+    # a region with a text that no alignment proposes goes whole, too
+    wrappers = told.join(templates, "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    alone = F.transform(F.filter("common", lambda x: (x["region"] != "") & ~F.array_contains("template", x["slot"])), lambda x: x["region"])
+    wrappers = cut(wrappers.select("host", "template", F.array_distinct(F.concat("regions", alone)).alias("regions")), "wrappers")
+    out = join_skewed(parsed, wrappers, "host", "left")
+    kept = F.filter("blocks", lambda x: ~F.coalesce(F.array_contains("regions", x["region"]) | F.array_contains("template", x["slot"]), F.lit(False)))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
+    return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def digest(pages: DataFrame) -> DataFrame:
