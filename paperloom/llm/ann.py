@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut
-from paperloom.llm.vectors import matrix, row_sample, usable
+from paperloom.llm.vectors import matrix, usable
 
 CODEBOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that the codebooks are learned from.
 SAMPLE = 16_384
 #: Answers by look-up that are ranked by exact distance, for each query.
 SHORTLIST = 200
-QUERIES, ROWS = 256, 65_536
+#: Queries and rows that one group holds, on average: the index is shuffled once for so many queries, each query once for so many rows.
+QUERIES, ROWS = 16_384, 65_536
 
 
 def learn(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: int = 8) -> np.ndarray:
@@ -36,15 +37,28 @@ def learn(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, ro
         for _ in range(rounds):
             near = (-2 * rest @ book.T + (book**2).sum(axis=1)).argmin(axis=1)
             size = np.bincount(near, minlength=words)
-            sums = np.zeros_like(book)
-            np.add.at(sums, near, rest)
-            book = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], book).astype(np.float32)
+            some = np.flatnonzero(size)
+            book[some] = np.add.reduceat(rest[np.argsort(near, kind="stable")], (np.cumsum(size) - size)[some], axis=0) / size[some, None]
         near = (-2 * rest @ book.T + (book**2).sum(axis=1)).argmin(axis=1)
         rest = rest - book[near]
         out.append(book)
     return np.stack(out)
 
 
+def learned(rows: DataFrame, vector: str, sample_rows: int, codebooks: int) -> np.ndarray:
+    """Codebooks from the ``sample_rows`` rows of the smallest hashes, learned by an executor; the driver gets the books alone."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = [matrix(pdf["v"], np.float64) for pdf in batches if len(pdf)]
+        if sample:
+            books = learn(np.concatenate(sample), codebooks)
+            yield pd.DataFrame({"books": [books.tobytes()], "words": [books.shape[1]], "width": [books.shape[2]]})
+
+    order = (F.xxhash64(F.lit("codebooks"), F.col(vector)), F.col(vector))
+    found = rows.select(F.col(vector).alias("v")).orderBy(*order).limit(sample_rows).coalesce(1).mapInPandas(fit, "books binary, words int, width int").first()
+    return np.frombuffer(found["books"], dtype=np.float32).reshape(-1, found["words"], found["width"])
+
+
 def encode(rows: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (row x codebook) and squared norms of the sums they stand for."""
     rows = rows.astype(np.float32)
@@ -91,7 +105,7 @@ def search(rows: DataFrame, k: int, every: int, key: str = "vec_id", vector: str
     widths = {r[0]: r[1] for r in rows.groupBy(F.size("v")).count().collect()}
     width = max(widths, key=lambda w: (widths[w], -w)) if widths else 0
     rows = rows.where(F.size("v") == width)
-    books = learn(row_sample(rows, "v", sample_rows, "codebooks"), codebooks) if width else np.zeros((1, 1, 1), dtype=np.float32)
+    books = learned(rows, "v", sample_rows, codebooks) if width else np.zeros((1, 1, 1), dtype=np.float32)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
