@@ -1,9 +1,12 @@
 """Packing documents into sequences by lexical retrieval.
 
-Documents are dealt into shards of bounded size by a hash, so a source of any share is
-spread evenly. A shard has a BM25 inverted index of its documents; a seed takes the best
-unused neighbours that still fit into its window, and then as much of the next best as
-fills it to the last token.
+Texts are encoded once; the table of ids gives document frequencies and the mean length of
+all documents. A document's shard comes from its content: all terms have one random order
+in which rare terms tend to come first, and the first of a document's terms leads it, so
+documents of one shard share a telling term. A shard has a BM25 inverted index of its
+documents with the weights of the whole corpus; a seed takes its best unused neighbours
+in their order, and of the first that does not fit as much as fills the window to the last
+token. Terms that lead more documents than a shard holds have several shards.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import json
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,19 +26,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import cut
 from paperloom.llm.token_counts import byte_letters
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 #: The id that ends every document.
 END = 1
-#: Characters that a shard holds, on average; its index fits into one task's memory.
-SHARD_CHARS = 4_000_000
+#: Tokens that a shard holds, on average; its index fits into one task's memory.
+SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
 #: Chunks between white space whose ids a worker remembers.
 REMEMBERED = 800_000
-#: Neighbours that are ranked at once; the rest are ranked only if these do not fill a window.
-RANKED = 64
+#: Neighbours that are ranked at once; more are ranked, twice as many each time, until a window is full.
+RANKED = 32
+#: Tasks that add up the document frequencies, each a number for every id of the vocabulary.
+ADDERS = 32
 
 #: White space beyond ASCII, and what only Python's own split takes for it: such texts go another way.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -57,6 +64,9 @@ class Ids:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
         #: The merges alone, for chunks that are one piece of lower-case letters and need no normaliser.
         self.model = models.BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=spec["end_of_word_suffix"], cache_capacity=0)
+        #: Ids there are, the added ones among them, and the type that holds them.
+        self.words = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = _kind(self.words)
         self.letters = [letter for letter, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
         self.forget()
 
@@ -164,40 +174,67 @@ def encoder(vocabulary: str) -> Ids:
     return _encoders[vocabulary]
 
 
+def counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and frequency of every different term of every document, in that order."""
+    if not docs:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    key = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, [len(d) for d in docs])
+    key |= np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    tf, key = np.diff(np.append(first, len(key))), key[first]
+    return (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.uint32), tf
+
+
+def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
+
+
+def leading_order(idf: np.ndarray) -> np.ndarray:
+    """The place of each term: random and fixed, weightier terms first in proportion; the number of terms for weightless ones."""
+    u = (_spread(np.arange(len(idf), dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) + 0.5
+    late = np.where(idf > 0, -np.log(u * 2.0**-53) / np.maximum(idf, 1e-300), np.inf)
+    place = np.empty(len(idf), dtype=np.int32)
+    place[np.argsort(late, kind="stable")] = np.arange(len(idf), dtype=np.int32)
+    place[idf <= 0] = len(idf)
+    return place
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 class Index:
     """A BM25 inverted index of documents given as ids; the ids are the terms.
 
-    A term in more than half of the documents has no weight, as its inverse document
-    frequency is not positive, and no postings.
+    ``idf`` (of each id) and ``mean`` (length) are of the whole corpus, without them of
+    ``docs``. A term in more than half of the documents has no weight, as its inverse
+    document frequency is not positive, and no postings.
     """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         n = self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        key = np.repeat(np.arange(n, dtype=np.int64) << 32, sizes)
-        key |= np.concatenate(docs)
-        key.sort()  # by document, then term
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        tf, key = np.diff(np.append(first, len(key))), key[first]
-        doc, term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.uint32)
+        doc, term, tf = counts(docs)
+        if idf is None:
+            idf = inverse_frequencies(np.bincount(term, minlength=1), n)
+        heavy = idf[term] > 0
+        doc, term, tf = doc[heavy], term[heavy], tf[heavy]
         # 16 bits, where they hold all terms, are sorted by radix
-        order = np.argsort(term.astype(np.uint16) if term.max() < 1 << 16 else term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if len(idf) <= 1 << 16 else term, kind="stable")
         sorted_ = term[order]
-        start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        df = np.diff(np.append(start, len(sorted_)))
-        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
-        heavy = idf > 0
-        number = np.full(int(sorted_[-1]) + 1, -1, dtype=np.int32)
-        number[sorted_[start[heavy]]] = np.arange(heavy.sum(), dtype=np.int32)
-        order = order[np.repeat(heavy, df)]
-        df, idf = df[heavy], idf[heavy]
-        self.start, self.df = np.cumsum(df) - df, df
+        start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(term) else np.zeros(0, dtype=np.int64)
+        self.start, self.df = start, np.diff(np.append(start, len(sorted_)))
         self.doc, tf = doc[order].astype(np.int64), tf[order]
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / sizes.mean()))
+        self.weight = idf[sorted_] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / (mean or sizes.mean())))
         # the terms of each document, to ask with
-        terms = number[term]
-        self.terms = terms[terms >= 0]
-        self.ends = np.cumsum(np.bincount(doc[terms >= 0], minlength=n))
+        number = np.zeros(len(idf), dtype=np.int32)
+        number[sorted_[start]] = np.arange(len(start), dtype=np.int32)
+        self.terms = number[term]
+        self.ends = np.cumsum(np.bincount(doc, minlength=n))
 
     def forget(self, unused: np.ndarray) -> None:
         """Leave used documents out of the postings: they are no neighbours any more."""
@@ -218,17 +255,20 @@ class Index:
         return np.bincount(self.doc[from_], weights=self.weight[from_], minlength=self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], window: int = WINDOW, idf: np.ndarray | None = None, mean: float | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold every id of ``docs`` once.
 
     All sequences are full but for the last tokens of all; these are cut into sequences
-    whose lengths are powers of two, which need no padding.
+    whose lengths are powers of two, which need no padding. Equal documents do not start
+    in one window as long as there are others.
     """
     if not docs:
         return []
-    index, sizes = Index(docs), np.array([len(d) for d in docs])
+    index, sizes = Index(docs, idf, mean), np.array([len(d) for d in docs])
+    same: dict[bytes, int] = {}
+    twin = [same.setdefault(d.tobytes(), i) for i, d in enumerate(docs)]
     unused = np.ones(len(docs), dtype=bool)
-    postings_for = len(docs)
+    postings_for = left = len(docs)
     out: list[list[tuple[int, int, int]]] = []
     open_: list[tuple[int, int, int]] = []
     seed, begin, after = -1, 0, 0
@@ -240,6 +280,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
                 break
             seed, begin = after, 0
             unused[seed] = False
+            left -= 1
         # the seed's whole windows, then what is left of it
         while sizes[seed] - begin >= window:
             out.append([(seed, begin, window)])
@@ -247,37 +288,33 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
         if begin == sizes[seed]:
             seed = -1
             continue
-        open_, room = [(seed, begin, int(sizes[seed] - begin))], window - int(sizes[seed] - begin)
-        if (left := int(unused.sum())) < 0.7 * postings_for:
+        open_, room, inside = [(seed, begin, int(sizes[seed] - begin))], window - int(sizes[seed] - begin), {twin[seed]}
+        if left < 0.7 * postings_for:
             index.forget(unused)
             postings_for = left
-        score = np.where(unused, index.scores(seed), -1.0)
-        seed = -1
-        cut = -1
-        for ranked in _ranked(score):
-            for d in ranked:
-                if sizes[d] <= room:
-                    open_.append((int(d), 0, int(sizes[d])))
-                    unused[d] = False
-                    room -= int(sizes[d])
-                    if not room:
-                        break
-                elif cut < 0:
-                    cut = int(d)  # the best that does not fit
-            if not room or cut >= 0:
+        ranked, twins, seed = _ranked(np.where(unused, index.scores(seed), -1.0)), [], -1
+        for d, last in chain(((d, False) for d in ranked), _rest(twins)):
+            if twin[d] in inside and not last:
+                twins.append(d)
+                continue
+            take = min(room, int(sizes[d]))
+            open_.append((d, 0, take))
+            unused[d] = False
+            left -= 1
+            inside.add(twin[d])
+            room -= take
+            if take < sizes[d]:
+                seed, begin = d, take
+            if not room:
                 break
-        if room and cut >= 0:
-            open_.append((cut, 0, room))
-            unused[cut] = False
-            seed, begin, room = cut, room, 0
         if not room:
             out.append(open_)
             open_ = []
     if open_:
-        left = sum(n for _, _, n in open_)
-        while left:
-            size, part = 1 << (left.bit_length() - 1), []
-            left -= size
+        rest = sum(n for _, _, n in open_)
+        while rest:
+            size, part = 1 << (rest.bit_length() - 1), []
+            rest -= size
             while size:
                 d, s, n = open_.pop(0)
                 take = min(n, size)
@@ -289,48 +326,121 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
     return out
 
 
-def _ranked(score: np.ndarray):
-    """Unused documents by falling score, ties by position: first a few, then all."""
-    candidates = np.flatnonzero(score >= 0)
-    if len(candidates) > 4 * RANKED:
-        floor = np.partition(score[candidates], len(candidates) - RANKED)[len(candidates) - RANKED]
-        top = candidates[score[candidates] > floor]
-        yield top[np.argsort(-score[top], kind="stable")]
-        candidates = candidates[score[candidates] <= floor]
-    yield candidates[np.argsort(-score[candidates], kind="stable")]
+def _rest(twins: list[int]) -> Iterator[tuple[int, bool]]:
+    """What the list holds by the time it is asked for."""
+    yield from ((d, True) for d in twins)
+
+
+def _ranked(score: np.ndarray) -> Iterator[int]:
+    """Documents of no negative score by falling score, ties by position: some, then more and more."""
+    candidates, some = np.flatnonzero(score >= 0), RANKED
+    while len(candidates):
+        top, rest = candidates, candidates[:0]
+        if len(candidates) > 2 * some:
+            own = score[candidates]
+            above = own >= np.partition(own, len(own) - some)[len(own) - some]
+            top, rest = candidates[above], candidates[~above]
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        candidates, some = rest, 2 * some
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, vocabulary: str = VOCABULARY, shard_chars: int = SHARD_CHARS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row for each piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``with_ids`` adds the ids themselves. A null or empty text is its end id alone.
-    Repeated rows are documents of their own. A text of any length is cut into as many
-    windows as it needs. An empty table gives an empty table; other columns are left out.
-    Shards are made of hashes of keys and texts, so a rerun packs alike.
+    Repeated rows are documents of their own, in other windows as long as there are
+    other documents. A text of any length is cut into as many windows as it needs. An
+    empty table gives an empty table; other columns are left out. Shards are made of
+    contents, so a rerun over the same files packs alike.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "key", F.when(F.col("key").isNull(), F.col("text"))), F.lit(shards).cast("long"))
-    kind = dict(rows.dtypes)["key"]
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    kind = dict(docs.select(key).dtypes)[key]
+
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The ids of every text, and at the end of a partition in how many texts each id is."""
+        of = encoder(vocabulary)
+        df = np.zeros(of.words, dtype=np.int64)
+        for pdf in batches:
+            ids = of.encode([t if isinstance(t, str) else None for t in pdf["text"]])
+            df += np.bincount(counts(ids)[1], minlength=of.words)
+            yield pd.DataFrame({"key": pdf["key"], "ids": [x.astype(of.kind).tobytes() for x in ids], "df": None, "n": [len(x) for x in ids]})
+        of.forget()
+        yield pd.DataFrame({"key": [None], "ids": [None], "df": [df.tobytes()], "n": [0]})
+
+    # the table is written, so the numbers that deal the documents of a hot term are fixed
+    encoded = cut(rows.mapInPandas(tokenise, "key string, ids binary, df binary, n int").withColumn("deal", F.monotonically_increasing_id()), "ids")
+    found = encoded.where("ids is not null").select("key", "ids", "n", "deal")
+    total = found.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
+    if not total["docs"]:
+        return encoded.sparkSession.createDataFrame([], _schema(key, kind, with_ids))
+    added = encoded.where("df is not null").select("df").coalesce(ADDERS).mapInPandas(_added, "df binary").collect()
+    idf = inverse_frequencies(sum(np.frombuffer(r["df"], dtype=np.int64) for r in added), total["docs"])
+    place, mean, stored = leading_order(idf), total["tokens"] / total["docs"], _kind(len(idf))
+
+    def led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tokens of the documents that each term leads, in one partition."""
+        tokens = np.zeros(len(place) + 1, dtype=np.int64)
+        for pdf in batches:
+            np.add.at(tokens, [int(place[np.frombuffer(x, dtype=stored)].min()) for x in pdf["ids"]], pdf["n"].to_numpy())
+        at = np.flatnonzero(tokens)
+        yield pd.DataFrame({"lead": at, "tokens": tokens[at]})
+
+    sizes = np.zeros(len(place) + 1, dtype=np.int64)
+    for r in found.select("ids", "n").mapInPandas(led, "lead int, tokens long").groupBy("lead").agg(F.sum("tokens").alias("tokens")).collect():  # a row for each id at most
+        sizes[r["lead"]] = r["tokens"]
+    first, parts = shards_of(sizes, shard_tokens)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lead = np.array([int(place[np.frombuffer(x, dtype=stored)].min()) for x in pdf["ids"]], dtype=np.int64)
+            lot = _spread(pdf["deal"].to_numpy().astype(np.uint64)) % parts[lead].astype(np.uint64)
+            yield pdf.assign(shard=first[lead] + lot.astype(np.int64))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values(["key", "text"], kind="stable", na_position="last")
-        ids, keys = encoder(vocabulary).encode([t if isinstance(t, str) else None for t in pdf["text"]]), pdf["key"].to_numpy()
-        found = []
-        for n, pieces in enumerate(fill(ids, window)):
+        pdf = pdf.sort_values(["key", "deal"], kind="stable", na_position="last")
+        ids, keys = [np.frombuffer(x, dtype=stored).astype("<u4") for x in pdf["ids"]], pdf["key"].to_numpy()
+        out = []
+        for n, pieces in enumerate(fill(ids, window, idf, mean)):
             offset = 0
             for d, s, size in pieces:
                 part = ids[d][s : s + size]
-                found.append((keys[d], s, size, zlib.crc32(part.tobytes()), len(ids[d]), (number << 32) + n, offset, *([part.astype("int32")] if with_ids else [])))
+                out.append((keys[d], s, size, zlib.crc32(part.tobytes()), len(ids[d]), (number << 32) + n, offset, *([part.astype("int32")] if with_ids else [])))
                 offset += size
-        return pd.DataFrame(found, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])])
+        return pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])])
 
-    schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    sent = found.mapInPandas(dealt, "key string, ids binary, n int, deal long, shard long").drop("n")
     # the key travels as text, as pandas turns longs with nulls into doubles
-    sent = rows.withColumn("shard", shard).withColumn("key", F.col("key").cast("string"))
-    return sent.groupBy("shard").applyInPandas(run, schema).withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
+    return sent.groupBy("shard").applyInPandas(run, _schema("key", "string", with_ids)).withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
+
+
+def _schema(key: str, kind: str, with_ids: bool) -> str:
+    return f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+
+
+def _kind(words: int) -> str:
+    """The smallest unsigned integers that hold the ids of a vocabulary."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = [sum(np.frombuffer(x, dtype=np.int64) for x in pdf["df"]) for pdf in batches if len(pdf)]
+    if found:
+        yield pd.DataFrame({"df": [sum(found).tobytes()]})
+
+
+def shards_of(sizes: np.ndarray, shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of the documents that each term leads.
+
+    Terms follow one another into shards of about ``shard_tokens`` tokens; one that leads
+    more has shards of its own.
+    """
+    parts = np.maximum(1, -(-sizes // shard_tokens))
+    small = np.where(parts == 1, sizes, 0)
+    ahead = np.cumsum(small) - small
+    shared = ahead // shard_tokens
+    own = int(shared.max(initial=0)) + 1 + np.cumsum(np.where(parts > 1, parts, 0)) - parts
+    return np.where(parts > 1, own, shared), parts
 
 
 def digest(docs: DataFrame) -> DataFrame:
