@@ -16,10 +16,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import fresh
+
 UNKNOWN = "und"
 LEVEL = 6
-#: Bounds of the labelled sample that a dictionary is made of: documents a language, characters a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 192, 1200
+#: Bound of the labelled sample that a dictionary is made of: documents of a language, whole texts.
+#: Longer documents are in it only where a language has no others, and then one of them.
+SAMPLE_DOCS, LONG = 128, 1 << 16
+#: Languages that are learned, those with most labelled rows.
+LANGUAGES = 256
 #: Bytes of a text that are encoded at once; each block starts from the dictionary, so the margin does not shrink with length.
 BLOCK = 8192
 #: Least share by which the second encoding must be larger; texts below it are rejected.
@@ -49,20 +54,24 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> Model:
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = SAMPLE_DOCS, long: int = LONG) -> Model:
     """Dictionaries from rows that are not held out and have a label, a key and a text.
 
-    The sample is bounded: of each language the ``docs_each`` rows whose key has the
-    smallest hash, ``chars_each`` characters each. The window sends no more than that
-    from any partition and the driver gets no more than that for each language.
+    The sample is bounded by rows: of each of at most ``LANGUAGES`` languages the
+    ``docs_each`` rows whose key has the smallest hash, with their whole texts. Rows of more
+    than ``long`` characters are no sample rows, but for the one of the smallest hash where a
+    language has nothing shorter. The window sends no more than that from any partition.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(key)))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.select(F.col(lang).alias("lang"), F.substring(text, 1, chars_each).alias("text"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_each)
-    found = sample.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("data")).collect()
-    rows_of = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    found = sorted(found, key=lambda r: (-rows_of[r["lang"]], r["lang"]))
-    return Model(tuple(r["lang"] for r in found), tuple(encoded(r["data"]) for r in found))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(key))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    known = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    if not known:
+        return Model((), ())
+    is_long = F.length("text") > long
+    order = Window.partitionBy("lang").orderBy("is_long", "h", "text")
+    sample = rows.where(F.col("lang").isin([r[0] for r in known])).select("lang", "text", is_long.alias("is_long"), F.xxhash64(F.lit("language"), F.col("key")).alias("h")).withColumn("nth", F.row_number().over(order))
+    sample = sample.where((F.col("nth") <= docs_each) & (~F.col("is_long") | (F.col("nth") == 1)))
+    found = {r[0]: r[1] for r in sample.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("data")).collect()}
+    return Model(tuple(r[0] for r in known), tuple(encoded(found[r[0]]) for r in known))
 
 
 def encoded(text: str) -> bytes:
@@ -96,9 +105,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
                 rows.append((names[sizes[0][1]], score, score < margin))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected", "__lang")]
-    out = docs.select(*own, predict(F.col(text)).alias("__lang"))
-    return out.select(*own, "__lang.lang_pred", "__lang.score", "__lang.rejected")
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    (lang,) = fresh(own, "lang")
+    out = docs.select(*own, predict(F.col(text)).alias(lang))
+    return out.select(*own, f"{lang}.lang_pred", f"{lang}.score", f"{lang}.rejected")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -107,6 +117,8 @@ def digest(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: rows whose language is certain enough, with their own columns."""
-    return identify(docs, learn(docs)).where(~F.col("rejected")).select(*docs.columns)
+def keep_known(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose language is certain enough, with their own columns, whatever their names."""
+    (row,) = fresh([text], "row")
+    found = identify(docs.select(F.struct(*docs.columns).alias(row), F.col(text)), learn(docs), text)
+    return found.where(~F.col("rejected")).select(*(F.col(row)[c].alias(c) for c in docs.columns))
