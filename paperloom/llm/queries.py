@@ -6,24 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from paperloom.llm import ann, chat, html, knn, language, mixing, near_dup, packing, pii, token_counts
-from paperloom.llm.common import table
+from paperloom.llm import ann, chat, html, knn, language, mixing, near_dup, packing, pii, pipeline, token_counts
+from paperloom.llm.common import bounded_batches, table
+
+
+def _over(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over a whole table, with batches of bounded size on the way to Python."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        bounded_batches(spark)
+        return digest(table(spark, d, name))
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_near_dup": lambda spark, d: near_dup.digest(table(spark, d, "documents")),
-        "op2_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
-        "op3_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
-        "op4_chat": lambda spark, d: chat.digest(table(spark, d, "conversations")),
-        "op5_knn": lambda spark, d: knn.digest(table(spark, d, "embeddings")),
-        "op6_html": lambda spark, d: html.digest(table(spark, d, "pages")),
-        "op7_ann": lambda spark, d: ann.digest(table(spark, d, "embeddings")),
-        "op8_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
-        "op9_token_counts": lambda spark, d: token_counts.digest(table(spark, d, "documents")),
-        "op10_language": lambda spark, d: language.digest(table(spark, d, "documents")),
-        "pipeline": corpus_pipeline.run,
+        "op1_near_dup": _over("documents", near_dup.digest),
+        "op2_mixing": _over("documents", mixing.digest),
+        "op3_pii": _over("documents", pii.digest),
+        "op4_chat": _over("conversations", chat.digest),
+        "op5_knn": _over("embeddings", knn.digest),
+        "op6_html": _over("pages", html.digest),
+        "op7_ann": _over("embeddings", ann.digest),
+        "op8_packing": _over("documents", packing.digest),
+        "op9_token_counts": _over("documents", token_counts.digest),
+        "op10_language": _over("documents", language.digest),
+        "pipeline": pipeline.run,
     }
 
 

@@ -104,6 +104,8 @@ def test_one_of_each_class_stays(docs, none):
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     assert {"0", "1", "2", "3", "25", "26", "28", "29"} <= set(ids) and "27" not in ids and "8" not in ids
     assert ids.count("25") == 1 and ids.count("None") == 2
+    clash = docs.withColumnRenamed("shard", "keep").withColumn("Node_", F.lit(1))
+    assert near_dup.keep_first(clash).columns == clash.columns and near_dup.keep_first(clash).select("node").distinct().collect() == [(7,)]
     assert near_dup.keep_first(none).count() == 0 and near_dup.digest(none).count() == 0
 
 
@@ -159,6 +161,10 @@ def test_mix(docs, rows, none):
         assert int(r["mix_rate"]) <= r["mix_copies"] <= min(2, int(r["mix_rate"]) + 1)
     out = mixing.emit(mixing.mix(docs))
     assert out.columns == docs.columns and out.count() == sum(r["mix_copies"] for r in mixed)
+    named = docs.withColumn("mix_note", F.lit("x")).withColumn("mix_size", F.lit("own")).withColumn("row", F.lit(1))
+    kept = mixing.repeat(named)
+    assert kept.columns == named.columns and kept.count() == out.count() and {r[0] for r in kept.select("mix_size").distinct().collect()} == {"own"}
+    assert "mix_note" in mixing.mix(named).columns
     again = mixing.digest(docs).collect()
     assert sorted(map(str, again)) == sorted(map(str, mixing.digest(docs.repartition(7)).collect()))
     assert mixing.digest(none).count() == 0
@@ -208,6 +214,75 @@ def test_the_field_finds_what_the_patterns_lose_and_leaves_look_alikes():
     assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
 
 
+#: Written by hand, not by the training's rules.
+BY_HAND = [
+    ("Reach Ann on (415) 555-0132 or ann.lee [at] corp [dot] com.", [("phone", "(415) 555-0132"), ("email", "ann.lee [at] corp [dot] com")]),
+    ("Server 10[.]0[.]0[.]7 fell; ticket 20240102.", [("ip", "10[.]0[.]0[.]7")]),
+    ("Pay to 4111.1111.1111.1111 by Friday", [("card", "4111.1111.1111.1111")]),
+    ("fax: 212-555-0187 tel: 646-555-0123", [("phone", "212-555-0187"), ("phone", "646-555-0123")]),
+    ("mail jo (at) uni (dot) edu", [("email", "jo (at) uni (dot) edu")]),
+    ("order 1234-5678-9012 shipped 2024-05-06", []),
+    ("meet me at the station dot", []),
+    ("call +44 20 7946 0958 now", [("phone", "+44 20 7946 0958")]),
+    ("my card is 5500 0000 0000 0004 today", [("card", "5500 0000 0000 0004")]),
+    ("12 34 56 78 90 12", []),
+    ("pi is 3.14159265358979 and e 2.71828182845904", []),
+    ("we were 3 at 10 and 5 at 11, total 1,234,567 of 9,876,543", []),
+    ("card 4111 1111 1111 1111 4012888888881881", [("card", "4111 1111 1111 1111"), ("card", "4012888888881881")]),
+]
+
+
+def test_the_field_on_texts_written_by_hand():
+    model, hit, wrong, lost = pii.field(), collections.Counter(), collections.Counter(), collections.Counter()
+    for text, gold in BY_HAND:
+        got = collections.Counter((k, text[s:e]) for k, s, e, _ in pii.spans_of(text, model))
+        want = collections.Counter(gold)
+        for (k, _), n in (got & want).items():
+            hit[k] += n
+        wrong.update(k for k, _ in (got - want).elements())
+        lost.update(k for k, _ in (want - got).elements())
+    assert all(hit[k] >= 2 or k == "ip" for k in pii.KINDS) and wrong.total() <= 1 and lost.total() <= 1
+
+
+def test_kinds_depend_on_what_stands_before_them():
+    """The programme finds the best of all segmentations under segment and transition weights."""
+    import numpy as np
+
+    model = pii.Field()
+    r = np.random.default_rng(4)
+    model.w, model.t = r.normal(size=model.w.shape) * 0.4, r.normal(size=model.t.shape)
+    for text in ("a 1234 5678 9012 b", "+1 415 555 0132", "x@y.zz 10.0.0.12", "4111 1111 1111 1111"):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        free = [False] * len(tokens)
+        segments = model.segments(text, tokens, free)
+        scores = model.scores(segments)
+        best = (0.0, [])
+
+        def walk(at, before, total, chosen):
+            nonlocal best
+            if at == len(tokens):
+                best = max(best, (total, chosen), key=lambda x: x[0])
+                return
+            walk(at + 1, 4, total, chosen)
+            for n, (i, j, _) in enumerate(segments):
+                if i == at:
+                    for k in range(4):
+                        walk(j + 1, k, total + scores[n, k] + model.t[before, k], [*chosen, (tokens[i][0], k, tokens[j][1])])
+
+        walk(0, 4, 0.0, [])
+        assert model.decode(text, tokens, free) == best[1]
+
+
+def test_the_field_adds_spans_on_the_test_tables(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    added = [x for r in pii.find(spark.read.parquet(path)).select("pii").collect() for x in r["pii"] if not x["base"]]
+    assert added  # without the field there is none
+
+
 def test_the_hint_hides_nothing_from_the_field():
     model = pii.field()
     for ip in ("10[.]1[.]2[.]3", "8[.]8[.]8[.]8", "192[.]0[.]2[.]1"):
@@ -245,7 +320,7 @@ def test_every_id_lies_in_one_piece(docs, rows, none, monkeypatch):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    pieces = packing.pack(docs, shard_chars=20_000, with_ids=True).collect()
+    pieces = packing.pack(docs, shard_tokens=6_000, with_ids=True).collect()
     ids = collections.Counter((r[0], tuple(own.encode(r[1] or "", add_special_tokens=False).ids) + (1,)) for r in rows)
     sequences, texts = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
@@ -288,6 +363,94 @@ def test_bm25_ranks_by_shared_rare_terms():
     assert scores[0] > scores[1] > scores[2] == 0
 
 
+def brute_bm25(docs, seed):
+    """Scores by the formula, one document and term at a time."""
+    import math
+
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    out = []
+    for d in docs:
+        total = 0.0
+        for t in set(docs[seed].tolist()):
+            df = sum(t in x.tolist() for x in docs)
+            idf, tf = max(math.log((n - df + 0.5) / (df + 0.5)), 0), d.tolist().count(t)
+            total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        out.append(total)
+    return out
+
+
+def random_docs(seed, n, words=60):
+    import numpy as np
+
+    r = random.Random(seed)
+    return [np.array([int(r.paretovariate(0.7)) % words for _ in range(r.randint(1, 40))], dtype="<u4") for _ in range(n)]
+
+
+def test_scores_and_windows_are_those_of_brute_force():
+    for seed in range(6):
+        docs = random_docs(seed, 30)
+        index = packing.Index(docs)
+        for i in (0, 7, 29):
+            assert index.scores(i) == pytest.approx(brute_bm25(docs, i))
+        # the windows, by the rule: best unused neighbours in their order, the first that does not fit is cut
+        want, unused, at = [], [True] * len(docs), (-1, 0)
+        while any(unused) or at[0] >= 0:
+            if at[0] < 0:
+                at = (unused.index(True), 0)
+                unused[at[0]] = False
+            d, begin = at
+            at = (-1, 0)
+            size = len(docs[d]) - begin
+            if size >= 32:
+                want.append([(d, begin, 32)])
+                at = (d, begin + 32) if size > 32 else at
+                continue
+            window, room, inside = [(d, begin, size)], 32 - size, {docs[d].tobytes()}
+            scores = brute_bm25(docs, d)
+            order = sorted((i for i in range(len(docs)) if unused[i]), key=lambda i: (-round(scores[i], 9), i))
+            first = []
+            for i in order:
+                if docs[i].tobytes() in inside:
+                    continue
+                first.append(i)
+                inside.add(docs[i].tobytes())
+                if sum(len(docs[j]) for j in first) >= room:
+                    break
+            for i in first + [i for i in order if i not in first]:
+                if not room:
+                    break
+                take = min(room, len(docs[i]))
+                window.append((i, 0, take))
+                unused[i] = False
+                room -= take
+                if take < len(docs[i]):
+                    at = (i, take)
+            if room:
+                break
+            want.append(window)
+        got = packing.fill(docs, 32)
+        assert got[: len(want)] == want and sum(n for s in got for _, _, n in s) == sum(map(len, docs))
+
+
+def test_equal_texts_start_in_different_windows():
+    import numpy as np
+
+    docs = [np.arange(100 * (i // 2), 100 * (i // 2) + 300 + i // 2, dtype="<u4") % 5000 for i in range(400)]  # each twice
+    starts = [[d // 2 for d, begin, _ in s if not begin] for s in packing.fill(docs)]
+    assert sum(len(s) - len(set(s)) for s in starts[:-12]) == 0
+
+
+def test_shards_hold_their_share_and_hot_terms_have_several():
+    import numpy as np
+
+    sizes = np.array([0, 400, 5000, 300, 900, 200, 0, 100])
+    first, parts = packing.shards_of(sizes, 1000)
+    assert parts.tolist() == [1, 1, 5, 1, 1, 1, 1, 1]
+    used = [set(range(f, f + p)) for f, p, n in zip(first, parts, sizes) if n]
+    hot = used[1]
+    assert all(not (hot & u) for i, u in enumerate(used) if i != 1) and max(np.bincount(np.delete(first, 2), weights=np.delete(sizes, 2))) < 2000
+
+
 # ---- token counts ------------------------------------------------------------------
 
 

@@ -50,6 +50,14 @@ def test_conversations_round_trip(spark):
         assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(said)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    own = chat.digest(spark.createDataFrame([(-7, 3, "user", "mine"), (-7, 0, "user", chat.PROBE)], "conv_id long, turn long, role string, text string")).collect()
+    assert [(x["conv_id"], x["n_turns"]) for x in own] == [(-7, 4)]  # the table's own rows of that conversation join the two
+    clash = spark.createDataFrame([('{"prompt":"q","response":"a"}', "1", "2")], "r string, record string, pieces string")
+    done = chat.render(chat.canonical(clash, "r"))
+    assert done.columns == ["r", "record", "pieces", "fingerprint", "layout", "turns", "formatted", "loss_spans"] and done.first()["record"] == "1"
+    shapes = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "user", "q"), (4, 0, "critic", "q"), (5, 0, "system", ""), (5, 1, "user", "q"), (5, 2, "assistant", "a")]
+    found = chat.canonical(chat.records(spark.createDataFrame(shapes, "conv_id long, turn long, role string, text string")))
+    assert {r["conv_id"]: r["layout"] for r in found.collect()} == {-7: "prompt_response", 1: "prompt_response", 2: "system_prompt_response", 3: "conversations", 4: "messages", 5: "messages"}
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [x["conv_id"] for x in chat.digest(empty).collect()] == [-7]
 
@@ -69,6 +77,7 @@ def vectors():
 def test_inner_products_are_exact(spark, vectors, monkeypatch):
     monkeypatch.setattr(knn, "QUERIES", 5)
     monkeypatch.setattr(knn, "ROWS", 100)
+    monkeypatch.setattr(knn, "FEWEST", 7)
     df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, score int")
     got = collections.defaultdict(list)
     for r in knn.digest(df).orderBy("query_id", "rank").collect():
@@ -83,6 +92,43 @@ def test_inner_products_are_exact(spark, vectors, monkeypatch):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
 
+def test_widths_are_searches_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(50, [1.0, 2.0, 3.0]), (700, [1.0, 0.0, 1.0]), (701, [0.0, 2.0, 1.0])]
+    rows = [r for r in rows if r != rows[50]]
+    got = collections.defaultdict(list)
+    for r in knn.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == {i for i, _ in rows if i % 50 == 0} and got[50] == [701, 700] and got[700] == [50, 701]
+    assert all(len(got[q]) == 5 for q in (0, 100, 150, 200, 250))
+
+
+def test_scores_are_exact_or_clipped():
+    big = np.array([[2**40, 3], [-(2**62), 1]], dtype=np.int64)
+    small = np.array([[2**20 + 1, 2], [5, 7]], dtype=np.int64)
+    got = knn.top(np.array([1, 2]), big, np.array([10, 11]), small, 2)
+    exact = [[2**40 * (2**20 + 1) + 6, 2**40 * 5 + 21], [max(-(2**62) * (2**20 + 1) + 2, -(2**63)), max(-(2**62) * 5 + 7, -(2**63))]]
+    assert got["score"].tolist() == [*sorted(exact[0], reverse=True), *sorted(exact[1], reverse=True)]
+
+
+def test_queries_go_where_answers_can_be():
+    """On clustered rows a query is asked in few cells, and never too few."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16))
+    rows = np.floor(256 * np.concatenate([c + 0.01 * rng.normal(size=(100, 16)) for c in centres]))
+    points = knn.pivots_of(rows[:: len(rows) // 500], 40)
+    cell, distance = knn.nearest(rows, points)
+    radius = np.array([distance[cell == c].max(initial=-1) for c in range(len(points))])
+    norm = np.array([np.sqrt((rows[cell == c] ** 2).sum(axis=1)).max(initial=0) for c in range(len(points))])
+    ids = np.arange(len(rows))
+    least = knn.least_scores(ids[:200], rows[:200], ids[::4], rows[::4], 5)
+    wanted = (knn.most_scores(rows[:200], points, radius, norm) >= least[:, None]) & (radius >= 0)
+    exact = rows[:200] @ rows.T
+    exact[ids[:200], ids[:200]] = -np.inf
+    assert all(wanted[q, cell[i]] for q in range(200) for i in np.argsort(-exact[q])[:5])
+    assert wanted.sum(axis=1).mean() < len(points) / 4
+
+
 def test_neighbours_found(spark, vectors):
     df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, score int")
     got = collections.defaultdict(list)
@@ -168,6 +214,29 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {mixed[i] for i in range(40)} == {"One\nfirst long text\nsecond long text"} and mixed[40] == "Two\nanother text"
 
 
+def test_the_wrapper_decides(spark):
+    """Menus, adverts and footers of any mark-up go where they are constant; without its wrapper no page is right."""
+    untagged = lambda i: f"<body><div><span>Home</span> <span>News</span></div><div class=lead>Buy our tea</div><div class=x><h1>Head {i}</h1><p>story {i} with words</p></div><div>All rights kept</div>"
+    for n in range(1, 13):
+        pages = [untagged(i) for i in range(n)]
+        got = site(spark, pages, f"h{n}.example") if n in (1, 2, 3, 12) else {}
+        for i, text in got.items():
+            want = f"Head {i}\nstory {i} with words"
+            assert text == (want if n > 1 else f"Home News\nBuy our tea\n{want}\nAll rights kept")
+    tagged = lambda i: f"<body><nav>Home News</nav><div class=ad>Buy tea {i}</div><p>story {i}</p><footer>All rights kept</footer>"
+    got = site(spark, [tagged(i) for i in range(4)])
+    assert got == {i: f"story {i}" for i in range(4)}
+    empty = {"template": [], "regions": []}
+    assert all(html.extract(tagged(i), empty) != got[i] for i in got)
+
+
+def test_pages_with_long_templates_and_short_texts(spark):
+    """Much constant text in marked regions makes no near copies; a varying region goes whole, with its constant parts."""
+    menu = "".join(f"<li>entry number {k}</li>" for k in range(60))
+    make = lambda i: f"<body><nav><ul>{menu}</ul></nav><p>tale {i}</p><section class=comments><h3>Comments</h3><p>nice {i}</p></section>"
+    assert site(spark, [make(i) for i in range(5)]) == {i: f"tale {i}" for i in range(5)}
+
+
 def test_tree_matching_aligns_children_in_order():
     a, b = html.parse("<div><p>1</p><h2>x</h2><p>2</p></div>"), html.parse("<div><p>1</p><p>3</p></div>")
     size, pairs = html.match(a, b)
@@ -196,8 +265,9 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "near_dedup", "pii", "mix_sources", "packing"]
+    clash = docs.withColumns({c: F.lit(1) for c in ("row", "node", "score", "lang_pred", "rejected", "mix_note", "mix_size", "pii", "shard", "key")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        out = stage(spark, clash, str(tmp_path))
+        assert out.columns == clash.columns and dict(out.dtypes) == dict(clash.dtypes)
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ids and 100 not in ids and 101 not in ids and 102 not in ids
