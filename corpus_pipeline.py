@@ -1,60 +1,5 @@
-"""From raw documents to packed sequences: five stages, each written and read again.
+"""The training-data pipeline, under the name that runs it; its stages are in the library."""
 
-Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept and,
-but for the last, returns the columns of documents.
-"""
+from paperloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from paperloom.llm import language, mixing, near_dup, packing, pii
-from paperloom.llm.common import bounded_batches, cut
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain; texts without letters and narrow margins go."""
-    bounded_batches(spark)
-    return language.keep_known(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that with the smallest id."""
-    bounded_batches(spark)
-    return near_dup.keep_first(docs)
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
-    bounded_batches(spark)
-    return pii.redact(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says, not at all in some cases."""
-    return mixing.emit(mixing.mix(docs))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with their ids."""
-    bounded_batches(spark)
-    return packing.pack(docs, with_ids=True)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("near_dedup", drop_near_copies),
-    ("pii", redact_personal_data),
-    ("mix_sources", mix_sources),
-    ("packing", pack_sequences),
-]
-
-#: Compression, hashing and packing by similarity are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
