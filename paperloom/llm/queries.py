@@ -11,11 +11,12 @@ from paperloom.llm.common import bounded_batches, table
 
 
 def _over(name: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over a whole table, with batches of bounded size on the way to Python."""
+    """A query over a whole table, with batches of bounded size on the way to Python, and no fewer tasks than cores."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         bounded_batches(spark)
-        return digest(table(spark, d, name))
+        rows, cores = table(spark, d, name), spark.sparkContext.defaultParallelism
+        return digest(rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores))
 
     return run
 

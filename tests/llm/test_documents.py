@@ -119,6 +119,35 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("small", [0, 4096])
+def test_components_are_those_of_brute_force(spark, monkeypatch, small):
+    from paperloom.llm import common, components
+
+    monkeypatch.setattr(components, "SMALL", small)
+    monkeypatch.setattr(common, "HOT", 10)
+    r = random.Random(7)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = lambda of: sorted(sorted(x for x in of if of[x] == c) for c in set(of.values()))
+    assert groups(found) == groups({k: v for k, v in root.items() if k in found}) and set(found) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_skewed_joins_keep_every_row(spark, monkeypatch):
+    from paperloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = [(1, i) for i in range(50)] + [(None, i) for i in range(20)] + [(i, i) for i in range(2, 30)]
+    a = spark.createDataFrame(rows, "k long, salt int")
+    b = spark.createDataFrame([(i, f"v{i}") for i in range(0, 20)], "k long, v string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.join_skewed(a, b, "k", how).select("k", "salt", "v").collect()), key=str)
+        assert got == sorted(map(tuple, a.join(b, "k", how).select("k", "salt", "v").collect()), key=str)
+
+
 def test_signatures_are_unbiased():
     a = "a b c a b c a b d e f g a b c a b c a b q r a b c".split() * 3
     b = a[:50] + ["z"] * 6 + a[56:]
