@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import posixpath
-import re
+import uuid
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import as_text, csv_cell
+from paperloom.functions.text import as_text, csv_cell, spaced_title
+from paperloom.sources.staging import cut
+
+#: Results that a listing gives out for one query (fixed value).
+CAP = 9500
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -60,14 +63,29 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("id")).where("id <> ''")
 
 
-def windows(spark: SparkSession, total: int, first_year: int, last_year: int, cap: int = 9500) -> DataFrame:
-    """Date windows of a paged query: one if it fits, else years; a year over the cap is split by months."""
-    if total <= cap:
-        return spark.createDataFrame([(f"{first_year}-01-01", f"{last_year}-12-31")], "from string, to string")
-    step = "interval 1 month" if total > cap * (last_year - first_year + 1) else "interval 1 year"
-    days = spark.range(1).select(F.explode(F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year), F.lit(12), F.lit(1)), F.expr(step))).alias("day"))
-    end = F.last_day("day") if "month" in step else F.make_date(F.year("day"), F.lit(12), F.lit(31))
-    return days.select(F.col("day").cast("string").alias("from"), end.cast("string").alias("to"))
+def windows(counts: DataFrame, cap: int = CAP) -> DataFrame:
+    """Date windows of a paged query, ``from, to``, each with at most ``cap`` results where months allow it.
+
+    ``counts`` is (year, total). One window if all fits, else years; of these only a year
+    that is itself over the cap is split by months.
+    """
+    whole = counts.agg(F.min("year").alias("first"), F.max("year").alias("last"), F.sum("total").alias("all"))
+    day = lambda y, m, d: F.make_date(F.col(y), F.lit(m), F.lit(d))
+    one = whole.where(F.col("all") <= cap).select(day("first", 1, 1).alias("from"), day("last", 12, 31).alias("to"))
+    split = counts.join(whole, F.col("all") > cap)
+    years = split.where(F.col("total") <= cap).select(day("year", 1, 1).alias("from"), day("year", 12, 31).alias("to"))
+    months = split.where(F.col("total") > cap).select(F.explode(F.sequence(day("year", 1, 1), day("year", 12, 1), F.expr("interval 1 month"))).alias("from")).withColumn("to", F.last_day("from"))
+    return one.union(years).union(months).select(F.col("from").cast("string").alias("from"), F.col("to").cast("string").alias("to"))
+
+
+def until_low_water(pages: DataFrame, published: str, since: str) -> DataFrame:
+    """The pages of a newest-first listing that are read: none behind one that ends before ``since``.
+
+    ``pages`` has ``offset`` and the publication texts of its entries as an array.
+    """
+    last = F.element_at(published, -1)
+    stop = pages.where(F.substring(last, 1, 7) < since).agg(F.min("offset").alias("stop"))
+    return pages.join(F.broadcast(stop), F.col("offset") <= F.coalesce("stop", "offset")).drop("stop")
 
 
 def first_usable(*texts: tuple[str, Column], least: int = 6000) -> tuple[Column, Column]:
@@ -78,58 +96,105 @@ def first_usable(*texts: tuple[str, Column], least: int = 6000) -> tuple[Column,
     return best["text"], best["source"]
 
 
-_INPUT = re.compile(r"\\(?:input|include|subfile|(?:sub)?import\{([^}]*)\})\{([^}]+)\}")
-_STUB = re.compile(r"response|rebuttal|reply|suppl|supplement|appendix|cover|letter|poster|slides|review", re.I)
+# ---- fixed values: commands that include a file, names of by-products, weights of a main file's score ----
+INCLUDE = r"\\(?:input|include|subfile|(?:sub)?import\{([^}]*)\})\{([^}]+)\}"
+BY_PRODUCT = r"(?i)response|rebuttal|reply|suppl|supplement|appendix|cover|letter|poster|slides|review"
+BY_PRODUCT_WEIGHT, ABSTRACT_WEIGHT, SHORTEST_MAIN, DEEPEST = 0.15, 1.3, 2000, 8
+# ------------------------------------------------------------------------------------------------------------
+_FROM, _NEXT = "\u0001", "\u0002"
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` parts."""
+    step = lambda done, part: F.when(part.isin("", "."), done).when((part == "..") & (F.size(done) > 0), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def include_pieces(files: DataFrame) -> DataFrame:
+    """``uid, name, at, literal, places``: a file's text between its include commands, and where the next file may lie."""
+    body = F.regexp_extract("text", r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1)
+    inner = F.when(F.contains("text", F.lit("\\documentclass")) & (body != ""), body).otherwise(F.col("text"))
+    marked = lambda t: F.split(F.regexp_replace(t, INCLUDE, f"{_NEXT}$1{_FROM}$2{_NEXT}"), _NEXT)
+    here = F.regexp_extract("name", "^(.*/)[^/]*$", 1)
+    folder, file = F.split_part("part", F.lit(_FROM), F.lit(1)), F.trim(F.split_part("part", F.lit(_FROM), F.lit(2)))
+    tex = F.when(F.endswith(file, F.lit(".tex")), file).otherwise(F.concat(file, F.lit(".tex")))
+    places = F.transform(F.array(F.concat_ws("/", folder, tex), F.concat(here, F.concat_ws("/", folder, tex)), tex), _plain_path)
+    rows = files.select("uid", "name", F.posexplode(marked(F.col("text"))).alias("at", "part")).withColumn("inner", F.lit(False))
+    rows = rows.union(files.select("uid", "name", F.posexplode(marked(inner)).alias("at", "part")).withColumn("inner", F.lit(True)))
+    is_file = F.contains("part", F.lit(_FROM))
+    return rows.select("uid", "name", "inner", "at", F.when(~is_file, F.col("part")).alias("literal"), F.when(is_file, places).alias("places"))
+
+
+def flat_files(files: DataFrame) -> DataFrame:
+    """``uid, name, flat``: each file with a preamble and what it includes in place, ``DEEPEST`` levels deep at most.
+
+    Includes are edges between a paper's files; each level is one join of all open edges
+    with the pieces of the files that they lead to, and a piece's place in the whole is
+    the list of its places on the way.
+    """
+    pieces = cut(include_pieces(files), "pieces")
+    names = files.select("uid", F.col("name").alias("child"))
+    edge = pieces.where("places is not null").select("uid", "name", "inner", "at", F.posexplode("places").alias("try", "child")).join(names, ["uid", "child"]).where("child <> name")
+    edge = edge.groupBy("uid", "name", "inner", "at").agg(F.min_by("child", "try").alias("child"))
+    tree = cut(pieces.join(edge, ["uid", "name", "inner", "at"], "left").select("uid", "name", "inner", "at", "literal", "child"), "includes")
+    below = tree.where("inner").select("uid", F.col("name").alias("child"), F.col("at").alias("next"), F.col("literal").alias("text"), F.col("child").alias("deeper"))
+    level = tree.where("not inner").join(files.where(F.contains("text", F.lit("\\documentclass"))).select("uid", "name"), ["uid", "name"], "left_semi")
+    level = level.select("uid", "name", F.array("at").alias("place"), "literal", "child")
+    found = []
+    for _ in range(DEEPEST + 1):
+        level = cut(level, "level")
+        found.append(level.where("literal is not null").select("uid", "name", "place", "literal"))
+        open_ = level.where("child is not null")
+        if open_.isEmpty():
+            break
+        ends = [open_.select("uid", "name", F.concat("place", F.array(F.lit(k))).alias("place"), F.lit("\n").alias("literal")) for k in (-1, 2**30)]
+        found += ends
+        level = open_.join(below, ["uid", "child"]).select("uid", "name", F.concat("place", F.array("next")).alias("place"), F.col("text").alias("literal"), F.col("deeper").alias("child"))
+    rows = reduce(DataFrame.union, found)
+    placed = rows.groupBy("uid", "name").agg(F.sort_array(F.collect_list(F.struct("place", "literal"))).alias("parts"))
+    return placed.select("uid", "name", F.array_join(F.transform("parts", lambda p: p["literal"]), "").alias("flat"))
 
 
-def flat_tex(files: dict[str, str], name: str, depth: int = 0) -> str:
-    """A LaTeX file with what it includes in place, eight levels deep at most."""
-    if depth > 8:
-        return ""
-    text = files[name]
-    if depth and "\\documentclass" in text:  # a part with its own preamble: its body only
-        m = re.search(r"\\begin\{document\}(.*?)(?:\\end\{document\}|\Z)", text, re.S)
-        text = m[1] if m else text
-
-    def included(m: re.Match) -> str:
-        part = m[2].strip()
-        part += "" if part.endswith(".tex") else ".tex"
-        here = posixpath.dirname(name)
-        places = (posixpath.normpath(posixpath.join(*p)) for p in ((m[1] or "", part), (here, m[1] or "", part), (part,)))
-        found = next((p for p in places if p in files and p != name), None)
-        return f"\n{flat_tex(files, found, depth + 1)}\n" if found else ""
+def main_files(files: DataFrame) -> DataFrame:
+    """``uid, text`` of each paper's main file from rows ``uid, name, text, title``.
 
-    return _INPUT.sub(included, text)
+    The score is the flat length, less for names of by-products, more with an abstract
+    and for each word that title and paper share.
+    """
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{4,})"), 1))
+    stem = F.regexp_replace(F.regexp_extract("name", "([^/]*)$", 1), r"\.tex$", "")
+    rows = flat_files(files).join(files.select("uid", "name", "title"), ["uid", "name"])
+    wanted = words(F.coalesce("title", F.lit("")))
+    said = words(F.regexp_extract("flat", r"(?s)\\title\{(.{0,300}?)\}", 1))
+    shared = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, said)) / F.size(wanted)).otherwise(0.0)
+    score = F.length("flat") * F.when(stem.rlike(BY_PRODUCT), BY_PRODUCT_WEIGHT).otherwise(1.0)
+    score = score * F.when(F.contains("flat", F.lit("\\begin{abstract}")) | F.contains("flat", F.lit("\\abstract")), ABSTRACT_WEIGHT).otherwise(1.0) * (1 + shared)
+    best = rows.groupBy("uid").agg(F.max_by("flat", F.struct(score.alias("score"), "name")).alias("text"))
+    return best.where(F.length("text") > SHORTEST_MAIN)
 
 
-def main_tex(files: dict[str, str], title: str = "") -> str | None:
-    """The paper's own file, flattened: by length, names of by-products against it, abstract and title for it."""
-    words = set(re.findall(r"[a-z]{4,}", (title or "").lower()))
-    best: tuple[float, str] = (0.0, "")
-    for name in sorted(files):
-        if "\\documentclass" not in files[name]:
-            continue
-        flat = flat_tex(files, name)
-        score = len(flat) * (0.15 if _STUB.search(posixpath.basename(name).removesuffix(".tex")) else 1.0) * (1.3 if "\\begin{abstract}" in flat or "\\abstract" in flat else 1.0)
-        if words and (m := re.search(r"\\title\{(.{0,300}?)\}", flat, re.S)):
-            score *= 1 + len(words & set(re.findall(r"[a-z]{4,}", m[1].lower()))) / len(words)
-        best = max(best, (score, flat), key=lambda x: x[0])
-    return best[1] if len(best[1]) > 2000 else None
+def text_chain(papers: DataFrame, *sources: tuple[str, DataFrame], least: int = 6000) -> DataFrame:
+    """``uid, text, source``: the first of several text tables (own cache, siblings', LaTeX, PDF, abstract) that is long enough.
 
+    Each table is (uid, text); where none is long enough the last that has any text stands.
+    """
+    out = papers.select("uid")
+    for i, (_, table) in enumerate(sources):
+        out = out.join(table.select("uid", F.col("text").alias(f"text_{i}")), "uid", "left")
+    text, source = first_usable(*((name, F.col(f"text_{i}")) for i, (name, _) in enumerate(sources)), least=least)
+    return out.select("uid", text.alias("text"), source.alias("source"))
 
-def main_files(files: DataFrame) -> DataFrame:
-    """``uid, text`` of each paper's main file from rows ``uid, name, text, title``: one paper's files at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = main_tex(dict(zip(pdf["name"], pdf["text"])), pdf["title"].iloc[0])
-        return pd.DataFrame({"uid": pdf["uid"].iloc[:1], "text": [text]}) if text else pd.DataFrame({"uid": [], "text": []}, dtype=object)
+def proceedings_index(pages: DataFrame, pattern: str) -> DataFrame:
+    """``title, pdf`` of every entry of proceedings pages; ``pattern`` has the link and the title as groups 1 and 2."""
+    part = lambda g: F.regexp_extract_all("html", F.lit(pattern), g)
+    rows = pages.select(F.explode(F.arrays_zip(part(1).alias("pdf"), part(2).alias("title"))).alias("x")).select("x.title", "x.pdf")
+    return rows.withColumn("key", spaced_title(F.col("title"))).where("key <> ''").groupBy("key").agg(F.max_by("title", "pdf").alias("title"), F.max("pdf").alias("pdf"))
 
-    return files.groupBy("uid").applyInPandas(run, "uid string, text string")
 
-
-def zipped(requests: DataFrame, ids: str, answers: str) -> DataFrame:
-    """Requested ids and their answers by position, missing answers null."""
-    return requests.select(F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col(answers).alias("answer"))).alias("x")).select("x.*")
+def zipped(requests: DataFrame, ids: str, answers: str, *keep: str) -> DataFrame:
+    """Requested ids and their answers by position, missing answers null, behind the columns to keep."""
+    return requests.select(*keep, F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col(answers).alias("answer"))).alias("x")).select(*keep, "x.*")
 
 
 def in_batches(rows: DataFrame, size: int, call, schema: str) -> DataFrame:
@@ -169,36 +234,139 @@ def first_link(locations: Column, pattern: str) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
+def lazily(spark: SparkSession, tables: dict[str, str], read=None):
+    """A reader of site tables by name: each is read when it is first asked for, and once."""
+    read, known = read or (lambda path: spark.read.parquet(path)), {}
+
+    def get(name: str) -> DataFrame:
+        if name not in known:
+            known[name] = read(tables[name])
+        return known[name]
+
+    return get
+
+
+def registry_entries(papers: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers with the publisher's entry of their DOI from the cache, and the DOIs still to ask for."""
+    doi = F.lower(F.trim("doi"))
+    known = cache.select(F.lower(F.trim("doi")).alias("__doi"), "bibtex")
+    rows = papers.join(known, doi == F.col("__doi"), "left")
+    asked = papers.where(F.col("doi").isNotNull()).select(doi.alias("doi")).distinct().join(known.select(F.col("__doi").alias("doi")), "doi", "left_anti")
+    return rows.drop("__doi"), asked
+
+
 # ---- sinks -------------------------------------------------------------------------
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = p(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def write_jsonl(df: DataFrame, path: str, by: list[Column], mode: str = "overwrite", compression: str | None = None) -> None:
-    w = df.orderBy(*by).write.mode(mode)
-    (w.option("compression", compression) if compression else w).json(path)
+    """Rows in order as JSON lines. A table that is replaced stays whole until the new one is: it is written beside it and renamed."""
+    ordered = df.orderBy(*by)
+    w = ordered.write
+    w = w.option("compression", compression) if compression else w
+    if mode != "overwrite":
+        w.mode(mode).json(path)
+        return
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    w.json(beside)
+    files, p = _file_system(df.sparkSession, path)
+    files.delete(p(path), True)
+    files.rename(p(beside), p(path))
 
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+#: What a list of papers exports, and under which headings (fixed value).
+EXPORTED = {"id": "id", "t": "title", "n": "name", "a": "authors", "y": "year", "d": "date", "v": "venue", "pd": "paradigm", "tk": "tasks", "bm": "benchmarks", "co": "companies", "c": "citations", "doi": "doi", "key": "bibtex_key"}
+MARK = "\ufeff"
+
+
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """RFC 4180 lines, every cell quoted, arrays joined by "; "."""
+    return df.select(F.array_join(F.array(*_cells(df, columns)), ",").alias("line"))
+
+
+def csv_file(papers: DataFrame, by: list[Column]) -> DataFrame:
+    """``line`` in order: a byte order mark and the headings, then a line for each paper with the ``EXPORTED`` columns."""
+    head = papers.sparkSession.createDataFrame([(MARK + ",".join(f'"{h}"' for h in EXPORTED.values()),)], "line string")
+    there = papers.select(*(F.col(c) if c in papers.columns else F.lit(None).cast("string").alias(c) for c in EXPORTED), *(k.alias(f"__by{i}") for i, k in enumerate(by)))
+    keys = [f"__by{i}" for i in range(len(by))]
+    lines = there.select(F.array_join(F.array(*_cells(there, list(EXPORTED))), ",").alias("line"), *keys)
+    numbered = head.select(F.lit(0).alias("part"), "line", *(F.lit(None).cast(dict(lines.dtypes)[k]).alias(k) for k in keys)).union(lines.select(F.lit(1), "line", *keys))
+    return numbered.orderBy("part", *keys).select("line")
+
+
+def _cells(df: DataFrame, columns: list[str]) -> list[Column]:
     kinds = dict(df.dtypes)
-    cells = [csv_cell(F.array_join(F.col(c).cast("array<string>"), "; ") if kinds[c].startswith("array") else F.col(c).cast("string")) for c in columns]
-    return df.select(F.array_join(F.array(*cells), ",").alias("line"))
+    return [csv_cell(F.array_join(F.col(c).cast("array<string>"), "; ") if kinds[c].startswith("array") else F.col(c).cast("string")) for c in columns]
 
 
 def snapshot(tables: dict[str, DataFrame], path: str, drop: dict[str, list[str]] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Compressed copies of tables without some fields, and their line counts."""
-    counts = []
-    for name, df in sorted(tables.items()):
-        if name not in skip:
-            df.drop(*(drop or {}).get(name, [])).write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
-            counts.append((name, df.count()))
+    """Compressed copies of tables without some fields, and their line counts, taken from what was written in one job."""
     spark = next(iter(tables.values())).sparkSession
-    out = spark.createDataFrame(counts, "name string, lines long")
+    kept = [name for name in sorted(tables) if name not in skip]
+    for name in kept:
+        tables[name].drop(*(drop or {}).get(name, [])).write.mode("overwrite").option("compression", "gzip").json(f"{path}/{name}")
+    names = spark.createDataFrame([(n,) for n in kept], "name string")
+    lines = spark.read.text([f"{path}/{n}" for n in kept]).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("name")) if kept else names.limit(0)
+    out = names.join(lines.groupBy("name").agg(F.count(F.lit(1)).alias("lines")), "name", "left").withColumn("lines", F.coalesce("lines", F.lit(0).cast("long")))
     out.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return out
+    return spark.read.schema("name string, lines long").json(f"{path}/manifest")
+
+
+def restore(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a snapshot, those alone that its manifest names."""
+    names = {r["name"] for r in spark.read.schema("name string, lines long").json(f"{path}/manifest").collect()}
+    return {n: spark.read.schema(s).json(f"{path}/{n}") for n, s in schemas.items() if n in names}
+
+
+def packed_documents(archives: DataFrame, suffix: str = ".json") -> DataFrame:
+    """``name, text`` of the files in tar archives, compressed or not; ``archives`` has them as ``content``, one row each."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            for data in pdf["content"]:
+                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
+                    found = [(m.name, tar.extractfile(m).read().decode("utf-8", "replace")) for m in tar if m.isfile() and m.name.endswith(suffix)]
+                yield pd.DataFrame(found, columns=["name", "text"])
+
+    return archives.select("content").mapInPandas(run, "name string, text string")
+
+
+def pack_documents(docs: DataFrame, folder: str, archives: int = 1) -> DataFrame:
+    """Documents (name, text) as tar archives of stable bytes: names sorted, times zero. Returns ``path, files``."""
+    dealt = docs.select("name", "text", F.pmod(F.xxhash64("name"), F.lit(archives)).alias("archive"))
+
+    def run(pdf):
+        import gzip
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as zipped_, tarfile.open(fileobj=zipped_, mode="w") as tar:
+            for name, text in sorted(zip(pdf["name"], pdf["text"])):
+                data, info = (text or "").encode(), tarfile.TarInfo(name)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"archive": pdf["archive"].iloc[:1], "content": [out.getvalue()], "files": [len(pdf)]})
+
+    made = dealt.groupBy("archive").applyInPandas(run, "archive long, content binary, files long")
+    made.write.mode("overwrite").parquet(f"{folder}/archives")
+    return docs.sparkSession.read.parquet(f"{folder}/archives").select("archive", "content", "files")
 
 
 def digest_text(groups: DataFrame) -> DataFrame:
