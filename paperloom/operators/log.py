@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,15 @@ def validate_labels(labels: DataFrame, codes: dict[str, list[str]], arrays: list
     return out
 
 
+def with_aliases(rows: DataFrame, column: str, aliases: DataFrame, traits: str = "traits") -> DataFrame:
+    """Old codes become new ones, with the traits that an alias adds: ``aliases`` is (old, new, extra array)."""
+    a = aliases.select(F.col("old").alias("__old"), F.col("new").alias("__new"), F.col("extra").alias("__extra"))
+    out = rows.join(a, F.col(column) == F.col("__old"), "left")
+    none = F.array().cast("array<string>")
+    more = F.array_distinct(F.concat(F.coalesce(traits, none), F.coalesce("__extra", none)))
+    return out.withColumn(column, F.coalesce("__new", column)).withColumn(traits, F.when(F.col("__old").isNotNull(), more).otherwise(F.col(traits))).select(*rows.columns)
+
+
 def override(rows: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Overrides are (key, set: map of field to text); a present null overrides, an absent key does not."""
     joined = rows.join(overrides, key, "left")
@@ -94,11 +105,33 @@ def cache_lookup(cache: DataFrame, key: Column, at: str = "at") -> DataFrame:
     return cache.withColumn("__k", F.substring(F.sha1(key), 1, 16)).groupBy("__k").agg(F.max_by(F.struct(*cache.columns), F.col(at)).alias("r")).select("r.*")
 
 
+#: Parts that a rolling window is cut into.
+_PARTS = 24
+
+
 def rolling_counts(events: DataFrame, who: str | None, ts: str, seconds: int) -> DataFrame:
-    """Events of the same visitor (or of all) in the window that ends with each event, itself out."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    over = (Window.partitionBy(who) if who else Window.partitionBy(F.date_trunc("day", ts))).orderBy("__t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("__t", t).withColumn("recent", F.count(F.lit(1)).over(over) - 1).drop("__t")
+    """Adds ``recent``: events of the same visitor (or of all) in the window that ends with each event, itself out.
+
+    An event comes at its time and goes a window later. Time is cut into parts of a 24th
+    of the window; within a part comings and goings are counted one by one, and what is
+    inside at a part's begin is a running sum over the parts, a row each. So no task
+    holds more than a part's events, and counts are exact across any border.
+    """
+    by, size = [who] if who else [], max(1, -(-seconds * 1_000_000 // _PARTS))
+    t, cell = F.unix_micros(F.col(ts).cast("timestamp")), lambda c: F.floor(c / size).cast("long")
+    base = events.withColumn("__t", t)
+    own = base.withColumn("__at", F.col("__t")).withColumn("__own", F.lit(1))
+    gone = base.withColumn("__at", F.col("__t") + seconds * 1_000_000).withColumn("__own", F.lit(0))
+    both = own.union(gone).withColumn("__cell", cell(F.col("__at")))
+    upto = Window.partitionBy(*by, "__cell").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # came: own events of the cell so far; left: events that fell out of the window since the cell began
+    both = both.withColumn("__came", F.sum("__own").over(upto)).withColumn("__left", F.sum(1 - F.col("__own")).over(upto)).where("__own = 1")
+    cells = own.union(gone).withColumn("__cell", cell(F.col("__at"))).groupBy(*by, "__cell").agg(F.sum(2 * F.col("__own") - 1).alias("__net"))
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__inside", F.coalesce(F.sum("__net").over(before), F.lit(0))).drop("__net")
+    at = [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "__cell"]]
+    out = both.alias("b").join(cells.alias("c"), reduce(lambda x, y: x & y, at))
+    return out.select(*(f"b.{c}" for c in events.columns), (F.col("__inside") + F.col("__came") - F.col("__left") - 1).alias("recent"))
 
 
 def marks(updates: DataFrame, key: str = "uid", order: str = "_seq") -> DataFrame:
@@ -107,6 +140,39 @@ def marks(updates: DataFrame, key: str = "uid", order: str = "_seq") -> DataFram
     return latest.where(F.coalesce("star", F.lit(False)) | (F.coalesce("status", F.lit("")) != "") | (F.coalesce("note", F.lit("")) != ""))
 
 
+def starred(papers: DataFrame, marks_: DataFrame, key: str = "id") -> DataFrame:
+    """Papers with a star among the current marks."""
+    return papers.join(marks_.where(F.coalesce("star", F.lit(False))).select(F.col("uid").alias(key)), key, "left_semi")
+
+
+def marks_of_libraries(updates: DataFrame, members: DataFrame) -> DataFrame:
+    """Current marks of every library that holds the paper: ``members`` is (library, uid)."""
+    return members.join(marks(updates), "uid")
+
+
+def reading_order(papers: DataFrame, known_text: Column, scopes: tuple[str, ...] = ("core", "adjacent")) -> list[Column]:
+    """Sort keys of what to read next: papers with a known text first, then by scope, citations and year."""
+    rank = F.array_position(F.array(*map(F.lit, scopes)), F.col("sc"))
+    return [F.coalesce(known_text, F.lit(False)).desc(), F.when(rank == 0, len(scopes) + 1).otherwise(rank).asc(), F.coalesce("c", F.lit(0)).desc(), F.coalesce("y", F.lit(0)).desc(), F.col("id").asc()]
+
+
+def premium(papers: DataFrame, landmarks: DataFrame, top: int) -> DataFrame:
+    """Ids that the stronger model reads: landmarks, and the most cited papers."""
+    most = papers.orderBy(F.coalesce("c", F.lit(0)).desc(), "id").limit(top).select("id")
+    return landmarks.select("id").union(most).distinct()
+
+
+def to_judge(rows: DataFrame, cache: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct keys that no verdict is known of: each is judged once, however many rows have it."""
+    return rows.select(*key).distinct().join(cache.select(*key), key, "left_anti")
+
+
+def apply_verdicts(rows: DataFrame, cache: DataFrame, key: list[str], generic: Column, verdict: str, to: str, none: str = "unknown") -> DataFrame:
+    """A verdict of the cache replaces ``to`` where the row is still generic and the verdict tells something."""
+    out = rows.join(cache.select(*key, F.col(verdict).alias("__v")), key, "left")
+    return out.withColumn(to, F.when(generic & F.col("__v").isNotNull() & (F.col("__v") != none), F.col("__v")).otherwise(F.col(to))).drop("__v")
+
+
 def to_read_again(notes: DataFrame, links: DataFrame, version: str) -> DataFrame:
     """Notes that are not current: of another version, copied, or from an abstract although a text is there.
 
@@ -144,10 +210,10 @@ def shared_names(papers: DataFrame, name: str = "n") -> DataFrame:
     return papers.withColumn("namesakes", F.count(name).over(Window.partitionBy(F.lower(name))))
 
 
-def packs(assigned: DataFrame, papers: DataFrame, tree: DataFrame, roles: list[str]) -> DataFrame:
-    """A writer's text for each outline leaf: its papers by year and role, one a line."""
+def packs(assigned: DataFrame, papers: DataFrame, tree: DataFrame, roles: list[str], recent_first: bool = False) -> DataFrame:
+    """A writer's text for each outline leaf: its papers by year and role, one a line; the newest first for an outlook."""
     rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
     line = F.concat(F.lit("- "), F.coalesce(F.concat("n", F.lit(": ")), F.lit("")), "t", F.lit(" ("), F.col("y").cast("string"), F.lit(")"))
-    rows = assigned.join(papers, "id").select("leaf", F.struct("y", rank.alias("rank"), "id", line.alias("line")).alias("r"))
+    rows = assigned.join(papers, "id").select("leaf", F.struct((-F.col("y") if recent_first else F.col("y")).alias("y"), rank.alias("rank"), "id", line.alias("line")).alias("r"))
     packed = rows.groupBy("leaf").agg(F.sort_array(F.collect_list("r")).alias("rows"))
     return tree.join(packed, tree.id == packed.leaf).select("leaf", "ord", F.concat(F.lit("# "), "leaf", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text")).orderBy("ord")

@@ -41,14 +41,20 @@ def cites_and_venue(papers: DataFrame, oa: DataFrame) -> DataFrame:
 
 
 def cite_keys(papers: DataFrame, order: str = "_seq") -> DataFrame:
-    """Unique keys: the second paper of a base gets b, the third c, in order.
+    """Unique keys: the second paper of a base gets b, the third c, in order; after z come numbers behind a hyphen.
 
-    After z comes the rank itself behind a hyphen, which no base holds: any number of papers has keys.
+    A suffixed key that is another paper's base is left out, so the next suffix comes.
     """
     base = papers.withColumn("base", key_base(F.try_element_at("a", F.lit(1)), F.col("y"), F.col("t")))
+    counts = base.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    suffix = lambda i: F.when(i <= 26, F.char(F.lit(96) + i)).otherwise(F.concat(F.lit("-"), i.cast("string")))
+    # as many suffixes as there are rows, and the 25 letters more that bases may take away
+    tried = counts.where("n > 1").select("base", F.explode(F.sequence(F.lit(2), (F.col("n") + 25).cast("int"))).alias("i")).withColumn("key", F.concat("base", suffix(F.col("i"))))
+    free = tried.join(counts.select(F.col("base").alias("key")), "key", "left_anti")
+    free = free.withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy("i")) + 1).select("base", "nth", F.col("key").alias("__key"))
     nth = F.row_number().over(Window.partitionBy("base").orderBy(order))
-    suffix = F.when(F.col("nth") == 1, "").when(F.col("nth") <= 26, F.char(F.lit(96) + F.col("nth"))).otherwise(F.concat(F.lit("-"), F.col("nth").cast("string")))
-    return base.withColumn("nth", nth).withColumn("key", F.concat("base", suffix))
+    rows = base.withColumn("nth", nth).join(free, ["base", "nth"], "left")
+    return rows.withColumn("key", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.col("__key"))).drop("__key").select(*papers.columns, "base", "nth", "key")
 
 
 def disposition(prefilter: Column, labelled: Column, duplicate: Column, scope: Column) -> Column:
@@ -84,3 +90,32 @@ def bib_entry(key: Column, authors: Column, title: Column, venue: Column, kind:
         .when(arxiv.isNotNull(), F.concat(F.lit("@article{"), head, field("journal", F.concat(F.lit("arXiv preprint arXiv:"), arxiv)), tail))
         .otherwise(F.concat(F.lit("@misc{"), head, F.coalesce(field("doi", doi), F.lit("")), tail))
     )
+
+
+# ---- fixed values: lengths that the wide table keeps --------------------------------------
+AUTHORS, GIST, SUMMARY = 30, 700, 400
+# --------------------------------------------------------------------------------------------
+
+
+def project(rows: DataFrame) -> DataFrame:
+    """The wide table of papers from the star's rows: short names, bounded authors, gist and summary of a note.
+
+    ``rows`` has the candidate's columns and the structs ``label, venue, note`` and
+    ``registry`` of ``star``; the first DOI known wins, and the companies of a label
+    stand before those detected.
+    """
+    none, text = F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(""))
+    note, label = F.col("note"), F.col("label")
+    return rows.select(
+        F.col("uid").alias("id"), F.col("arxiv_id").alias("ax"), F.col("title").alias("t"), label["name"].alias("n"), F.slice(F.coalesce("authors", none), 1, AUTHORS).alias("a"),
+        F.col("year").alias("y"), F.col("date").alias("d"), text(F.col("abstract")).alias("ab"), text(label["tldr"]).alias("tl"), label["scope"].alias("sc"), F.coalesce(label["tasks"], none).alias("tk"),
+        F.coalesce(label["paradigm"], F.lit("none")).alias("pd"), F.coalesce(label["benchmarks"], none).alias("bm"), F.col("venue")["label"].alias("v"), F.col("venue")["venue"].alias("vn"), F.col("venue")["kind"].alias("vk"),
+        F.coalesce("cited", F.lit(0)).alias("c"), F.coalesce(label["co"], F.col("companies"), none).alias("co"), F.coalesce(F.col("registry")["doi"], F.col("doi_pub"), F.col("doi")).alias("doi"),
+        F.when(note.isNotNull(), 1).alias("r"), F.when(note.isNotNull(), F.substring(F.concat_ws(" ", text(note["key_idea"]), text(note["insight"])), 1, GIST)).alias("rk"), F.substring(note["summary"], 1, SUMMARY).alias("sm"),
+    )
+
+
+def bib_source(dblp: Column, registry: Column, venue: Column, kind: Column, arxiv: Column) -> Column:
+    """Where a paper's entry comes from: an official one, one made from its venue, its preprint, or what is left."""
+    made = venue.isin(*BOOKTITLE, *JOURNAL) & (F.coalesce(kind, F.lit("main")) != "workshop")
+    return F.when(dblp.isNotNull(), "dblp").when(registry.isNotNull(), "crossref").when(F.coalesce(made, F.lit(False)), "auto-venue").when(arxiv.isNotNull(), "arxiv").otherwise("misc")

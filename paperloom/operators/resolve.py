@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import norm_title, spaced_title, title_ratio
+from paperloom.functions.text import norm_title, spaced_title, surname, surnames, title_ratio
 
 # ---- fixed values ------------------------------------------------------------------
 BAD_TYPES = "dataset paratext peer-review erratum editorial retraction supplementary-materials libguides other letter grant".split()
@@ -55,41 +55,97 @@ def prefilter(relevant: Column, strict: Column, good_category: Column, min_year:
     )
 
 
-def _surname_keys(names: Column) -> Column:
+def harvested_rows(harvested: DataFrame) -> DataFrame:
+    """Harvested records as candidates: day and year of the publication text, one source, no records of the other kind."""
+    day = F.substring("published", 1, 10)
+    return harvested.select(
+        F.col("id").alias("uid"), F.col("id").alias("arxiv_id"), "title", "abstract", "authors", day.alias("date"), F.coalesce(F.substring("published", 1, 4).try_cast("int"), F.lit(0)).alias("year"),
+        "categories", "comment", "journal_ref", "doi", F.array(F.lit("arxiv")).alias("sources"), "first_seen", "queries", F.array().cast("array<string>").alias("oa_ids"), F.lit(None).cast("string").alias("oa_type"), "_seq",
+    )
+
+
+#: Widths of the year blocks that candidate pairs meet in.
+_YEARS = 3
+
+
+def _surname_keys(names: Column, first: Column) -> Column:
     """The first surname, and every two surnames in order: rows that share a key meet the author rule."""
-    first = F.array(F.concat(F.lit("1 "), F.coalesce(F.try_element_at(names, F.lit(1)), F.lit(""))))
+    one = F.when(first.isNotNull(), F.array(F.concat(F.lit("1 "), first))).otherwise(F.array().cast("array<string>"))
     some = F.array_sort(F.array_distinct(names))
     two = F.flatten(F.transform(some, lambda x: F.transform(F.filter(some, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("2"), x, y))))
-    return F.concat(first, two)
+    return F.concat(one, two)
+
+
+def _letters(title: Column) -> Column:
+    """How often each of the characters that a compared title may hold occurs in it."""
+    return F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), ""), lambda c: F.length(title) - F.length(F.replace(title, c)))
+
+
+def shared_surnames(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
 
 
 def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> DataFrame:
-    """``dup, keeper``: later rows that repeat an earlier one.
-
-    ``rows`` has ``uid, name, title, year, surnames`` (array, first author first) and
-    ``_seq``. A pair needs the same name of three letters or more, or, where the later row
-    has no such namesake, titles more than ``ratio`` alike; also years no further apart than
-    ``years`` and two surnames in common or the same first one. Candidates come from an
-    equi-join on just that: the first surname or any two surnames, and the year, dealt
-    to its neighbours on one side. No surname alone, however common, makes a pair, and
-    lengths bound the ratio from above before it is computed.
+    """``dup, keeper``: rows without an arXiv id that repeat one with it.
+
+    ``rows`` has ``uid, arxiv_id, linked, name, title, year, authors, _seq`` with folded
+    author names. A row whose ``linked`` id is a keeper's repeats that one. Else keepers
+    of the same name (three letters or more) are looked at, or, if there is none, those
+    with a title more than ``ratio`` alike; years are ``years`` apart at most (an unknown
+    one is 0), and two surnames are common, or the first author's is. The first keeper in
+    order wins. Rows without authors share no first author.
+
+    Pairs of ids meet in equi-joins on the first surname, or any two, and a block of
+    years. Lengths and then letter counts bound the ratio from above, so the exact ratio
+    runs on what could be a duplicate; titles join in only for these.
     """
-    r = rows.withColumn("nt", spaced_title(F.col("title"))).withColumn("nm", F.when(F.length(F.trim("name")) >= 3, F.lower(F.trim("name"))))
-    side = lambda p: r.select(*(F.col(c).alias(f"{p}_{c}") for c in ("uid", "nt", "nm", "year", "surnames", "_seq")))
-    a, b = side("a"), side("b")
-    key = lambda df, p: df.withColumn("s", F.explode(_surname_keys(F.col(f"{p}_surnames"))))
-    left = key(a, "a").withColumn("year", F.explode(F.sequence(F.col("a_year") - years, F.col("a_year") + years)))
-    right = key(b, "b").withColumn("year", F.col("b_year"))
-    named = F.coalesce(F.col("a_nm") == F.col("b_nm"), F.lit(False))
-    la, lb = F.length("a_nt"), F.length("b_nt")
+    last = surnames(F.col("authors"))
+    first = F.when(F.size("authors") > 0, surname(F.element_at("authors", 1)))
+    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9 ]", "")
+    r = rows.select("uid", "arxiv_id", "linked", "_seq", F.when(F.length(F.trim("name")) >= 3, F.lower(F.trim("name"))).alias("nm"), title.alias("nt"), F.coalesce("year", F.lit(0)).alias("y"), last.alias("last"), first.alias("first"))
+    keep, other = r.where("arxiv_id is not null"), r.where("arxiv_id is null")
+    linked = other.select("uid", F.col("linked").alias("arxiv_id")).join(keep.groupBy("arxiv_id").agg(F.max_by("uid", "_seq").alias("keeper")), "arxiv_id").select(F.col("uid").alias("dup"), "keeper")
+    other = other.join(linked.select(F.col("dup").alias("uid")), "uid", "left_anti")
+    names = keep.where("nm is not null").select("nm").distinct().withColumn("namesake", F.lit(True))
+    other = other.join(names, "nm", "left")
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        keys = df.select(F.col("uid").alias(f"{p}_uid"), F.col("_seq").alias(f"{p}_seq"), F.col("nm").alias(f"{p}_nm"), F.col("y").alias(f"{p}_y"), F.length("nt").alias(f"{p}_n"), F.col("namesake") if p == "b" else F.lit(None).cast("boolean").alias("no"), F.explode(_surname_keys(F.col("last"), F.col("first"))).alias("s"))
+        block = F.floor(F.col(f"{p}_y") / _YEARS)
+        return keys.withColumn("block", F.explode(F.array(block - 1, block, block + 1)) if p == "a" else block)
+
+    la, lb = F.col("a_n"), F.col("b_n")
     could = 2 * F.least(la, lb) > ratio * (la + lb)
-    pairs = left.join(right, ["s", "year"]).where((F.col("a__seq") < F.col("b__seq")) & (named | could)).drop("s", "year").dropDuplicates(["a_uid", "b_uid"])
-    alike = pairs.where(~named & could).where(title_ratio("a_nt", "b_nt") > ratio)
-    names = r.where("nm is not null").groupBy("nm").agg(F.min("_seq").alias("first_named"))
-    has_namesake = F.coalesce(F.col("first_named") < F.col("b__seq"), F.lit(False))
-    by_title = alike.join(names, alike.b_nm == names.nm, "left").where(~has_namesake).select("a_uid", "b_uid", "a__seq")
-    found = pairs.where(named).select("a_uid", "b_uid", "a__seq").union(by_title)
-    return found.groupBy(F.col("b_uid").alias("dup")).agg(F.min_by("a_uid", "a__seq").alias("keeper"))
+    named = F.col("namesake") & (F.col("a_nm") == F.col("b_nm"))
+    near = F.abs(F.col("a_y") - F.col("b_y")) <= years
+    pairs = side(keep, "a").drop("no").join(side(other, "b"), ["s", "block"]).where(near & (F.coalesce(named, F.lit(False)) | (F.col("namesake").isNull() & could)))
+    pairs = pairs.select("a_uid", "b_uid", "a_seq", F.coalesce("namesake", F.lit(False)).alias("named")).distinct()
+    text = r.select("uid", "nt", _letters(F.col("nt")).alias("letters"))
+    of = lambda p: text.select(F.col("uid").alias(f"{p}_uid"), F.col("nt").alias(f"{p}_nt"), F.col("letters").alias(f"{p}_letters"))
+    common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    alike = pairs.where("not named").join(of("a"), "a_uid").join(of("b"), "b_uid").where(2 * common > ratio * (F.length("a_nt") + F.length("b_nt")))
+    alike = alike.where(title_ratio("b_nt", "a_nt") > ratio)
+    found = pairs.where("named").select("a_uid", "b_uid", "a_seq").union(alike.select("a_uid", "b_uid", "a_seq"))
+    return found.groupBy(F.col("b_uid").alias("dup")).agg(F.min_by("a_uid", "a_seq").alias("keeper")).union(linked)
+
+
+def twin_by_title(papers: DataFrame, index: DataFrame, least: float = 0.92) -> DataFrame:
+    """``uid, found, exact``: the entry of an index (title, found) with a paper's title, else the most alike one.
+
+    Exact titles meet by equality. For the rest, an entry as much alike has to share a
+    whole word, as titles of two words and more that differ in all words are less alike;
+    lengths and the exact ratio decide.
+    """
+    key = lambda c: spaced_title(F.col(c))
+    p, i = papers.select("uid", key("title").alias("want")).where("want <> ''"), index.select(key("title").alias("got"), "found").where("got <> ''")
+    exact = p.join(i, p.want == i.got).groupBy("uid").agg(F.min("found").alias("found")).withColumn("exact", F.lit(True))
+    rest = p.join(exact.select("uid"), "uid", "left_anti")
+    words = lambda c: F.array_distinct(F.split(F.col(c), " "))
+    la, lb = F.length("want"), F.length("got")
+    near = rest.withColumn("word", F.explode(words("want"))).join(i.withColumn("word", F.explode(words("got"))), "word").where(2 * F.least(la, lb) >= least * (la + lb)).drop("word").distinct()
+    alike = near.withColumn("ratio", title_ratio("got", "want")).where(F.col("ratio") >= least)
+    best = alike.groupBy("uid").agg(F.max_by("found", F.struct("ratio", "found")).alias("found")).withColumn("exact", F.lit(False))
+    return exact.unionByName(best)
 
 
 def priority_lookup(rows: DataFrame, index: DataFrame, keys: list[Column]) -> DataFrame:

@@ -123,6 +123,13 @@ def overview(papers: DataFrame, years: int = 10, per_group: int = 4, recent: int
 
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """``id, name``: whole-word mentions of single-word names, by an equi-join on tokens."""
-    words = texts.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    return words.join(names.select(F.lower("name").alias("word"), "name"), "word").select("id", "name")
+    """``id, name``: whole-word mentions of names of any number of words.
+
+    Texts and names meet by equality on a name's first word; the whole name is looked up
+    in the text's words only there, so no text is compared with all names.
+    """
+    words = lambda c: tokens(F.col(c))
+    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    n = names.select("name", words("name").alias("w")).where(F.size("w") > 0).select("name", F.element_at("w", 1).alias("word"), line(F.col("w")).alias("said"))
+    x = texts.select("id", words("text").alias("w")).select("id", line(F.col("w")).alias("line"), F.explode(F.array_distinct("w")).alias("word"))
+    return x.join(n, "word").where(F.contains("line", F.col("said"))).select("id", "name").distinct()

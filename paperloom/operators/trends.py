@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import strip_marks
+
 
 def map_counts(papers: DataFrame, tasks: str = "tk", paradigm: str = "pd") -> DataFrame:
     """``task, paradigm, n`` with totals: a null task or paradigm is the margin.
@@ -21,8 +25,9 @@ def pivot(papers: DataFrame, rows: str, columns: str, values: list) -> DataFrame
 
 
 def dense_cells(tasks: DataFrame, paradigms: DataFrame, counts: DataFrame) -> DataFrame:
-    """All cells of two small dimensions, empty ones with 0."""
-    cells = tasks.select("task").join(F.broadcast(paradigms.select("paradigm")))
+    """All cells of two small dimensions, empty ones with 0: one row of all paradigms meets the tasks."""
+    every = paradigms.agg(F.array_sort(F.collect_set("paradigm")).alias("all"))
+    cells = tasks.select("task").join(F.broadcast(every)).select("task", F.explode("all").alias("paradigm"))
     return cells.join(counts, ["task", "paradigm"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -102,10 +107,33 @@ def author_profile(papers: DataFrame, author: str) -> DataFrame:
     )
 
 
+def author_venues(papers: DataFrame, author: str, top: int = 6) -> DataFrame:
+    """Where an author publishes most, preprints left out."""
+    mine = papers.where(F.array_contains("a", author) & F.col("vn").isNotNull())
+    return mine.groupBy(F.col("vn").alias("venue")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "venue").limit(top)
+
+
+def author_paradigms(papers: DataFrame, author: str) -> DataFrame:
+    """An author's papers by paradigm and year."""
+    return papers.where(F.array_contains("a", author)).groupBy("pd", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scale_colour(n: Column, most: Column) -> Column:
+    """Strength of a cell on a map: from 0.07 up to 1 by the root of its share of the greatest."""
+    return F.when((most > 0) & (n > 0), F.lit(0.07) + 0.93 * F.sqrt(n / most)).otherwise(F.lit(0.0))
+
+
+def nice_step(most: Column, steps: int = 4) -> Column:
+    """The step of an axis up to ``most``: 1, 2 or 5 times a power of ten."""
+    raw = F.greatest(most / steps, F.lit(1e-12))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    return power * F.when(raw / power <= 1, 1).when(raw / power <= 2, 2).when(raw / power <= 5, 5).otherwise(10)
+
+
 def autocomplete(index: DataFrame, term: str, top: int = 8) -> DataFrame:
     """Authors whose folded name holds the term: prefix first, then word starts, then by papers."""
-    t = term.lower()
-    name = F.lower("author")
+    t = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c))
+    name = F.lower(strip_marks(F.col("author")))
     rank = F.when(F.startswith(name, F.lit(t)), 0).when(F.contains(name, F.lit(" " + t)), 1).otherwise(2)
     if len(t) < 2:
         return index.limit(0).withColumn("rank", F.lit(0))

@@ -215,6 +215,22 @@ def is_new(first_seen: Column, built: Column, bulk: str = "", days: int = 10) ->
     return F.coalesce((first_seen > F.lit(bulk)) & (F.datediff(built, F.to_date(first_seen)) <= days), F.lit(False))
 
 
+def published_venues(papers: DataFrame, venue: str = "vn", none: str = "Preprint") -> DataFrame:
+    """All venues but that of preprints."""
+    return papers.select(F.coalesce(venue, F.lit(none)).alias("venue")).distinct().where(F.col("venue") != none)
+
+
+def merged_spec(base: dict[str, list], own: dict[str, list]) -> dict[str, list]:
+    """A section's request over its survey's: its own facets replace the survey's, others stay."""
+    return {**base, **own}
+
+
+def merged_map(base: Column, own: Column) -> Column:
+    """Two maps as one; the second's value wins where both have a key."""
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k))
+    return F.map_concat(kept, own)
+
+
 def excluded_search(excluded: DataFrame, term: str, limit: int = 80) -> DataFrame:
     """Dropped papers whose title holds the term; without one, those that the reader put out."""
     hit = F.contains(F.lower("t"), F.lit(term.lower())) if term else F.col("why") == "llm:out"

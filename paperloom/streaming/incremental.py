@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.log import upsert
 
+#: Parts of a state table; a micro-batch rewrites those that its records fall into.
+BUCKETS = 64
+
 
 def sliding_counts(events: DataFrame, who: str, ts: str = "ts", window: str = "1 hour", slide: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events of a visitor in sliding windows, with a watermark; batch or stream alike."""
@@ -20,18 +23,52 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.col("n") > limit)
 
 
-def upsert_stream(batches: DataFrame, path: str, checkpoint: str, fields: list[str]):
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Numbers of the micro-batches that each bucket was written by, from the folders' names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/batch=*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    out: dict[int, list[int]] = {}
+    for status in found or []:
+        where = status.getPath()
+        out.setdefault(int(where.getParent().getName()[7:]), []).append(int(where.getName()[6:]))
+    return out
+
+
+def read_state(spark: SparkSession, path: str, schema, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """The state table: the newest folder of every bucket, or that before a micro-batch."""
+    folders = []
+    for bucket, numbers in sorted(_versions(spark, path).items()):
+        known = [n for n in numbers if before is None or n < before]
+        if known and (buckets is None or bucket in buckets):
+            folders.append(f"{path}/bucket={bucket}/batch={max(known)}")
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def upsert_stream(batches: DataFrame, path: str, checkpoint: str, fields: list[str], buckets: int = BUCKETS):
     """A stream of harvested records merged into a table of versions, batch by batch.
 
-    Each micro-batch writes a new folder of the table from the one before, named by its
-    number, so a batch that is run again overwrites its own folder and nothing else.
+    The table lies in buckets of ids. A micro-batch reads and rewrites only the buckets
+    that its records fall into, each into a folder named by its number, so a batch that is
+    run again overwrites its own folders and nothing else; what is two versions old goes.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         columns = [c for c in batch.columns if c != "_seq"]
-        before = spark.read.schema(batch.select(*columns).schema).parquet(f"{path}/{number - 1}") if number else batch.select(*columns).limit(0)
-        upsert(before, batch, fields).write.mode("overwrite").parquet(f"{path}/{number}")
+        schema = batch.select(*columns).schema
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # a number for each bucket at most
+        if not touched:
+            batch.unpersist()
+            return
+        state = upsert(read_state(spark, path, schema, number, touched), batch, fields).withColumn("bucket", bucket).withColumn("batch", F.lit(number))
+        state.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        batch.unpersist()
+        for b, numbers in _versions(spark, path).items():
+            for old in sorted(n for n in numbers if n < number)[:-1]:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}/batch={old}")
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
