@@ -30,11 +30,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> None:
+    from paperloom.catalogue import answers, files, site, texts  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -211,16 +217,9 @@ def papers_per_year(spark, d):
     return papers(spark, d).where("sc = 'core' AND y >= 1994").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH k AS (SELECT c_custkey AS id, regexp_replace(lower(split_part(c_name, ' ', 1)), '[^a-z]', '', 'g') || (2000 + c_nationkey)::VARCHAR || lower(c_mktsegment) AS base FROM customer),
-  n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS nth FROM k) SELECT id, base || CASE WHEN nth > 1 AND nth <= 26 THEN chr((96 + nth)::INT) ELSE '' END AS key FROM n WHERE nth <= 26""")
-def cite_keys_unique(spark, d):
-    return _cite_keys(spark, d).where("nth <= 26").select("id", "key")
-
-
 @query("""WITH k AS (SELECT c_custkey AS id, regexp_replace(lower(split_part(c_name, ' ', 1)), '[^a-z]', '', 'g') || (2000 + c_nationkey)::VARCHAR || lower(c_mktsegment) AS base FROM customer),
   n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS nth FROM k) SELECT id, base || CASE WHEN nth = 1 THEN '' WHEN nth <= 26 THEN chr((96 + nth)::INT) ELSE '-' || nth::VARCHAR END AS key FROM n""")
-def cite_keys_all(spark, d):
-    """``cite_keys_unique`` keeps its SQL's 26 rows a base; this has every row."""
+def cite_keys_unique(spark, d):
     return _cite_keys(spark, d).select("id", "key")
 
 
@@ -535,8 +534,10 @@ def dedup_first_wins(spark, d):
 
 @query()
 def fuzzy_duplicates(spark, d):
-    p = t(spark, d, "part")
-    rows_ = p.select(F.col("p_partkey").alias("uid"), F.lit("").alias("name"), F.col("p_name").alias("title"), F.col("p_size").cast("int").alias("year"), F.array("p_brand", "p_type").alias("surnames"), F.col("p_partkey").alias("_seq"))
+    """Parts as papers: those with an even key have an arXiv id, the brand is the first author."""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    letters = lambda c: F.translate(c, "#0123456789", "kabcdefghij")
+    rows_ = p.select(k.alias("uid"), F.when(k % 2 == 0, F.concat(F.lit("x"), k.cast("string"))).alias("arxiv_id"), F.when(k % 97 == 1, F.lit("x2")).alias("linked"), F.when(k % 5 == 0, F.col("p_name")).alias("name"), F.col("p_name").alias("title"), F.col("p_size").cast("int").alias("year"), F.array(letters(F.col("p_brand")), letters(F.col("p_type"))).alias("authors"), k.alias("_seq"))
     return resolve.fuzzy_duplicates(rows_)
 
 
@@ -589,14 +590,17 @@ def static_score(spark, d):
     return p.where(F.contains(F.lower(hay), F.lit("ring"))).select(F.col("p_partkey").alias("id"), "p_name", score.alias("score")).orderBy(F.col("score").desc(), "id").limit(12)
 
 
-@query(f"WITH n AS (SELECT item_id, lower(regexp_extract(text, '([A-Za-z]{{5,}})', 1)) AS name FROM benchmark) SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS word FROM documents) JOIN n ON word = name")
+@query(f"""WITH n AS (SELECT item_id, {_TOKENS} AS w FROM benchmark), x AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS line FROM documents)
+  SELECT doc_id, item_id, k::INT AS words FROM x, n, (VALUES (1), (2), (5)) v(k) WHERE len(w) >= 5 AND contains(line, ' ' || array_to_string(w[1:k], ' ') || ' ')""")
 def named_substring_join(spark, d):
+    """The first word, two words and five words of every benchmark passage as names."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    names = t(spark, d, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "([A-Za-z]{5,})", 1)).alias("name"))
-    return retrieval.mentions(docs, names.select("name").distinct()).join(names, "name").select(F.col("id").alias("doc_id"), "item_id").distinct()
+    w = tx.tokens(F.col("text"))
+    names = t(spark, d, "benchmark").where(F.size(w) >= 5).select("item_id", F.explode(F.array(*map(F.lit, (1, 2, 5)))).alias("words"), w.alias("w")).select("item_id", "words", F.array_join(F.slice("w", F.lit(1), F.col("words")), " ").alias("name"))
+    return retrieval.mentions(docs, names.select("name").distinct()).join(names, "name").select(F.col("id").alias("doc_id"), "item_id", "words")
 
 
-@query(f"WITH {ROWS}, b AS (SELECT bench, count(*) AS n FROM r GROUP BY 1) SELECT bench, 8::INT AS size, n::BIGINT AS n FROM b WHERE bench = 'Brand#12'")
+@query(f"WITH {ROWS}, b AS (SELECT bench, count(*) AS n FROM r GROUP BY 1) SELECT bench, length(bench)::INT AS size, n::BIGINT AS n FROM b WHERE regexp_matches(' what leads on brand#12 or brand#1? ', '[^a-z0-9]' || lower(bench) || '[^a-z0-9]') ORDER BY length(bench) DESC, n DESC, bench LIMIT 1")
 def longest_alias(spark, d):
     b = rows(spark, d).groupBy("bench").agg(F.count(F.lit(1)).alias("n"))
     aliases = spark.createDataFrame([("Brand", "Brand#3"), ("brand one", "Brand#1")], "alias string, bench string")
@@ -665,11 +669,11 @@ def digest_grouped(spark, d):
     return g.select("task", "n", F.array_join(F.transform("r", lambda z: z["id"].cast("string")), ",").alias("ids"))
 
 
-@query("SELECT i AS id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.lang <> 'en' THEN 'drop:lang' WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'out' ELSE 'ok' END AS status FROM range(0, 5000, 7) t(i) LEFT JOIN documents d ON d.doc_id = i LEFT JOIN labels l ON l.doc_id = i")
+@query("SELECT i AS id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.lang <> 'en' THEN 'drop:lang' WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'out' ELSE 'ok' END AS status FROM (SELECT DISTINCT o_custkey AS i FROM orders) LEFT JOIN documents d ON d.doc_id = i LEFT JOIN labels l ON l.doc_id = i")
 def recall_status(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") != "en", "drop:lang").otherwise("keep").alias("prefilter"))
     lab = t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "out").otherwise("core").alias("scope"))
-    return lineage.landmark_status(spark.range(0, 5000, 7), docs, lab).select("id", "status")
+    return lineage.landmark_status(t(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), docs, lab).select("id", "status")
 
 
 @query(f"WITH {PAPERS} SELECT id, round(y + (month(date) - 1) / 12, 9) AS at, round(y + (month(date) - 0.5) / 12, 9) AS mid FROM p WHERE sc = 'core'")
@@ -816,19 +820,25 @@ def local_matches(spark, d):
     return search.local_matches(library(spark, d), "The small ring?", retrieval.STOP).select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT unnest([1, 2, 3])::BIGINT AS id, unnest(['a', 'b', NULL]) AS answer")
+@query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) SELECT o_custkey AS asked, o_orderkey AS id, CASE WHEN nth <= 3 THEN o_orderpriority END AS answer FROM o")
 def zip_answers(spark, d):
+    """Each customer's orders as one request; only the first three have an answer."""
     from paperloom.sources.io import zipped
 
-    asked = spark.range(1).select(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3))).alias("ids"), F.array(F.lit("a"), F.lit("b")).alias("answers"))
-    return zipped(asked, "ids", "answers")
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("asked")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
+    asked = o.select("asked", F.transform("x", lambda x: x["o_orderkey"]).alias("ids"), F.transform(F.slice("x", 1, 3), lambda x: x["o_orderpriority"]).alias("answers"))
+    return zipped(asked, "ids", "answers", "asked")
 
 
-@query("SELECT strftime(m, '%Y-%m-%d') AS \"from\", strftime(last_day(m), '%Y-%m-%d') AS \"to\" FROM (SELECT unnest(generate_series(DATE '2019-01-01', DATE '2020-12-01', INTERVAL 1 MONTH)) AS m)")
+@query("""WITH n AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT sum(n) * 0.15 AS cap FROM n)
+  SELECT strftime(make_date(y, 1, 1), '%Y-%m-%d') AS "from", strftime(make_date(y, 12, 31), '%Y-%m-%d') AS "to" FROM n, c WHERE n <= floor(cap) UNION ALL
+  SELECT strftime(m, '%Y-%m-%d'), strftime(last_day(m), '%Y-%m-%d') FROM (SELECT unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 1), INTERVAL 1 MONTH)) AS m FROM n, c WHERE n > floor(cap))""")
 def harvest_windows(spark, d):
+    """Years of orders as results of a query; the larger years are over the cap."""
     from paperloom.sources.io import windows
 
-    return windows(spark, 40_000, 2019, 2020)
+    n = t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("total"))
+    return windows(n, int(n.agg(F.sum("total")).first()[0] * 0.15))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) >= 6000 THEN 'latex' WHEN length(text) * 2 >= 6000 THEN 'pdf' ELSE 'abstract' END AS source FROM documents")
@@ -920,7 +930,7 @@ def board_notable(spark, d):
     return p.agg(F.count_if(board.notable(["1", "2", "3"], 2001, 300000, 200000)).alias("notable"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {ROWS} SELECT id, part, supp, line, CASE WHEN bench = 'Brand#1' AND regexp_matches(method, 'ring') THEN 'R' WHEN bench = 'Brand#1' AND regexp_matches(task, 'PROMO') THEN 'P' WHEN bench = 'Brand#2' AND regexp_matches(method, 'small') THEN 'S' END AS variant FROM r WHERE bench IN ('Brand#1', 'Brand#2')")
+@query(f"WITH {ROWS} SELECT id, part, supp, line, CASE WHEN bench = 'Brand#1' AND regexp_matches(method, 'ring') THEN 'R' WHEN bench = 'Brand#1' AND regexp_matches(task, 'PROMO') THEN 'P' WHEN bench = 'Brand#2' AND regexp_matches(method, 'small') THEN 'S' END AS variant FROM r")
 def bench_variants(spark, d):
     rules = [("Brand#1", "ring", "R"), ("Brand#1", "PROMO", "P"), ("Brand#2", "small", "S")]
-    return rows(spark, d).where(F.col("bench").isin("Brand#1", "Brand#2")).select("id", "part", "supp", "line", board.bench_variant(rules, ["method", "task"]).alias("variant"))
+    return rows(spark, d).select("id", "part", "supp", "line", board.bench_variant(rules, ["method", "task"]).alias("variant"))

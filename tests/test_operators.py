@@ -80,9 +80,15 @@ def test_functions_with_stacks():
     assert tx.companies_in("Ann, Google DeepMind", [("Google", "Google")]) == ["Google"]
     assert tx.companies_in("supported by a gift from Google", [("Google", "Google")]) == []
     assert "Lab X" in tx.author_block("\\begin{document}\\title{T {a}}\\author{Bo {Lab X}}\\begin{abstract}z", "latex")
-    files = {"main.tex": "\\documentclass{a}\\title{Maps}\\input{sec/a}" + "x" * 3000, "sec/a.tex": "BODY \\input{b}", "sec/b.tex": "DEEP", "response.tex": "\\documentclass{a}" + "y" * 9000}
-    flat = io.main_tex(files, "Maps")
-    assert "BODY" in flat and "DEEP" in flat and "yyy" not in flat
+
+
+def test_main_file(spark):
+    files = {"main.tex": "\\documentclass{a}\\title{Maps}\\input{sec/a}" + "x" * 3000, "sec/a.tex": "BODY \\input{b} \\input{a} \\input{gone}", "sec/b.tex": "DEEP \\import{../}{part}", "part.tex": "\\documentclass{a}\\begin{document}PART\\end{document} no", "response.tex": "\\documentclass{a}" + "y" * 9000}
+    rows = [("p", n, t, "Maps") for n, t in files.items()] + [("q", "only.tex", "\\documentclass{a} short", "Maps"), ("r", "loop.tex", "\\documentclass{a}" + "z" * 3000 + "\\input{two}", "T"), ("r", "two.tex", "2\\input{three}", "T"), ("r", "three.tex", "3\\input{two}", "T")]
+    got = {r["uid"]: r["text"] for r in io.main_files(spark.createDataFrame(rows, "uid string, name string, text string, title string")).collect()}
+    flat = got["p"]
+    assert "BODY \nDEEP \nPART\n" in flat and "yyy" not in flat and "no" not in flat and flat.count("BODY") == 1
+    assert "q" not in got and got["r"].endswith("z" + "\n2\n3" * 4 + "\n" * 10)  # eight levels, and what the ninth leaves
 
 
 # ---- search ----------------------------------------------------------------------------
@@ -131,10 +137,8 @@ def test_stream_of_upserts_is_the_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = incremental.folder_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
     incremental.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", ["title"]).awaitTermination()
-    import os
-
-    last = max(int(n) for n in os.listdir(f"{tmp_path}/out") if n.isdigit())
-    got = {r["id"]: (r["version"], r["title"], sorted(r["queries"])) for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()}
+    state = incremental.read_state(spark, f"{tmp_path}/out", schema.removesuffix(", _seq long"))
+    got = {r["id"]: (r["version"], r["title"], sorted(r["queries"])) for r in state.collect()}
     assert got == {"a": (2, "t3", ["x", "y", "z"]), "b": (1, "t2", ["x"])}
 
 
@@ -164,6 +168,23 @@ def test_rolling_window_is_strict(spark):
     assert [r["recent"] for r in log.rolling_counts(e, "u", "ts", 3600).orderBy("t").collect()] == [0, 1, 1]
 
 
+def test_the_window_of_all_crosses_midnight(spark):
+    e = spark.createDataFrame([("2024-01-01 23:59:00",), ("2024-01-02 00:01:00",), ("2024-01-02 23:59:00",), ("2024-01-02 23:59:00",), ("2024-01-09 00:00:00",)], "t string").withColumn("ts", F.col("t").cast("timestamp"))
+    assert [r["recent"] for r in log.rolling_counts(e, None, "ts", 86400).orderBy("t").collect()] == [0, 1, 2, 2, 0]
+
+
+def test_rolling_counts_are_those_of_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    at = sorted(r.randrange(0, 40_000) for _ in range(300))
+    e = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(at)], "i int, u int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for who in ("u", None):
+        for seconds in (1, 7, 600, 3600):
+            want = [sum(t - seconds < x <= t and (who is None or j % 3 == i % 3) for j, x in enumerate(at)) - 1 for i, t in enumerate(at)]
+            assert [x["recent"] for x in log.rolling_counts(e, who, "ts", seconds).orderBy("i").collect()] == want
+
+
 def test_notes_to_read_again_and_to_share(spark):
     s = "uid string, version string, source string, read_at string, shared_from string, abstract_reason string, arxiv_id string"
     notes = spark.createDataFrame([("a", "v2", "latex", "2024", None, None, "1"), ("b", "v1", "latex", "2024", None, None, None), ("c", "v2", "abstract", "2023", None, "x", None), ("d", "v2", "latex", "2024", "other", None, None)], s)
@@ -183,37 +204,90 @@ def test_fold(spark):
     assert got == {"o1": "1", "o2": "1", "o3": "3", "o4": "oa:o4", "o5": "oa:o4", "o6": "oa:o6", "o7": "oa:o7"}
 
 
+FUZZY = "uid string, arxiv_id string, linked string, name string, title string, year int, authors array<string>, _seq long"
+
+
+def brute_duplicates(rows):
+    """The rule, pair by pair."""
+    import re
+    from difflib import SequenceMatcher
+
+    last = lambda a: re.sub("[^a-z]", "", a.split()[-1].lower())
+    keep, out = [r for r in rows if r[1]], {}
+    for uid, ax, linked, name, title, year, authors, _ in rows:
+        if ax:
+            continue
+        if linked and any(k[1] == linked for k in keep):
+            out[uid] = [k[0] for k in keep if k[1] == linked][-1]
+            continue
+        n = (name or "").lower().strip()
+        pool = [k for k in keep if len(n) >= 3 and (k[3] or "").lower().strip() == n]
+        plain = lambda x: re.sub("[^a-z0-9 ]", "", x.lower())
+        pool = pool or [k for k in keep if abs((k[5] or 0) - (year or 0)) <= 2 and SequenceMatcher(None, plain(title), plain(k[4])).ratio() > 0.9]
+        for k in pool:
+            la, lb = {last(a) for a in authors} - {""}, {last(a) for a in k[6]} - {""}
+            first = bool(authors and k[6]) and last(authors[0]) == last(k[6][0])
+            if abs((k[5] or 0) - (year or 0)) <= 2 and (len(la & lb) >= 2 or first):
+                out[uid] = k[0]
+                break
+    return out
+
+
 def test_fuzzy_duplicates(spark):
     long = "vision and language navigation with very long memory of rooms"
     rows = [
-        ("a", "", long, 2020, ["lee", "kim"], 1),
-        ("b", "", long + "s", 2021, ["lee", "zhu"], 2),  # same first author, titles alike
-        ("c", "", long + "s", 2023, ["lee"], 3),  # two years after b, three after a
-        ("d", "", long, 2020, ["oda", "kim"], 4),  # one surname in common, another first
-        ("e", "NavX", "something else", 2020, ["kim", "lee"], 5),
-        ("f", "navx", "a new title", 2020, ["zhu", "lee", "kim"], 6),  # same name, two surnames
-        ("g", "", long, 2020, [], 7),
-        ("h", "", long, 2020, [], 8),  # no surnames on either side
+        ("a", "1", None, "", long, 2020, ["A Lee", "B Kim"], 1),
+        ("a2", "2", None, "", long + "!", 2021, ["A Lee"], 2),
+        ("b", None, None, "", long + "s", 2021, ["Q Lee", "B Zhu"], 3),  # same first author, titles alike: the first keeper
+        ("c", None, None, "", long + "s", 2023, ["A Lee"], 4),  # three years after a, two after a2
+        ("d", None, None, "", long, 2020, ["C Oda", "B Kim"], 5),  # one surname in common, another first
+        ("e", "3", None, "NavX", "something else", 2020, ["B Kim", "A Lee"], 6),
+        ("f", None, None, " navx", "a new title", 2020, ["Z Zhu", "A Lee", "B Kim"], 7),  # same name, two surnames
+        ("g", "4", None, "", long, 2020, [], 8),
+        ("h", None, None, "", long, 2020, [], 9),  # no authors on either side share none
+        ("i", None, "4", "x", "linked to g", 1900, [], 10),
+        ("j", None, None, "", long, None, ["A Lee"], 11),  # an unknown year is 0
+        ("k", "5", None, "", long + "?", None, ["A Lee"], 12),
+        ("l", None, None, "NavX", long, 2020, ["A Lee"], 13),  # its namesake is no match, so titles are not looked at
+        ("m", "6", None, "", "titles of rooms", 2001, ["??", "X Ya"], 14),
+        ("n", None, None, "", "titles of rooms", 2001, ["!!"], 15),  # first authors without letters are alike
     ]
-    got = {r["dup"]: r["keeper"] for r in resolve.fuzzy_duplicates(spark.createDataFrame(rows, "uid string, name string, title string, year int, surnames array<string>, _seq long")).collect()}
-    assert got == {"b": "a", "c": "b", "f": "e", "h": "g"}
+    got = {r["dup"]: r["keeper"] for r in resolve.fuzzy_duplicates(spark.createDataFrame(rows, FUZZY)).collect()}
+    assert got == brute_duplicates(rows) == {"b": "a", "c": "a2", "f": "e", "i": "g", "j": "k", "n": "m"}
 
 
-def test_fuzzy_duplicates_query_compares_whole_titles(spark, tmp_path):
-    from difflib import SequenceMatcher
+def test_fuzzy_duplicates_of_one_common_surname(spark):
+    """Many rows of one first author: what the ratio's bounds rule out is never compared, and the result is the rule's."""
+    import random
+
+    r = random.Random(4)
+    words = [a + b for a in ("map", "nav", "rob", "vis", "lan", "mem") for b in ("s", "ing", "ot", "ion", "ory", "er")]
+    rows = []
+    for i in range(240):
+        title = " ".join(r.choice(words) for _ in range(r.randint(3, 9))) if i % 6 or not rows else rows[r.randrange(len(rows))][4] + r.choice(["", "s", "!"])
+        rows.append((f"u{i}", f"x{i}" if i % 2 else None, None, "", title, 2000 + i % 4, ["W Wang", f"X {r.choice('abcdef') * 3}"], i))
+    got = {x["dup"]: x["keeper"] for x in resolve.fuzzy_duplicates(spark.createDataFrame(rows, FUZZY)).collect()}
+    want = brute_duplicates(rows)
+    assert got == want and len(want) >= 5
 
+
+def test_fuzzy_duplicates_query_compares_whole_titles(spark, tmp_path):
     from paperloom import queries
 
     opening = "a shared opening of many plain words " * 5
     titles = [opening + "cats", opening + "cats", opening + " ".join(f"dog{i}" for i in range(60)), "x" * 10 + opening + "cats", *(f"{a} {b}" for a in ("large", "hot", "hots") for b in ("ring", "rings", "bolt"))]
     parts = [(i, n, f"Brand#{i % 2}", "LARGE" if i % 3 else "SMALL", 10 + i % 5) for i, n in enumerate(titles * 3)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    want = {}
-    for j, (_, n, brand, kind, size) in enumerate(parts):
-        for i, m, b, k, z in parts[:j]:
-            if b == brand and abs(z - size) <= 2 and SequenceMatcher(None, " ".join(m.split()), " ".join(n.split())).ratio() > 0.9:
-                want.setdefault(j, i)
-    assert {r["dup"]: r["keeper"] for r in queries.queries()["fuzzy_duplicates"](spark, str(tmp_path)).collect()} == want
+    letters = str.maketrans("#0123456789", "kabcdefghij")
+    rows = [(i, f"x{i}" if i % 2 == 0 else None, "x2" if i % 97 == 1 else None, n if i % 5 == 0 else None, n, z, [b.translate(letters), k.translate(letters)], i) for i, n, b, k, z in parts]
+    assert {r["dup"]: r["keeper"] for r in queries.queries()["fuzzy_duplicates"](spark, str(tmp_path)).collect()} == brute_duplicates(rows)
+
+
+def test_twins_by_title(spark):
+    index = spark.createDataFrame([("A Map of the Rooms!", "p1"), ("maps of many rooms and doors", "p2"), ("maps of many rooms and door", "p3"), ("other", "p4")], "title string, found string")
+    papers = spark.createDataFrame([("a", "a map of the rooms"), ("b", "Maps of many rooms and doorss"), ("c", "nothing alike"), ("d", "")], "uid string, title string")
+    got = {r["uid"]: (r["found"], r["exact"]) for r in resolve.twin_by_title(papers, index).collect()}
+    assert got == {"a": ("p1", True), "b": ("p2", False)}
 
 
 def test_prefilter_order(spark):
@@ -271,6 +345,12 @@ def test_cite_keys_of_a_hot_base(spark):
     assert len(set(got)) == 700 and got[25:27] == ["lee2020mapsz", "lee2020maps-27"] and got[699] == "lee2020maps-700"
 
 
+def test_a_suffixed_key_is_no_other_base(spark):
+    rows = [(i, ["Jo Lee"], 2020, "The Map") for i in range(3)] + [(9, ["Jo Lee"], 2020, "Mapb")]
+    got = [r["key"] for r in mart.cite_keys(spark.createDataFrame(rows, "_seq long, a array<string>, y int, t string")).orderBy("_seq").collect()]
+    assert got == ["lee2020map", "lee2020mapc", "lee2020mapd", "lee2020mapb"]
+
+
 def test_margins_count_papers_once(spark):
     p = spark.createDataFrame([(1, ["A", "B"], "x"), (2, ["A"], "y")], "id int, tk array<string>, pd string")
     got = {(r["task"], r["paradigm"]): r["n"] for r in trends.map_counts(p).collect()}
@@ -318,6 +398,45 @@ def test_files(spark, tmp_path):
     assert table.get().count() == 2 and table.get() is table.get()
 
 
+def test_windows_split_only_the_years_that_are_too_large(spark):
+    n = spark.createDataFrame([(2018, 20), (2019, 9501), (2020, 9500)], "year int, total int")
+    got = sorted((r["from"], r["to"]) for r in io.windows(n).collect())
+    assert got[0] == ("2018-01-01", "2018-12-31") and got[-1] == ("2020-01-01", "2020-12-31") and len(got) == 14 and got[2] == ("2019-02-01", "2019-02-28")
+    assert [tuple(r) for r in io.windows(n, 10**6).collect()] == [("2018-01-01", "2020-12-31")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from paperloom.sources import staging
+
+    monkeypatch.setattr(staging, "_is_local", lambda _: False)
+    monkeypatch.setattr(staging, "_own_folder", [])
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            staging.shared_folder(spark)
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+
+    from paperloom.sources import staging
+
+    with staging.released():
+        path = staging.cut(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_accents_do_not_hide_authors(spark):
+    index = spark.createDataFrame([("José Núñez", 3), ("Jos Nu", 9)], "author string, n long")
+    assert [r["author"] for r in trends.autocomplete(index, "nuñ").collect()] == ["José Núñez"]
+
+
+def test_domain_states_what_it_lacks():
+    from paperloom.plans.domain import Domain
+
+    assert Domain().lacks() == ["benchmarks", "categories", "paradigms", "tasks"] and Domain(scopes=("a",), tasks=(("x", "X"),)).lacks() == ["benchmarks", "categories", "paradigms", "scopes"]
+
+
 def test_first_usable_and_zip(spark):
     text, source = io.first_usable(("own", F.lit("short")), ("pdf", F.lit("x" * 7000)))
     assert one(spark, source) == "pdf"
