@@ -121,10 +121,9 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
 
 @pytest.mark.parametrize("small", [0, 4096])
 def test_components_are_those_of_brute_force(spark, monkeypatch, small):
-    from paperloom.llm import common, components
+    from paperloom.llm import components
 
     monkeypatch.setattr(components, "SMALL", small)
-    monkeypatch.setattr(common, "HOT", 10)
     r = random.Random(7)
     edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(5, 5)]
     root = {x: x for e in edges for x in e}
