@@ -130,7 +130,8 @@ def _classes(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFr
     members = cut(banded.join(buckets, "band").distinct(), "members")
 
     candidates = members.select("node").distinct()
-    texts = rows.where("node is not null").select("node", "text").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # one text of each node first: a partition then sends one copy of a text, however many it has
+    texts = rows.where("node is not null").groupBy("node").agg(F.first("text").alias("text")).join(candidates, "node", "left_semi")
     items = cut(texts.mapInPandas(_multisets, "node long, items binary"), "items")
     pairs = members.where("node <> chosen").select("node", "chosen").distinct()
     pairs = cut(pairs.groupBy(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).agg(F.min("node").alias("node"), F.min_by("chosen", "node").alias("chosen")), "pairs")
