@@ -33,6 +33,8 @@ AGREE = 0.9
 COPIES = 0.8
 #: How far from the diagonal children that are not equal are aligned, and how many at once.
 BAND, PIECE = 8, 512
+#: Bytes of all wrappers up to which every task gets them all; beyond that pages are shuffled to their host's wrapper.
+EVERYWHERE = 32 << 20
 #: Levels that label paths and the alignment tell apart; deeper text keeps the path of this level.
 DEEP = 200
 
@@ -327,7 +329,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE, everywhere: int = EVERYWHERE) -> DataFrame:
     """``key, url, text, n_chars``: one row for each row of ``pages``.
 
     Pages without a host share one wrapper. Null, empty or text-free pages have an empty
@@ -391,7 +393,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     wrappers = told.join(templates, "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
     alone = F.transform(F.filter("common", lambda x: (x["region"] != "") & ~F.array_contains("template", x["slot"])), lambda x: x["region"])
     wrappers = cut(wrappers.select("host", "template", F.array_distinct(F.concat("regions", alone)).alias("regions")), "wrappers")
-    out = join_skewed(parsed, wrappers, "host", "left")
+    size = wrappers.agg(F.sum(8 * F.size("template") + F.length(F.array_join("regions", ",")) + F.length("host") + 64).alias("bytes")).first()["bytes"] or 0
+    out = parsed.join(F.broadcast(wrappers), "host", "left") if size <= everywhere else join_skewed(parsed, wrappers, "host", "left")
     kept = F.filter("blocks", lambda x: ~F.coalesce(F.array_contains("regions", x["region"]) | F.array_contains("template", x["slot"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
     return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
