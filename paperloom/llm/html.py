@@ -380,6 +380,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     told = cut(told.select("host", common.alias("common"), "regions"), "common_texts")
     order = Window.partitionBy("host").orderBy("page")
     chosen = different.select("host", "page", "at").join(told.where(F.size("common") > 0).select("host"), "host", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    chosen = cut(chosen, "chosen_pages")  # the planner sees its size before it shuffles the pages
     some = rows.select("host", "at", "html").join(chosen, ["host", "at"]).groupBy("host", "nth").agg(F.min("html").alias("html")).join(told, "host")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
