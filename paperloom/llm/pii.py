@@ -83,8 +83,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LONGEST, AROUND = 17, 3
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 #: What any segment has: four digits with no letter between, an at sign, or what stands for one before a dot.
-_HINT = re.compile(r"[0-9](?:[^A-Za-z0-9]*+[0-9]){3,}|@|[\[({]\s?at\s?[\])}]|\bat\b(?=[^@\n]{1,40}\bdot\b|\s?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\.[A-Za-z]|\s?[\[({]\s?(?:dot|\.)))", re.I)
+_HINT = re.compile(r"[0-9](?:[^A-Za-z0-9]*+[0-9]){3,}|@|[\[({]\s?at\s?[\])}]|\bat\b(?=[^@\n]{1,40}\bdot\b|\s?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\.[A-Za-z]|\s?[\[({]\s?(?:dot|\.)|\s?dot\b))", re.I)
 _MAYBE = re.compile(r"[0-9@]|\bat\b", re.I)
+#: What is left of a token, and as many more as a segment with its context has.
+_AHEAD = re.compile(r"[A-Za-z0-9]*+(?:\s*+(?:[A-Za-z]++|[0-9]++|[^\sA-Za-z0-9])){0,%d}+" % (LONGEST + AROUND))
 _SPAN_START = re.compile(r"[A-Za-z0-9+(]")
 _CUES = (("email", "mail", "contact"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "cc", "payment"), ("tel", "phone", "call", "fax", "mobile", "cell", "dial"))
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sat\s", re.I)
@@ -337,6 +339,22 @@ def field() -> Field:
     return Field().fit(examples())
 
 
+def _reach(text: str, at: int) -> int:
+    """The end of the ``LONGEST + AROUND`` tokens from ``at`` on."""
+    return _AHEAD.match(text, at).end()
+
+
+def _reach_back(text: str, at: int, until: int) -> int:
+    """A place before ``at`` with at least ``LONGEST + AROUND`` whole tokens between, or ``until``."""
+    size = 128
+    while at - size > until:
+        # the first token may be the rest of one
+        if sum(1 for _ in _TOKEN.finditer(text, at - size, at)) > LONGEST + AROUND:
+            return at - size
+        size *= 2
+    return min(at, until)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> list[tuple[int, int, int]]:
     """Spans of the field where a hint is free of base spans; none of them touches one."""
     out: list[tuple[int, int, int]] = []
@@ -358,9 +376,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> li
             i += 1
         if free < (4 if m[0][-1].isdigit() else 1):
             continue
-        a, b = max(0, begin - 100), min(len(text), end + 100)
+        a, b = _reach_back(text, begin, windows[-1][1] if windows else 0), _reach(text, end)
         if windows and a <= windows[-1][1]:
-            windows[-1][1] = b
+            windows[-1][1] = max(windows[-1][1], b)
         else:
             windows.append([a, b])
     at = 0

@@ -316,6 +316,8 @@ def test_the_hint_hides_nothing_from_the_field():
     for ip in ("10[.]1[.]2[.]3", "8[.]8[.]8[.]8", "192[.]0[.]2[.]1"):
         assert pii.spans_of(f"seen at {ip} today", model) == [("ip", 8, 8 + len(ip), False)]
     assert [s[0] for s in pii.spans_of("write to JOHN AT EXAMPLE DOT COM today", model)] == ["email"]
+    far = f"write to john at {'example' * 20} dot com today"
+    assert pii.spans_of(far, model) == [("email", 9, len(far) - 6, False)]
 
     def whole(text):
         base = pii.base_spans(text)
@@ -323,8 +325,11 @@ def test_the_hint_hides_nothing_from_the_field():
         blocked = [any(s < e2 and e > s2 for s2, _, e2 in base) for s, e in tokens]
         return sorted([(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in model.decode(text, tokens, blocked)])
 
-    for text, _ in pii.examples(400, seed=5):
-        for t in (text, text.upper()):
+    made = [text for text, _ in pii.examples(400, seed=5)]
+    for i, text in enumerate(made):
+        # long words, many of them and several texts in one: windows reach by tokens, whatever their length
+        stretched = re.sub(r"[a-z]{4,}", lambda m: m[0] * 60, text)
+        for t in (text, text.upper(), stretched, f" {'so ' * 40}".join([stretched, *made[i : i + 3]])):
             assert pii.spans_of(t, model) == [(pii.KINDS[k], s, e, b) for s, k, e, b in whole(t)], t
 
 
