@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ann, chat, html, knn, language, mixing, near_dup, packing, pii, pipeline, token_counts
+from paperloom.llm import ann, chat, decontaminate, html, knn, language, mixing, near_dup, packing, pii, pipeline, token_counts
 from paperloom.llm.common import bounded_batches, table
 
 
@@ -33,9 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": _over("documents", packing.digest),
         "op9_token_counts": _over("documents", token_counts.digest),
         "op10_language": _over("documents", language.digest),
+        "op11_decontaminate": lambda spark, d: _over("documents", lambda docs: decontaminate.digest(docs, table(spark, d, "benchmark")))(spark, d),
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_knn": knn.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_knn": knn.SQL, "op11_decontaminate": decontaminate.SQL}
