@@ -11,18 +11,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut, fresh, join_skewed
 
 #: Words of a window; an item of fewer is one window.
 SIZE = 10
-#: Words, in UTF-8 once A to Z are lower case, and as Spark's patterns say it.
+#: Words, in UTF-8 once A to Z are lower case; a table that leaves them and blanks all else; words as Spark's patterns say it.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_PLAIN = bytes(x if x > 127 or chr(x) in "0123456789abcdefghijklmnopqrstuvwxyz" else ord(" ") for x in bytes(range(256)).lower())
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark of at most so many different windows, and bytes of them, is broadcast; a larger one is joined.
 BROADCAST_WINDOWS, BROADCAST_BYTES = 1 << 19, 1 << 26
@@ -84,24 +86,32 @@ class HashSet:
 
 
 def _hashes(ids: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every run of ``length`` numbers."""
-    n = len(ids) - length + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    if n > 0:
-        x = ids.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(length):
-                out = (out ^ (out >> np.uint64(29))) * _FACTOR + x[j : j + n]
-            out = (out ^ (out >> np.uint64(32))) * _FACTOR
-    return out
-
-
-def find(ids: np.ndarray, known: HashSet, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of a text lie inside a known window, and the numbers of the windows it holds.
-
-    ``ids`` are the vocabulary's numbers of the text's words, 0 for all others.
+    """A polynomial hash of every run of ``length`` numbers, longer runs made of shorter ones."""
+    with np.errstate(over="ignore"):
+        one, size, out, have = ids.astype(np.uint64), 1, None, 0
+        while True:
+            if length & size:
+                # what there is stands before the next ``size`` numbers
+                out = one if out is None else out[: len(out) - size] * _power(size) + one[have : have + len(out) - size]
+                have += size
+            size *= 2
+            if size > length:
+                out = out[: max(0, len(ids) - length + 1)] * _FACTOR
+                return out ^ (out >> np.uint64(31))
+            one = one[: -(size // 2)] * _power(size // 2) + one[size // 2 :]
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_FACTOR), n, 1 << 64))
+
+
+def find(ids: np.ndarray, known: HashSet, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words of a text lie inside a known window, and place and number of every window it holds.
+
+    ``ids`` are the vocabulary's numbers of the text's words, 0 for all others. The texts
+    of a batch may stand in one row with a 0 between them.
     """
-    cover, found = np.zeros(len(ids) + 1, dtype=np.int64), [np.zeros(0, dtype=np.int64)]
+    cover, places, found = np.zeros(len(ids) + 1, dtype=np.int64), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     strange = np.concatenate(([0], np.cumsum(ids == 0)))
     for length, (hashes, words, number) in known.lengths.items():
         if len(ids) < length:
@@ -119,8 +129,9 @@ def find(ids: np.ndarray, known: HashSet, filters: dict[int, np.ndarray]) -> tup
         at, nth = at[same], nth[same]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length, -1)
+        places.append(at)
         found.append(number[nth])
-    return np.cumsum(cover)[:-1] > 0, np.unique(np.concatenate(found))
+    return np.cumsum(cover)[:-1] > 0, np.concatenate(places), np.concatenate(found)
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +150,16 @@ def _scan(known, spans: bool):
         own: HashSet = known.value
         filters, number = own.filters(), own.vocabulary.get
         for s in batches:
-            rows = []
-            for text in s:
-                low = (text or b"").lower()
-                words = _WORD.findall(low)
-                ids = np.array([number(w, 0) for w in words], dtype=np.int64)
-                hit, windows = find(ids, own, filters)
-                items = sorted({i for w in windows.tolist() for i in own.items[w]})
-                rows.append((len(words), int(hit.sum()), items, _spans(low, hit) if spans and hit.any() else []))
+            texts = [t or b"" for t in s]
+            words = [[*t.translate(_PLAIN).split(), b""] for t in texts]  # a word that is none ends each text
+            sizes = np.array([len(w) for w in words], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            ids = np.fromiter(map(number, chain.from_iterable(words), repeat(0)), dtype=np.int64, count=int(sizes.sum()))
+            hit, at, windows = find(ids, own, filters)
+            of: dict[int, set[str]] = {}
+            for doc, w in set(zip(np.searchsorted(ends, at, "right").tolist(), windows.tolist())):
+                of.setdefault(doc, set()).update(own.items[w])
+            rows = [(int(n) - 1, int(hit[e - n : e].sum()), sorted(of.get(i, ())), _spans(texts[i].lower(), hit[e - n : e - 1]) if spans and i in of else []) for i, (n, e) in enumerate(zip(sizes, ends))]
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return F.pandas_udf(run, FOUND)
