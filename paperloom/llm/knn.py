@@ -75,7 +75,7 @@ def least_scores(ids: np.ndarray, queries: np.ndarray, sample_ids: np.ndarray, s
     return np.where(np.isfinite(out), out - SLACK * (1 + np.abs(out)), -np.inf)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products, by floating point where every sum is below 2 to the power 53; sums beyond a long are clipped."""
     most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
     if most < 2.0**53:
@@ -91,7 +91,7 @@ def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.nd
     ids, rows = ids[order], rows[order]
     asked, found, scored = [], [], []
     for at in range(0, len(queries), 128):
-        scores = _products(queries[at : at + 128], rows)
+        scores = exact_products(queries[at : at + 128], rows)
         own = ids[None] == query_ids[at : at + 128, None]
         for q, s, same in zip(query_ids[at : at + 128], scores, own):
             m = min(len(s), k + int(np.count_nonzero(same)))
@@ -122,7 +122,7 @@ class Space:
     norm: np.ndarray
 
 
-def _place(spaces: dict[int, Space]):
+def place(spaces: dict[int, Space]):
     """Every row's cell: a number for each pivot, and ``-1 - width`` where the width has no pivots."""
 
     def run(batches):
@@ -187,7 +187,7 @@ def join(rows: DataFrame, k: int, every: int, key: str = "vec_id", vector: str =
         first += len(points)
 
     # lots are dealt here and written, so a hot cell and a key with many rows are split alike in every retry
-    placed = rows.mapInPandas(_place(spaces), "id long, v array<bigint>, cell long, distance double, norm double")
+    placed = rows.mapInPandas(place(spaces), "id long, v array<bigint>, cell long, distance double, norm double")
     placed = cut(placed.withColumn("deal", F.xxhash64(F.lit("deal"), F.monotonically_increasing_id())), "cells")
     summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm"))
     summary = cut(summary.withColumn("parts", F.ceil(F.col("n") / ROWS).cast("int")), "summaries")
