@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ann, chat, decontaminate, hard_negatives, html, knn, language, mixing, near_dup, packing, pii, pipeline, token_counts
+from paperloom.llm import ann, chat, decontaminate, divergence, hard_negatives, html, knn, language, mixing, near_dup, packing, pii, pipeline, token_counts
 from paperloom.llm.common import bounded_batches, table
 
 
@@ -35,9 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language": _over("documents", language.digest),
         "op11_decontaminate": lambda spark, d: _over("documents", lambda docs: decontaminate.digest(docs, table(spark, d, "benchmark")))(spark, d),
         "op12_hard_negatives": _over("embeddings", hard_negatives.digest),
+        "op13_divergence": _over("documents", divergence.digest),
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_knn": knn.SQL, "op11_decontaminate": decontaminate.SQL, "op12_hard_negatives": hard_negatives.SQL}
+    return {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_knn": knn.SQL, "op11_decontaminate": decontaminate.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_divergence": divergence.SQL}
