@@ -48,7 +48,7 @@ class Tree:
 
     @classmethod
     def of(cls, rows: np.ndarray, labels: np.ndarray, leaf: int) -> Tree:
-        """Rows are split between labels first, then at the median of their widest component."""
+        """Rows are split between labels first, then between two rows far apart."""
         order = np.argsort(labels, kind="stable")
         begin, end, children, centre, radius, low, high = [0], [len(rows)], [None], [], [], [], []
         for n in iter(range(1 << 62)):
@@ -67,9 +67,13 @@ class Tree:
                 edges = np.flatnonzero(own[1:] != own[:-1]) + 1
                 middle = a + int(edges[np.abs(edges - (b - a) // 2).argmin()])
             else:
-                middle = a + (b - a) // 2
-                axis = int((x.max(axis=0) - x.min(axis=0)).argmax())
-                order[a:b] = order[a:b][np.argpartition(x[:, axis], middle - a)]
+                far = x[((x - centre[n]) ** 2).sum(axis=1).argmax()]
+                other = x[((x - far) ** 2).sum(axis=1).argmax()]
+                along = x @ (other - far)
+                near = int((along < (far + other) @ (other - far) / 2).sum())
+                # the nearer of two far rows, unless that leaves one side almost empty
+                middle = a + (near if min(near, b - a - near) * 16 >= b - a else (b - a) // 2)
+                order[a:b] = order[a:b][np.argpartition(along, middle - a)]
             children[n] = (len(begin), len(begin) + 1)
             begin += [a, middle]
             end += [middle, b]
