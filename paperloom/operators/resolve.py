@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import norm_title, spaced_title, surname, surnames, title_ratio
+from paperloom.functions.text import norm_title, spaced_title, surname, surnames
+from paperloom.operators.similarity import alike
 
 # ---- fixed values ------------------------------------------------------------------
 BAD_TYPES = "dataset paratext peer-review erratum editorial retraction supplementary-materials libguides other letter grant".split()
@@ -76,11 +77,6 @@ def _surname_keys(names: Column, first: Column) -> Column:
     return F.concat(one, two)
 
 
-def _letters(title: Column) -> Column:
-    """How often each of the characters that a compared title may hold occurs in it."""
-    return F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), ""), lambda c: F.length(title) - F.length(F.replace(title, c)))
-
-
 def shared_surnames(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
@@ -95,9 +91,9 @@ def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> Dat
     one is 0), and two surnames are common, or the first author's is. The first keeper in
     order wins. Rows without authors share no first author.
 
-    Pairs of ids meet in equi-joins on the first surname, or any two, and a block of
-    years. Lengths and then letter counts bound the ratio from above, so the exact ratio
-    runs on what could be a duplicate; titles join in only for these.
+    Rows meet in equi-joins on the first surname, or any two. For titles, different ones of
+    a surname and a block of years meet by their rare grams (``similarity``), however common
+    the surname; copies of a title are one, and rows join in for what is alike only.
     """
     last = surnames(F.col("authors"))
     first = F.when(F.size("authors") > 0, surname(F.element_at("authors", 1)))
@@ -108,44 +104,48 @@ def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> Dat
     other = other.join(linked.select(F.col("dup").alias("uid")), "uid", "left_anti")
     names = keep.where("nm is not null").select("nm").distinct().withColumn("namesake", F.lit(True))
     other = other.join(names, "nm", "left")
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        keys = df.select(F.col("uid").alias(f"{p}_uid"), F.col("_seq").alias(f"{p}_seq"), F.col("nm").alias(f"{p}_nm"), F.col("y").alias(f"{p}_y"), F.length("nt").alias(f"{p}_n"), F.col("namesake") if p == "b" else F.lit(None).cast("boolean").alias("no"), F.explode(_surname_keys(F.col("last"), F.col("first"))).alias("s"))
-        block = F.floor(F.col(f"{p}_y") / _YEARS)
-        return keys.withColumn("block", F.explode(F.array(block - 1, block, block + 1)) if p == "a" else block)
-
-    la, lb = F.col("a_n"), F.col("b_n")
-    could = 2 * F.least(la, lb) > ratio * (la + lb)
-    named = F.col("namesake") & (F.col("a_nm") == F.col("b_nm"))
-    near = F.abs(F.col("a_y") - F.col("b_y")) <= years
-    pairs = side(keep, "a").drop("no").join(side(other, "b"), ["s", "block"]).where(near & (F.coalesce(named, F.lit(False)) | (F.col("namesake").isNull() & could)))
-    pairs = pairs.select("a_uid", "b_uid", "a_seq", F.coalesce("namesake", F.lit(False)).alias("named")).distinct()
-    text = r.select("uid", "nt", _letters(F.col("nt")).alias("letters"))
-    of = lambda p: text.select(F.col("uid").alias(f"{p}_uid"), F.col("nt").alias(f"{p}_nt"), F.col("letters").alias(f"{p}_letters"))
-    common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    alike = pairs.where("not named").join(of("a"), "a_uid").join(of("b"), "b_uid").where(2 * common > ratio * (F.length("a_nt") + F.length("b_nt")))
-    alike = alike.where(title_ratio("b_nt", "a_nt") > ratio)
-    found = pairs.where("named").select("a_uid", "b_uid", "a_seq").union(alike.select("a_uid", "b_uid", "a_seq"))
-    return found.groupBy(F.col("b_uid").alias("dup")).agg(F.min_by("a_uid", "a_seq").alias("keeper")).union(linked)
+    keyed = lambda df: df.withColumn("s", F.explode(_surname_keys(F.col("last"), F.col("first"))))
+    block = F.floor(F.col("y") / _YEARS)
+    wide = lambda df: df.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+
+    def firsts(on: str) -> DataFrame:
+        """The first keeper of each surname key, year and name or title."""
+        return keyed(keep.where(F.col(on).isNotNull())).groupBy("s", "y", on).agg(F.min(F.struct("_seq", "uid")).alias("first_"))
+
+    def nearest_first(asked: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+        """For every asked row the first keeper of one of its keys with a year near enough."""
+        near = asked.withColumn("block", block).join(wide(kept).withColumnRenamed("y", "a_y"), [*on, "block"]).where(F.abs(F.col("y") - F.col("a_y")) <= years)
+        return near.groupBy("uid").agg(F.min("first_").alias("first_"))
+
+    named = nearest_first(keyed(other.where("namesake")).select("uid", "s", "nm", "y"), firsts("nm"), ["s", "nm"])
+    asked = keyed(other.where("namesake is null")).select("uid", "s", F.col("nt").alias("b_nt"), "y")
+    kept = firsts("nt").withColumnRenamed("nt", "a_nt")
+    texts = lambda df, c: df.select("s", "block", F.col(c).alias("id"), F.col(c).alias("text"))
+    pairs = alike(texts(wide(kept), "a_nt"), texts(asked.withColumn("block", block), "b_nt"), ratio, ("s", "block"), strictly=True)
+    # empty titles are as alike as can be
+    pairs = pairs.select(F.col("a").alias("a_nt"), F.col("b").alias("b_nt")).union(rows.sparkSession.createDataFrame([("", "")], "a_nt string, b_nt string"))
+    by_pair = kept.join(pairs, "a_nt").groupBy("s", "y", "b_nt").agg(F.min("first_").alias("first_"))
+    found = named.union(nearest_first(asked, by_pair, ["s", "b_nt"]))
+    return found.select(F.col("uid").alias("dup"), F.col("first_.uid").alias("keeper")).union(linked)
 
 
 def twin_by_title(papers: DataFrame, index: DataFrame, least: float = 0.92) -> DataFrame:
     """``uid, found, exact``: the entry of an index (title, found) with a paper's title, else the most alike one.
 
-    Exact titles meet by equality. For the rest, an entry as much alike has to share a
-    whole word, as titles of two words and more that differ in all words are less alike;
-    lengths and the exact ratio decide.
+    Exact titles meet by equality; of equal entries the smallest ``found`` counts. For the
+    rest different titles meet by their rare grams, so none that is at least ``least`` alike is lost;
+    the greatest ratio wins, then the greater title. Papers and entries without a letter or
+    digit in the title have no twin.
     """
     key = lambda c: spaced_title(F.col(c))
-    p, i = papers.select("uid", key("title").alias("want")).where("want <> ''"), index.select(key("title").alias("got"), "found").where("got <> ''")
-    exact = p.join(i, p.want == i.got).groupBy("uid").agg(F.min("found").alias("found")).withColumn("exact", F.lit(True))
-    rest = p.join(exact.select("uid"), "uid", "left_anti")
-    words = lambda c: F.array_distinct(F.split(F.col(c), " "))
-    la, lb = F.length("want"), F.length("got")
-    near = rest.withColumn("word", F.explode(words("want"))).join(i.withColumn("word", F.explode(words("got"))), "word").where(2 * F.least(la, lb) >= least * (la + lb)).drop("word").distinct()
-    alike = near.withColumn("ratio", title_ratio("got", "want")).where(F.col("ratio") >= least)
-    best = alike.groupBy("uid").agg(F.max_by("found", F.struct("ratio", "found")).alias("found")).withColumn("exact", F.lit(False))
-    return exact.unionByName(best)
+    p = papers.select("uid", key("title").alias("want")).where("want <> ''")
+    i = index.select(key("title").alias("got"), "found").where("got <> ''").groupBy("got").agg(F.min("found").alias("found"))
+    exact = p.join(i, p.want == i.got).select("uid", "found", F.lit(True).alias("exact"))
+    rest = p.join(i.select(F.col("got").alias("want")), "want", "left_anti")
+    text = lambda df, c: df.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct()
+    near = alike(text(rest, "want"), text(i, "got"), least).select(F.col("a").alias("want"), F.col("b").alias("got"), "ratio").join(i, "got")
+    best = near.groupBy("want").agg(F.max_by("found", F.struct("ratio", "got")).alias("found"))
+    return exact.unionByName(rest.join(best, "want").select("uid", "found", F.lit(False).alias("exact")))
 
 
 def priority_lookup(rows: DataFrame, index: DataFrame, keys: list[Column]) -> DataFrame:
