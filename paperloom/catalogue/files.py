@@ -227,7 +227,7 @@ def site_notes(spark, d):
     path = folder(spark, "site")
     publish.write({"papers": o}, path, notes=o, files=4)
     one = publish.read_note(spark, path, "1", "uid string, pd string", files=4)
-    rest = spark.read.schema("uid string, pd string").json(f"{path}/notes").where("uid <> '1'")
+    rest = publish.read(spark, path, "notes", "uid string, pd string").where("uid <> '1'")
     return rest.select("uid", "pd").union(one.select("uid", "pd")).select(F.col("uid").cast("long").alias("id"), "pd")
 
 
@@ -267,7 +267,7 @@ def stream_first_seen(spark, d):
     path, out = folder(spark, "events"), folder(spark, "seen")
     t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(path)
     stream = spark.readStream.schema("user_id long, ts timestamp").parquet(path)
-    found = incremental.new_records(stream, "user_id", "ts", "40 days")
+    found = incremental.new_records(stream, "user_id")
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long, ts timestamp").parquet(out).select("user_id")
 
@@ -275,9 +275,25 @@ def stream_first_seen(spark, d):
 @query("""WITH w AS (SELECT user_id, unnest(range(0, 6)) AS k, ts FROM events), s AS (SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS start FROM w) SELECT user_id, start, count(*)::BIGINT AS n FROM s GROUP BY 1, 2""")
 def stream_sliding(spark, d):
     """The sliding counts as a stream, in complete mode."""
-    path, name = folder(spark, "events"), f"sliding_{uuid.uuid4().hex}"
+    path, out = folder(spark, "events"), folder(spark, "sliding")
     t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(path)
     stream = spark.readStream.schema("user_id long, ts timestamp").parquet(path)
     counts = incremental.sliding_counts(stream, "user_id")
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(out)  # noqa: E731  each batch has all counts
+    counts.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+  w AS (SELECT user_id, n, ts AS last, TRUE AS due, ts FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, CASE WHEN e.ts - w.last > INTERVAL 2 DAY THEN e.ts ELSE w.last END, e.ts - w.last > INTERVAL 2 DAY, e.ts FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+  SELECT user_id, ts FROM w WHERE due""")
+def stream_due_again(spark, d):
+    """Requests that no answer of the two days before covers, from keyed state over three micro-batches."""
+    path, out = folder(spark, "requests"), folder(spark, "due")
+    e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in range(3):  # in order of time, ten days each
+        e.where(F.floor((F.dayofmonth("ts") - 1) / 10) == part).coalesce(1).write.mode("append").parquet(path)
+    stream = incremental.folder_stream(spark, path, e.schema)
+    found = incremental.due_again(stream, "user_id", "ts", days=2)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(e.schema).parquet(out).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import mart, trends
+from paperloom.sources import versions
 
 #: First year of the overview, most benchmarks listed (fixed values).
 FIRST_YEAR, BENCHMARKS = 2010, 12
@@ -60,17 +61,28 @@ def build(papers: DataFrame, board: DataFrame, excluded: DataFrame, paradigms: D
 
 
 def write(tables: dict[str, DataFrame], folder: str, notes: DataFrame | None = None, files: int = 64) -> None:
-    """Each table as JSON lines in a folder of its name; notes by id in ``files`` folders, so that one is found without the others."""
+    """A new version of the site: each table as JSON lines in a folder of its name; notes by id in ``files`` folders, so that one is found without the others.
+
+    All of it becomes current at once, by the switch at the end, so no reader mixes two versions.
+    """
+    spark = next(iter(tables.values())).sparkSession if tables else notes.sparkSession
+    version = versions.new_version(folder)
     for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+        df.write.json(f"{version}/{name}")
     if notes is not None:
-        notes.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(files))).write.mode("overwrite").partitionBy("part").json(f"{folder}/notes")
+        notes.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(files))).write.partitionBy("part").json(f"{version}/notes")
+    versions.switch(spark, folder, version, files=files)
+
+
+def read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """One table of the current version."""
+    return spark.read.schema(schema).json(f"{versions.current(spark, folder)}/{name}")
 
 
 def read_note(spark: SparkSession, folder: str, uid: str, schema: str, files: int = 64) -> DataFrame:
     """One paper's note, from its own part alone."""
     part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(uid)), F.lit(files))).first()[0]
-    return spark.read.schema(schema).json(f"{folder}/notes/part={part}").where(F.col("uid") == uid)
+    return spark.read.schema(schema).json(f"{versions.current(spark, folder)}/notes/part={part}").where(F.col("uid") == uid)
 
 
 def entries_file(papers: DataFrame, key: str = "key", bib: str = "bib") -> DataFrame:

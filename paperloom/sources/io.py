@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import as_text, csv_cell, spaced_title
+from paperloom.sources import versions
 from paperloom.sources.staging import cut
 
 #: Results that a listing gives out for one query (fixed value).
@@ -22,7 +22,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log of JSON lines; blank lines are skipped, a missing file is an empty table."""
+    """A log of JSON lines, in its current version if it has several; blank lines are skipped, a missing file is an empty table."""
+    path = versions.current(spark, path)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
@@ -215,11 +216,12 @@ class Reloading:
         self.spark, self.path, self.read, self.seen, self.df = spark, path, read, None, None
 
     def get(self) -> DataFrame:
-        files = self.spark.read.format("binaryFile").load(self.path).agg(F.max("modificationTime").alias("m"), F.count(F.lit(1)).alias("n")).first()
-        if (files["m"], files["n"]) != self.seen:
+        where = versions.current(self.spark, self.path)
+        files = self.spark.read.format("binaryFile").load(where).agg(F.max("modificationTime").alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if (where, files["m"], files["n"]) != self.seen:
             if self.df is not None:
                 self.df.unpersist()
-            self.seen, self.df = (files["m"], files["n"]), self.read(self.spark, self.path).cache()
+            self.seen, self.df = (where, files["m"], files["n"]), self.read(self.spark, where).cache()
         return self.df
 
 
@@ -258,29 +260,20 @@ def registry_entries(papers: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
 # ---- sinks -------------------------------------------------------------------------
 
 
-def _file_system(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    where = p(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def write_jsonl(df: DataFrame, path: str, by: list[Column], mode: str = "overwrite", compression: str | None = None) -> None:
-    """Rows in order as JSON lines. A table that is replaced stays whole until the new one is: it is written beside it and renamed."""
-    ordered = df.orderBy(*by)
-    w = ordered.write
+    """Rows in order as JSON lines. A table that is replaced is a new version beside the old one, and ``read_jsonl`` finds either whole."""
+    w = df.orderBy(*by).write
     w = w.option("compression", compression) if compression else w
     if mode != "overwrite":
-        w.mode(mode).json(path)
+        w.mode(mode).json(versions.current(df.sparkSession, path))
         return
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    w.json(beside)
-    files, p = _file_system(df.sparkSession, path)
-    files.delete(p(path), True)
-    files.rename(p(beside), p(path))
+    version = versions.new_version(path)
+    w.json(version)
+    versions.switch(df.sparkSession, path, version)
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    df.write.mode("append").json(versions.current(df.sparkSession, path))
 
 
 #: What a list of papers exports, and under which headings (fixed value).

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.log import upsert
+from paperloom.sources import versions
 
 #: Parts of a state table; a micro-batch rewrites those that its records fall into.
 BUCKETS = 64
@@ -23,59 +28,90 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.col("n") > limit)
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """Numbers of the micro-batches that each bucket was written by, from the folders' names."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/batch=*")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    out: dict[int, list[int]] = {}
-    for status in found or []:
-        where = status.getPath()
-        out.setdefault(int(where.getParent().getName()[7:]), []).append(int(where.getName()[6:]))
-    return out
-
-
-def read_state(spark: SparkSession, path: str, schema, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-    """The state table: the newest folder of every bucket, or that before a micro-batch."""
-    folders = []
-    for bucket, numbers in sorted(_versions(spark, path).items()):
-        known = [n for n in numbers if before is None or n < before]
-        if known and (buckets is None or bucket in buckets):
-            folders.append(f"{path}/bucket={bucket}/batch={max(known)}")
+def read_state(spark: SparkSession, path: str, schema, buckets: set[int] | None = None) -> DataFrame:
+    """The state table as last committed, whole or some of its buckets."""
+    held = (versions.read_pointer(spark, path) or {}).get("buckets", {})
+    folders = [f"{path}/{version}/bucket={b}" for b, version in sorted(held.items()) if buckets is None or int(b) in buckets]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def upsert_stream(batches: DataFrame, path: str, checkpoint: str, fields: list[str], buckets: int = BUCKETS):
-    """A stream of harvested records merged into a table of versions, batch by batch.
+def query_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a query keeps over restarts, from its checkpoint; a new checkpoint has a new one."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0]
+    return json.loads(text)["id"]
+
 
-    The table lies in buckets of ids. A micro-batch reads and rewrites only the buckets
-    that its records fall into, each into a folder named by its number, so a batch that is
-    run again overwrites its own folders and nothing else; what is two versions old goes.
+def upsert_stream(batches: DataFrame, path: str, checkpoint: str, fields: list[str], buckets: int = BUCKETS):
+    """A stream of harvested records merged into a table of versions, each micro-batch once.
+
+    The table lies in buckets of ids. A micro-batch reads the buckets that its records fall
+    into and writes them anew, in a folder of its own; then one file is replaced that
+    names the folder of every bucket and, as a log, the last micro-batch of every query. So a
+    batch is in the table with its log entry or not at all: one that is run again after a
+    failure finds its entry and does nothing, and a query with a new checkpoint goes on from
+    whatever is there. One query writes at a time. Replaced buckets stay for one more batch, for readers.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        query = query_of(spark, checkpoint)
+        held = versions.read_pointer(spark, path) or {"buckets": {}, "batches": {}, "replaced": []}
+        if held["batches"].get(query, -1) >= number:
+            return
         columns = [c for c in batch.columns if c != "_seq"]
         schema = batch.select(*columns).schema
         bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
         batch = batch.persist()
         touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # a number for each bucket at most
-        if not touched:
-            batch.unpersist()
-            return
-        state = upsert(read_state(spark, path, schema, number, touched), batch, fields).withColumn("bucket", bucket).withColumn("batch", F.lit(number))
-        state.repartition(len(touched), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        now, replaced = dict(held["buckets"]), []
+        if touched:
+            version = versions.new_version(path)
+            state = upsert(read_state(spark, path, schema, touched), batch, fields).withColumn("bucket", bucket)
+            state.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(version)
+            replaced = [f"{now[b]}/bucket={b}" for b in map(str, touched) if b in now]
+            now |= {str(b): version.removeprefix(f"{path}/") for b in touched}
+        versions.commit(spark, path, {"buckets": now, "batches": held["batches"] | {query: number}, "replaced": replaced})
         batch.unpersist()
-        for b, numbers in _versions(spark, path).items():
-            for old in sorted(n for n in numbers if n < number)[:-1]:
-                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}/batch={old}")
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for old in held["replaced"]:
+            versions.remove(spark, f"{path}/{old}")
 
+    path = path.rstrip("/")
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def new_records(records: DataFrame, key: str, ts: str, late: str) -> DataFrame:
-    """First sightings within a watermark; what came long before has to be in the table."""
-    return records.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def new_records(records: DataFrame, key: str) -> DataFrame:
+    """First sightings of a key, however late a repetition comes.
+
+    The keys are state without a watermark, which grows with them and outlives restarts; a
+    session for many keys sets the RocksDB state store, which keeps them on disk.
+    """
+    return records.dropDuplicates([key])
+
+
+_ASKED = "micros long"
+
+
+def due_again(requests: DataFrame, key: str, ts: str, days: int = 21) -> DataFrame:
+    """``key, ts`` of requests whose key was not let through in the ``days`` before, as a stream.
+
+    The state of a key is when it was last let through. Within a micro-batch requests count in
+    their order of time; one that is older than the state's time is known.
+    """
+
+    def decide(group, frames, state: GroupState):
+        at = np.sort(np.concatenate([f["at"].to_numpy() for f in frames]))  # one key's requests of one micro-batch
+        last, out = (state.get[0] if state.exists else None), []
+        for t in at.tolist():
+            if last is None or t - last > days * 86_400_000_000:
+                out.append(t)
+                last = t
+        state.update((last,))
+        yield pd.DataFrame({"key": [group[0]] * len(out), "at": out})
+
+    rows = requests.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    kind = dict(rows.dtypes)["key"]
+    found = rows.groupBy("key").applyInPandasWithState(decide, f"key {kind}, at long", _ASKED, "append", GroupStateTimeout.NoTimeout)
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts))
 
 
 def folder_stream(spark, folder: str, schema) -> DataFrame:
