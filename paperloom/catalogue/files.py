@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators import log
 from paperloom.queries import query, t
 from paperloom.sources import io, paged
 from paperloom.sources.staging import shared_folder
@@ -292,8 +293,35 @@ def stream_due_again(spark, d):
     path, out = folder(spark, "requests"), folder(spark, "due")
     e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     for part in range(3):  # in order of time, ten days each
-        e.where(F.floor((F.dayofmonth("ts") - 1) / 10) == part).coalesce(1).write.mode("append").parquet(path)
+        e.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(path)
     stream = incremental.folder_stream(spark, path, e.schema)
     found = incremental.due_again(stream, "user_id", "ts", days=2)
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(e.schema).parquet(out).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+#: The limits as a recursion over each site's questions; what was let through in the last day is a list.
+_ADMITTED = """WITH RECURSIVE e AS (SELECT event_type AS site, user_id AS who, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+  w AS (SELECT site, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::STRUCT(t BIGINT, who BIGINT)[] AS held, NULL::VARCHAR AS refused FROM (SELECT DISTINCT site FROM e)
+  UNION ALL SELECT site, n, event_id, CASE WHEN refused IS NULL THEN list_append(past, {'t': t, 'who': who}) ELSE past END, refused FROM (
+    SELECT *, CASE WHEN len(past) >= 20 THEN 'daily' WHEN len(list_filter(past, lambda x: x.who = who AND t - x.t < 3600000000)) >= 1 THEN 'hourly' END AS refused FROM (
+      SELECT e.site, e.n, e.event_id, e.t, e.who, list_filter(w.held, lambda x: e.t - x.t < 86400000000) AS past FROM w JOIN e ON e.site = w.site AND e.n = w.n + 1)))
+  SELECT event_id, refused FROM w WHERE n > 0"""
+
+
+@query(_ADMITTED)
+def admissions(spark, d):
+    """Questions let through or refused, a site each kind of event: one an hour for a visitor, 20 a day for a site."""
+    return log.admitted(t(spark, d, "events"), "user_id", "ts", "event_id", "event_type", hourly=1, daily=20)
+
+
+@query(_ADMITTED)
+def stream_admissions(spark, d):
+    """The same from keyed state, over three micro-batches in order of time."""
+    path, out = folder(spark, "asks"), folder(spark, "decided")
+    e = t(spark, d, "events").select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in range(3):
+        e.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(path)
+    found = incremental.admit_stream(incremental.folder_stream(spark, path, e.schema), "event_type", "user_id", "ts", "event_id", hourly=1, daily=20)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, refused string").parquet(out)

@@ -83,6 +83,24 @@ def merge_fold_ids(spark, d):
     return resolve.fold(mine, other).select(F.col("oa_id").cast("long").alias("doc_id"), "uid")
 
 
+#: The loop over records in their order; what has been found so far are two maps as lists.
+@query("""WITH RECURSIVE h AS (SELECT 'h' || doc_id AS uid, doc_id, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 120) AS nt FROM documents WHERE doc_id % 5 = 0), n AS (SELECT nt, arg_max(uid, doc_id) AS uid FROM h GROUP BY 1),
+  o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, CASE WHEN doc_id % 7 = 1 THEN 'h' || (doc_id // 14 * 5) WHEN doc_id % 7 < 4 THEN 'n' || (doc_id * 37 % 61) END AS k, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 120) AS nt FROM documents WHERE doc_id % 5 <> 0),
+  j AS MATERIALIZED (SELECT o.*, h.uid AS by_id, n.uid AS by_title FROM o LEFT JOIN h ON h.uid = o.k LEFT JOIN n ON n.nt = o.nt),
+  w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::VARCHAR AS uid, []::VARCHAR[] AS ids, []::VARCHAR[] AS titles UNION ALL
+  SELECT i, doc_id, coalesce(found, own), CASE WHEN found IS NULL THEN list_append(ids, own) ELSE ids END, CASE WHEN found IS NULL THEN list_append(titles, nt) ELSE titles END FROM (
+    SELECT j.i, j.doc_id, j.nt, w.ids, w.titles, coalesce(j.k, 'oa:' || j.doc_id) AS own, coalesce(j.by_id, CASE WHEN list_contains(w.ids, j.k) THEN j.k END, j.by_title, w.ids[list_position(w.titles, j.nt)]) AS found FROM w JOIN j ON j.i = w.i + 1))
+  SELECT doc_id, uid FROM w WHERE i > 0""")
+def merge_fold_ordered(spark, d):
+    """Records with ids of their own kind, shared ones among them: each finds what those before it left."""
+    docs, k = t(spark, d, "documents"), F.col("doc_id")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    mine = docs.where(k % 5 == 0).select(name("h", k).alias("arxiv_id"), F.col("text").alias("title"), k.alias("_seq"))
+    ids = F.when(k % 7 == 1, name("h", F.floor(k / 14) * 5)).when(k % 7 < 4, name("n", k * 37 % 61))
+    other = docs.where(k % 5 != 0).select(ids.alias("arxiv_id"), F.col("text").alias("title"), k.alias("_seq"), k.cast("string").alias("oa_id"))
+    return resolve.fold(mine, other).select(F.col("oa_id").cast("long").alias("doc_id"), "uid")
+
+
 @query(f"""WITH {PAPERS}, k AS (SELECT id, y, CASE WHEN id % 2 = 0 THEN 'x' || id END AS ax, author, CASE WHEN id % 3 = 0 THEN NULL ELSE vn || ' ' || pd END AS nm FROM p),
   a AS (SELECT id, y, author, lower(nm) AS nm FROM k WHERE ax IS NOT NULL AND nm IS NOT NULL), b AS (SELECT id, y, author, lower(nm) AS nm FROM k WHERE ax IS NULL AND nm IS NOT NULL)
   SELECT b.id AS dup, min(a.id) AS keeper FROM b JOIN a ON a.nm = b.nm AND abs(a.y - b.y) <= 2 AND a.author = b.author GROUP BY 1""")

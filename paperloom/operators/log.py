@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,33 +107,77 @@ def cache_lookup(cache: DataFrame, key: Column, at: str = "at") -> DataFrame:
     return cache.withColumn("__k", F.substring(F.sha1(key), 1, 16)).groupBy("__k").agg(F.max_by(F.struct(*cache.columns), F.col(at)).alias("r")).select("r.*")
 
 
-#: Parts that a rolling window is cut into.
-_PARTS = 24
-
-
 def rolling_counts(events: DataFrame, who: str | None, ts: str, seconds: int) -> DataFrame:
     """Adds ``recent``: events of the same visitor (or of all) in the window that ends with each event, itself out.
 
-    An event comes at its time and goes a window later. Time is cut into parts of a 24th
-    of the window; within a part comings and goings are counted one by one, and what is
-    inside at a part's begin is a running sum over the parts, a row each. So no task
-    holds more than a part's events, and counts are exact across any border.
+    Time is cut into cells as long as the window, and every event is copied into the cell after its
+    own; there a range frame finds what its successors count. So one shuffle does, no task
+    holds more than two windows of a visitor, and counts are exact across any border.
+    """
+    t, size = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    cell = F.floor(F.col("__t") / size).cast("long")
+    copies = F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("own")))
+    both = events.withColumn("__t", t).withColumn("__in", F.explode(copies))
+    frame = Window.partitionBy(*([who] if who else []), "__in.cell").orderBy("__t").rangeBetween(1 - size, Window.currentRow)
+    return both.withColumn("recent", F.count(F.lit(1)).over(frame) - 1).where("__in.own").select(*events.columns, "recent")
+
+
+#: Questions of one visitor in an hour, and of all visitors of a site in a day (fixed values).
+HOURLY, DAILY = 12, 300
+
+
+class Admission:
+    """What a site has let through in the last day: the state that decides over its next question."""
+
+    def __init__(self, hourly: int, daily: int, at: list[int] = (), who: list = ()):
+        self.hourly, self.daily = hourly, daily
+        self.let = deque(zip(at, who))
+        self.of: dict[object, deque[int]] = {}
+        for t, w in self.let:
+            self.of.setdefault(w, deque()).append(t)
+
+    def refusal(self, who, at: int) -> str | None:
+        """Why a question at a time (microseconds, never falling) is refused; None lets it through. Refused ones do not count."""
+        while self.let and at - self.let[0][0] >= 86_400_000_000:
+            own = self.of[self.let.popleft()[1]]
+            own.popleft()
+        if len(self.let) >= self.daily:
+            return "daily"
+        own = self.of.setdefault(who, deque())
+        # at most ``daily`` entries, the latest last
+        if sum(1 for t in own if at - t < 3_600_000_000) >= self.hourly:
+            return "hourly"
+        self.let.append((at, who))
+        own.append(at)
+        if len(self.of) > 2 * self.daily:
+            self.of = {w: q for w, q in self.of.items() if q}
+        return None
+
+
+def admitted(asks: DataFrame, who: str, ts: str, order: str, site: str | None = None, hourly: int = HOURLY, daily: int = DAILY) -> DataFrame:
+    """``order, refused``: for each question null, or the limit that refuses it.
+
+    A question is refused if its site let ``daily`` through in the day before, or its visitor
+    got ``hourly`` through in the hour before; refused ones count for neither. Questions
+    come in the order of ``ts``, then ``order``, a unique key. The site's limit makes one
+    sequence of its questions, so a site is sorted and read by one task, which holds no more
+    of it than a batch and what was let through in a day; sites are independent.
     """
-    by, size = [who] if who else [], max(1, -(-seconds * 1_000_000 // _PARTS))
-    t, cell = F.unix_micros(F.col(ts).cast("timestamp")), lambda c: F.floor(c / size).cast("long")
-    base = events.withColumn("__t", t)
-    own = base.withColumn("__at", F.col("__t")).withColumn("__own", F.lit(1))
-    gone = base.withColumn("__at", F.col("__t") + seconds * 1_000_000).withColumn("__own", F.lit(0))
-    both = own.union(gone).withColumn("__cell", cell(F.col("__at")))
-    upto = Window.partitionBy(*by, "__cell").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # came: own events of the cell so far; left: events that fell out of the window since the cell began
-    both = both.withColumn("__came", F.sum("__own").over(upto)).withColumn("__left", F.sum(1 - F.col("__own")).over(upto)).where("__own = 1")
-    cells = own.union(gone).withColumn("__cell", cell(F.col("__at"))).groupBy(*by, "__cell").agg(F.sum(2 * F.col("__own") - 1).alias("__net"))
-    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__inside", F.coalesce(F.sum("__net").over(before), F.lit(0))).drop("__net")
-    at = [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "__cell"]]
-    out = both.alias("b").join(cells.alias("c"), reduce(lambda x, y: x & y, at))
-    return out.select(*(f"b.{c}" for c in events.columns), (F.col("__inside") + F.col("__came") - F.col("__left") - 1).alias("recent"))
+    rows = asks.select((F.col(site) if site else F.lit("")).alias("site"), F.col(who).cast("string").alias("who"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(order).alias("order"))
+    kind = dict(rows.dtypes)["order"]
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_site, state = None, None
+        for pdf in batches:
+            out = []
+            for s, w, t in zip(pdf["site"], pdf["who"], pdf["at"].tolist()):
+                if state is None or s != at_site:
+                    at_site, state = s, Admission(hourly, daily)
+                out.append(state.refusal(w, t))
+            yield pd.DataFrame({"order": pdf["order"], "refused": pd.Series(out, dtype=object, index=pdf.index)})
+
+    dealt = rows.where("at is not null and order is not null").repartition("site").sortWithinPartitions("site", "at", "order")
+    return dealt.mapInPandas(decide, f"order {kind}, refused string").withColumnRenamed("order", order)
 
 
 def marks(updates: DataFrame, key: str = "uid", order: str = "_seq") -> DataFrame:

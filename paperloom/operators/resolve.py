@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import norm_title, spaced_title, surname, surnames
 from paperloom.operators.similarity import alike
+from paperloom.sources.staging import cut
 
 # ---- fixed values ------------------------------------------------------------------
 BAD_TYPES = "dataset paratext peer-review erratum editorial retraction supplementary-materials libguides other letter grant".split()
@@ -14,21 +17,61 @@ BAD_TYPES = "dataset paratext peer-review erratum editorial retraction supplemen
 
 
 def fold(harvested: DataFrame, other: DataFrame) -> DataFrame:
-    """Records of ``other`` folded into ``harvested``: by id, else by normalised title.
+    """Records of ``other`` folded, in their order, into ``harvested`` and into each other; ``oa_id, uid``.
+
+    Both have ``arxiv_id, title, _seq``, ``other`` also ``oa_id``. A record belongs to the row
+    of its arXiv id, else to that of its normalised title, an empty one included; of harvested rows with one
+    title the last has it. A record that finds neither is a row of its own, under its arXiv
+    id or ``oa:`` and its own, and from then on has both its id and its title; so what a
+    record finds depends on those before it. Joins are by equality, so no pair of titles is compared.
+    """
+    title = norm_title(F.coalesce("title", F.lit("")))
+    by_title = harvested.select(F.col("arxiv_id").alias("title_uid"), title.alias("nt"), "_seq").groupBy("nt").agg(F.max_by("title_uid", "_seq").alias("title_uid"))
+    by_id = harvested.select(F.col("arxiv_id").alias("key"), F.col("arxiv_id").alias("id_uid")).distinct()
+    key = F.when(F.col("arxiv_id") != "", F.col("arxiv_id"))
+    rows = other.select("oa_id", key.alias("key"), title.alias("nt"), F.struct("_seq", "oa_id").alias("at")).withColumn("own", F.coalesce("key", F.concat(F.lit("oa:"), "oa_id")))
+    rows = cut(rows.join(by_id, "key", "left").join(by_title, "nt", "left"), "records")
+    new = _first_of_links(rows.where("id_uid is null and title_uid is null").select("at", "own", "nt"))
+    by_own = new.select("own", F.col("own").alias("own_uid"), F.col("at").alias("own_at"))
+    by_new_title = new.select("nt", F.col("own").alias("nt_uid"), F.col("at").alias("nt_at"))
+    rows = rows.join(by_own, "own", "left").join(by_new_title, "nt", "left")
+    mine, theirs = F.when(F.col("own_at") <= F.col("at"), F.col("own_uid")), F.when(F.col("nt_at") <= F.col("at"), F.col("nt_uid"))
+    return rows.select("oa_id", F.coalesce("id_uid", F.when(F.col("key").isNotNull(), mine), "title_uid", theirs, mine).alias("uid"))
+
+
+#: So many records that are still open are settled by one task.
+_FEW = 4096
+
+
+def _first_of_links(rows: DataFrame) -> DataFrame:
+    """Rows (at, own, nt) that share neither ``own`` nor ``nt`` with an earlier row that stays.
 
-    Both have ``arxiv_id, title, _seq``, ``other`` also ``oa_id``. Where several harvested
-    rows share a title the last one has it. Rows of ``other`` that match nothing fold into
-    the first of their own kind with the same id or, without one, the same title.
-    Returns ``oa_id, uid``; joins are by equality, so no pair of titles is compared.
+    A row that is the first of both its id and its title stays, and what shares one with it
+    goes. Each round settles those for all rows at once; what later rows wait for gets shorter with it.
     """
-    by_title = harvested.select(F.col("arxiv_id").alias("title_uid"), norm_title(F.col("title")).alias("nt"), "_seq").where("nt <> ''")
-    by_title = by_title.groupBy("nt").agg(F.max_by("title_uid", "_seq").alias("title_uid"))
-    by_id = harvested.select("arxiv_id", F.col("arxiv_id").alias("id_uid")).distinct()
-    rows = other.withColumn("nt", norm_title(F.col("title"))).join(by_id, "arxiv_id", "left").join(by_title, "nt", "left")
-    rows = rows.withColumn("known", F.coalesce("id_uid", "title_uid"))
-    group = F.when(F.col("known").isNotNull(), F.concat(F.lit("k:"), "known")).when(F.col("arxiv_id").isNotNull(), F.concat(F.lit("a:"), "arxiv_id")).when(F.col("nt") != "", F.concat(F.lit("t:"), "nt")).otherwise(F.concat(F.lit("o:"), "oa_id"))
-    first = F.min_by(F.coalesce(F.col("arxiv_id"), F.concat(F.lit("oa:"), "oa_id")), "_seq").over(Window.partitionBy("group"))
-    return rows.withColumn("group", group).select("oa_id", F.coalesce("known", first).alias("uid"))
+    left, stay = cut(rows, "open"), []
+    while (n := left.count()) > 0:
+        if n <= _FEW:
+            flat = left.select("at._seq", "at.oa_id", "own", "nt").coalesce(1).sortWithinPartitions("_seq", "oa_id")
+            stay.append(flat.mapInPandas(_settled, flat.schema).select(F.struct("_seq", "oa_id").alias("at"), "own", "nt"))
+            break
+        first = lambda c: left.groupBy(c).agg(F.min("at").alias(f"{c}_at"))  # noqa: E731, B023
+        found = cut(left.join(first("own"), "own").join(first("nt"), "nt").where("at = own_at and at = nt_at").select("at", "own", "nt"), "first")
+        stay.append(found)
+        left = cut(left.join(found.select("own"), "own", "left_anti").join(found.select("nt"), "nt", "left_anti").select("at", "own", "nt"), "open")
+    return cut(reduce(DataFrame.union, stay), "rows") if stay else left
+
+
+def _settled(batches):
+    ids, titles = set(), set()
+    for pdf in batches:
+        keep = []
+        for own, nt in zip(pdf["own"], pdf["nt"]):
+            keep.append(own not in ids and nt not in titles)
+            if keep[-1]:
+                ids.add(own)
+                titles.add(nt)
+        yield pdf[keep]
 
 
 def first_of_title(rows: DataFrame, title: str = "title", order: str = "_seq") -> DataFrame:

@@ -1,9 +1,10 @@
-"""Tables in versions, and the one file that says which of them holds.
+"""Tables in versions, and a log that says which of them holds.
 
-A version is a folder that is written once and never changed. ``commit`` replaces the file
-``_current``, the last step of every write: a rename over the old one, which a file system
-does at once or not at all. Who reads between finds the old version whole, and a job
-that fails before leaves a folder that nothing points to.
+A version is a folder that is written once and never changed. ``commit`` adds a numbered
+file to the log, the last step of every write: a rename to a name that nobody has, which a file
+system does at once or not at all, so of two writers one fails. Who reads meanwhile
+finds the old version whole, and a job that fails before leaves a folder that nothing
+points to.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-POINTER = "_current"
-#: Versions that stay besides the current one, for readers that have begun.
+LOG = "_log"
+#: Versions, and entries of the log, that stay besides the current one, for readers that have begun.
 KEPT = 2
 
 
@@ -25,33 +26,43 @@ def _hadoop(spark: SparkSession, path: str):
     return p, where.getFileSystem(conf), conf
 
 
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    p, files, _ = _hadoop(spark, root)
+    return sorted(int(s.getPath().getName()[:-5]) for s in files.globStatus(p(f"{root}/{LOG}/[0-9]*.json")) or [])
+
+
 def read_pointer(spark: SparkSession, root: str) -> dict | None:
     """What was committed last; None where nothing was."""
     p, files, _ = _hadoop(spark, root)
-    where = p(f"{root}/{POINTER}")
-    if not files.exists(where):
-        return None
-    stream = files.open(where)
-    try:
-        return json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-    finally:
-        stream.close()
+    while numbers := _numbers(spark, root):
+        where = p(f"{root}/{LOG}/{numbers[-1]:020}.json")
+        if not files.exists(where):
+            continue  # newer ones have come and this one is gone
+        stream = files.open(where)
+        try:
+            return json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+    return None
 
 
 def commit(spark: SparkSession, root: str, content: dict) -> None:
+    """The next entry of the log; fails where another writer was faster."""
     p, files, conf = _hadoop(spark, root)
-    beside, where = p(f"{root}/.{POINTER}-{uuid.uuid4().hex}"), p(f"{root}/{POINTER}")
+    numbers = _numbers(spark, root)
+    number = numbers[-1] + 1 if numbers else 0
+    beside, where = p(f"{root}/{LOG}/.{uuid.uuid4().hex}"), p(f"{root}/{LOG}/{number:020}.json")
     out = files.create(beside, True)
     try:
         out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
     finally:
         out.close()
     jvm = spark.sparkContext._jvm
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf)
     context.rename(files.makeQualified(beside), files.makeQualified(where), options)
+    for old in numbers[:-KEPT]:
+        files.delete(p(f"{root}/{LOG}/{old:020}.json"), False)
 
 
 def remove(spark: SparkSession, path: str) -> None:

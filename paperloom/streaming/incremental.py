@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from paperloom.operators.log import upsert
+from paperloom.operators.log import DAILY, HOURLY, Admission, upsert
 from paperloom.sources import versions
 
 #: Parts of a state table; a micro-batch rewrites those that its records fall into.
@@ -114,5 +114,28 @@ def due_again(requests: DataFrame, key: str, ts: str, days: int = 21) -> DataFra
     return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts))
 
 
+def admit_stream(asks: DataFrame, site: str, who: str, ts: str, order: str, hourly: int = HOURLY, daily: int = DAILY) -> DataFrame:
+    """``order, refused`` as ``log.admitted`` gives them, for a stream whose micro-batches follow one another in time.
+
+    A site's state is what it let through in the last day, so it has ``daily`` entries at
+    most; a question older than the newest one let through is taken to be asked at that time.
+    """
+    rows = asks.select(F.col(site).alias("site"), F.col(who).cast("string").alias("who"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(order).alias("order"))
+    kinds = dict(rows.dtypes)
+
+    def decide(group, frames, state: GroupState):
+        pdf = pd.concat(list(frames)).sort_values(["at", "order"], kind="stable")  # one site's questions of one micro-batch
+        held = Admission(hourly, daily, *(state.get if state.exists else ([], [])))
+        newest, out = (held.let[-1][0] if held.let else -(2**62)), []
+        for w, t in zip(pdf["who"], pdf["at"].tolist()):
+            newest = max(newest, t)
+            out.append(held.refusal(w, newest))
+        state.update(([t for t, _ in held.let], [w for _, w in held.let]))
+        yield pd.DataFrame({"order": pdf["order"].to_numpy(), "refused": pd.Series(out, dtype=object)})
+
+    found = rows.groupBy("site").applyInPandasWithState(decide, f"order {kinds['order']}, refused string", "at array<long>, who array<string>", "append", GroupStateTimeout.NoTimeout)
+    return found.withColumnRenamed("order", order)
+
+
 def folder_stream(spark, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, ""))
