@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators import answer, board, retrieval, survey, trends
+from paperloom.operators import answer, board, index, retrieval, survey, trends
 from paperloom.plans import search
 from paperloom.queries import _AUTHORS, LIBRARY, PAPERS, ROWS, _authored, facets, library, papers, query, rows, t
+from paperloom.sources.staging import shared_folder
 
 # ---- board rows with verdicts: line items once more ---------------------------------------
 
@@ -248,17 +250,32 @@ def named_papers(spark, d):
     return retrieval.named(p, "compare customer#000000007, Customer#000000011 and customer#0000000 here").select("id")
 
 
-@query("""WITH w(term) AS (VALUES ('ther'), ('onble')), x AS (SELECT doc_id AS id, n_chars, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+.\\-]*[a-z0-9+]|[a-z0-9]')) AS term FROM documents), s AS (SELECT id, n_chars, term FROM x WHERE term NOT IN (""" + ", ".join(f"'{w}'" for w in retrieval.STOP) + """)),
+_PINNED = """WITH w(term) AS (VALUES ('ther'), ('onble')), x AS (SELECT doc_id AS id, n_chars, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+.\\-]*[a-z0-9+]|[a-z0-9]')) AS term FROM documents), s AS (SELECT id, n_chars, term FROM x WHERE term NOT IN (""" + ", ".join(f"'{w}'" for w in retrieval.STOP) + """)),
   l AS (SELECT id, count(*) * 2.0::DOUBLE AS dl FROM s GROUP BY 1), a AS (SELECT (SELECT count(*) FROM documents) AS n, sum(dl) / (SELECT count(*) FROM documents) AS mean FROM l), p AS (SELECT id, term, count(*) * 2.0::DOUBLE AS tf FROM s WHERE term IN (SELECT term FROM w) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
   sc AS (SELECT p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN f USING (term) JOIN l USING (id), a GROUP BY 1),
   b AS (SELECT d.doc_id AS id, coalesce(score, 0) * (1 + 0.06 * ln(1 + d.n_chars) + CASE WHEN lang = 'en' THEN 0.15 ELSE 0 END) AS score, CASE WHEN d.doc_id IN (3, 5) THEN 1 ELSE 0 END AS pinned FROM documents d LEFT JOIN sc ON sc.id = d.doc_id WHERE coalesce(score, 0) > 0 OR d.doc_id IN (3, 5))
-  SELECT id, pinned::INT AS pinned, round(score, 6) AS score FROM b ORDER BY b.pinned DESC, b.score DESC, id LIMIT 24""")
+  SELECT id, pinned::INT AS pinned, round(score, 6) AS score FROM b ORDER BY b.pinned DESC, b.score DESC, id LIMIT 24"""
+
+
+@query(_PINNED)
 def pinned_search(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("name"), F.col("doc_id").cast("string")).alias("n"), F.col("text").alias("t"), F.col("n_chars").alias("c"), F.when(F.col("lang") == "en", "core").otherwise("out").alias("sc"), F.lit(2000).alias("y"))
-    found = retrieval.retrieve(docs, "how do name3 and name5 use ther or onble", {"t": 2.0})
+    found = retrieval.retrieve(_named_docs(spark, d), "how do name3 and name5 use ther or onble", {"t": 2.0})
     return found.select("id", F.col("pinned").cast("int").alias("pinned"), F.round("score", 6).alias("score"))
 
 
+@query(_PINNED)
+def indexed_search(spark, d):
+    """The same from a written index."""
+    docs, path = _named_docs(spark, d), f"{shared_folder(spark)}/paperloom/index-{uuid.uuid4().hex}"
+    index.write(docs, path, {"t": 2.0}, buckets=16)
+    found = index.retrieve(docs, path, "how do name3 and name5 use ther or onble")
+    return found.select("id", F.col("pinned").cast("int").alias("pinned"), F.round("score", 6).alias("score"))
+
+
+def _named_docs(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("name"), F.col("doc_id").cast("string")).alias("n"), F.col("text").alias("t"), F.col("n_chars").alias("c"), F.when(F.col("lang") == "en", "core").otherwise("out").alias("sc"), F.lit(2000).alias("y"))
+
+
 # ---- orders and pages of the library ----------------------------------------------------------------
 
 _ORDERS = {"new": "d DESC, id", "old": "d, id", "cited": "c DESC, id", "title": "lower(t) NULLS FIRST, id", "author": "lower(author), y DESC, id", "added": "d DESC, d DESC, id", "relevance": "(CASE WHEN contains(lower(coalesce(t, '')), 'ring') THEN 10 ELSE 0 END + CASE WHEN contains(lower(author), 'ring') THEN 5 ELSE 0 END + 1 + 0.9 * ln(1 + c)) DESC, d DESC, id"}

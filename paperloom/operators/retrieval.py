@@ -52,6 +52,13 @@ def query_terms(question: str) -> list[str]:
     return sorted({t for t in found if t and t not in STOP and not re.fullmatch(r"(?:19|20)\d\d", t)})
 
 
+def sized_terms(docs: DataFrame, weights: dict[str, float], *keep: str | Column) -> DataFrame:
+    """``id, keep, dl, hits``: each document's weighted length and its weighted tokens."""
+    fields = _fields(docs, weights)
+    length = reduce(lambda a, b: a + b, [F.size(x) * F.lit(w) for x, w in fields])
+    return docs.select("id", *keep, length.alias("dl"), F.flatten(F.array(*(F.transform(x, _weighted(w)) for x, w in fields))).alias("hits"))
+
+
 def bm25(docs: DataFrame, question: str, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
     """``id, score`` of documents that hold a term of the question.
 
@@ -83,15 +90,15 @@ def named(papers: DataFrame, question: str, limit: int = NAMED) -> DataFrame:
 
 
 def retrieve(papers: DataFrame, question: str, weights: dict[str, float] | None = None, k: int = RETRIEVED, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Pinned names, then the best by boosted BM25 inside the question's years; a top-k."""
+    """Pinned names, then the best by boosted BM25 inside the question's years, an unknown one being 0; a top-k."""
     score = bm25(papers, question, weights or FIELD_WEIGHTS)
     pins = named(papers, question).select("id", F.lit(1).alias("pinned"))
     rows = papers.join(score, "id", "left").join(pins, "id", "left")
     rows = rows.withColumn("pinned", F.coalesce("pinned", F.lit(0))).where((F.col("score") > 0) | (F.col("pinned") == 1))
     if low:
-        rows = rows.where((F.col("y") >= low) | (F.col("pinned") == 1))
+        rows = rows.where((F.coalesce("y", F.lit(0)) >= low) | (F.col("pinned") == 1))
     if high:
-        rows = rows.where((F.col("y") <= high) | (F.col("pinned") == 1))
+        rows = rows.where((F.coalesce("y", F.lit(0)) <= high) | (F.col("pinned") == 1))
     final = F.coalesce("score", F.lit(0.0)) * boost(F.col("c"), F.col("sc") == "core", F.coalesce(F.col("r") == 1, F.lit(False)) if "r" in papers.columns else F.lit(False))
     return rows.withColumn("score", final).orderBy(F.col("pinned").desc(), F.col("score").desc(), "id").limit(k)
 
