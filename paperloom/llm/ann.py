@@ -26,6 +26,8 @@ SAMPLE = 16_384
 SHORTLIST = 200
 #: Queries and rows that one group holds, on average: the index is shuffled once for so many queries, each query once for so many rows.
 QUERIES, ROWS = 16_384, 65_536
+#: Widths that have codebooks, the most frequent ones; rows of any other width are compared as they are.
+WIDTHS = 8
 
 
 def learn(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: int = 8) -> np.ndarray:
@@ -89,12 +91,18 @@ def lookup(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.
     return norms[None].astype(np.float32) - 2 * out
 
 
+def _near(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray | None) -> np.ndarray:
+    """As ``lookup``; without codebooks the codes are the rows themselves."""
+    return lookup(queries, codes, norms, books) if books is not None else norms[None] - 2 * queries @ codes.T
+
+
 def search(rows: DataFrame, k: int, every: int, key: str = "vec_id", vector: str = "embedding", shortlist: int = SHORTLIST, codebooks: int = CODEBOOKS, beam: int = BEAM, sample_rows: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found for keys divisible by ``every``.
 
-    Null, empty or zero vectors, those with null or non-finite components, those of
-    another length than most of the sample and rows without a key take no part. Every
-    other row is indexed. Of rows with one vector only the k + 1 of the smallest keys can
+    Null, empty or zero vectors, those with null or non-finite components and rows without a
+    key take no part. Every other row is indexed. Only vectors of one width have a
+    distance, so each width is a search of its own: the ``WIDTHS`` most frequent ones have
+    codebooks of their own, rows of others are compared exactly, each with all of its width in lots. Of rows with one vector only the k + 1 of the smallest keys can
     be answers, so the others are left out of a shortlist, and with fewer rows than
     the shortlist is long the answer is exact. Rows that repeat a key count as often
     as they occur as answers and once as queries. No rows give no rows.
@@ -102,45 +110,48 @@ def search(rows: DataFrame, k: int, every: int, key: str = "vec_id", vector: str
     nonzero = F.exists(F.col(vector).cast("array<double>"), lambda x: x != 0)
     rows = rows.where(usable(F.col(vector)) & nonzero & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = cut(rows, "vectors")
-    widths = {r[0]: r[1] for r in rows.groupBy(F.size("v")).count().collect()}
-    width = max(widths, key=lambda w: (widths[w], -w)) if widths else 0
-    rows = rows.where(F.size("v") == width)
-    books = learned(rows, "v", sample_rows, codebooks) if width else np.zeros((1, 1, 1), dtype=np.float32)
+    widths = [r[0] for r in rows.groupBy(F.size("v")).count().orderBy(F.col("count").desc(), F.size("v")).limit(WIDTHS).collect()]
+    books = {w: learned(rows.where(F.size("v") == w), "v", sample_rows, codebooks) for w in widths}
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Codes of every row; rows of a width without codebooks keep their components."""
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                some = pdf.iloc[at : at + 2048]
-                codes, norms = encode(matrix(some["v"], np.float64), books, beam)
-                yield pd.DataFrame({"id": some["id"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": norms, "same": some["same"].to_numpy()})
-
-    index = cut(rows.withColumn("same", F.xxhash64("v")).mapInPandas(coded, "id long, codes binary, norm double, same long"), "index")
+            for w, own in pdf.groupby(pdf["v"].map(len)) if len(pdf) else ():
+                for at in range(0, len(own), 2048):
+                    some = own.iloc[at : at + 2048]
+                    x = matrix(some["v"], np.float64)
+                    codes, norms = encode(x, books[w], beam) if w in books else (x, (x**2).sum(axis=1))
+                    yield pd.DataFrame({"id": some["id"].to_numpy(), "width": w, "codes": [c.tobytes() for c in codes], "norm": norms, "same": some["same"].to_numpy()})
+
+    index = cut(rows.withColumn("same", F.xxhash64("v")).mapInPandas(coded, "id long, width int, codes binary, norm double, same long"), "index")
     asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
     count, queries = index.count(), asked.count()
     parts, groups = max(1, -(-count // ROWS)), max(1, -(-queries // QUERIES))
     lot = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asks = asked.select("id", "v", lot(groups, "q").alias("q"), every_one(parts).alias("d"))
-    offers = index.select("id", "codes", "norm", "same", every_one(groups).alias("q"), lot(parts, "d").alias("d"))
+    asks = asked.select("id", "v", F.size("v").alias("width"), lot(groups, "q").alias("q"), every_one(parts).alias("d"))
+    offers = index.select("id", "width", "codes", "norm", "same", every_one(groups).alias("q"), lot(parts, "d").alias("d"))
 
     def shortlists(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         b = b.sort_values("id", kind="stable")
         b = b[b.groupby("same").cumcount() <= k]
         if len(a) and len(b):
-            codes = np.frombuffer(b"".join(b["codes"]), dtype=np.uint8).reshape(len(b), -1)
+            w = int(b["width"].iloc[0])
+            codes = np.frombuffer(b"".join(b["codes"]), dtype=np.uint8 if w in books else np.float64).reshape(len(b), -1)
             ids, norms, same = b["id"].to_numpy(), b["norm"].to_numpy(), b["same"].to_numpy()
             near = matrix(a["v"], np.float64)
             m = min(len(b), shortlist + 1)  # one more, as the query's own row may be among them
             for at in range(0, len(a), 32):
-                for q, s in zip(a["id"].iloc[at : at + 32], lookup(near[at : at + 32], codes, norms, books)):
+                for q, s in zip(a["id"].iloc[at : at + 32], _near(near[at : at + 32], codes, norms, books.get(w))):
                     best = np.flatnonzero(s <= np.partition(s, m - 1)[m - 1])
                     best = best[np.argsort(s[best], kind="stable")][:m]
                     best = best[ids[best] != q]
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "same": same[best], "near": s[best].astype(np.float64)}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "same": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64", "same": "int64", "near": "float64"})
 
-    found = asks.groupBy("q", "d").cogroup(offers.groupBy("q", "d")).applyInPandas(shortlists, "query_id long, vec_id long, same long, near double")
+    by = ("width", "q", "d")
+    found = asks.groupBy(*by).cogroup(offers.groupBy(*by)).applyInPandas(shortlists, "query_id long, vec_id long, same long, near double")
     alike = Window.partitionBy("query_id", "same").orderBy("vec_id")
     nearest = Window.partitionBy("query_id").orderBy("near", "vec_id")
     found = found.withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= k + 1)

@@ -541,3 +541,41 @@ def test_the_margin_does_not_shrink_with_length(spark):
     long = " ".join(make(10**6 + 5000 * i, "la", 1200) for i in range(80))
     got = [r for r in language.identify(spark.createDataFrame([(short,), (long,)], "text string"), model).collect()]
     assert [r["lang_pred"] for r in got] == ["la", "la"] and got[1]["score"] > 0.5 * got[0]["score"]
+
+
+def test_languages_are_those_of_a_loop_over_compressors(spark):
+    """The plain rule: each text's blocks with each dictionary, whole table; in one pass and in several."""
+    import zstandard
+
+    rows = [(i, t, k) for i in range(90) for k in [f"l{i % 30:02}"] for t in [" ".join(random.Random(i % 30 + 7 * j).choice(["ab", "cd", "xyz", "qu"]) + k[1:] + random.Random(i + j).choice("aeiou") for j in range(20 + i))]]
+    rows += [(200, rows[3][1], None), (201, "!", "l00"), (202, rows[5][1] * 200, "l05")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(i, t, k) for i, t, k in rows if k and zlib.crc32(str(i).encode()) % 3 != 1]
+    number = collections.Counter(k for _, _, k in learned)
+    names = sorted(number, key=lambda k: (-number[k], k))
+    dictionaries = {}
+    for k in names:
+        texts = [t for _, t, own in learned if own == k]
+        short = [t for t in texts if len(t) <= language.LONG]
+        dictionaries[k] = "\n".join(sorted(set(short or texts))).lower().encode()
+    want = {}
+    for i, t, _ in rows:
+        sizes = []
+        for at, k in enumerate(names):
+            d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(dict_data=d, level=language.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            data = t.lower().encode()
+            sizes.append((sum(len(c.compress(data[x : x + language.BLOCK])) for x in range(0, len(data), language.BLOCK)), at))
+        sizes.sort()
+        want[i] = ("und", 0.0) if t == "!" else (names[sizes[0][1]], 1 - sizes[0][0] / sizes[1][0])
+    for held in (language.HELD, 3000):
+        model = language.learn(docs, held=held)
+        assert (model.passes > 3) == (held == 3000)
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()} == want
+
+
+def test_no_label_is_dropped(spark):
+    rows = [(3 * i + j, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 30, f"l{i}") for i in range(300) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang_pred"] for r in language.digest(docs).collect()}
+    assert len(got) > 256

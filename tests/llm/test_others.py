@@ -146,6 +146,21 @@ def test_neighbours_found(spark, vectors):
     assert [r["vec_id"] for r in ann.digest(df.where("vec_id in (0, 1, 2)")).orderBy("rank").collect()] in ([1, 2], [2, 1])
 
 
+@pytest.mark.parametrize("widths", [8, 1])
+def test_neighbours_of_every_width(spark, monkeypatch, widths):
+    monkeypatch.setattr(ann, "WIDTHS", widths)  # at 1 the narrow rows have no codebooks
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(1000 + 20 * i, rng.normal(size=4).tolist()) for i in range(40)] + [(5000, [1.0, 2.0])]
+    got = collections.defaultdict(list)
+    for r in ann.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, v in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:10]
+        if q % 100 == 0:
+            assert got.pop(q, []) == [i for _, i in near]
+    assert not got
+
+
 def test_codes_sum_to_what_their_norm_says():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 16))
