@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages with the same blocks are one page. Blocks are counted over all different pages of a
+Pages with the same headings are copies of one page, and of those one is evidence. Blocks are counted over all different pages of a
 host; the trees of some of them are aligned by simple tree matching. Aligned nodes of one
-text that nearly all pages have are template, whatever their tags. What varies is content,
-but for regions whose labels say that they are comments, adverts, menus or the like. Both
+text that nearly all pages have are template, whatever their tags, but for headings that
+lead to what varies. What varies is content, but for regions whose labels say that they are comments, adverts, menus or the like. Both
 make the host's wrapper, and every page is read through its host's wrapper alone: of a
 page's tags only those that never hold text (head, script, form controls, hidden nodes)
 are left out beforehand.
@@ -29,8 +29,6 @@ from paperloom.llm.common import cut, join_skewed
 SAMPLE = 8
 #: Share of a host's different pages that have a template text, two pages at least.
 AGREE = 0.9
-#: Share of a host's text beyond which what agrees is no template but near copies of one page.
-COPIES = 0.8
 #: How far from the diagonal children that are not equal are aligned, and how many at once.
 BAND, PIECE = 8, 512
 #: Bytes of all wrappers up to which every task gets them all; beyond that pages are shuffled to their host's wrapper.
@@ -43,6 +41,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES_P = BLOCK - frozenset("caption dd dt li tbody td tfoot th thead tr html body".split()) | {"p"}
 #: A start tag closes open elements of these, up to one of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text no reader of a page sees as text.
 NEVER = frozenset("head title script style noscript template button select textarea input iframe object svg canvas".split())
 #: Elements that mark a region: what varies between pages there is no article.
@@ -313,16 +312,50 @@ def _hash(slots: list[int]) -> int:
     return int.from_bytes(hashlib.blake2b(repr(slots).encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def content(html: str | None) -> tuple[int, int, list[dict]]:
-    """Hashes of a page's blocks outside regions and of all its blocks, and the blocks: slot, region and text."""
-    found = [{"slot": slot(p, t), "region": r, "text": t} for p, r, t in blocks(parse(html))]
-    return _hash([x["slot"] for x in found if not x["region"]]), _hash([x["slot"] for x in found]), found
+def _tag(path: tuple[str, ...]) -> str:
+    return path[-1].split(".", 1)[0] if path else ""
+
+
+#: A heading that always stays, and a block that leads to no other.
+ALWAYS, NONE = -1, 0
+
+
+def _leads(found: list[tuple[tuple[str, ...], str, str]]) -> list[int]:
+    """For every heading the number (from 1) of the block that it leads to: the next one in its container that is none itself.
+
+    Headings of an element article or main stay as they are.
+    """
+    out, after = [NONE] * len(found), len(found)
+    for i in range(len(found) - 1, -1, -1):
+        path, region, _ = found[i]
+        if _tag(path) not in HEADINGS:
+            after = i
+        elif not region and any(x.split(".", 1)[0] in ("article", "main") for x in path[:-1]):
+            out[i] = ALWAYS
+        elif after < len(found) and found[after][0][: len(path) - 1] == path[:-1]:
+            out[i] = after + 1
+    return out
+
+
+def content(html: str | None) -> tuple[int, int, int, list[dict]]:
+    """Hashes of a page's headings, of its blocks outside regions and of all its blocks, and the blocks: slot, region, text, what it leads to.
+
+    A page without headings outside regions has its blocks there in their place.
+    """
+    read = list(blocks(parse(html)))
+    found = [{"slot": slot(p, t), "region": r, "text": t, "leads": n} for (p, r, t), n in zip(read, _leads(read))]
+    page = _hash([x["slot"] for x in found if not x["region"]])
+    heads = [t for p, r, t in read if not r and _tag(p) in HEADINGS]
+    return _hash([slot((), t) for t in heads]) if heads else page, page, _hash([x["slot"] for x in found]), found
 
 
 def extract(html: str | None, wrapper: dict) -> str:
     """The blocks of a page that are neither the wrapper's template nor in one of its regions, one to a line."""
     template, regions = {(tuple(p), t) for p, t in wrapper["template"]}, set(wrapper["regions"])
-    return "\n".join(t for p, r, t in blocks(parse(html)) if r not in regions and (p, t) not in template)
+    read = list(blocks(parse(html)))
+    content_ = [r not in regions and (p, t) not in template for p, r, t in read]
+    stays = [r not in regions and (n == ALWAYS or n > NONE and content_[n - 1]) for (_, r, _), n in zip(read, _leads(read))]
+    return "\n".join(t for (_, _, t), a, b in zip(read, content_, stays) if a or b)
 
 
 def host_of(url: Column) -> Column:
@@ -334,10 +367,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     Pages without a host share one wrapper. Null, empty or text-free pages have an empty
     text. A text is template where ``AGREE`` of all different pages of its host have it in
-    one place, and two at least; pages with the same blocks are one page, so copies of a
-    page are no evidence. Where what agrees outside marked regions is nearly all text
-    there, the pages are near copies and only what agrees in regions is template. A marked
-    region with text that is not template goes whole; so it does on hosts of one
+    one place, and two at least; pages with the same headings are copies of one page, near
+    ones too, and count once, as do pages with the same blocks; so a page and its copies alone have no
+    template. A heading stays if it is in an element article or main, or if the next block
+    in its container that is no heading is content. A marked region with text that is not template goes whole; so it does on hosts of one
     different page, which nothing can be aligned with. Only the alignment, which proposes
     texts, reads ``sample`` pages. A rerun reads alike. An empty table gives an empty
     table; other columns are left out.
@@ -348,36 +381,26 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [content(h if isinstance(h, str) else None) for h in pdf["html"]]
-            yield pdf.drop(columns="html").assign(page=[p for p, _, _ in found], full=[f for _, f, _ in found], blocks=[x for _, _, x in found])
+            yield pdf.drop(columns="html").assign(unit=[u for u, _, _, _ in found], page=[p for _, p, _, _ in found], full=[f for _, _, f, _ in found], blocks=[x for _, _, _, x in found])
 
     # the key travels as text, as pandas turns longs with nulls into doubles
     sent = rows.withColumn("key", F.col("key").cast("string"))
-    parsed = cut(sent.mapInPandas(read, "key string, url string, host string, at long, page long, full long, blocks array<struct<slot:long,region:string,text:string>>"), "blocks")
+    parsed = cut(sent.mapInPandas(read, "key string, url string, host string, at long, unit long, page long, full long, blocks array<struct<slot:long,region:string,text:string,leads:int>>"), "blocks")
 
-    slots = F.array_distinct(F.transform("blocks", lambda x: F.struct(x["slot"].alias("slot"), F.length(x["text"]).alias("size"), x["region"].alias("region"))))
-    # pages with the same blocks are one page; outside regions those of a region do not tell pages apart
-    whole = cut(parsed.where(F.size("blocks") > 0).groupBy("host", "full").agg(F.min("page").alias("page"), F.min("at").alias("at"), F.first(slots).alias("slots")), "whole_pages")
+    slots = F.array_distinct(F.transform("blocks", lambda x: F.struct(x["slot"].alias("slot"), x["region"].alias("region"))))
+    # pages with the same blocks are one page; of pages with the same headings the least speaks for all
+    whole = cut(parsed.where(F.size("blocks") > 0).groupBy("host", "full").agg(F.min(F.struct("unit", "page", "at")).alias("x"), F.first(slots).alias("slots")).select("host", "x.*", "slots"), "whole_pages")
     free = F.filter("slots", lambda x: x["region"] == "")
-    different = cut(whole.groupBy("host", "page").agg(F.min("at").alias("at"), F.first(free).alias("slots")), "different_pages")
-    chars = F.sum(F.aggregate("slots", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
+    different = cut(whole.groupBy("host", "unit").agg(F.min_by(F.struct("page", "at", free.alias("slots")), F.struct("page", "at")).alias("x")).select("host", "x.*"), "different_pages")
 
     def counted(pages_: DataFrame, of: Column) -> DataFrame:
-        n = pages_.groupBy("host").agg(F.count(F.lit(1)).alias("n"), chars.alias("chars"))
-        return pages_.select("host", F.explode(of).alias("x")).groupBy("host", "x.slot", "x.region").agg(F.count(F.lit(1)).alias("c"), F.first("x.size").alias("size")).join(n, "host")
+        n = pages_.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        return pages_.select("host", F.explode(of).alias("x")).groupBy("host", "x.slot", "x.region").agg(F.count(F.lit(1)).alias("c")).join(n, "host")
 
-    each = counted(different, F.col("slots")).unionByName(counted(whole, F.filter("slots", lambda x: x["region"] != "")).withColumn("chars", F.lit(0).cast("long")))
+    each = counted(different, F.col("slots")).unionByName(counted(whole, F.filter("slots", lambda x: x["region"] != "")))
     agrees = (F.col("c") > 1) & (F.col("c") >= AGREE * F.col("n"))
-    outside = agrees & (F.col("region") == "")
-    told = (
-        each.groupBy("host")
-        .agg(
-            F.collect_set(F.when(agrees, F.struct("slot", "region"))).alias("common"),
-            F.collect_set(F.when(~agrees & (F.col("region") != ""), F.col("region"))).alias("regions"),
-            (F.coalesce(F.sum(F.when(outside, F.col("c") * F.col("size"))), F.lit(0)) <= COPIES * F.max("chars")).alias("template"),
-        )
-    )
-    common = F.filter("common", lambda x: F.col("template") | (x["region"] != ""))
-    told = cut(told.select("host", common.alias("common"), "regions"), "common_texts")
+    told = each.groupBy("host").agg(F.collect_set(F.when(agrees, F.struct("slot", "region"))).alias("common"), F.collect_set(F.when(~agrees & (F.col("region") != ""), F.col("region"))).alias("regions"))
+    told = cut(told, "common_texts")
     order = Window.partitionBy("host").orderBy("page")
     chosen = different.select("host", "page", "at").join(told.where(F.size("common") > 0).select("host"), "host", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
     chosen = cut(chosen, "chosen_pages")  # the planner sees its size before it shuffles the pages
@@ -396,7 +419,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     wrappers = cut(wrappers.select("host", "template", F.array_distinct(F.concat("regions", alone)).alias("regions")), "wrappers")
     size = wrappers.agg(F.sum(8 * F.size("template") + F.length(F.array_join("regions", ",")) + F.length("host") + 64).alias("bytes")).first()["bytes"] or 0
     out = parsed.join(F.broadcast(wrappers), "host", "left") if size <= everywhere else join_skewed(parsed, wrappers, "host", "left")
-    kept = F.filter("blocks", lambda x: ~F.coalesce(F.array_contains("regions", x["region"]) | F.array_contains("template", x["slot"]), F.lit(False)))
+    inside = lambda x: F.coalesce(F.array_contains("regions", x["region"]), F.lit(False))
+    constant = lambda x: F.coalesce(F.array_contains("template", x["slot"]), F.lit(False))
+    to = lambda x: F.get("blocks", x["leads"] - 1)
+    leads = lambda x: (x["leads"] == ALWAYS) | ((x["leads"] > NONE) & ~inside(to(x)) & ~constant(to(x)))
+    kept = F.filter("blocks", lambda x: ~inside(x) & (~constant(x) | leads(x)))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
     return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

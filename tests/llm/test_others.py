@@ -252,6 +252,26 @@ def test_pages_with_long_templates_and_short_texts(spark):
     assert site(spark, [make(i) for i in range(5)]) == {i: f"tale {i}" for i in range(5)}
 
 
+def test_equal_headings_of_articles_stay(spark):
+    make = lambda i: f"<body><div>Menu of all</div><article><h1>Head {i}</h1><h2>Introduction</h2><p>story {i} begins</p><h2>References</h2></article><div>Made with care</div>"
+    assert site(spark, [make(i) for i in range(2)]) == {i: f"Head {i}\nIntroduction\nstory {i} begins\nReferences" for i in range(2)}
+    loose = lambda i: f"<body><h1>The site</h1><div>Menu of all</div><div class=post><h2>Head {i}</h2><h3>Abstract</h3><h4>In short</h4><p>story {i}</p><h3>Closing</h3><p>Write to us</p></div>"
+    assert site(spark, [loose(i) for i in range(5)]) == {i: f"Head {i}\nAbstract\nIn short\nstory {i}" for i in range(5)}
+
+
+@pytest.mark.parametrize("words", [1, 5, 60, 500])
+def test_much_template_is_template_beside_stories_of_any_length(spark, words):
+    lines = "".join(f"<div>constant line {k} of this site</div>" for k in range(12))
+    make = lambda i: f"<body>{lines}<p>{' '.join(f'story{i}x{k}' for k in range(words))}</p>"
+    assert site(spark, [make(i) for i in range(5)]) == {i: " ".join(f"story{i}x{k}" for k in range(words)) for i in range(5)}
+
+
+def test_near_copies_of_an_article_keep_it(spark):
+    make = lambda i: "<body><div class=post><h1>One head</h1>" + "".join(f"<p>paragraph {k}{' edited' * (k == i)}</p>" for k in range(12)) + "</div>"
+    got = site(spark, [make(i) for i in range(6)] + ["<body><div class=post><h1>Another</h1><p>text</p></div>"])
+    assert all(got[i].split("\n") == ["One head", *(f"paragraph {k}{' edited' * (k == i)}" for k in range(12))] for i in range(6)) and got[6] == "Another\ntext"
+
+
 def test_tree_matching_aligns_children_in_order():
     a, b = html.parse("<div><p>1</p><h2>x</h2><p>2</p></div>"), html.parse("<div><p>1</p><p>3</p></div>")
     size, pairs = html.match(a, b)
@@ -263,7 +283,7 @@ def test_tree_matching_aligns_children_in_order():
 
 def test_registry():
     names = queries.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
 
 
