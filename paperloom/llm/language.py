@@ -86,7 +86,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 @F.udf(BinaryType())
-def _encoded(text: str) -> bytes:
+def _encoded(text):
     return encoded(text)
 
 
