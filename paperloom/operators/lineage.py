@@ -10,11 +10,21 @@ def name_norm(n: Column) -> Column:
     return F.regexp_replace(F.lower(n), "[^a-z0-9]", "")
 
 
+def _said(readings: DataFrame) -> DataFrame:
+    """``src, name``: the names that a note says it builds on or compares to, each once."""
+    names = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("builds_on", "compares_to")))
+    return readings.select(F.col("uid").alias("src"), F.explode(F.array_distinct(F.filter(F.transform(names, name_norm), lambda x: x != ""))).alias("name"))
+
+
+def _names(papers: DataFrame) -> DataFrame:
+    """``name, dst``: papers by their short names; those out of the library are none (a null scope is in)."""
+    rows = papers.where(F.coalesce(F.col("sc"), F.lit("")) != "out") if "sc" in papers.columns else papers
+    return rows.select(name_norm(F.col("n")).alias("name"), F.col("id").alias("dst")).where("name <> ''")
+
+
 def edges(readings: DataFrame, papers: DataFrame) -> DataFrame:
-    """``src, dst``: a note's names resolved to papers; a paper cites a name once and never itself."""
-    said = F.array_distinct(F.filter(F.transform(F.concat("builds_on", "compares_to"), name_norm), lambda x: x != ""))
-    names = papers.where(F.length(name_norm(F.col("n"))) > 0).groupBy(name_norm(F.col("n")).alias("name")).agg(F.min("id").alias("dst"))
-    return readings.select(F.col("uid").alias("src"), F.explode(said).alias("name")).join(names, "name").where("src <> dst").select("src", "dst").distinct()
+    """``src, dst``: a note's names resolved to papers, every namesake one; a paper cites a name once and never itself."""
+    return _said(readings).join(_names(papers), "name").where("src <> dst").select("src", "dst").distinct()
 
 
 def context(found: DataFrame, papers: DataFrame, inside: DataFrame, mentions: int = 4, cites: int = 50) -> DataFrame:
@@ -24,6 +34,24 @@ def context(found: DataFrame, papers: DataFrame, inside: DataFrame, mentions: in
     return n.select(F.col("dst").alias("id")).join(much, "id", "left_semi").join(inside.select("id"), "id", "left_anti")
 
 
+def context_of(readings: DataFrame, papers: DataFrame, inside: DataFrame, mentions: int = 4, cites: int = 50, landmarks: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """``id`` of the papers outside a scope that its work stands on.
+
+    A name is counted in the notes inside the scope, and its count holds for each namesake outside:
+    so no note meets a paper, however common the name. ``mentions`` notes and
+    ``cites`` citations make context; ``landmarks`` that the library has and ``ids`` picked by hand are it anyway.
+    """
+    scope = inside.select("id").distinct()
+    n = _said(readings.join(scope.withColumnRenamed("id", "uid"), "uid", "left_semi")).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= mentions)
+    much = papers.where(F.coalesce("c", F.lit(0)) >= cites)
+    found = _names(much).join(n, "name").select(F.col("dst").alias("id"))
+    if landmarks is not None:
+        found = found.union(landmarks.select("id").join(papers.select("id"), "id", "left_semi"))
+    if ids is not None:
+        found = found.union(ids.select("id"))
+    return found.distinct().join(scope, "id", "left_anti")
+
+
 def flatten_tree(spark, tree: list[dict]) -> DataFrame:
     """An outline as rows ``id, parent, depth, ord, path``; outlines are small and made by hand."""
     out, todo = [], [(n, None, 0, ()) for n in reversed(tree)]

@@ -624,12 +624,26 @@ def html_title_links(spark, d):
 
 
 @query("""SELECT DISTINCT c.conv_id AS src, k.id AS dst FROM (SELECT conv_id, lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS name FROM conversations) c
-  JOIN (SELECT lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS name, min(conv_id) AS id FROM conversations WHERE turn = 0 GROUP BY 1) k ON c.name = k.name AND k.name <> '' WHERE c.conv_id <> k.id""")
+  JOIN (SELECT lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS name, conv_id AS id FROM conversations WHERE turn = 0 AND conv_id % 5 <> 0) k ON c.name = k.name AND k.name <> '' WHERE c.conv_id <> k.id""")
 def lineage_edges(spark, d):
     c = t(spark, d, "conversations")
     word = F.regexp_extract("text", "([A-Za-z]{4,})", 1)
     notes = c.groupBy(F.col("conv_id").alias("uid")).agg(F.collect_set(word).alias("builds_on")).withColumn("compares_to", F.array().cast("array<string>"))
-    return lineage.edges(notes, c.where("turn = 0").select(F.col("conv_id").alias("id"), word.alias("n")))
+    return lineage.edges(notes, c.where("turn = 0").select(F.col("conv_id").alias("id"), word.alias("n"), F.when(F.col("conv_id") % 5 == 0, "out").alias("sc")))
+
+
+@query("""WITH w AS (SELECT conv_id, lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS name FROM conversations), n AS (SELECT name FROM w WHERE conv_id % 3 = 0 AND name <> '' GROUP BY 1 HAVING count(DISTINCT conv_id) >= 2),
+  k AS (SELECT conv_id AS id, lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS name, length(text) AS c FROM conversations WHERE turn = 0)
+  SELECT id FROM k WHERE id % 3 <> 0 AND ((name IN (SELECT name FROM n) AND c >= 200 AND id % 5 <> 0) OR id % 11 = 1 OR id % 97 = 2)""")
+def context_by_name(spark, d):
+    """Names said in every third conversation, and the others that have them: all namesakes, those picked by hand, and no ``out`` but as a landmark."""
+    c = t(spark, d, "conversations")
+    word = F.regexp_extract("text", "([A-Za-z]{4,})", 1)
+    notes = c.groupBy(F.col("conv_id").alias("uid")).agg(F.collect_set(word).alias("builds_on")).withColumn("compares_to", F.lit(None).cast("array<string>"))
+    p = c.where("turn = 0").select(F.col("conv_id").alias("id"), word.alias("n"), F.length("text").alias("c"), F.when(F.col("conv_id") % 5 == 0, "out").otherwise("core").alias("sc"))
+    ids = lambda k, r: p.select("id").where(F.col("id") % k == r)
+    gone = spark.range(10**9, 10**9 + 3).select("id")  # landmarks that the library lacks
+    return lineage.context_of(notes, p, ids(3, 0), 2, 200, landmarks=ids(11, 1).union(gone), ids=ids(97, 2))
 
 
 @query(f"""WITH {PAPERS}, e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem), n AS (SELECT dst AS id FROM e WHERE src IN (SELECT id FROM p WHERE sc = 'core') GROUP BY dst HAVING count(DISTINCT src) >= 4)
