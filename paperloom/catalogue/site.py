@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -356,3 +359,65 @@ def merged_maps(spark, d):
     m = search.merged_map(base, own)
     said = F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), said.alias("m"))
+
+
+# ---- a library from its raw tables to its published site ---------------------------------------------
+
+_T = "substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 120)"
+_BUILT = f"""d AS (SELECT doc_id, text, lang, doc_id % 3 = 0 AS mine, {_T} AS nt, 2005 + doc_id % 15 AS y FROM documents), h AS (SELECT nt, arg_max('x' || doc_id, doc_id) AS uid FROM d WHERE mine GROUP BY 1),
+  o AS (SELECT d.doc_id, coalesce(h.uid, 'oa:' || min(d.doc_id) OVER (PARTITION BY d.nt)) AS uid FROM d LEFT JOIN h ON h.nt = d.nt WHERE NOT mine),
+  c AS (SELECT 'x' || doc_id AS uid, doc_id, text, lang, y, TRUE AS ax, doc_id % 50 = 0 AS seed FROM d WHERE mine UNION ALL SELECT DISTINCT 'oa:' || doc_id, doc_id, text, lang, y, FALSE, FALSE FROM d WHERE 'oa:' || doc_id IN (SELECT uid FROM o)),
+  f AS (SELECT *, CASE WHEN seed THEN 'keep' WHEN text = '' THEN 'drop:no-title' WHEN NOT contains(text || ' ' || text, 'on') THEN 'drop:no-term' WHEN NOT ax AND doc_id % 13 = 0 OR regexp_matches(text, '^(?i)(dataset|supplementary|data) (from|for) ') THEN 'drop:type'
+    WHEN NOT ax AND NOT contains(text || ' ' || text, 'en') THEN 'drop:oa-weak' WHEN ax AND lang = 'es' THEN 'drop:category' WHEN y < 2008 THEN 'drop:pre-2008' ELSE 'keep' END AS pre FROM c),
+  l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'out' WHEN quality = 1 THEN 'core' ELSE 'adjacent' END AS sc FROM labels), s AS (SELECT f.*, CASE WHEN f.doc_id % 40 = 3 THEN 'core' ELSE l.sc END AS sc FROM f LEFT JOIN l ON l.doc_id = f.doc_id),
+  k AS (SELECT *, pre = 'keep' AND sc <> 'out' AS open FROM s), u AS (SELECT a.uid, b.uid AS keeper FROM k a JOIN k b ON NOT a.ax AND a.open AND b.ax AND b.open AND a.doc_id % 7 = 2 AND b.uid = 'x' || (a.doc_id // 6 * 3)),
+  e AS (SELECT k.*, CASE WHEN pre <> 'keep' THEN 'prefilter_drop' WHEN sc IS NULL THEN 'unlabelled' WHEN u.uid IS NOT NULL THEN 'duplicate' WHEN sc = 'out' THEN 'excluded' ELSE 'scope_' || sc END AS ends FROM k LEFT JOIN u ON u.uid = k.uid),
+  p AS (SELECT * FROM e WHERE starts_with(ends, 'scope_'))"""
+
+
+@query(f"""WITH {_BUILT} SELECT 'funnel' AS part, ends AS name, count(*)::BIGINT AS n FROM e GROUP BY ALL
+  UNION ALL SELECT 'excluded', CASE WHEN ends = 'prefilter_drop' THEN pre WHEN ends = 'duplicate' THEN 'dup' ELSE 'llm:out' END, count(*) FROM e WHERE ends IN ('prefilter_drop', 'duplicate', 'excluded') GROUP BY ALL
+  UNION ALL SELECT 'headline', unnest(['papers', 'core', 'read', 'with_venue', 'results']), unnest([count(*), count(*) FILTER (sc = 'core'), count(*) FILTER (doc_id % 4 = 0), count(*) FILTER (doc_id % 6 = 0), 2 * count(*) FILTER (doc_id % 4 = 0)]) FROM p
+  UNION ALL SELECT 'stats', unnest(['n_dblp', 'n_bib_official', 'n_bib_venue']), unnest([count(*) FILTER (doc_id % 10 = 0), count(*) FILTER (doc_id % 5 = 0), count(*) FILTER (doc_id % 5 = 0 OR doc_id % 6 = 0)]) FROM p
+  UNION ALL SELECT 'sources', CASE WHEN doc_id % 6 = 0 THEN 'dblp' ELSE 'none' END, count(*) FROM p WHERE sc = 'core' GROUP BY ALL
+  UNION ALL SELECT 'board', b, count(*) FROM (SELECT unnest(['R2R', 'B' || doc_id % 3]) AS b FROM p WHERE doc_id % 4 = 0) GROUP BY ALL
+  UNION ALL SELECT 'queries', q, count(*) FROM (SELECT 'q' || doc_id % 5 AS q FROM p WHERE ax UNION ALL SELECT 'seed' FROM p WHERE ax AND seed UNION ALL SELECT q FROM (SELECT DISTINCT p.uid, 'oa:r' || o.doc_id % 4 AS q FROM p JOIN o ON o.uid = p.uid)) GROUP BY ALL""")
+def library_built(spark, d):
+    """All stages from raw records to the published tables, read back from the site."""
+    from paperloom.operators import build
+    from paperloom.sources.staging import shared_folder
+
+    docs, k = t(spark, d, "documents"), F.col("doc_id")
+    name = lambda p: F.concat(F.lit(p), k.cast("string"))
+    none, year = F.lit(None).cast("string"), (k % 15 + 2005).cast("int")
+    mine, other = docs.where(k % 3 == 0), docs.where(k % 3 != 0)
+    own = F.when(k % 3 == 0, name("x")).otherwise(name("oa:"))
+    asked = F.when(k % 50 == 0, F.array(F.concat(F.lit("q"), (k % 5).cast("string")), F.lit("seed"))).otherwise(F.array(F.concat(F.lit("q"), (k % 5).cast("string"))))
+    harvested = mine.select(name("x").alias("id"), F.col("text").alias("title"), F.col("text").alias("abstract"), F.array().cast("array<string>").alias("authors"), F.concat(year.cast("string"), F.lit("-01-02T00")).alias("published"), F.array("lang").alias("categories"), none.alias("comment"), none.alias("journal_ref"), none.alias("doi"), F.lit("2026-01-01").alias("first_seen"), asked.alias("queries"), k.alias("_seq"))
+    records = other.select(k.cast("string").alias("oa_id"), none.alias("arxiv_id"), F.col("text").alias("title"), F.col("text").alias("abstract"), F.array().cast("array<string>").alias("authors"), F.lit("2020-01-01").alias("date"), year.alias("year"), F.when(k % 13 == 0, "dataset").alias("type"), none.alias("doi"), F.array(F.concat(F.lit("r"), (k % 4).cast("string"))).alias("queries"), k.alias("cited_by"), k.alias("_seq"))
+    empty = F.array().cast("array<string>")
+    scope = F.when(F.col("toxic") == 1, "out").when(F.col("quality") == 1, "core").otherwise("adjacent")
+    label = t(spark, d, "labels").select(own.alias("uid"), F.explode(F.array(F.struct(F.lit(0).alias("_seq"), F.lit("out").alias("scope")), F.struct(F.lit(1).alias("_seq"), scope.alias("scope")))).alias("w")).select("uid", "w.*", none.alias("name"), none.alias("tldr"), none.alias("paradigm"), empty.alias("tasks"), empty.alias("benchmarks"), empty.alias("co"))
+    over = docs.where(k % 40 == 3).select(own.alias("uid"), F.create_map(F.lit("scope"), F.lit("core")).alias("set"))
+    linked = other.where(k % 7 == 2).select(own.alias("uid"), F.concat(F.lit("x"), (F.floor(k / 6) * 3).cast("string")).alias("linked"))
+    venues = docs.where(k % 6 == 0).select(own.alias("uid"), F.lit("CVPR").alias("venue"), F.lit("CVPR 2020").alias("label"), F.lit("main").alias("kind"), F.lit("dblp").alias("source"))
+    registry = docs.where(k % 5 == 0).select(own.alias("uid"), none.alias("doi"), F.when(k % 10 == 0, "@a{b,}").alias("dblp"), F.lit("@c{d,}").alias("bibtex"))
+    number = lambda b: F.struct(b.alias("bench"), F.create_map(F.lit("SR"), F.lit("1")).alias("metrics"))
+    notes = docs.where(k % 4 == 0).select(own.alias("uid"), F.col("source").alias("key_idea"), none.alias("insight"), none.alias("summary"), F.array(number(F.lit("other: R2R")), number(F.concat(F.lit("B"), (k % 3).cast("string"))), F.struct(F.lit("none").alias("bench"), F.create_map().cast("map<string,string>").alias("metrics"))).alias("numbers"))
+    raw = build.Raw(harvested, records, label, over, linked, venues, registry, notes)
+    rules = build.Rules(lambda x: F.contains(x, F.lit("on")), lambda x: F.contains(x, F.lit("en")), lambda c: ~F.array_contains(c, "es"), 2008)
+    path = f"{shared_folder(spark)}/paperloom/site-{uuid.uuid4().hex}"
+    made = build.library(raw, rules, DOMAIN.dimension(spark, "paradigms"), path)
+    site = lambda n: publish.read(spark, path, n, made[n].schema)
+    flat = lambda n, df, columns: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in columns))).alias("x")).select(F.lit(n).alias("part"), "x.*")
+    count = lambda n, df, c: df.groupBy(c.alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "name", "n")
+    parts = [
+        site("funnel").select(F.lit("funnel").alias("part"), F.col("disposition").alias("name"), "n"),
+        count("excluded", site("excluded"), F.when(F.startswith("why", F.lit("dup-of:")), "dup").otherwise(F.col("why"))),
+        flat("headline", site("headline"), ["papers", "core", "read", "with_venue", "results"]),
+        flat("stats", site("stats"), ["n_dblp", "n_bib_official", "n_bib_venue"]),
+        site("sources").select(F.lit("sources").alias("part"), F.col("vs").alias("name"), "n"),
+        count("board", site("leaderboard"), F.col("bench")),
+        site("queries").select(F.lit("queries").alias("part"), F.col("query").alias("name"), F.col("hits").alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

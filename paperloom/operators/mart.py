@@ -72,8 +72,17 @@ def query_hits(papers: DataFrame) -> DataFrame:
 
 
 def stats(papers: DataFrame) -> DataFrame:
-    """Scalars of the whole mart in one aggregation."""
-    return papers.agg(F.count(F.lit(1)).alias("n_papers"), F.count_if(F.col("sc") == "core").alias("n_core"), F.count_if(F.col("v").isNotNull()).alias("n_venue"), F.count_if(F.col("vs") == "dblp").alias("n_dblp"))
+    """Scalars of the whole mart in one aggregation; entries by their sources where the papers have them."""
+    bs = F.col("bs") if "bs" in papers.columns else F.lit(None).cast("string")
+    counts = {"n_papers": F.lit(True), "n_core": F.col("sc") == "core", "n_venue": F.col("v").isNotNull(), "n_dblp": (bs if "bs" in papers.columns else F.col("vs")) == "dblp"}
+    if "bs" in papers.columns:
+        counts |= {"n_bib_official": bs.isin("dblp", "crossref"), "n_bib_venue": bs.isin("dblp", "crossref", "auto-venue")}
+    return papers.agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+def sources(papers: DataFrame) -> DataFrame:
+    """``vs, n``: where the core papers' venues come from."""
+    return papers.where("sc = 'core'").groupBy(F.coalesce("vs", F.lit("none")).alias("vs")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bib_entry(key: Column, authors: Column, title: Column, venue: Column, kind: Column, year: Column, arxiv: Column, doi: Column) -> Column:
@@ -101,18 +110,29 @@ def project(rows: DataFrame) -> DataFrame:
     """The wide table of papers from the star's rows: short names, bounded authors, gist and summary of a note.
 
     ``rows`` has the candidate's columns and the structs ``label, venue, note`` and
-    ``registry`` of ``star``; the first DOI known wins, and the companies of a label
+    ``registry`` of ``star``, whose fields may be missing; the first DOI known wins, and the companies of a label
     stand before those detected.
     """
     none, text = F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(""))
-    note, label = F.col("note"), F.col("label")
-    return rows.select(
+    note, label, venue, registry = F.col("note"), F.col("label"), F.col("venue"), F.col("registry")
+
+    def of(side: str, name: str, kind: str = "string") -> Column:
+        """A field of a side, null where the side has none of that name."""
+        return F.col(side)[name] if name in rows.schema[side].dataType.names else F.lit(None).cast(kind)
+
+    many = lambda name: F.coalesce(of("label", name, "array<string>"), none)
+    own = lambda name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+    wide = rows.select(
         F.col("uid").alias("id"), F.col("arxiv_id").alias("ax"), F.col("title").alias("t"), label["name"].alias("n"), F.slice(F.coalesce("authors", none), 1, AUTHORS).alias("a"),
         F.col("year").alias("y"), F.col("date").alias("d"), text(F.col("abstract")).alias("ab"), text(label["tldr"]).alias("tl"), label["scope"].alias("sc"), F.coalesce(label["tasks"], none).alias("tk"),
-        F.coalesce(label["paradigm"], F.lit("none")).alias("pd"), F.coalesce(label["benchmarks"], none).alias("bm"), F.col("venue")["label"].alias("v"), F.col("venue")["venue"].alias("vn"), F.col("venue")["kind"].alias("vk"),
-        F.coalesce("cited", F.lit(0)).alias("c"), F.coalesce(label["co"], F.col("companies"), none).alias("co"), F.coalesce(F.col("registry")["doi"], F.col("doi_pub"), F.col("doi")).alias("doi"),
+        many("settings").alias("st"), F.coalesce(label["paradigm"], F.lit("none")).alias("pd"), many("contrib").alias("ct"), many("traits").alias("tr"), F.coalesce(label["benchmarks"], none).alias("bm"), F.coalesce(of("label", "conf"), F.lit("high")).alias("cf"),
+        venue["label"].alias("v"), venue["venue"].alias("vn"), venue["kind"].alias("vk"), of("venue", "source").alias("vs"),
+        F.coalesce("cited", F.lit(0)).alias("c"), F.coalesce(label["co"], F.col("companies"), none).alias("co"), F.coalesce(registry["doi"], F.col("doi_pub"), F.col("doi")).alias("doi"),
+        F.coalesce(own("sources", "array<string>"), none).alias("src"), F.coalesce(own("queries", "array<string>"), none).alias("q"), own("comment", "string").alias("cm"), F.substring(own("first_seen", "string"), 1, 10).alias("fs"),
         F.when(note.isNotNull(), 1).alias("r"), F.when(note.isNotNull(), F.substring(F.concat_ws(" ", text(note["key_idea"]), text(note["insight"])), 1, GIST)).alias("rk"), F.substring(note["summary"], 1, SUMMARY).alias("sm"),
+        of("registry", "dblp").alias("__dblp"), of("registry", "bibtex").alias("__registry"),
     )
+    return wide.withColumn("bs", bib_source(F.col("__dblp"), F.col("__registry"), F.col("vn"), F.col("vk"), F.col("ax"))).drop("__dblp", "__registry")
 
 
 def bib_source(dblp: Column, registry: Column, venue: Column, kind: Column, arxiv: Column) -> Column:
