@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.operators import answer, board, index, retrieval, survey, trends
+from paperloom.operators import answer, board, index, log, retrieval, survey, trends
 from paperloom.plans import search
 from paperloom.queries import _AUTHORS, LIBRARY, PAPERS, ROWS, _authored, facets, library, papers, query, rows, t
 from paperloom.sources.staging import shared_folder
@@ -323,3 +323,51 @@ def map_colours(spark, d):
     most = n.agg(F.max("n").alias("most"))
     return n.join(F.broadcast(most)).select("pd", F.round(trends.scale_colour(F.col("n"), F.col("most")), 9).alias("colour"), trends.nice_step(F.col("most")).alias("step"))
 
+
+
+# ---- lists of fixed lengths, packs of the newest first, assignments ---------------------------------------
+
+
+@query("""SELECT 'excluded' AS list, doc_id::VARCHAR AS name FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 80) UNION ALL SELECT 'jobs', event_id::VARCHAR FROM (SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 30)
+  UNION ALL SELECT 'benches', name FROM (SELECT p_name || p_brand AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 80) UNION ALL SELECT 'venues', c_name FROM (SELECT c_name, c_acctbal, c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40)""")
+def lists_shown(spark, d):
+    of = lambda kind, df, c, *order: search.shown(df, kind, *order).select(F.lit(kind).alias("list"), F.col(c).cast("string").alias("name"))
+    benches = t(spark, d, "part").groupBy(F.concat("p_name", "p_brand").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    parts = [of("excluded", t(spark, d, "documents"), "doc_id", "doc_id"), of("jobs", t(spark, d, "events"), "event_id", F.col("ts").desc(), "event_id"), of("benches", benches, "name", F.col("n").desc(), "name"), of("venues", t(spark, d, "customer"), "c_name", F.col("c_acctbal").desc(), "c_custkey")]
+    return reduce(DataFrame.union, parts)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, 'leaf' || o_custkey % 40 AS leaf, year(o_orderdate)::INT AS y, o_orderkey % 3 AS rank FROM orders), x AS (SELECT leaf, 'order ' || id || ' (' || y || ')' AS said, y, rank, id FROM r)
+  SELECT leaf, '# ' || leaf || chr(10) || string_agg('- ' || said, chr(10) ORDER BY y DESC, rank, id) AS text FROM x GROUP BY leaf""")
+def packs_newest_first(spark, d):
+    """A writer's packs for an outlook: the newest papers first, then by role."""
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders")
+    assigned = o.select(k.alias("id"), F.concat(F.lit("leaf"), (F.col("o_custkey") % 40).cast("string")).alias("leaf"), F.get(F.array(*map(F.lit, log.ROLES)), (k % 3).cast("int")).alias("role"))
+    p = o.select(k.alias("id"), F.lit(None).cast("string").alias("n"), F.concat(F.lit("order "), k.cast("string")).alias("t"), F.year("o_orderdate").alias("y"))
+    tree = spark.range(40).select(F.concat(F.lit("leaf"), F.col("id").cast("string")).alias("id"), F.col("id").alias("ord"))
+    return log.packs(assigned, p, tree, list(log.ROLES), recent_first=True).select("leaf", "text")
+
+
+@query("""WITH a AS (SELECT doc_id AS id, doc_id % 9 AS leaf, doc_id % 11 AS alt, text, doc_id % 4 AS role FROM documents WHERE doc_id % 2 = 0)
+  SELECT id, 'l' || leaf AS leaf, CASE WHEN alt < 7 THEN 'l' || alt END AS alt, CASE WHEN id % 3 = 0 THEN 't1' ELSE '' END AS threads, CASE role WHEN 0 THEN 'landmark' WHEN 1 THEN 'representative' ELSE 'incremental' END AS role, substr(text, 1, 160) AS why, id % 5 = 0 AS with_reading FROM a WHERE leaf < 7 AND id % 6 <> 0
+  UNION ALL SELECT doc_id, 'l0', NULL, '', 'incremental', '', doc_id % 5 = 0 FROM documents WHERE doc_id % 6 = 0""")
+def assignments_appended(spark, d):
+    """Answers checked against the outline and appended to the log behind those that it has; what the log has is not asked again."""
+    from paperloom.sources import io
+
+    docs, k, none = t(spark, d, "documents"), F.col("doc_id"), F.lit(None).cast("string")
+    leaf = lambda c: F.concat(F.lit("l"), c.cast("string"))
+    schema = "id long, leaf string, alt string, threads array<string>, role string, why string, with_reading boolean"
+    path = f"{shared_folder(spark)}/paperloom/assign-{uuid.uuid4().hex}"
+    empty = F.array().cast("array<string>")
+    held = docs.where(k % 6 == 0).select(k.alias("id"), leaf(F.lit(0)).alias("leaf"), none.alias("alt"), empty.alias("threads"), F.lit("incremental").alias("role"), F.lit("").alias("why"), (k % 5 == 0).alias("with_reading"))
+    io.append_log(held, path)
+    papers_ = docs.where(k % 2 == 0).select(k.alias("id"))
+    todo = log.unassigned(papers_, io.read_jsonl(spark, path, schema))
+    role = F.when(k % 4 == 0, "landmark").when(k % 4 == 1, "representative").when(k % 4 == 2, "unheard of")
+    answers = docs.select(k.alias("id"), leaf(k % 9).alias("leaf"), leaf(k % 11).alias("alt"), F.when(k % 3 == 0, F.array(F.lit("t1"), F.lit("t9"))).alias("threads"), role.alias("role"), F.col("text").alias("why"))
+    leaves = spark.range(7).select(leaf(F.col("id")).alias("leaf"))
+    threads = spark.range(3).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("thread"))
+    io.append_log(log.checked_assignments(answers, todo, leaves, threads, docs.where(k % 5 == 0).select(k.alias("uid"))), path)
+    return io.read_jsonl(spark, path, schema).withColumn("threads", F.array_join("threads", ","))

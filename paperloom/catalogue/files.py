@@ -211,12 +211,8 @@ def registry_entries(spark, d):
 @query("""WITH x AS (SELECT c_custkey AS id, '"' || c_custkey || '","' || replace(c_name, '#', '""') || '","","a; b","' || (2000 + c_nationkey) || '","","","","","","","' || c_nationkey || '","",""' AS line, 1 AS part FROM customer)
   SELECT 0::BIGINT AS place, chr(65279) || '"id","title","name","authors","year","date","venue","paradigm","tasks","benchmarks","companies","citations","doi","bibtex_key"' AS line UNION ALL SELECT row_number() OVER (ORDER BY id), line FROM x""")
 def csv_export(spark, d):
-    from pyspark.sql import Window
-
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.replace("c_name", F.lit("#"), F.lit('"')).alias("t"), F.array(F.lit("a"), F.lit("b")).alias("a"), (F.col("c_nationkey") + 2000).alias("y"), F.col("c_nationkey").alias("c"))
-    lines = io.csv_file(c, [F.col("id")])
-    number = F.when(F.startswith("line", F.lit(io.MARK)), F.lit(0).cast("long")).otherwise(F.regexp_extract("line", '^"([0-9]+)"', 1).cast("long"))
-    return lines.select((F.row_number().over(Window.orderBy(number)) - 1).cast("long").alias("place"), "line")
+    return io.numbered(io.csv_file(c, [F.col("id")])).select("place", "line")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS pd FROM orders")
@@ -325,3 +321,39 @@ def stream_admissions(spark, d):
     found = incremental.admit_stream(incremental.folder_stream(spark, path, e.schema), "event_type", "user_id", "ts", "event_id", hourly=1, daily=20)
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, refused string").parquet(out)
+
+
+# ---- folders of documents, live tables, digests ------------------------------------------------------------
+
+
+@query("SELECT 'n' || s_suppkey AS uid, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 10 <> 7")
+def document_folder(spark, d):
+    """A folder of JSON documents, one file each, named by its key; every tenth is cut off and skipped."""
+    s = t(spark, d, "supplier")
+    body = F.concat(F.lit('{\n "name": "'), "s_name", F.lit('",\n "nation": '), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 10 == 7, "").otherwise("\n}"))
+    path = folder(spark, "notes")
+    # as many files as documents, each in a folder of its own: their name is the key
+    s.select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("uid"), body.alias("value")).repartition(F.col("uid")).write.partitionBy("uid").text(path)
+    rows = io.read_docs(spark, path, "name string, nation int").where("name is not null and nation is not null")
+    return rows.select(F.regexp_extract("_metadata.file_path", "uid=([^/]+)", 1).alias("uid"), "name", "nation")
+
+
+@query("SELECT n_name AS name, 2::BIGINT AS n FROM nation")
+def reloaded_table(spark, d):
+    """A live table read before and after its file is replaced: the second reading has the new rows."""
+    path, n = folder(spark, "live"), t(spark, d, "nation").select(F.col("n_name").alias("name"))
+    io.write_jsonl(n.limit(1), path, [F.col("name")])
+    live = io.Reloading(spark, path, lambda s, p: s.read.schema("name string").json(p))
+    assert live.get().count() == 1
+    io.write_jsonl(n.union(n), path, [F.col("name")])
+    return live.get().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH g AS (SELECT o_orderpriority AS task, o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS d, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+  SELECT task, count(*)::BIGINT AS n, '## ' || task || chr(10) || string_agg('- order ' || id || ' (' || d || ')', chr(10) ORDER BY rank) AS text FROM g WHERE rank <= 30 GROUP BY task""")
+def digest_markdown(spark, d):
+    from paperloom.operators.board import top_per_group
+
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("t"), "o_totalprice")
+    top = top_per_group(o, ["task"], [F.col("o_totalprice").desc(), F.col("id")], 30)
+    return io.digest_text(top if "rank" in top.columns else top.withColumn("rank", -F.col("o_totalprice")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
@@ -179,3 +180,44 @@ def paper_dates(spark, d):
     p, k = papers(spark, d), F.col("id") % 3
     said = F.when(k == 1, F.col("d")).when(k == 2, "someday")
     return p.select("id", paper_date(said, F.when(k == 2, 0).otherwise(F.col("y"))).alias("day"))
+
+
+@query(r"""WITH m AS (SELECT p_partkey AS id, p_name AS n, p_partkey % 7 AS k FROM part) SELECT id, CASE k WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN 'Net' WHEN 4 THEN n || ' (b)' WHEN 5 THEN n ELSE '' END AS method FROM m""")
+def method_names(spark, d):
+    n, k = F.col("p_name"), F.col("p_partkey") % 7
+    said = [n, F.concat(n, F.lit(" (Ours)")), F.concat(F.lit("Our method: "), n), F.lit("OURS (Net)"), F.concat(n, F.lit(" (b)")), F.concat(n, F.lit(")")), F.lit(None).cast("string")]
+    raw = F.when(k == 3, F.lit("Net (ours, small)")).otherwise(F.get(F.array(*said), k))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.clean_method(raw).alias("method"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_name ELSE p_name || ' ' || p_brand END AS text FROM part")
+def joined_lists(spark, d):
+    k = F.col("p_partkey") % 3
+    items = F.when(k == 1, F.array("p_name")).when(k == 2, F.array("p_name", "p_brand"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.as_text(items).alias("text"))
+
+
+@query("SELECT a.o_orderkey AS id, (CASE WHEN a.o_custkey % 5 = b.k THEN 1 ELSE 0 END + CASE WHEN (a.o_custkey + 1) % 7 = b.k THEN 1 ELSE 0 END - CASE WHEN a.o_custkey % 5 = b.k AND (a.o_custkey + 1) % 7 = b.k THEN 1 ELSE 0 END)::INT AS n FROM orders a, LATERAL (SELECT a.o_orderkey % 4 AS k) b")
+def surname_overlap(spark, d):
+    from paperloom.operators.resolve import shared_surnames
+
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    k = F.col("o_custkey")
+    mine, theirs = F.array(name(k % 5), name((k + 1) % 7), name(k % 5)), F.array(name(F.col("o_orderkey") % 4), F.lit("other"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), shared_surnames(mine, theirs).alias("n"))
+
+
+@query("""SELECT c_custkey AS id, concat_ws('&', 'q=maps+of+' || c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 'sc=any' WHEN c_custkey % 3 = 2 THEN 'sc=core%2Cadjacent' END, CASE WHEN c_custkey % 2 = 0 THEN 'pd=' || c_mktsegment || '%2Cnone' END, CASE WHEN c_custkey % 5 = 0 THEN 'sort=new' END) AS state FROM customer""")
+def url_states(spark, d):
+    """States of the library's page read and written again; what is at its default goes."""
+    from paperloom.plans import search
+
+    @F.pandas_udf("string")
+    def again(states: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([search.to_state(search.from_state(s, ["sc", "pd", "tk"]), x) for s, x in zip(states, texts)])
+
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("maps of "), k.cast("string"))
+    scope = F.when(k % 3 == 0, "sc=core").when(k % 3 == 1, "sc=any").otherwise("sc=core,adjacent")
+    state = F.concat_ws("&", F.concat(F.lit("q="), F.replace(text, F.lit(" "), F.lit("+"))), scope, F.when(k % 2 == 0, F.concat(F.lit("pd="), "c_mktsegment", F.lit(",none"))), F.when(k % 5 == 0, "sort=new").otherwise("sort=auto"))
+    return t(spark, d, "customer").select(k.alias("id"), again(state, text).alias("state"))

@@ -263,3 +263,29 @@ def packs(assigned: DataFrame, papers: DataFrame, tree: DataFrame, roles: list[s
     rows = assigned.join(papers, "id").select("leaf", F.struct((-F.col("y") if recent_first else F.col("y")).alias("y"), rank.alias("rank"), "id", line.alias("line")).alias("r"))
     packed = rows.groupBy("leaf").agg(F.sort_array(F.collect_list("r")).alias("rows"))
     return tree.join(packed, tree.id == packed.leaf).select("leaf", "ord", F.concat(F.lit("# "), "leaf", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text")).orderBy("ord")
+
+
+# ---- fixed values: what an assignment may say -------------------------------------------
+ROLES, LEAST_ROLE, WHY = ("landmark", "representative", "incremental"), "incremental", 160
+# -----------------------------------------------------------------------------------------
+
+
+def unassigned(papers: DataFrame, assigned: DataFrame, again: bool = False) -> DataFrame:
+    """Papers of a scope that no assignment of the log names; all of them if they are asked for again."""
+    return papers if again else papers.join(assigned.select("id"), "id", "left_anti")
+
+
+def checked_assignments(answers: DataFrame, asked: DataFrame, leaves: DataFrame, threads: DataFrame, notes: DataFrame) -> DataFrame:
+    """Answers fit for the log: of a paper that was asked for, at a leaf that there is.
+
+    ``answers`` is (id, leaf, alt, threads, role, why); an unknown second leaf and unknown threads are left
+    out, an unknown role is the least one, reasons are cut, and ``with_reading`` says whether the paper has a note. The
+    outline and the notes meet by equality; ``threads`` is as short as an outline.
+    """
+    rows = answers.join(asked.select("id").distinct(), "id", "left_semi").join(leaves.select("leaf").distinct(), "leaf", "left_semi")
+    rows = rows.join(leaves.select(F.col("leaf").alias("__alt")).distinct(), F.col("alt") == F.col("__alt"), "left")
+    known = threads.agg(F.coalesce(F.collect_set("thread"), F.array().cast("array<string>")).alias("__threads"))
+    rows = rows.join(F.broadcast(known)).join(notes.select(F.col("uid").alias("id"), F.lit(True).alias("__read")).distinct(), "id", "left")  # one row of an outline's threads
+    kept = F.filter(F.coalesce("threads", F.array().cast("array<string>")), lambda x: F.array_contains("__threads", x))
+    role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(LEAST_ROLE)
+    return rows.select("id", "leaf", F.col("__alt").alias("alt"), kept.alias("threads"), role.alias("role"), F.substring(F.coalesce("why", F.lit("")), 1, WHY).alias("why"), F.coalesce("__read", F.lit(False)).alias("with_reading"))

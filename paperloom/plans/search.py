@@ -231,7 +231,17 @@ def merged_map(base: Column, own: Column) -> Column:
     return F.map_concat(kept, own)
 
 
-def excluded_search(excluded: DataFrame, term: str, limit: int = 80) -> DataFrame:
+# ---- fixed values: how many a list shows -------------------------------------------------
+SHOWN = {"excluded": 80, "jobs": 30, "benches": 80, "venues": 40}
+# ------------------------------------------------------------------------------------------
+
+
+def shown(rows: DataFrame, kind: str, *order: Column | str) -> DataFrame:
+    """As many rows as a list of this kind shows, in order; a top-k that no task sorts whole."""
+    return rows.orderBy(*order).limit(SHOWN[kind])
+
+
+def excluded_search(excluded: DataFrame, term: str, limit: int = SHOWN["excluded"]) -> DataFrame:
     """Dropped papers whose title holds the term; without one, those that the reader put out."""
     hit = F.contains(F.lower("t"), F.lit(term.lower())) if term else F.col("why") == "llm:out"
     return excluded.where(hit).orderBy("id").limit(limit)
@@ -257,7 +267,7 @@ def from_state(state: str, facets: list[str], default_scope: tuple[str, ...] = (
     from urllib.parse import parse_qs
 
     got = {k: v[0] for k, v in parse_qs(state).items()}
-    chosen = {k: got[k].split(",") for k in facets if k in got and k != "sc"}
     scope = got.get("sc")
-    chosen["sc"] = list(default_scope) if scope is None else [] if scope == "any" else scope.split(",")
+    known = {k: got[k].split(",") for k in facets if k in got} | {"sc": list(default_scope) if scope is None else [] if scope == "any" else scope.split(",")}
+    chosen = {k: known[k] for k in [*facets, *(k for k in known if k not in facets)] if k in known}
     return Spec(parse(got.get("q", "").lower()), chosen, got.get("sort", "auto"))

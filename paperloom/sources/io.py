@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import as_text, csv_cell, spaced_title
@@ -272,6 +272,18 @@ def write_jsonl(df: DataFrame, path: str, by: list[Column], mode: str = "overwri
     versions.switch(df.sparkSession, path, version)
 
 
+def numbered(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """Rows of a sorted table with their places from 0 on: places within partitions, and how many rows are in those before.
+
+    No task sees all rows; what meets in one is a count for each partition.
+    """
+    # an id has its partition above the lowest 33 bits; the table is written, so counts and rows agree
+    rows = cut(ordered.withColumn("__id", F.monotonically_increasing_id()), "ordered").withColumn("__part", F.shiftright("__id", 33))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").withColumn(place, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__before")  # a row a partition
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(versions.current(df.sparkSession, path))
 
