@@ -371,3 +371,36 @@ def assignments_appended(spark, d):
     threads = spark.range(3).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("thread"))
     io.append_log(log.checked_assignments(answers, todo, leaves, threads, docs.where(k % 5 == 0).select(k.alias("uid"))), path)
     return io.read_jsonl(spark, path, schema).withColumn("threads", F.array_join("threads", ","))
+
+
+@query(f"""WITH {BEST},
+  b AS (SELECT CASE bench WHEN 'Brand#1' THEN 0 ELSE 1 END AS board, * FROM best WHERE bench IN ('Brand#1', 'Brand#2') AND split = 'A'),
+  q1 AS (SELECT *, row_number() OVER (PARTITION BY board, cls ORDER BY val DESC, id) <= CASE cls WHEN 0 THEN 2 ELSE 1 END AS record, cls = 0 AND row_number() OVER (PARTITION BY board, pd, cls = 0 ORDER BY val DESC, id) = 1 AS leads FROM b),
+  k AS (SELECT id, bool_or(record) AS record, bool_or(leads) AS leader, bool_or(id % 97 = 0) AS anchor, bool_or(c >= 450000) AS much FROM q1 GROUP BY id),
+  s AS (SELECT r.id, r.pd, r.cls, r.val, r.seq, r.board, k.* EXCLUDE (id) FROM q1 r JOIN k ON r.id = k.id WHERE (k.record OR leader OR anchor OR much)),
+  f AS (SELECT id, arg_min(pd, board) AS grp FROM s GROUP BY id), x AS (SELECT s.*, f.grp, row_number() OVER (PARTITION BY board, grp ORDER BY cls, val DESC, seq) <= CASE board WHEN 0 THEN 4 ELSE 2 END AS top FROM s JOIN f ON f.id = s.id),
+  y AS (SELECT * FROM x WHERE id IN (SELECT id FROM x GROUP BY id HAVING bool_or(top OR anchor OR leader))),
+  fig AS (SELECT best.bench, best.split, best.id, round(best.y + (month(p.date) - 0.5) / 12, 6) AS tm, val AS value FROM best JOIN p ON p.id = best.id WHERE best.bench = 'Brand#1' AND best.split = 'A' AND cls = 0),
+  t AS (SELECT bench, split, CASE cls WHEN 0 THEN 'comparable' ELSE 'shared' END AS block, CASE cls WHEN 0 THEN pd ELSE protocol END AS grp, id, val FROM best WHERE bench IN ('Brand#1', 'Brand#3') AND split = 'R' OR bench = 'Brand#2' AND split = 'N'),
+  tr AS (SELECT *, row_number() OVER (PARTITION BY bench, split, block, grp ORDER BY val DESC, best_seq) AS rank FROM (SELECT t.*, best.seq AS best_seq FROM t JOIN best USING (bench, split, id)))
+  SELECT 'main' AS part, grp AS a, board::VARCHAR AS b, id, val::DOUBLE AS value, CASE WHEN cls = 0 THEN mark END::INT AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY board, cls ORDER BY val DESC) AS mark FROM y)
+  UNION ALL SELECT 'scope', '', '', id, NULL, NULL FROM p WHERE sc IN ('core', 'adjacent') AND pd = '1-URGENT'
+  UNION ALL SELECT 'figure', bench, split, id, value, NULL FROM (SELECT *, coalesce(max(value) OVER (PARTITION BY bench, split ORDER BY tm, value DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM fig) WHERE value > before
+  UNION ALL SELECT 'table', bench, block || ' ' || grp, id, val, rank FROM tr WHERE block = 'shared' OR rank <= 3 OR id % 50 = 0""".replace("mark END::INT", "CASE WHEN mark <= 2 THEN mark END END::INT"))
+def survey_compiled(spark, d):
+    """One declaration, all of a survey's data."""
+    j, p = judged(spark, d), papers(spark, d).withColumn("n", F.when(F.col("id") % 97 == 0, "Milestone"))
+    b = lambda bench, split: survey.Board(bench, split, "SR")
+    spec = survey.Spec(
+        scope={"sc": ("core", "adjacent"), "pd": ("1-URGENT",), "y": ()},
+        tables=(b("Brand#1", "R"), b("Brand#3", "R"), b("Brand#2", "N")),
+        main_tables=(survey.BodyTable("nav", (b("Brand#1", "A"), b("Brand#2", "A")), anchors=("Milestone",), cites=450000),),
+        figures=(b("Brand#1", "A"),),
+        top=3,
+    )
+    made = survey.compiled(spec, p, p.select(F.col("id").alias("uid")).limit(0), j, cited=p.where("id % 50 = 0"))
+    row = lambda df, part, a, b, n: df.select(F.lit(part).alias("part"), a.alias("a"), b.alias("b"), F.col("id"), (F.col("value") if "value" in df.columns else F.lit(None)).cast("double").alias("value"), n.cast("int").alias("n"))
+    none, empty = F.lit(None), F.lit("")
+    parts = [row(made["main"], "main", F.col("group"), F.col("board").cast("string"), F.col("mark")), row(made["scope"], "scope", empty, empty, none), row(made["figures"], "figure", F.col("bench"), F.col("split"), none)]
+    parts.append(row(made["tables"], "table", F.col("bench"), F.concat_ws(" ", "block", "group"), F.col("rank")))
+    return reduce(DataFrame.union, parts)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import LOWER_BETTER, PERCENT, clean_bib
 from paperloom.operators import board as rules
+from paperloom.operators import lineage, trends
+from paperloom.sources.staging import cut
 
 # ---- fixed values: rows of a main table, of the others, and when a record gets a label -------
 RECORDS, RECORDS_OTHER, PER_GROUP, PER_GROUP_OTHER, OTHERS = 2, 1, 4, 2, 8
@@ -95,3 +100,127 @@ def references(entries: DataFrame, by_hand: DataFrame, cited: DataFrame) -> tupl
     own = entries.join(by_hand.select("key"), "key", "left_anti").unionByName(by_hand.select("key", "bib"))
     got = own.join(cited, "key", "left_semi").dropDuplicates(["key"]).withColumn("bib", clean_bib(F.col("bib")))
     return got, cited.join(own.select("key"), "key", "left_anti")
+
+
+# ---- a survey from its declaration ---------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Board:
+    """One leaderboard of a survey: a benchmark's split, the metric it is ranked by, the metrics it shows."""
+
+    bench: str
+    split: str
+    metric: str
+    columns: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class BodyTable:
+    """A table in the body: boards side by side, and the papers (by name or key) that are always in it."""
+
+    name: str
+    boards: tuple[Board, ...]
+    anchors: tuple[str, ...] = ()
+    records: int = RECORDS
+    per_group: int = PER_GROUP
+    per_group_other: int = PER_GROUP_OTHER
+    cites: int | None = None
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What a survey declares; see ``compiled``."""
+
+    scope: dict[str, tuple[str, ...]]
+    context: dict | None = None
+    tables: tuple[Board, ...] = ()
+    main_tables: tuple[BodyTable, ...] = ()
+    figures: tuple[Board, ...] = ()
+    top: int = 10
+
+
+def in_scope(papers: DataFrame, scope: dict[str, tuple[str, ...]]) -> Column:
+    """True for a paper that has one of the values of every field that the scope names."""
+    kinds, out = dict(papers.dtypes), F.lit(True)
+    for c, values in scope.items():
+        if values:
+            wanted = F.array(*map(F.lit, values))
+            out &= F.coalesce(F.arrays_overlap(F.col(c), wanted) if kinds[c].startswith("array") else F.col(c).isin(*values), F.lit(False))
+    return out
+
+
+def compiled(spec: Spec, papers: DataFrame, readings: DataFrame, board: DataFrame, cited: DataFrame | None = None, landmarks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The data of a survey, by the parts that its declaration asks for.
+
+    ``scope`` and ``context`` are ids; ``tables`` the complete rankings of its boards, with all
+    that the text (``cited``: id) cites; ``main`` the rows of the body's tables; ``figures`` the
+    records of each board over time. The board is read once for each metric, and only rows of boards
+    that the declaration names; best rows are written, as all parts start from them.
+    """
+    spark, scope = papers.sparkSession, papers.where(in_scope(papers, spec.scope))
+    out = {"scope": scope.select("id")}
+    if spec.context is not None:
+        numbers = {k: v for k, v in spec.context.items() if k in ("mentions", "cites")}
+        ids = spark.createDataFrame([(x,) for x in spec.context.get("ids", ())], f"id {dict(papers.dtypes)['id']}")
+        out["context"] = lineage.context_of(readings, papers, scope, landmarks=landmarks if spec.context.get("landmarks", True) else None, ids=ids, **numbers)
+    every = [*spec.tables, *spec.figures, *(b for t in spec.main_tables for b in t.boards)]
+    best = {}
+    for metric in dict.fromkeys(b.metric for b in every):
+        wanted = spark.createDataFrame(sorted({(b.bench, b.split) for b in every if b.metric == metric}), "bench string, split string")
+        best[metric] = cut(best_of_papers(board.join(F.broadcast(wanted), ["bench", "split"], "left_semi"), metric), "best_rows")  # a declaration's boards
+    of = lambda b: best[b.metric].where((F.col("bench") == b.bench) & (F.col("split") == b.split))
+    cells = lambda b: F.map_filter("m", lambda k, _: k.isin(*(b.columns or (b.metric,)))).alias("cells")
+    if spec.tables:
+        always = (cited if cited is not None else papers.select("id").limit(0)).select("id").distinct().withColumn("__cited", F.lit(True))
+        parts = []
+        for b in spec.tables:
+            ranked = appendix_table(of(b).join(always, "id", "left"), F.lit(True), F.col("__cited"), b.metric, spec.top)
+            parts.append(ranked.select("bench", "split", "block", "group", "rank", "id", "value", cells(b)))
+        out["tables"] = reduce(DataFrame.unionByName, parts)
+    if spec.main_tables:
+        out["main"] = reduce(DataFrame.unionByName, [_body(t, of, papers, cells) for t in spec.main_tables])
+    if spec.figures:
+        parts = []
+        for b in spec.figures:
+            when = papers.select("id", F.round(trends.fractional_year(F.col("d"), F.col("y"), half=True), 6).alias("at"))
+            sign = -1 if b.metric in LOWER_BETTER else 1
+            shown = of(b).where((F.col("cls") == 0) & (F.col("value") > 1) & ~rules.is_ablation(F.col("method"), strict=True))
+            shown = shown.select("bench", "split", "id", (F.col("value") * sign).alias("value")).join(when, "id")
+            parts.append(progress(shown, ["bench", "split"]).select("bench", "split", "id", "at", (F.col("value") * sign).alias("value")))
+        out["figures"] = reduce(DataFrame.unionByName, parts)
+    return out
+
+
+def _body(table: BodyTable, of, papers: DataFrame, cells) -> DataFrame:
+    """``name, group, place, id, board, cls, value, mark, cells``: the papers of a body table by paradigm.
+
+    Known papers are those that hold a record on a board or lead a paradigm there, the anchors, and with
+    ``cites`` those cited as often. Ablations are out. A paper has one group, that of its row on the first board
+    it is on; each group shows its best of every board, its anchors and its leaders. Marks are the best and
+    second-best values of what is shown.
+    """
+    signed = lambda b: (F.col("value") * (-1 if b.metric in LOWER_BETTER else 1)).alias("signed")
+    strict = rules.is_ablation(F.col("method"), strict=True).alias("strict")
+    rows = reduce(DataFrame.unionByName, [of(b).select("id", "pd", "cls", "value", signed(b), strict, "_seq", F.lit(i).alias("board"), cells(b)) for i, b in enumerate(table.boards)])
+    by = lambda *c: Window.partitionBy(*c).orderBy(F.col("signed").desc(), "id")
+    rows = rows.withColumn("record", F.row_number().over(by("board", "cls")) <= F.when(F.col("cls") == 0, table.records).otherwise(RECORDS_OTHER))
+    leads = F.when((F.col("cls") == 0) & ~F.col("strict"), F.row_number().over(by("board", "pd", (F.col("cls") == 0) & ~F.col("strict"))) == 1)
+    rows = cut(rows.withColumn("leads", F.coalesce(leads, F.lit(False))), "body_rows")
+    names = F.array(*map(F.lit, table.anchors)) if table.anchors else F.array().cast("array<string>")
+    key = F.col("key") if "key" in papers.columns else F.lit(None).cast("string")
+    anchor = F.coalesce(F.array_contains(names, F.col("n")), F.lit(False)) | F.coalesce(F.array_contains(names, key), F.lit(False))
+    much = F.coalesce(F.col("c") >= table.cites, F.lit(False)) if table.cites is not None else F.lit(False)
+    of_paper = rows.groupBy("id").agg(F.bool_or("record").alias("record"), F.bool_or("leads").alias("leader"))
+    of_paper = of_paper.join(papers.select("id", anchor.alias("anchor"), much.alias("much")), "id", "left").na.fill(False, ["anchor", "much"])
+    seen = rows.drop("record", "leads").join(of_paper.where("record or leader or anchor or much"), "id").where("not strict")
+    first = seen.groupBy("id").agg(F.min_by("pd", "board").alias("group"), F.min(F.struct("board", "cls", -F.col("signed"))).alias("at"))
+    seen = seen.join(first, "id")
+    nth = F.row_number().over(Window.partitionBy("board", "group").orderBy("cls", F.col("signed").desc(), "_seq"))
+    most = F.when(F.col("group") == "none", 0).when(F.col("board") == 0, table.per_group).otherwise(table.per_group_other)
+    seen = seen.withColumn("top", nth <= most)
+    chosen = seen.groupBy("id").agg(F.bool_or(F.col("top") | F.col("anchor") | (F.col("leader") & (F.col("group") != "none"))).alias("in")).where("in").select("id")
+    shown = seen.join(chosen, "id", "left_semi")
+    place = F.dense_rank().over(Window.partitionBy("group").orderBy("at", "id"))
+    mark = F.dense_rank().over(Window.partitionBy("board", "cls").orderBy(F.col("signed").desc()))
+    return shown.select(F.lit(table.name).alias("name"), "group", place.alias("place"), "id", "board", "cls", "value", F.when((F.col("cls") == 0) & (mark <= 2), mark).alias("mark"), "cells")
