@@ -404,3 +404,19 @@ def survey_compiled(spark, d):
     parts = [row(made["main"], "main", F.col("group"), F.col("board").cast("string"), F.col("mark")), row(made["scope"], "scope", empty, empty, none), row(made["figures"], "figure", F.col("bench"), F.col("split"), none)]
     parts.append(row(made["tables"], "table", F.col("bench"), F.concat_ws(" ", "block", "group"), F.col("rank")))
     return reduce(DataFrame.union, parts)
+
+
+_OPEN = "(SELECT bench FROM j GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 1)"
+
+
+@query(f"""WITH {JUDGED}, a AS (SELECT * FROM j WHERE bench = {_OPEN}), o AS (SELECT * FROM a WHERE split = (SELECT split FROM a GROUP BY 1 ORDER BY count(*) DESC, min(seq) LIMIT 1) AND coalesce(ok, false) AND NOT coalesce(nonstd, false)),
+  n AS (SELECT * FROM j WHERE bench = 'Brand#7' AND split = 'A' AND eval_set = 'full' AND zs AND open = false AND pd IN ('1-URGENT', '2-HIGH'))
+  SELECT 'open' AS page, bench, split, 'SR' AS key, row_number() OVER (ORDER BY srv DESC, seq)::INT AS rank, id, part, supp, srv::DOUBLE AS value FROM o
+  UNION ALL SELECT 'asked', bench, split, 'SPL', row_number() OVER (ORDER BY size, seq)::INT, id, part, supp, size FROM n""")
+def leaderboard_pages(spark, d):
+    """A page as it opens, with two filters, and one that is asked for: any board, sort and filters in one call."""
+    j = judged(spark, d)
+    opened = board.page(j, bench="no such board", verified=True, standard=True, sort="nothing")
+    asked = board.page(j, "Brand#7", "A", "SPL", ascending=True, eval_set="full", zero_shot=True, open_weights=False, paradigms=["1-URGENT", "2-HIGH"])
+    of = lambda name, p: p.rows.select(F.lit(name).alias("page"), "bench", "split", F.lit(p.key).alias("key"), F.col("rank").cast("int").alias("rank"), "id", "part", "supp", "value")
+    return of("open", opened).union(of("asked", asked))

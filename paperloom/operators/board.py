@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +147,53 @@ def filters(bench=None, split=None, eval_set=None, zero_shot=None, open_weights=
     return test & F.col("pd").isin(paradigms) if paradigms else test
 
 
+#: The split that a page opens with where a board has it, and the metric it is sorted by (fixed values).
+FIRST_SPLIT, FIRST_METRIC = "val-unseen", "SR"
+#: What a metric's text begins with that is a number.
+NUMBER = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+
+
+@dataclass(frozen=True)
+class Page:
+    """A leaderboard as it is shown: which board, its metrics in order, what it is sorted by, and the rows."""
+
+    bench: str | None
+    split: str | None
+    metrics: tuple[str, ...]
+    key: str | None
+    rows: DataFrame
+
+
+def page(board: DataFrame, bench: str | None = None, split: str | None = None, sort: str | None = None, ascending: bool | None = None, **kept) -> Page:
+    """One board: filtered by ``kept`` (see ``filters``), its metrics by coverage, ranked by one of them.
+
+    A benchmark or split that is not given, or that the board lacks, is the one with most rows,
+    the first seen among equals; a split of the usual name comes before it. Metrics are those that a
+    quarter of all rows of the board has. Rows without a number for the key come last; ties are in
+    the board's order. What the driver sees are names: one benchmark, one split, seven metrics.
+    """
+
+    def most(rows: DataFrame, column: str, wanted: str | None, usual: str | None = None) -> str | None:
+        counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min("_seq").alias("seen"))
+        rank = F.when(F.col(column) == F.lit(wanted), 0).when(F.col(column) == F.lit(usual), 1).otherwise(2)
+        first = counts.orderBy(rank, F.col("n").desc(), "seen").first()
+        return first[column] if first else None
+
+    bench = most(board, "bench", bench)
+    of_bench = board.where(F.col("bench") == F.lit(bench))
+    split = most(of_bench, "split", split, FIRST_SPLIT)
+    own = of_bench.where(F.col("split") == F.lit(split))
+    metrics = tuple(r["metric"] for r in metric_coverage(own).orderBy("rank").collect())
+    key = sort if sort in metrics else FIRST_METRIC if FIRST_METRIC in metrics else metrics[0] if metrics else None
+    up = ascending if ascending is not None and sort == key else key in LOWER_BETTER
+    value = F.regexp_extract(F.coalesce(F.try_element_at("m", F.lit(key)), F.lit("")), NUMBER, 1).try_cast("double")
+    rows = own.where(filters(**kept)).withColumn("value", value)
+    order = [F.col("value").asc_nulls_last() if up else F.col("value").desc_nulls_last(), F.col("_seq")]
+    cells = F.map_filter("m", lambda k, _: k.isin(*metrics)) if metrics else F.col("m")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bench", "split").orderBy(*order))).withColumn("cells", cells)
+    return Page(bench, split, metrics, key, ranked)
+
+
 def audit_head(board: DataFrame, cache: DataFrame, top: int = 8, rounds: int = 5, verdict=None) -> DataFrame:
     """Rows at the head of each board that no audit has seen.
 
