@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import answer, board, index, log, retrieval, survey, trends
 from paperloom.plans import search
-from paperloom.queries import _AUTHORS, LIBRARY, PAPERS, ROWS, _authored, facets, library, papers, query, rows, t
+from paperloom.queries import _AUTHORS, LABELS, LIBRARY, PAPERS, ROWS, _authored, facets, labels, library, papers, query, rows, t
 from paperloom.sources.staging import shared_folder
 
 # ---- board rows with verdicts: line items once more ---------------------------------------
@@ -420,3 +420,41 @@ def leaderboard_pages(spark, d):
     asked = board.page(j, "Brand#7", "A", "SPL", ascending=True, eval_set="full", zero_shot=True, open_weights=False, paradigms=["1-URGENT", "2-HIGH"])
     of = lambda name, p: p.rows.select(F.lit(name).alias("page"), "bench", "split", F.lit(p.key).alias("key"), F.col("rank").cast("int").alias("rank"), "id", "part", "supp", "value")
     return of("open", opened).union(of("asked", asked))
+
+
+_NOW, _THEN = "date > DATE '2001-08-01' - 365 AND date <= DATE '2001-08-01'", "date > DATE '2001-08-01' - 730 AND date <= DATE '2001-08-01' - 365"
+
+
+def _shift_sql(part: str, column: str, of: str) -> str:
+    """Shares of each code then and now among papers that pass ``of``."""
+    return f"""SELECT '{part}', code, n, round(n / a, 6) - round(m / z, 6) FROM (SELECT code, count(*) FILTER ({_NOW})::BIGINT AS n, count(*) FILTER ({_THEN}) AS m FROM (SELECT DISTINCT id, date, unnest({column}) AS code FROM s WHERE {of}) GROUP BY 1),
+    (SELECT count(*) FILTER ({_NOW}) AS a, count(*) FILTER ({_THEN}) AS z FROM s WHERE {of}) WHERE n >= 5 OR n / a >= 0.02"""
+
+
+@query(f"""WITH {PAPERS}, {LABELS}, s AS (SELECT p.id, y, date, CASE pd WHEN '5-LOW' THEN 'none' ELSE pd END AS pd, tk, bm, CASE WHEN p.id % 3 = 0 THEN [] ELSE co END AS co FROM p JOIN l ON p.id = l.id WHERE sc = 'core'),
+  m AS (SELECT unnest(generate_series(DATE '1999-01-01', DATE '2001-08-01', INTERVAL 1 MONTH))::DATE AS month), q AS (SELECT m.month, count(s.id)::BIGINT AS n FROM m LEFT JOIN s ON date_trunc('month', s.date) = m.month GROUP BY 1),
+  g AS (SELECT y, pd, count(*)::BIGINT AS n FROM s WHERE pd <> 'none' AND y > 0 GROUP BY ALL), w AS (SELECT y, sum(n) AS n FROM g GROUP BY 1)
+  SELECT 'tile' AS part, unnest(['core', 'last', 'before']) AS name, unnest([count(*), count(*) FILTER ({_NOW}), count(*) FILTER ({_THEN})])::BIGINT AS n, NULL::DOUBLE AS value FROM s
+  UNION ALL SELECT 'rate', unnest(['growth', 'line_now', 'line_then', 'real_now', 'real_then', 'industry']), NULL, round(unnest([count(*) FILTER ({_NOW}) / count(*) FILTER ({_THEN}) - 1, count(*) FILTER ({_NOW} AND pd = '1-URGENT') / count(*) FILTER ({_NOW} AND pd <> 'none'), count(*) FILTER (y = 1997 AND pd = '1-URGENT') / count(*) FILTER (y = 1997 AND pd <> 'none'),
+    count(*) FILTER ({_NOW} AND pd <> 'none' AND list_contains(tk, 'PROMO')) / count(*) FILTER ({_NOW} AND pd <> 'none'), count(*) FILTER ({_THEN} AND pd <> 'none' AND list_contains(tk, 'PROMO')) / count(*) FILTER ({_THEN} AND pd <> 'none'), count(*) FILTER ({_NOW} AND len(co) > 0) / count(*) FILTER ({_NOW})]), 6) FROM s
+  UNION ALL {_shift_sql('tasks', 'tk', 'true')} UNION ALL {_shift_sql('contribs', 'co', 'true')} UNION ALL {_shift_sql('traits', 'bm', "pd <> 'none'")} UNION ALL {_shift_sql('settings', 'tk', "pd <> 'none'")}
+  UNION ALL SELECT 'benches', bench, now, before FROM (SELECT bench, count(*) FILTER ({_NOW})::BIGINT AS now, count(*) FILTER ({_THEN})::DOUBLE AS before FROM (SELECT date, unnest(bm) AS bench FROM s) GROUP BY 1 HAVING count(*) FILTER ({_NOW}) > 0 ORDER BY now DESC, bench LIMIT 10)
+  UNION ALL SELECT 'momentum', strftime(month, '%Y-%m'), n, round(avg(n) OVER (ORDER BY q.month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) FROM q
+  UNION ALL SELECT 'shares', g.y || ' ' || g.pd, g.n, round(g.n / w.n, 6) FROM g JOIN w ON w.y = g.y WHERE g.y >= (SELECT coalesce(min(y), 0) FROM w WHERE n >= 20)""")
+def summary_page(spark, d):
+    """All parts of the library's first page from one table of papers."""
+    from paperloom.sources.staging import cut
+
+    p = papers(spark, d).join(labels(spark, d), "id")
+    pd_, co = F.when(F.col("pd") == "5-LOW", "none").otherwise(F.col("pd")), F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("co"))
+    p = cut(p.withColumns({"pd": pd_, "ct": F.col("co"), "co": co}).withColumns({"ct": F.col("co"), "tr": F.col("bm"), "st": F.col("tk")}), "papers")
+    made = trends.summary(p, F.lit("2001-08-01").cast("date"), ("1999-01-01", "2001-08-01"), ["1-URGENT"], real="PROMO")
+    none = F.lit(None)
+    row = lambda part, df, name, n, value: df.select(F.lit(part).alias("part"), name.alias("name"), n.cast("long").alias("n"), F.round(value.cast("double"), 6).alias("value"))
+    flat = lambda part, names, as_n: made["tiles"].select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in names))).alias("r")).select(F.lit(part).alias("part"), "r.name", (F.col("r.x") if as_n else none).cast("long").alias("n"), F.round((none if as_n else F.col("r.x")).cast("double"), 6).alias("value"))
+    moved = F.round("now", 6) - F.round(F.coalesce("before", F.lit(0.0)), 6)
+    parts = [flat("tile", ["core", "last", "before"], True), flat("rate", ["growth", "line_now", "line_then", "real_now", "real_then", "industry"], False)]
+    parts += [row(k, made[k], F.col("code"), F.col("n"), moved) for k in ("tasks", "contribs", "traits", "settings")]
+    parts += [row("benches", made["benches"], F.col("bench"), F.col("now"), F.col("before")), row("momentum", made["momentum"], F.date_format("month", "yyyy-MM"), F.col("n"), F.col("average"))]
+    parts.append(row("shares", made["shares"], F.concat_ws(" ", F.col("y").cast("string"), "pd"), F.col("n"), F.col("share")))
+    return reduce(DataFrame.union, parts)

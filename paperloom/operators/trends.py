@@ -150,3 +150,42 @@ def bench_catalogue(papers: DataFrame, known: DataFrame, least: int = 3) -> Data
 def first_year_with(papers: DataFrame, least: int = 20) -> DataFrame:
     """The first year that has enough papers."""
     return papers.where("y > 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).agg(F.min("y").alias("y"))
+
+
+#: Method papers that a year needs for its shares to be shown, benchmarks listed, years back that a line's share is compared with (fixed values).
+LEAST_OF_YEAR, BENCHES_SHOWN, YEARS_BACK = 20, 10, 4
+
+
+def summary(papers: DataFrame, ref: Column, months: tuple[str, str], line: list[str], real: str = "real", none: str = "none") -> dict[str, DataFrame]:
+    """The parts of a library's first page, all over its core papers.
+
+    ``tiles`` is one row: papers in all, in the last twelve months and the twelve before, their growth, the share
+    of a ``line`` of paradigms among recent method papers and four years ago, of papers in the setting ``real`` now and
+    before, and of those with industry. ``tasks``, ``contribs``, ``traits`` and ``settings`` are shares then and now, the last
+    two among method papers; ``benches`` the most used of the last year; ``momentum`` papers a month with a
+    six-month mean; ``shares`` the paradigms of each year from the first with enough method papers on. ``papers``
+    has a ``date``; a paper without one is in no window.
+    """
+    core = papers.where("sc = 'core'")
+    method = core.where(F.col("pd") != none)  # a null paradigm is none
+    now, then, ok = within(F.col("date"), ref, 0, 365), within(F.col("date"), ref, 365, 730), F.coalesce(F.col("pd") != none, F.lit(False))
+    old, has = F.col("y") == F.year(ref) - YEARS_BACK, F.coalesce(F.array_contains("st", real), F.lit(False))
+    share = lambda of, among: F.count_if(of & among) / F.nullif(F.count_if(among), F.lit(0))
+    in_line, industry = F.coalesce(F.col("pd").isin(line), F.lit(False)), F.size(F.coalesce("co", F.array().cast("array<string>"))) > 0
+    tiles = core.agg(
+        F.count(F.lit(1)).alias("core"), F.count_if(now).alias("last"), F.count_if(then).alias("before"), (F.count_if(now) / F.nullif(F.count_if(then), F.lit(0)) - 1).alias("growth"),
+        share(in_line, now & ok).alias("line_now"), share(in_line, old & ok).alias("line_then"), share(has, now & ok).alias("real_now"), share(has, then & ok).alias("real_then"), share(industry, now).alias("industry"),
+    )
+    used = core.select("date", F.explode("bm").alias("bench")).groupBy("bench").agg(F.count_if(now).alias("now"), F.count_if(then).alias("before")).where("now > 0")
+    per_year = year_counts(method)
+    enough = first_year_with(method, LEAST_OF_YEAR).select(F.coalesce("y", F.lit(0)).alias("__first"))
+    return {
+        "tiles": tiles,
+        "tasks": share_shift(core, "tk", ref),
+        "contribs": share_shift(core, "ct", ref),
+        "traits": share_shift(method, "tr", ref),
+        "settings": share_shift(method, "st", ref),
+        "benches": used.orderBy(F.col("now").desc(), "bench").limit(BENCHES_SHOWN),
+        "momentum": monthly_average(core, *months),
+        "shares": per_year.join(F.broadcast(enough)).where(F.col("y") >= F.col("__first")).drop("__first"),  # one row
+    }
