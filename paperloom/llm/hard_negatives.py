@@ -59,7 +59,8 @@ class Tree:
             centre.append(x.mean(axis=0))
             radius.append(np.sqrt(((x - centre[n]) ** 2).sum(axis=1).max()))
             low.append(own.min()), high.append(own.max())
-            if b - a <= leaf:
+            # a leaf of several labels is met by the rows of each, so these are parted further
+            if b - a <= (leaf if low[n] == high[n] else leaf // 8):
                 continue
             if low[n] < high[n]:
                 order[a:b] = order[a:b][np.argsort(own, kind="stable")]
