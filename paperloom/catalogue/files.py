@@ -143,6 +143,28 @@ def newest_pages(spark, d):
     return io.until_low_water(pages, F.col("published"), "2024-01").select("user_id", "offs")
 
 
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey::VARCHAR AS nation FROM customer")
+def pages_of_customers(spark, d):
+    """All customers as a listing of pages of fifty, a window for each nation, read page by page in a task of its own."""
+    path = folder(spark, "landed")
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation"))
+    paged.land(c, path, "nation", 50, "id")
+    nations = [(str(r[0]), "") for r in t(spark, d, "nation").select("n_nationkey").collect()]
+    return paged.read_pages(spark, "id long, name string, nation string", paged.landed(path, ["id", "name", "nation"], 50), nations)
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def chain_of_suppliers(spark, d):
+    """All suppliers as pages that name the next one by an opaque cursor."""
+    path = folder(spark, "chain")
+    cursor = lambda page: F.when(page == 0, "start").otherwise(F.md5(page.cast("string")))
+    page = F.floor(F.col("s_suppkey") / 9).cast("long")
+    s = t(spark, d, "supplier").withColumn("page", page)
+    pages = s.groupBy("page").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))).alias("entries"))  # nine rows
+    pages.select("entries", cursor(F.col("page")).alias("cursor"), cursor(F.col("page") + 1).alias("next")).write.partitionBy("cursor").json(path)
+    return paged.read_pages(spark, "id long, name string", paged.chained(path, ["id", "name"]), first="start")
+
+
 # ---- texts and their fallbacks ---------------------------------------------------------------------
 
 

@@ -7,9 +7,12 @@ lost task asks for its own window again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as SqlWindow
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -73,3 +76,45 @@ def by_offset(total: Callable, page: Callable, size: int = 500) -> Fetch:
         return entries, (offset + size if entries and offset + size < total(window) else None)
 
     return fetch
+
+
+def land(rows: DataFrame, folder: str, window: str, size: int, *order: Column | str) -> None:
+    """Rows as the pages of a listing that has been fetched: a folder for each window and number of a page, ``size`` rows each."""
+    nth = F.row_number().over(SqlWindow.partitionBy(window).orderBy(*order)) - 1
+    entries = rows.withColumn("__page", F.floor(nth / size)).withColumn("__nth", nth)
+    pages = entries.groupBy(F.col(window).alias("window"), F.col("__page").alias("page")).agg(F.array_sort(F.collect_list(F.struct("__nth", *rows.columns))).alias("entries"))  # ``size`` rows
+    pages.write.partitionBy("window", "page").json(folder)
+
+
+def landed(folder: str, fields: list[str], size: int) -> Fetch:
+    """A fetch of landed pages by offset; tasks read them from the store that the folder's address names. A missing page is the end."""
+
+    def page(span, offset, _):
+        from pyarrow.fs import FileSelector, FileSystem  # where it is used: the process that tasks are forked from stays single-threaded
+
+        files, path = FileSystem.from_uri(f"{folder}/window={span[0]}/page={offset // size}")
+        found = files.get_file_info(FileSelector(path, allow_not_found=True))
+        out = []
+        for f in sorted(x.path for x in found if x.path.endswith(".json")):
+            with files.open_input_stream(f) as stream:
+                out += [e for line in stream.read().decode().splitlines() if line for e in json.loads(line)["entries"]]
+        return [tuple(e.get(c) for c in fields) for e in out]
+
+    return by_offset(lambda _: float("inf"), page, size)
+
+
+def chained(folder: str, fields: list[str]) -> Fetch:
+    """A fetch of landed pages that name the next one: ``cursor=X`` holds ``entries`` and ``next``."""
+
+    def fetch(_, cursor):
+        from pyarrow.fs import FileSelector, FileSystem
+
+        files, path = FileSystem.from_uri(f"{folder}/cursor={cursor}")
+        found = [x.path for x in files.get_file_info(FileSelector(path, allow_not_found=True)) if x.path.endswith(".json")]
+        if not found:
+            return [], None
+        with files.open_input_stream(found[0]) as stream:
+            held = json.loads(stream.read().decode().splitlines()[0])
+        return [tuple(e.get(c) for c in fields) for e in held["entries"]], held.get("next")
+
+    return fetch
