@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -272,6 +273,23 @@ def test_near_copies_of_an_article_keep_it(spark):
     assert all(got[i].split("\n") == ["One head", *(f"paragraph {k}{' edited' * (k == i)}" for k in range(12))] for i in range(6)) and got[6] == "Another\ntext"
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_the_table_of_pages_is_read_as_by_a_plain_extractor(spark):
+    """Its articles are in an element of that name; whatever stands in it outside forms, menus and the like is the text."""
+    import re
+    from html import unescape
+
+    def plain(page):
+        body = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+        body = re.sub(r"(?s)<(script|style|form|aside|nav)\b.*?</\1>|<!--.*?-->|<br\s*/?>", " ", body)
+        parts = re.split(r"<[^>]+>", re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", body))
+        return "\n".join(t for x in parts if (t := " ".join(unescape(x).split())))
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.digest(rows).collect()}
+    assert got == {r["page_id"]: plain(r["html"]) for r in rows.collect()}
+
+
 def test_tree_matching_aligns_children_in_order():
     a, b = html.parse("<div><p>1</p><h2>x</h2><p>2</p></div>"), html.parse("<div><p>1</p><p>3</p></div>")
     size, pairs = html.match(a, b)
