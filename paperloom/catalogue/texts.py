@@ -207,7 +207,7 @@ def surname_overlap(spark, d):
     return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), shared_surnames(mine, theirs).alias("n"))
 
 
-@query("""SELECT c_custkey AS id, concat_ws('&', 'q=maps+of+' || c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 'sc=any' WHEN c_custkey % 3 = 2 THEN 'sc=core%2Cadjacent' END, CASE WHEN c_custkey % 2 = 0 THEN 'pd=' || c_mktsegment || '%2Cnone' END, CASE WHEN c_custkey % 5 = 0 THEN 'sort=new' END) AS state FROM customer""")
+@query("""SELECT c_custkey AS id, concat_ws('&', 'q=maps+of+' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pd=' || c_mktsegment || '%2Cnone' END, CASE WHEN c_custkey % 3 = 1 THEN 'sc=any' WHEN c_custkey % 3 = 2 THEN 'sc=core%2Cadjacent' END, CASE WHEN c_custkey % 5 = 0 THEN 'sort=new' END) AS state FROM customer""")
 def url_states(spark, d):
     """States of the library's page read and written again; what is at its default goes."""
     from paperloom.plans import search
