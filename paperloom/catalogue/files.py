@@ -210,6 +210,16 @@ def twins_exact(spark, d):
     return twin_by_title(p.select(k.alias("uid"), title.alias("title")), index).where("exact").select("uid", "found")
 
 
+@query()
+def twins_alike(spark, d):
+    """The most alike entry for every second part's name, kind and brand, among those of the others; a test has the rule pair by pair."""
+    from paperloom.operators.resolve import twin_by_title
+
+    title = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    return twin_by_title(p.where(k % 2 == 1).select(k.alias("uid"), title.alias("title")), p.where(k % 2 == 0).select(title.alias("title"), k.alias("found")))
+
+
 @query("SELECT page_id, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS found FROM pages")
 def first_links(spark, d):
     places = F.array(F.lit("none"), F.col("url"), F.lit("http://late.example/999999"))
