@@ -455,7 +455,7 @@ def _listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The rows of query op3; the counts are of all spans, and ``n_spans`` is their sum."""
+    """The rows of query op3; the counts of kinds are of base spans, ``n_spans`` counts all spans."""
     found = find(docs.select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda k: F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.filter("pii", lambda x: x["base"])), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))

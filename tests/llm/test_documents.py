@@ -345,6 +345,14 @@ def test_pii_digest_and_redaction(spark, docs, none, rows):
     assert pii.redact(docs).columns == docs.columns and [r["text"] for r in pii.redact(docs).where("doc_id = 0").collect()] == [None]
 
 
+def test_pii_counts_of_kinds_are_of_base_spans(spark):
+    texts = ["seen at 10[.]1[.]2[.]3 today", "10.0.0.1 and 10[.]1[.]2[.]3, a@b.de", "write to JOHN AT EXAMPLE DOT COM today", "", None]
+    got = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    base = [brute_spans(texts[r["doc_id"]] or "") for r in got]
+    assert [[r[f"n_{k}"] for k in pii.KINDS] for r in got] == [[sum(x[1] == k for x in b) for k in range(4)] for b in base]
+    assert {r["doc_id"]: r["n_spans"] for r in got} == {0: 1, 1: 3, 2: 1, 3: 0, 4: 0}
+
+
 # ---- packing -----------------------------------------------------------------------
 
 
