@@ -111,15 +111,19 @@ def rolling_counts(events: DataFrame, who: str | None, ts: str, seconds: int) ->
     """Adds ``recent``: events of the same visitor (or of all) in the window that ends with each event, itself out.
 
     Time is cut into cells as long as the window, and every event is copied into the cell after its
-    own; there a range frame finds what its successors count. So one shuffle does, no task
-    holds more than two windows of a visitor, and counts are exact across any border.
+    own, to the moment when it leaves the window. All that were copied to a cell are in the window at its
+    begin; from there on a running sum adds who comes and takes off who leaves. So one shuffle does, no task
+    holds more than two windows of a visitor, its work grows with its rows and not with those in a window, and
+    counts are exact across any border.
     """
     t, size = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
     cell = F.floor(F.col("__t") / size).cast("long")
-    copies = F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.struct((cell + 1).alias("cell"), F.lit(False).alias("own")))
+    copies = F.array(F.struct(cell.alias("cell"), F.col("__t").alias("at"), F.lit(True).alias("own")), F.struct((cell + 1).alias("cell"), (F.col("__t") + size).alias("at"), F.lit(False).alias("own")))
     both = events.withColumn("__t", t).withColumn("__in", F.explode(copies))
-    frame = Window.partitionBy(*([who] if who else []), "__in.cell").orderBy("__t").rangeBetween(1 - size, Window.currentRow)
-    return both.withColumn("recent", F.count(F.lit(1)).over(frame) - 1).where("__in.own").select(*events.columns, "recent")
+    by_time = Window.partitionBy(*([who] if who else []), "__in.cell").orderBy("__in.at")
+    at_first = F.count_if(~F.col("__in.own")).over(by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    since = F.sum(F.when(F.col("__in.own"), 1).otherwise(-1)).over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("recent", at_first + since - 1).where("__in.own").select(*events.columns, "recent")
 
 
 #: Questions of one visitor in an hour, and of all visitors of a site in a day (fixed values).

@@ -1,14 +1,19 @@
 """Operators and functions on rows made by hand; expected values follow from the stated rules."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom import queries
 from paperloom.functions import text as tx
 from paperloom.functions import venue
 from paperloom.operators import board, lineage, log, mart, resolve, retrieval, trends, verify
 from paperloom.plans import search
 from paperloom.sources import io
 from paperloom.streaming import incremental
+from tests import oracle
 
 
 def one(spark, column):
@@ -444,3 +449,15 @@ def test_first_usable_and_zip(spark):
     assert (one(spark, text), one(spark, source)) == ("short", "abstract")
     df = spark.createDataFrame([(["a", "b"], ["1"])], "i array<string>, r array<string>")
     assert [tuple(x) for x in io.zipped(df, "i", "r").collect()] == [("a", "1"), ("b", None)]
+
+
+def test_rolling_counts_grow_with_rows_not_with_windows(spark):
+    """No frame slides over a window's rows; counts are those of all pairs."""
+    r = random.Random(3)
+    at = [r.randint(0, 40) * 5 for _ in range(300)]
+    rows = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(at)], "id int, who int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for who in (None, "who"):
+        got = log.rolling_counts(rows, who, "ts", 20)
+        assert "RangeFrame, -" not in got._jdf.queryExecution().toString()
+        want = {i: sum(0 <= t - u < 20 and (who is None or i % 2 == j % 2) for j, u in enumerate(at)) - 1 for i, t in enumerate(at)}
+        assert {x["id"]: x["recent"] for x in got.collect()} == want
