@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,12 @@ BAD_TYPES = "dataset paratext peer-review erratum editorial retraction supplemen
 # ------------------------------------------------------------------------------------
 
 
-def fold(harvested: DataFrame, other: DataFrame) -> DataFrame:
+def known_title(title: Column) -> Column:
+    """The normalised title, an empty one included."""
+    return norm_title(F.coalesce(title, F.lit("")))
+
+
+def fold(harvested: DataFrame, other: DataFrame, identity: Callable[[Column], Column] = known_title) -> DataFrame:
     """Records of ``other`` folded, in their order, into ``harvested`` and into each other; ``oa_id, uid``.
 
     Both have ``arxiv_id, title, _seq``, ``other`` also ``oa_id``. A record belongs to the row
@@ -24,12 +30,14 @@ def fold(harvested: DataFrame, other: DataFrame) -> DataFrame:
     title the last has it. A record that finds neither is a row of its own, under its arXiv
     id or ``oa:`` and its own, and from then on has both its id and its title; so what a
     record finds depends on those before it. Joins are by equality, so no pair of titles is compared.
+    Another ``identity`` may give letters and digits of its own, or null for a title that is none and equals no other.
     """
-    title = norm_title(F.coalesce("title", F.lit("")))
-    by_title = harvested.select(F.col("arxiv_id").alias("title_uid"), title.alias("nt"), "_seq").groupBy("nt").agg(F.max_by("title_uid", "_seq").alias("title_uid"))
+    title = identity(F.col("title"))
+    by_title = harvested.select(F.col("arxiv_id").alias("title_uid"), title.alias("nt"), "_seq").where("nt is not null").groupBy("nt").agg(F.max_by("title_uid", "_seq").alias("title_uid"))
     by_id = harvested.select(F.col("arxiv_id").alias("key"), F.col("arxiv_id").alias("id_uid")).distinct()
     key = F.when(F.col("arxiv_id") != "", F.col("arxiv_id"))
     rows = other.select("oa_id", key.alias("key"), title.alias("nt"), F.struct("_seq", "oa_id").alias("at")).withColumn("own", F.coalesce("key", F.concat(F.lit("oa:"), "oa_id")))
+    rows = rows.withColumn("nt", F.coalesce("nt", F.concat(F.lit(":"), "own")))  # no title is like that
     rows = cut(rows.join(by_id, "key", "left").join(by_title, "nt", "left"), "records")
     new = _first_of_links(rows.where("id_uid is null and title_uid is null").select("at", "own", "nt"))
     by_own = new.select("own", F.col("own").alias("own_uid"), F.col("at").alias("own_at"))

@@ -461,3 +461,18 @@ def test_rolling_counts_grow_with_rows_not_with_windows(spark):
         assert "RangeFrame, -" not in got._jdf.queryExecution().toString()
         want = {i: sum(0 <= t - u < 20 and (who is None or i % 2 == j % 2) for j, u in enumerate(at)) - 1 for i, t in enumerate(at)}
         assert {x["id"]: x["recent"] for x in got.collect()} == want
+
+
+def _documents(spark, path, texts):
+    spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/d")
+    (file,) = (path / "d").glob("*.parquet")
+    file.rename(path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["merge_fold_ids", "merge_fold_title"])
+def test_texts_without_letters_fold_as_the_sql_says(spark, tmp_path, name):
+    con = _documents(spark, tmp_path, ["…", "a", "δοκ", "", None, "...", "A!", None, "", "b", "δοκ", "B", "", None, "--", "c", "", None])
+    assert oracle.mismatch(queries.queries()[name](spark, str(tmp_path)), con, queries.oracle_sql()[name]) == ""
