@@ -150,6 +150,7 @@ def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> Dat
     first = F.when(F.size("authors") > 0, surname(F.element_at("authors", 1)))
     title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9 ]", "")
     r = rows.select("uid", "arxiv_id", "linked", "_seq", F.when(F.length(F.trim("name")) >= 3, F.lower(F.trim("name"))).alias("nm"), title.alias("nt"), F.coalesce("year", F.lit(0)).alias("y"), last.alias("last"), first.alias("first"))
+    r = cut(r, "names")  # surnames are folded once, however often rows are read
     keep, other = r.where("arxiv_id is not null"), r.where("arxiv_id is null")
     linked = other.select("uid", F.col("linked").alias("arxiv_id")).join(keep.groupBy("arxiv_id").agg(F.max_by("uid", "_seq").alias("keeper")), "arxiv_id").select(F.col("uid").alias("dup"), "keeper")
     other = other.join(linked.select(F.col("dup").alias("uid")), "uid", "left_anti")
@@ -172,7 +173,7 @@ def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> Dat
     asked = keyed(other.where("namesake is null")).select("uid", "s", F.col("nt").alias("b_nt"), "y")
     kept = firsts("nt").withColumnRenamed("nt", "a_nt")
     texts = lambda df, c: df.select("s", "block", F.col(c).alias("id"), F.col(c).alias("text"))
-    pairs = alike(texts(wide(kept), "a_nt"), texts(asked.withColumn("block", block), "b_nt"), ratio, ("s", "block"), strictly=True)
+    pairs = alike(texts(kept.withColumn("block", block), "a_nt"), texts(wide(asked), "b_nt"), ratio, ("s", "block"), strictly=True)
     # empty titles are as alike as can be
     pairs = pairs.select(F.col("a").alias("a_nt"), F.col("b").alias("b_nt")).union(rows.sparkSession.createDataFrame([("", "")], "a_nt string, b_nt string"))
     by_pair = kept.join(pairs, "a_nt").groupBy("s", "y", "b_nt").agg(F.min("first_").alias("first_"))

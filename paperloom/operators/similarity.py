@@ -11,6 +11,8 @@ first, only strings that meet in a rare gram are compared at all.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from paperloom.functions.text import title_ratio
 GRAM = 3
 #: Strings of one side that one task compares for one key; more are dealt over several.
 LOT = 4096
+#: Right strings of a key up to which each left one meets them all: a bounded pair costs far less than a gram's row, and no disk.
+FEW = 1024
 #: What a rounded product of lengths and ratios may be off by.
 _EPS = 1e-6
 
@@ -34,15 +38,18 @@ def shared_grams(lengths, ratio: float, q: int = GRAM):
     return lengths * (ratio / 2 - (1 - ratio) * (q - 1)) - (q - 1) - _EPS
 
 
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
 def letters(text: Column) -> Column:
     """How often each character of a normalised title occurs, and all others together; what two strings have in common bounds their ratio."""
-    signs = F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), "")
-    known = F.transform(signs, lambda c: F.length(text) - F.length(F.replace(text, c)))
-    return F.concat(known, F.array(F.length(text) - F.aggregate(known, F.lit(0), lambda n, x: n + x)))
+    count = lambda x: F.coalesce(x, F.lit(0))
+    known = [count(F.length(text) - F.length(F.replace(text, F.lit(c)))).alias(f"n{i}") for i, c in enumerate(_SIGNS)]
+    return F.struct(*known, count(F.length(F.translate(text, _SIGNS, ""))).alias("other"))
 
 
 def common_letters(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return reduce(Column.__add__, (F.least(a[c], b[c]) for c in (*(f"n{i}" for i in range(len(_SIGNS))), "other")))
 
 
 def candidates(left: DataFrame, right: DataFrame, ratio: float, by: tuple[str, ...] = (), q: int = GRAM, lot: int = LOT) -> DataFrame:
@@ -103,11 +110,21 @@ def alike(left: DataFrame, right: DataFrame, ratio: float, by: tuple[str, ...] =
 
     The ratio is that of the right string first, as it depends on the order. An id names one
     string. Letter counts bound it once more before the exact one is computed. Null and empty
-    strings are alike to none; equal strings and hot keys are no burden to any one task.
+    strings are alike to none; equal strings and hot keys are no burden to any one task. With ``by``, keys of at
+    most ``FEW`` right strings need no grams: their pairs are made, and bounded, where the strings meet.
     """
-    pairs = candidates(left, right, ratio, by)
-    of = lambda df, p: df.select(F.col("id").alias(p), F.col("text").alias(f"{p}_text")).distinct().withColumn(f"{p}_letters", letters(F.col(f"{p}_text")))
-    rows = pairs.join(of(left, "a"), "a").join(of(right, "b"), "b")
-    rows = rows.where(2 * common_letters(F.col("a_letters"), F.col("b_letters")) >= ratio * (F.length("a_text") + F.length("b_text")) - _EPS)
-    rows = rows.withColumn("ratio", title_ratio("b_text", "a_text"))
+    could = 2 * common_letters(F.col("a_letters"), F.col("b_letters")) >= ratio * (F.length("a_text") + F.length("b_text")) - _EPS
+    texts = lambda df, p: df.withColumnsRenamed({"id": p, "text": f"{p}_text"}).withColumn(f"{p}_letters", letters(F.col(f"{p}_text")))
+    of = lambda df, p: texts(df.select("id", "text").distinct(), p)
+    met = None
+    if by:
+        left, right = (df.select(*by, "id", "text").where("text <> ''").distinct() for df in (left, right))
+        sizes = right.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(left.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")), [*by])
+        few, many = sizes.where(F.col("n") <= FEW).select(*by, "lots"), sizes.where(F.col("n") > FEW).select(*by)
+        a = texts(left.join(few, [*by]).withColumn("d", F.pmod(F.xxhash64(F.lit("lot"), "id"), F.col("lots")).cast("int")).drop("lots"), "a")
+        b = texts(right, "b").join(few, [*by]).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+        met = a.join(b, [*by, "d"]).where(2 * F.least(F.length("a_text"), F.length("b_text")) >= ratio * (F.length("a_text") + F.length("b_text")) - _EPS).where(could).select("a", "b", "a_text", "b_text").distinct()
+        left, right = (df.join(many, [*by], "left_semi") for df in (left, right))
+    rows = candidates(left, right, ratio, by).join(of(left, "a"), "a").join(of(right, "b"), "b").where(could).select("a", "b", "a_text", "b_text")
+    rows = (rows.unionByName(met).distinct() if by else rows).withColumn("ratio", title_ratio("b_text", "a_text"))
     return rows.where(F.col("ratio") > ratio if strictly else F.col("ratio") >= ratio).select("a", "b", "ratio")

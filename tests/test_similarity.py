@@ -77,6 +77,21 @@ def test_one_surname_compares_few_pairs(spark):
     assert similarity.candidates(df.where("id % 2 = 0"), df.where("id % 2 = 1"), 0.9, ("s",)).count() < 0.1 * 1500 * 1500
 
 
+@pytest.mark.parametrize(("few", "lot"), [(1024, 4096), (40, 7), (0, 50)])
+def test_keys_of_few_strings_need_no_grams(spark, monkeypatch, few, lot):
+    r = random.Random(5)
+    left = [(i, i % 4, t) for i, t in enumerate(titles(r, 120))]
+    right = [(i, i % 3 + i % 2 * 2, perturbed(r, r.choice(left)[2])) for i in range(240)] + [(240, 1, ""), (241, 1, None), (242, 9, left[1][2])]
+    frame = lambda x: spark.createDataFrame(x, "id long, k long, text string")
+    indexed, whole = [], similarity.candidates
+    monkeypatch.setattr(similarity, "FEW", few)
+    monkeypatch.setattr(similarity, "LOT", lot)
+    monkeypatch.setattr(similarity, "candidates", lambda a, b, *more: indexed.append(a.count()) or whole(a, b, *more))
+    got = sorted((x["a"], x["b"]) for x in similarity.alike(frame(left), frame(right), 0.85, ("k",)).collect())
+    assert got == sorted((i, j) for i, k, a in left for j, m, b in right if k == m and a and b and SequenceMatcher(None, b, a).ratio() >= 0.85) and len(got) > 30
+    assert (indexed == [0]) == (few == 1024)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_twins_of_parts_are_those_of_a_loop(spark):
     import re
