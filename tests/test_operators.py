@@ -481,3 +481,18 @@ def test_texts_without_letters_fold_as_the_sql_says(spark, tmp_path, name):
 def test_prepared_texts_at_the_edge_of_the_budget(spark, tmp_path):
     con = _documents(spark, tmp_path, ["word " * 374 + "x" * n for n in range(75)] + ["y" * n for n in range(1950, 2010)])
     assert oracle.mismatch(queries.queries()["prepared_texts"](spark, str(tmp_path)), con, queries.oracle_sql()["prepared_texts"]) == ""
+
+
+def test_sure_parts_lose_no_company():
+    import re
+
+    from paperloom.functions.companies import PATTERNS
+
+    assert [tx.sure_part(p) for p in (r"\bNoah'?s Ark\b", r"\bHugging ?Face\b(?! (?:model|hub))", r"@a\.com", r"a|b", r"x.yz", r"(?i)ab", r"\bByte[Dd]ance\b")] == ["s Ark", "Hugging", "@a.com", "", "yz", "", "Byte"]
+    r = random.Random(4)
+    words = [re.sub(r"\\b|\(\?.*|\\s\*|[\\?]", "", re.sub(r"\[(.)[^\]]*\]", r"\1", p)) for _, p in PATTERNS] + ["model", "gift from", ",", "}", "\\\\", "Go", "API", "\n"]
+    for _ in range(300):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 8)))
+        want = {n for n, p in PATTERNS if any(not re.compile(tx.SPONSOR, re.I).search(text, max(0, m.start() - 120), m.start()) for m in re.finditer(p, text, re.M))}
+        assert set(tx.companies_in(text, PATTERNS)) == want
+    assert sum(tx.sure_part(p) in text for _, p in PATTERNS) < len(PATTERNS) / 4
