@@ -505,3 +505,12 @@ def test_feeds_are_of_bounded_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "folder", lambda *_: f"{tmp_path}/feed")
     assert queries.queries()["feed_entries"](spark, str(tmp_path)).count() == 45_000
     assert len(list((tmp_path / "feed").glob("k=*/*.txt"))) == 3
+
+
+def test_equal_backbones_are_shortened_once(monkeypatch):
+    asked, short = [], tx.backbone
+    monkeypatch.setattr(tx, "backbone", lambda x: asked.append(x) or short(x))
+    import pandas as pd
+
+    said = pd.Series(["opus-4.5", None, "GPT-4o (frozen)", "opus-4.5", None])
+    assert tx.short_backbone.func(said).tolist() == [short(x) for x in said] and len(asked) == 3
