@@ -99,10 +99,13 @@ def first_usable(*texts: tuple[str, Column], least: int = 6000) -> tuple[Column,
 
 # ---- fixed values: commands that include a file, names of by-products, weights of a main file's score ----
 INCLUDE = r"\\(?:input|include|subfile|(?:sub)?import\{([^}]*)\})\{([^}]+)\}"
+COMMANDS = ("input{", "include{", "subfile{", "import{")
 BY_PRODUCT = r"(?i)response|rebuttal|reply|suppl|supplement|appendix|cover|letter|poster|slides|review"
 BY_PRODUCT_WEIGHT, ABSTRACT_WEIGHT, SHORTEST_MAIN, DEEPEST = 0.15, 1.3, 2000, 8
 # ------------------------------------------------------------------------------------------------------------
 _FROM, _NEXT = "\u0001", "\u0002"
+#: Bytes of text that one task puts together.
+TASK_BYTES = 64 << 20
 
 
 def _plain_path(path: Column) -> Column:
@@ -111,49 +114,63 @@ def _plain_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def include_pieces(files: DataFrame) -> DataFrame:
-    """``uid, name, at, literal, places``: a file's text between its include commands, and where the next file may lie."""
-    body = F.regexp_extract("text", r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1)
-    inner = F.when(F.contains("text", F.lit("\\documentclass")) & (body != ""), body).otherwise(F.col("text"))
-    marked = lambda t: F.split(F.regexp_replace(t, INCLUDE, f"{_NEXT}$1{_FROM}$2{_NEXT}"), _NEXT)
+def include_pieces(files: DataFrame, *keep: str) -> DataFrame:
+    """``uid, name, keep, root, bodied, inner, at, literal, places``: a file's text between its include commands, and where the next file may lie.
+
+    Rows that are ``inner`` are of a document's body, which a ``bodied`` file has. A ``root`` has a preamble.
+    """
+    root, text = F.contains("text", F.lit("\\documentclass")), F.col("text")
+    body = F.when(root & F.contains("text", F.lit("\\begin{document}")), F.regexp_extract("text", r"(?s)\\begin\{document\}(.*?)(?:\\end\{document\}|\z)", 1))
+    # most texts have no command, and those are not taken through the expression
+    has = lambda t: reduce(Column.__or__, (F.contains(t, F.lit(c)) for c in COMMANDS))
+    marked = lambda t: F.when(has(t), F.split(F.regexp_replace(t, INCLUDE, f"{_NEXT}$1{_FROM}$2{_NEXT}"), _NEXT)).otherwise(F.array(t))
     here = F.regexp_extract("name", "^(.*/)[^/]*$", 1)
     folder, file = F.split_part("part", F.lit(_FROM), F.lit(1)), F.trim(F.split_part("part", F.lit(_FROM), F.lit(2)))
     tex = F.when(F.endswith(file, F.lit(".tex")), file).otherwise(F.concat(file, F.lit(".tex")))
     places = F.transform(F.array(F.concat_ws("/", folder, tex), F.concat(here, F.concat_ws("/", folder, tex)), tex), _plain_path)
-    rows = files.select("uid", "name", F.posexplode(marked(F.col("text"))).alias("at", "part")).withColumn("inner", F.lit(False))
-    rows = rows.union(files.select("uid", "name", F.posexplode(marked(inner)).alias("at", "part")).withColumn("inner", F.lit(True)))
+    both = F.array(F.struct(F.lit(False).alias("inner"), text.alias("t")), F.struct(F.lit(True).alias("inner"), body.alias("t")))
+    each = files.select("uid", "name", *keep, root.alias("root"), F.coalesce(body != "", F.lit(False)).alias("bodied"), F.explode(both).alias("x")).select("uid", "name", *keep, "root", "bodied", "x.*").where("t <> '' OR NOT inner")
+    rows = each.select("uid", "name", *keep, "root", "bodied", "inner", F.posexplode(marked(F.col("t"))).alias("at", "part"))
     is_file = F.contains("part", F.lit(_FROM))
-    return rows.select("uid", "name", "inner", "at", F.when(~is_file, F.col("part")).alias("literal"), F.when(is_file, places).alias("places"))
+    return rows.select("uid", "name", *keep, "root", "bodied", "inner", "at", F.when(~is_file, F.col("part")).alias("literal"), F.when(is_file, places).alias("places"))
 
 
-def flat_files(files: DataFrame) -> DataFrame:
-    """``uid, name, flat``: each file with a preamble and what it includes in place, ``DEEPEST`` levels deep at most.
+def flat_files(files: DataFrame, *keep: str) -> DataFrame:
+    """``uid, name, keep, flat``: each file with a preamble and what it includes in place, ``DEEPEST`` levels deep at most.
 
     Includes are edges between a paper's files; each level is one join of all open edges
     with the pieces of the files that they lead to, and a piece's place in the whole is
-    the list of its places on the way.
+    the list of its places on the way. The joins know pieces by name; their texts are shuffled
+    once, to their paper. How many partitions that takes goes by the texts' own size, as
+    repetitive ones take many times their shuffled size in memory.
     """
-    pieces = cut(include_pieces(files), "pieces")
-    names = files.select("uid", F.col("name").alias("child"))
-    edge = pieces.where("places is not null").select("uid", "name", "inner", "at", F.posexplode("places").alias("try", "child")).join(names, ["uid", "child"]).where("child <> name")
-    edge = edge.groupBy("uid", "name", "inner", "at").agg(F.min_by("child", "try").alias("child"))
-    tree = cut(pieces.join(edge, ["uid", "name", "inner", "at"], "left").select("uid", "name", "inner", "at", "literal", "child"), "includes")
-    below = tree.where("inner").select("uid", F.col("name").alias("child"), F.col("at").alias("next"), F.col("literal").alias("text"), F.col("child").alias("deeper"))
-    level = tree.where("not inner").join(files.where(F.contains("text", F.lit("\\documentclass"))).select("uid", "name"), ["uid", "name"], "left_semi")
-    level = level.select("uid", "name", F.array("at").alias("place"), "literal", "child")
-    found = []
+    pieces = cut(include_pieces(files, *keep).withColumn("size", F.coalesce(F.octet_length("literal"), F.lit(0)).cast("long")), "pieces")
+    size = pieces.agg(F.sum("size")).first()[0] or 0
+    dealt = lambda df, *by: df.repartition(max(1, -(-size // TASK_BYTES)), "uid", *by)
+    names = dealt(pieces.where("at = 0 AND NOT inner").select("uid", "name")).groupBy("uid").agg(F.collect_set("name").alias("names"))  # one paper's files
+    child = F.try_element_at(F.filter("places", lambda p: F.array_contains("names", p) & (p != F.col("name"))), F.lit(1))
+    marks = pieces.select("uid", "name", "inner", "at", *keep, "root", "bodied", F.col("literal").isNotNull().alias("said"), "places")
+    tree = cut(dealt(marks).join(names, "uid").withColumn("child", child).drop("places", "names"), "includes")
+    below = tree.where("inner = bodied")
+    below = below.select("uid", F.col("name").alias("child"), F.col("inner").alias("in_body"), F.col("at").alias("next"), F.col("said").alias("says"), F.col("child").alias("deeper"))
+    below = dealt(below, "child")
+    level = tree.where("root AND NOT inner").select("uid", "name", *keep, F.array("at").alias("place"), F.col("name").alias("file"), "inner", "at", "said", "child")
+    found, top = [], ["uid", "name", *keep]
     for _ in range(DEEPEST + 1):
         level = cut(level, "level")
-        found.append(level.where("literal is not null").select("uid", "name", "place", "literal"))
+        found.append(level.where("said").select(*top, "place", "file", "inner", "at"))
         open_ = level.where("child is not null")
         if open_.isEmpty():
             break
-        ends = [open_.select("uid", "name", F.concat("place", F.array(F.lit(k))).alias("place"), F.lit("\n").alias("literal")) for k in (-1, 2**30)]
-        found += ends
-        level = open_.join(below, ["uid", "child"]).select("uid", "name", F.concat("place", F.array("next")).alias("place"), F.col("text").alias("literal"), F.col("deeper").alias("child"))
-    rows = reduce(DataFrame.union, found)
-    placed = rows.groupBy("uid", "name").agg(F.sort_array(F.collect_list(F.struct("place", "literal"))).alias("parts"))
-    return placed.select("uid", "name", F.array_join(F.transform("parts", lambda p: p["literal"]), "").alias("flat"))
+        found += [open_.select(*top, F.concat("place", F.array(F.lit(k))).alias("place"), F.lit("").alias("file"), F.lit(None).cast("boolean").alias("inner"), F.lit(k).alias("at")) for k in (-1, 2**30)]
+        level = dealt(open_.select(*top, "place", "child"), "child").join(below, ["uid", "child"]).select(*top, F.concat("place", F.array("next")).alias("place"), F.col("child").alias("file"), F.col("in_body").alias("inner"), F.col("next").alias("at"), F.col("says").alias("said"), F.col("deeper").alias("child"))
+    # a piece's text and the places that it stands at, line ends with their own; both meet with their paper
+    placed = reduce(DataFrame.union, found).withColumn("literal", F.when(F.col("inner").isNull(), F.lit("\n")))
+    texts = pieces.where("literal is not null").select("uid", F.col("name").alias("file"), "inner", "at", "literal")
+    rows = dealt(placed.unionByName(texts, allowMissingColumns=True))
+    rows = rows.withColumn("literal", F.max("literal").over(Window.partitionBy("uid", "file", "inner", "at"))).where("place is not null")  # one text
+    whole = rows.groupBy(*top).agg(F.sort_array(F.collect_list(F.struct("place", "literal"))).alias("parts"))
+    return whole.select(*top, F.array_join(F.transform("parts", lambda p: p["literal"]), "").alias("flat"))
 
 
 def main_files(files: DataFrame) -> DataFrame:
@@ -164,7 +181,7 @@ def main_files(files: DataFrame) -> DataFrame:
     """
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{4,})"), 1))
     stem = F.regexp_replace(F.regexp_extract("name", "([^/]*)$", 1), r"\.tex$", "")
-    rows = flat_files(files).join(files.select("uid", "name", "title"), ["uid", "name"])
+    rows = flat_files(files, "title")
     wanted = words(F.coalesce("title", F.lit("")))
     said = words(F.regexp_extract("flat", r"(?s)\\title\{(.{0,300}?)\}", 1))
     shared = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, said)) / F.size(wanted)).otherwise(0.0)

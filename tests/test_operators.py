@@ -96,6 +96,17 @@ def test_main_file(spark):
     assert "q" not in got and got["r"].endswith("z" + "\n2\n3" * 4 + "\n" * 10)  # eight levels, and what the ninth leaves
 
 
+def test_flat_files_are_dealt_out_by_the_size_of_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(io, "TASK_BYTES", 100_000)
+    text = F.when(F.col("k") == 0, F.concat(F.lit("\\documentclass{a}\\begin{document}\\input{b}"), F.repeat(F.lit("x"), F.lit(3000)))).otherwise(F.repeat(F.lit("y"), F.lit(2000)))
+    rows = spark.range(200).select(F.col("id").alias("uid"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k")).select("uid", F.when(F.col("k") == 0, "a.tex").otherwise("b.tex").alias("name"), text.alias("text"), F.lit("T").alias("title"))
+    flat = io.flat_files(rows, "title").cache()
+    assert flat.count() == 200 and {(len(r["flat"]), r["title"]) for r in flat.collect()} == {(33 + 1 + 2000 + 1 + 3000, "T")}
+    # repetitive texts shuffle to next to nothing; each task has about 100,000 bytes of them all the same
+    most = flat.groupBy(F.spark_partition_id()).agg(F.sum(F.length("flat")).alias("n")).agg(F.max("n")).first()[0]
+    assert flat.rdd.getNumPartitions() >= 10 and most < 300_000
+
+
 # ---- search ----------------------------------------------------------------------------
 
 
