@@ -408,6 +408,20 @@ def test_bib_entries_of_a_batch_are_read_once(monkeypatch):
     assert seen.count("@a{x, title={A b}}") == 2
 
 
+def test_margins_of_papers_with_several_rows(spark):
+    p = spark.createDataFrame([(1, ["A", "B", "A"], "x"), (1, ["A"], "y"), (1, ["A"], "y"), (2, None, "x"), (3, ["A"], None)], "id int, tk array<string>, pd string")
+    found = trends.map_counts(p)
+    got = sorted(((r["task"], r["paradigm"], r["n"]) for r in found.collect()), key=str)
+    assert got == sorted([("A", "x", 1), ("A", "y", 1), ("B", "x", 1), ("A", None, 1), ("A", None, 2), ("B", None, 1), (None, "x", 1), (None, "y", 1), (None, None, 1), (None, None, 2)], key=str)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each margin of each cell is kept
+
+
+def test_documents_in_archives(spark, tmp_path):
+    docs = spark.createDataFrame([("n1.json", '{\n "a": 1\n}'), ("n2.json", '{"a": 2'), ("n3.json", "no"), ("n4.json", "")], "name string, text string")
+    packed = io.pack_documents(docs, str(tmp_path), archives=2)
+    assert [(r["uid"], r["a"]) for r in io.read_packed_docs(packed, "a int").where("a is not null").collect()] == [("n1", 1)]
+
+
 # ---- sources and sinks ----------------------------------------------------------------------------
 
 
