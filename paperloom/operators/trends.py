@@ -13,10 +13,16 @@ from paperloom.functions.text import strip_marks
 def map_counts(papers: DataFrame, tasks: str = "tk", paradigm: str = "pd") -> DataFrame:
     """``task, paradigm, n`` with totals: a null task or paradigm is the margin.
 
-    Papers have several tasks, so margins count papers once: a cube over distinct ids.
+    Papers have several tasks, so margins count papers once: a paper's cells and margins are found where
+    its rows are, and are counted before anything is shuffled.
     """
-    cells = papers.select("id", F.explode(F.array_distinct(tasks)).alias("task"), F.col(paradigm).alias("paradigm"))
-    return cells.cube("task", "paradigm").agg(F.count_distinct("id").alias("n"))
+    none = F.lit(None).cast("string")
+    cell = lambda task, pd, margin: F.struct(task.cast("string").alias("task"), pd.cast("string").alias("paradigm"), F.lit(margin).alias("margin"))
+    own = papers.groupBy("id").agg(F.collect_set(F.struct(F.coalesce(tasks, F.array().cast("array<string>")).alias("tasks"), F.col(paradigm).alias("paradigm"))).alias("rows"))  # a paper's rows
+    cells = own.select(F.flatten(F.transform("rows", lambda r: F.transform(r["tasks"], lambda x: cell(x, r["paradigm"], 0)))).alias("cells"))
+    margins = (F.transform("cells", lambda x: cell(x["task"], none, 1)), F.transform("cells", lambda x: cell(none, x["paradigm"], 2)), F.transform("cells", lambda x: cell(none, none, 3)))
+    each = cells.select(F.explode(F.array_distinct(F.concat("cells", *margins))).alias("x")).select("x.*")
+    return each.groupBy("task", "paradigm", "margin").agg(F.count(F.lit(1)).alias("n")).drop("margin")
 
 
 def pivot(papers: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
