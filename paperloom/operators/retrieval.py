@@ -132,11 +132,12 @@ def overview(papers: DataFrame, years: int = 10, per_group: int = 4, recent: int
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``id, name``: whole-word mentions of names of any number of words.
 
-    Texts and names meet by equality on a name's first word; the whole name is looked up
-    in the text's words only there, so no text is compared with all names.
+    Texts and names meet by equality of whole names with a text's runs of as many words, so
+    no text is compared with all names, and none is copied for each of its words.
     """
-    words = lambda c: tokens(F.col(c))
-    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    n = names.select("name", words("name").alias("w")).where(F.size("w") > 0).select("name", F.element_at("w", 1).alias("word"), line(F.col("w")).alias("said"))
-    x = texts.select("id", words("text").alias("w")).select("id", line(F.col("w")).alias("line"), F.explode(F.array_distinct("w")).alias("word"))
-    return x.join(n, "word").where(F.contains("line", F.col("said"))).select("id", "name").distinct()
+    n = names.select("name", tokens(F.col("name")).alias("w")).where(F.size("w") > 0).select("name", F.size("w").alias("k"), F.array_join("w", " ").alias("said")).distinct()
+    lengths = sorted(r["k"] for r in n.select("k").distinct().collect())  # how many words a name has
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")) if k > 1 else F.col("w")
+    each = [F.when(F.size("w") >= k, F.array_distinct(runs(k))).otherwise(F.array().cast("array<string>")) for k in lengths] or [F.array().cast("array<string>")]
+    x = texts.select("id", tokens(F.col("text")).alias("w")).select("id", F.explode(F.flatten(F.array(*each))).alias("said"))
+    return x.join(n, "said").select("id", "name").distinct()

@@ -422,6 +422,15 @@ def test_documents_in_archives(spark, tmp_path):
     assert [(r["uid"], r["a"]) for r in io.read_packed_docs(packed, "a int").where("a is not null").collect()] == [("n1", 1)]
 
 
+def test_mentions_carry_no_text(spark):
+    texts = spark.createDataFrame([(1, "Big Maps of big maps"), (2, "maps"), (3, None), (4, "of bigmaps. Maps, of!")], "id int, text string")
+    names = spark.createDataFrame([("big maps",), ("Maps",), ("maps of",), ("of big maps of",), ("--",)], "name string")
+    found = retrieval.mentions(texts, names)
+    assert sorted(map(tuple, found.collect())) == [(1, "Maps"), (1, "big maps"), (1, "maps of"), (2, "Maps"), (4, "Maps"), (4, "maps of")]
+    assert retrieval.mentions(texts, names.limit(0)).count() == 0
+    assert "line" not in found._jdf.queryExecution().optimizedPlan().toString()  # the row of a text's word has no copy of the text
+
+
 # ---- sources and sinks ----------------------------------------------------------------------------
 
 
