@@ -6,19 +6,31 @@ not depend on the question: saturation, length and the paper's boost. A question
 buckets of its own terms. The first blocks give the k-th best score so far; a block whose
 greatest weight cannot bring a paper to that score, with the best that the question's other
 terms have, is never opened.
+
+Texts are read once. A task inverts some papers at a time, so what is shuffled is a row for a
+term of many papers, not one for each posting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import retrieval
 from paperloom.sources import versions
+from paperloom.sources.staging import cut, released
 
 BUCKETS = 64
-#: Postings of a block, and postings of one term that one task sorts.
-BLOCK, LOT = 256, 1 << 20
+#: Postings of a block, and postings of one term that one task sorts, on average.
+BLOCK, LOT = 256, 1 << 18
+#: Tokens, and papers, that are inverted at once.
+TOKENS, PAPERS = 1 << 21, 1 << 16
+#: Postings that one task sorts into a bucket, on average.
+WRITTEN = 1 << 22
 SCHEMA = "term string, df long, lot int, block int, most double, low int, high int, ids array<{id}>, weights array<double>, years array<int>, bucket int"
 #: Sums of the same parts in another order may differ by so much.
 _EPS = 1e-9
@@ -28,29 +40,89 @@ def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def blocks(papers: DataFrame, weights: dict[str, float], buckets: int = BUCKETS, block: int = BLOCK, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
-    """The index's rows; ``papers`` has ``id, y, c, sc``, maybe ``r``, and the weighted fields.
+def runs(papers: DataFrame, weights: dict[str, float], k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
+    """``term, n, p``: what some papers have of a term; ``papers`` has ``id, y, c, sc``, maybe ``r``, and the weighted fields.
+
+    Papers without tokens have no postings.
+    """
+    read = F.coalesce(F.col("r") == 1, F.lit(False)) if "r" in papers.columns else F.lit(False)
+    boost = retrieval.boost(F.col("c"), F.col("sc") == "core", read)
+    sized = cut(retrieval.sized_terms(papers, weights, F.coalesce("y", F.lit(0)).cast("int").alias("y"), boost.alias("boost")), "terms")
+    mean = sized.agg(F.avg("dl")).first()[0]
+
+    def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _in_lots(batches):
+            yield from _inverted(some, mean, k1, b)
+
+    return cut(sized.mapInArrow(inverted, f"term string, n int, p array<struct<fall:double,id:{dict(papers.dtypes)['id']},y:int>>"), "runs")
+
+
+def blocks(found: DataFrame, buckets: int = BUCKETS, block: int = BLOCK) -> DataFrame:
+    """The index's rows of ``runs``.
 
-    A term of very many papers is cut into lots by their ids first, each with its own falling
-    blocks, so no task sorts more than a lot. Papers without tokens have no postings.
+    A term of very many papers is cut into lots first, each with its own falling
+    blocks, so no task sorts much more than a lot.
     """
-    sized = retrieval.sized_terms(papers, weights, "y", retrieval.boost(F.col("c"), F.col("sc") == "core", F.coalesce(F.col("r") == 1, F.lit(False)) if "r" in papers.columns else F.lit(False)).alias("boost"))
-    mean = sized.agg(F.avg("dl").alias("mean"))
-    each = sized.select("id", "y", "boost", "dl", F.explode("hits").alias("x")).groupBy("id", "y", "boost", "dl", "x.term").agg(F.sum("x.w").alias("tf")).join(F.broadcast(mean))
-    each = each.select("term", "id", F.coalesce("y", F.lit(0)).cast("int").alias("y"), (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean"))) * F.col("boost")).alias("w"))
-    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dealt = each.join(df, "term").withColumn("lot", F.pmod(F.xxhash64(F.lit("lot"), "id"), F.ceil(F.col("df") / LOT)).cast("int"))
-    nth = F.row_number().over(Window.partitionBy("term", "lot").orderBy(F.col("w").desc(), "id")) - 1
-    cut = dealt.withColumn("block", F.floor(nth / block).cast("int")).groupBy("term", "df", "lot", "block")
-    cut = cut.agg(F.max("w").alias("most"), F.min("y").alias("low"), F.max("y").alias("high"), F.array_sort(F.collect_list(F.struct("id", "w", "y"))).alias("p"))  # ``block`` entries
-    return cut.select("term", "df", "lot", "block", "most", "low", "high", F.col("p.id").alias("ids"), F.col("p.w").alias("weights"), F.col("p.y").alias("years"), _bucket(F.col("term"), buckets).alias("bucket"))
+    often = found.groupBy("term").agg(F.sum("n").alias("often")).where(F.col("often") > LOT)  # no more rows than there are lots
+    lot = F.pmod(F.xxhash64(F.lit("lot"), F.col("p")[0]["id"]), F.coalesce(F.ceil(F.col("often") / LOT), F.lit(1))).cast("int")
+    dealt = found.join(F.broadcast(often), "term", "left").select("term", lot.alias("lot"), "often", "n", "p")
+    df = F.coalesce("often", F.sum("n"))  # all runs of other terms are one lot
+    falling = dealt.groupBy("term", "often", "lot").agg(df.alias("df"), F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
+    starts = F.sequence(F.lit(0), F.size("p") - 1, F.lit(block))
+    each = falling.select("term", "df", "lot", F.posexplode(F.transform(starts, lambda i: F.slice("p", i + 1, block))).alias("block", "p"))  # ``block`` entries
+    p = F.col("p")
+    return each.select(
+        "term", "df", "lot", "block", (-p[0]["fall"]).alias("most"), F.array_min(p["y"]).alias("low"), F.array_max(p["y"]).alias("high"),
+        p["id"].alias("ids"), F.transform(p["fall"], lambda x: -x).alias("weights"), p["y"].alias("years"), _bucket(F.col("term"), buckets).alias("bucket"),
+    )
+
+
+def _in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together, until they have ``TOKENS`` tokens or ``PAPERS`` papers."""
+    held, tokens, papers = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        tokens, papers = tokens + len(batch["hits"].flatten()), papers + len(batch)
+        if tokens >= TOKENS or papers >= PAPERS:
+            yield pa.Table.from_batches(held)
+            held, tokens, papers = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _inverted(papers: pa.Table, mean: float | None, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """One row for each term of some papers, with all its postings; ``fall`` is the weight below zero, so that sorting puts the greatest first."""
+    papers = papers.combine_chunks()
+    hits = papers["hits"].combine_chunks()
+    each = hits.flatten()
+    if not len(each):
+        return
+    terms = each.field("term").dictionary_encode()
+    of = np.repeat(np.arange(len(papers), dtype=np.int64), hits.value_lengths().to_numpy(zero_copy_only=False))
+    key = (terms.indices.to_numpy().astype(np.int64) << 32) | of
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    tf, key = np.add.reduceat(each.field("w").to_numpy()[order], first), key[first]
+    term, paper = key >> 32, key & 0xFFFFFFFF
+    length, boost = papers["dl"].to_numpy()[paper], papers["boost"].to_numpy()[paper]
+    fall = -(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)) * boost)
+    begin = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+    own = pa.array(paper)
+    entries = pa.StructArray.from_arrays([pa.array(fall), papers["id"].combine_chunks().take(own), papers["y"].combine_chunks().take(own)], ["fall", "id", "y"])
+    ends = np.append(begin, len(key))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)
+    yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(term[begin])), pa.array(np.diff(ends).astype(np.int32)), lists], ["term", "n", "p"])
 
 
 def write(papers: DataFrame, folder: str, weights: dict[str, float] | None = None, buckets: int = BUCKETS, block: int = BLOCK, stamp: int = 0) -> None:
     """A new version of the index, current once it is whole."""
     spark, version = papers.sparkSession, versions.new_version(folder)
-    made = blocks(papers, weights or retrieval.FIELD_WEIGHTS, buckets, block)
-    made.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{version}/postings")
+    with released():
+        found = runs(papers, weights or retrieval.FIELD_WEIGHTS)
+        files = 1 + (found.agg(F.sum("n")).first()[0] or 0) // (buckets * WRITTEN)  # of a bucket; a term's lot is in one of them
+        dealt = blocks(found, buckets, block).repartition(buckets * files, "bucket", F.pmod(F.xxhash64("term", "lot"), F.lit(files)))
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{version}/postings")
     versions.switch(spark, folder, version, papers=papers.count(), id=dict(papers.dtypes)["id"], buckets=buckets, stamp=stamp)
 
 

@@ -53,10 +53,12 @@ def query_terms(question: str) -> list[str]:
 
 
 def sized_terms(docs: DataFrame, weights: dict[str, float], *keep: str | Column) -> DataFrame:
-    """``id, keep, dl, hits``: each document's weighted length and its weighted tokens."""
+    """``id, keep, dl, hits``: each document's weighted length and its weighted tokens; a text is read once for both."""
     fields = _fields(docs, weights)
-    length = reduce(lambda a, b: a + b, [F.size(x) * F.lit(w) for x, w in fields])
-    return docs.select("id", *keep, length.alias("dl"), F.flatten(F.array(*(F.transform(x, _weighted(w)) for x, w in fields))).alias("hits"))
+    found = [(F.col(f"__f{i}"), w) for i, (_, w) in enumerate(fields)]
+    apart = docs.select("id", *keep, *(x.alias(f"__f{i}") for i, (x, _) in enumerate(fields)))
+    length = reduce(lambda a, b: a + b, [F.size(x) * F.lit(w) for x, w in found])
+    return apart.withColumns({"dl": length, "hits": F.flatten(F.array(*(F.transform(x, _weighted(w)) for x, w in found)))}).drop(*(f"__f{i}" for i in range(len(fields))))
 
 
 def bm25(docs: DataFrame, question: str, weights: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:

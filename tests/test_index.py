@@ -33,6 +33,24 @@ def test_the_index_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
             assert got == want, (question, k)
 
 
+def test_papers_are_inverted_together_before_the_shuffle(spark, tmp_path, monkeypatch):
+    papers = library(spark, 3000, 2).withColumn("half", F.when(F.col("id") < "p15", 0).otherwise(1)).repartition(2, "half").drop("half")
+    one = retrieval.postings(papers, retrieval.FIELD_WEIGHTS)
+    found = index.runs(papers, retrieval.FIELD_WEIGHTS)
+    total, rows = found.agg(F.sum("n"), F.count("p")).first()
+    assert total == one.count() > 20 * rows and rows <= 2 * one.select("term").distinct().count()
+    assert found.where("n <> size(p)").count() == 0
+    want = listed(retrieval.retrieve(papers, "maps of seeing robots"))
+    for tokens, lot in ((1 << 21, 1 << 18), (100, 200)):  # all at once, and in many runs and lots
+        monkeypatch.setattr(index, "TOKENS", tokens)
+        monkeypatch.setattr(index, "LOT", lot)
+        index.write(papers, str(tmp_path / f"index{lot}"), buckets=4, block=16)
+        rows, _ = index.opened(spark, str(tmp_path / f"index{lot}"), "maps")
+        held = rows.agg(F.max("df"), F.sum(F.size("ids")), F.max("lot"), F.max(F.size("ids"))).first()
+        assert held[0] == held[1] == one.where("term = 'maps'").count() and (held[2] > 0) == (lot == 200) and held[3] <= 16
+        assert listed(index.retrieve(papers, str(tmp_path / f"index{lot}"), "maps of seeing robots")) == want
+
+
 def test_a_question_reads_its_own_buckets_and_few_blocks(spark, tmp_path):
     papers, folder = library(spark, 3000, 2), str(tmp_path / "index")
     index.write(papers, folder, buckets=16, block=8)
