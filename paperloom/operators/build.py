@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import key_base
 from paperloom.operators import log, mart, publish, resolve
 from paperloom.sources.staging import cut
 
@@ -98,13 +99,17 @@ def staged(raw: Raw, rules: Rules) -> dict[str, DataFrame]:
     excluded = placed.where(F.col("disposition").isin("prefilter_drop", "duplicate", "excluded")).select(F.col("uid").alias("id"), F.col("title").alias("t"), F.col("year").alias("y"), why.alias("why"))
     # a keeper has its duplicates' records and, if it lacks one, a published DOI of theirs
     theirs = placed.where("keeper is not null").groupBy(F.col("keeper").alias("uid")).agg(F.flatten(F.collect_list("oa_ids")).alias("more_ids"), F.min("doi").alias("doi_pub"))
-    kept = placed.where(F.startswith("disposition", F.lit("scope_"))).join(theirs, "uid", "left")
+    stays = F.startswith("disposition", F.lit("scope_"))
+    kept = placed.where(stays).join(theirs, "uid", "left")
     kept = kept.withColumn("oa_ids", F.array_union("oa_ids", F.coalesce("more_ids", F.array().cast(dict(kept.dtypes)["oa_ids"])))).drop("more_ids")
     sides = {"venue": raw.venues, "registry": raw.registry, "note": raw.notes}
     empty = {"venue": "uid string, venue string, label string, kind string, source string", "registry": "uid string, doi string, dblp string, bibtex string", "note": "uid string, key_idea string, insight string, summary string, numbers array<struct<bench:string,metrics:map<string,string>>>"}
     spark = found.sparkSession
     wide = mart.star(kept, **{k: v if v is not None else spark.createDataFrame([], empty[k]) for k, v in sides.items()} | raw.sides)
-    papers = mart.cite_keys(mart.project(wide.withColumn("companies", F.array().cast(_NONE))).join(kept.select(F.col("uid").alias("id"), F.struct(F.col("arxiv_id").isNull(), "_seq").alias("_seq")), "id")).drop("base", "nth", "_seq")
+    # keys are made of a few columns, so titles and abstracts are not shuffled for them
+    base = key_base(F.try_element_at("authors", F.lit(1)), F.col("year"), F.col("title"))
+    bases = cut(placed.where(stays).select(F.col("uid").alias("id"), base.alias("base"), F.struct(F.col("arxiv_id").isNull(), "_seq").alias("_seq")), "bases")
+    papers = mart.project(wide.withColumn("companies", F.array().cast(_NONE))).join(mart.suffixed(bases).select("id", "key"), "id")
     papers = cut(papers, "papers")
     n = F.col("note")["numbers"]
     results = wide.select(F.col("uid").alias("id"), F.explode(n).alias("row")).where(F.size(F.coalesce("row.metrics", F.create_map().cast("map<string,string>"))) > 0)

@@ -46,6 +46,11 @@ def cite_keys(papers: DataFrame, order: str = "_seq") -> DataFrame:
     A suffixed key that is another paper's base is left out, so the next suffix comes.
     """
     base = papers.withColumn("base", key_base(F.try_element_at("a", F.lit(1)), F.col("y"), F.col("t")))
+    return suffixed(base, order).select(*papers.columns, "base", "nth", "key")
+
+
+def suffixed(base: DataFrame, order: str = "_seq") -> DataFrame:
+    """``nth`` and ``key`` of rows with a ``base``; rows are shuffled twice, so they should be few columns."""
     counts = base.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
     suffix = lambda i: F.when(i <= 26, F.char(F.lit(96) + i)).otherwise(F.concat(F.lit("-"), i.cast("string")))
     # as many suffixes as there are rows, and the 25 letters more that bases may take away
@@ -54,7 +59,7 @@ def cite_keys(papers: DataFrame, order: str = "_seq") -> DataFrame:
     free = free.withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy("i")) + 1).select("base", "nth", F.col("key").alias("__key"))
     nth = F.row_number().over(Window.partitionBy("base").orderBy(order))
     rows = base.withColumn("nth", nth).join(free, ["base", "nth"], "left")
-    return rows.withColumn("key", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.col("__key"))).drop("__key").select(*papers.columns, "base", "nth", "key")
+    return rows.withColumn("key", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.col("__key"))).drop("__key")
 
 
 def disposition(prefilter: Column, labelled: Column, duplicate: Column, scope: Column) -> Column:

@@ -22,6 +22,11 @@ def known_title(title: Column) -> Column:
     return norm_title(F.coalesce(title, F.lit("")))
 
 
+def _nothing(key: str) -> Column:
+    """An empty text where there is a key, as a second key of a join; no literal, as the planner would take that out of the join."""
+    return F.substring(F.col(key).cast("string"), 1, 0)
+
+
 def fold(harvested: DataFrame, other: DataFrame, identity: Callable[[Column], Column] = known_title) -> DataFrame:
     """Records of ``other`` folded, in their order, into ``harvested`` and into each other; ``oa_id, uid``.
 
@@ -34,11 +39,13 @@ def fold(harvested: DataFrame, other: DataFrame, identity: Callable[[Column], Co
     """
     title = identity(F.col("title"))
     by_title = harvested.select(F.col("arxiv_id").alias("title_uid"), title.alias("nt"), "_seq").where("nt is not null").groupBy("nt").agg(F.max_by("title_uid", "_seq").alias("title_uid"))
-    by_id = harvested.select(F.col("arxiv_id").alias("key"), F.col("arxiv_id").alias("id_uid")).distinct()
+    by_id = harvested.select(F.col("arxiv_id").alias("key"), _nothing("arxiv_id").alias("__own"), F.col("arxiv_id").alias("id_uid")).distinct()
     key = F.when(F.col("arxiv_id") != "", F.col("arxiv_id"))
     rows = other.select("oa_id", key.alias("key"), title.alias("nt"), F.struct("_seq", "oa_id").alias("at")).withColumn("own", F.coalesce("key", F.concat(F.lit("oa:"), "oa_id")))
     rows = rows.withColumn("nt", F.coalesce("nt", F.concat(F.lit(":"), "own")))  # no title is like that
-    rows = cut(rows.join(by_id, "key", "left").join(by_title, "nt", "left"), "records")
+    # records without an id are dealt by their own, as one key they would be one task's
+    rows = rows.withColumn("__own", F.coalesce(_nothing("key"), F.col("oa_id").cast("string")))
+    rows = cut(rows.join(by_id, ["key", "__own"], "left").drop("__own").join(by_title, "nt", "left"), "records")
     new = _first_of_links(rows.where("id_uid is null and title_uid is null").select("at", "own", "nt"))
     by_own = new.select("own", F.col("own").alias("own_uid"), F.col("at").alias("own_at"))
     by_new_title = new.select("nt", F.col("own").alias("nt_uid"), F.col("at").alias("nt_at"))
@@ -132,6 +139,10 @@ def shared_surnames(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+#: All but lower-case letters, digits and spaces; spelled out it is found several times faster than by what it is not.
+_SIGNS = r"[\x00-\x1f!-/:-`{-\x{10FFFF}]+"
+
+
 def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> DataFrame:
     """``dup, keeper``: rows without an arXiv id that repeat one with it.
 
@@ -148,14 +159,16 @@ def fuzzy_duplicates(rows: DataFrame, ratio: float = 0.9, years: int = 2) -> Dat
     """
     last = surnames(F.col("authors"))
     first = F.when(F.size("authors") > 0, surname(F.element_at("authors", 1)))
-    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9 ]", "")
+    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), _SIGNS, "")
     r = rows.select("uid", "arxiv_id", "linked", "_seq", F.when(F.length(F.trim("name")) >= 3, F.lower(F.trim("name"))).alias("nm"), title.alias("nt"), F.coalesce("year", F.lit(0)).alias("y"), last.alias("last"), first.alias("first"))
     r = cut(r, "names")  # surnames are folded once, however often rows are read
     keep, other = r.where("arxiv_id is not null"), r.where("arxiv_id is null")
     linked = other.select("uid", F.col("linked").alias("arxiv_id")).join(keep.groupBy("arxiv_id").agg(F.max_by("uid", "_seq").alias("keeper")), "arxiv_id").select(F.col("uid").alias("dup"), "keeper")
     other = other.join(linked.select(F.col("dup").alias("uid")), "uid", "left_anti")
-    names = keep.where("nm is not null").select("nm").distinct().withColumn("namesake", F.lit(True))
-    other = other.join(names, "nm", "left")
+    # rows without a name are dealt by their uid
+    names = keep.where("nm is not null").select("nm", _nothing("nm").alias("__own")).distinct().withColumn("namesake", F.lit(True))
+    other = other.withColumn("__own", F.coalesce(_nothing("nm"), F.col("uid").cast("string")))
+    other = other.join(names, ["nm", "__own"], "left").drop("__own")
     keyed = lambda df: df.withColumn("s", F.explode(_surname_keys(F.col("last"), F.col("first"))))
     block = F.floor(F.col("y") / _YEARS)
     wide = lambda df: df.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))

@@ -389,6 +389,34 @@ def test_lineage_and_trees(spark):
     assert {r["node"]: r["n"] for r in lineage.rollup(assigned, tree).collect()} == {"r": 2, "l1": 2, "l2": 1}
 
 
+def test_records_without_an_id_are_no_task_of_their_own(spark, monkeypatch):
+    seen, cut = {}, resolve.cut
+    monkeypatch.setattr(resolve, "cut", lambda df, name: cut(seen.setdefault(name, df), name))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        harvested = spark.createDataFrame([("", "none", 1), ("a1", "One", 2)], "arxiv_id string, title string, _seq int")
+        other = spark.createDataFrame([("", None, "two", 1), ("w1", "", "three", 2), ("w2", "a1", "four", 3), ("w3", None, "ONE!", 4), ("w4", None, "two.", 5)], "oa_id string, arxiv_id string, title string, _seq int")
+        got = {r["oa_id"]: r["uid"] for r in resolve.fold(harvested, other).collect()}
+        assert got == {"": "oa:", "w1": "oa:w1", "w2": "a1", "w3": "a1", "w4": "oa:"}
+        plan = seen["records"]._jdf.queryExecution().executedPlan().toString()
+        assert all("__own" in x.split(")")[0] for x in plan.split("hashpartitioning(key")[1:]) and "hashpartitioning(key" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_keys_and_signs_of_titles(spark):
+    titles = ["The Art of Maps", "the-the a", "THEory", "a1 the", "", None, "?", "Zürich by night", "on_line", "How to 3D", "\u212Aelvin \U0001F600 x", "an\tandroid"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    words = F.filter(F.regexp_extract_all(F.lower("t"), F.lit("([a-z0-9]+)"), 1), lambda w: ~w.isin(tx.KEY_STOP))
+    want = F.concat(F.lit("anon"), F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("paper")))
+    plain = lambda signs: F.regexp_replace(F.lower("t"), signs, "")
+    rows = df.select(tx.key_base(F.lit(None).cast("string"), F.lit(0), F.col("t")), want, plain(resolve._SIGNS), plain("[^a-z0-9 ]")).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows)
+    made = mart.suffixed(spark.createDataFrame([("p1", "a", 2), ("p2", "a", 1), ("p3", "b", 3)], "id string, base string, _seq int"))
+    assert {r["id"]: r["key"] for r in made.collect()} == {"p1": "ab", "p2": "a", "p3": "b"}
+
+
 def test_inverted_index_is_made_in_its_row(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b", ""]), (2, [""]), (3, None), (4, [])], "id int, w array<string>").select("id", tx.to_positions(F.col("w")).alias("x"))
     assert {r["id"]: r["x"] for r in df.collect()} == {1: {"": [3], "a": [1], "b": [0, 2]}, 2: {"": [0]}, 3: None, 4: {}}
